@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def batches(it: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20)
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         part = np.cumsum(size) // max_bytes
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):

@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SPACE = frozenset([0x20, *range(0x09, 0x0E)])
@@ -39,11 +40,15 @@ def _bytes_table(lower: bool) -> np.ndarray:
 
 
 @cache
-def _separators(kind: str) -> np.ndarray:
-    sep = np.zeros(256, bool)
+def _classes(kind: str) -> np.ndarray:
+    """Class of each byte: 0 parts words, and so does a change from one class to another."""
+    c = np.ones(256, np.uint8)
     for b in range(256):
-        sep[b] = b in SPACE if kind == "space" else b not in ALNUM
-    return sep
+        if b in SPACE or kind == "alnum" and b not in ALNUM:
+            c[b] = 0
+        elif kind == "mixed" and b not in ALNUM:
+            c[b] = 2
+    return c
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -67,6 +72,12 @@ class Words:
     doc: np.ndarray
     ptr: np.ndarray
     hash: np.ndarray
+    total: np.ndarray
+
+    def stems(self, n: int) -> np.ndarray:
+        """Hashes of each word's first n bytes (all of a shorter word)."""
+        end = np.minimum(self.start + n, self.end)
+        return mix((self.total[end] - self.total[self.start]) * _power("i", _RINV, len(self.data))[self.start] + U(n))
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -81,7 +92,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     else:
         kind = np.int32
     if col.null_count:
-        col = pa.compute.fill_null(col, "")
+        col = pc.fill_null(col, "")
     off = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = col.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
@@ -89,24 +100,27 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split(col: pa.Array, lower: bool = False, kind: str = "space") -> Words:
-    """Words of each row: runs of bytes that aren't separators ("space": [\\x20\\t-\\r]; "alnum": all but
-    ASCII letters, digits and bytes of other letters separate). lower: hashes ignore the case of A-Z."""
+    """Words of each row. kind "space": what [\\x20\\t-\\r] parts; "alnum": runs of ASCII letters, digits
+    and bytes of other characters; "mixed": those and the runs of punctuation between them. lower: hashes
+    ignore the case of A-Z."""
     data, off = text_buffer(col)
     n = len(data)
-    inside = ~_separators(kind)[data]
+    c = _classes(kind)[data]
     first = np.zeros(n + 1, bool)
     first[off] = True
-    begins, ends = inside.copy(), inside.copy()
+    begins = c > 0
+    ends = begins.copy()
     if n:
-        begins[1:] &= ~inside[:-1] | first[1:n]
-        ends[:-1] &= ~inside[1:] | first[1:n]
+        parted = (c[1:] != c[:-1]) | first[1:n]
+        begins[1:] &= parted
+        ends[:-1] &= parted
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     ptr = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(ptr))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_bytes_table(lower)[data] * _power("r", _R, n)[:n], out=total[1:])
     h = (total[end] - total[start]) * _power("i", _RINV, n)[start] + (end - start).astype(np.uint64)
-    return Words(data, start, end, doc, ptr, mix(h))
+    return Words(data, start, end, doc, ptr, mix(h), total)
 
 
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
