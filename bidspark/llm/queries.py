@@ -19,6 +19,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the rows held out are never looked at."""
+    from bidspark.llm.toxicity import score_toxicity, train_toxicity
+
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held)
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of the rows held out are never looked at."""
+    from bidspark.llm.quality import score_quality, train_quality
+
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    model = train_quality(docs, table(spark, sf_dir, "labels"), ~held)
+    return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; ids and text as digests."""
     from bidspark.llm.bpe import bpe_digests
@@ -26,5 +44,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {"op8_bpe": op8_bpe}
+QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
+    "op7_quality": op7_quality,
+    "op8_bpe": op8_bpe,
+}
 ORACLE: dict[str, str] = {}

@@ -57,7 +57,7 @@ class ToxicityModel:
         return w
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 4, seed: int = 11) -> ToxicityModel:
+def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 4, seed: int = 11) -> ToxicityModel:
     """FTRL-proximal with one rate per coordinate; the intercept is not shrunk."""
     dims = 1 << bits
     z, n = np.zeros(dims), np.zeros(dims)
