@@ -19,6 +19,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document (its smallest doc_id), and whether the document stays."""
+    from bidspark.llm.minhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "copies_of", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of the rows held out are never looked at."""
     from bidspark.llm.toxicity import score_toxicity, train_toxicity
@@ -45,6 +53,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op3_toxicity": op3_toxicity,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
