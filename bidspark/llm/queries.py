@@ -52,10 +52,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every embedding at cosine 0.9."""
+    from bidspark.llm.caps import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_toxicity": op3_toxicity,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
+    "op9_caps": op9_caps,
 }
 ORACLE: dict[str, str] = {}
