@@ -36,6 +36,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rules, else by trust and distrust of its host."""
+    from bidspark.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for a mix of half the corpus's tokens, of two epochs at most."""
+    from bidspark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), F.floor(F.col("total") / 2), max_epochs=2, seed=1)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels of the rows held out are never looked at."""
     from bidspark.llm.quality import score_quality, train_quality
@@ -59,11 +73,53 @@ def op9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding."""
+    from bidspark.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def _mixing_sql(documents: str, budget: str, max_epochs: int, seed: int) -> str:
+    """DuckDB SQL of `mix`: (doc_id, domain, lang, source, n_tokens, copies)."""
+    from bidspark.llm.mixing import LEVELS, WEIGHTS
+
+    parts = [
+        f"""leaf_docs AS (SELECT doc_id, 'd' || CAST(coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER), 0) % 4 AS VARCHAR) AS domain,
+            coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM {documents})""",
+        f"leaf_sizes AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS BIGINT) * {max_epochs} AS cap FROM leaf_docs GROUP BY ALL)",
+        f"share0 AS (SELECT CAST({budget} AS BIGINT) AS share FROM (SELECT coalesce(sum(tokens), 0) AS total FROM leaf_sizes))",
+    ]
+    for k, level in enumerate(LEVELS):
+        node, above = ", ".join(LEVELS[: k + 1]), ", ".join(LEVELS[:k])
+        weight = "CASE " + level + "".join(f" WHEN '{n}' THEN {w}" for n, w in WEIGHTS[level].items()) + " ELSE 1 END" if WEIGHTS[level] else "1"
+        by = f"PARTITION BY {above}" if above else ""
+        link = f"JOIN share{k} USING ({above})" if above else f"CROSS JOIN share{k}"
+        parts += [
+            f"child{k} AS (SELECT {node}, CAST(sum(cap) AS BIGINT) AS cap, CAST({weight} AS BIGINT) AS w FROM leaf_sizes GROUP BY {node})",
+            f"run{k} AS (SELECT *, sum(cap) OVER ({by} ORDER BY cap / w, {level} ROWS UNBOUNDED PRECEDING) AS c_to, sum(w) OVER ({by} ORDER BY cap / w, {level} ROWS UNBOUNDED PRECEDING) AS w_to, sum(w) OVER ({by}) AS w_all FROM child{k} {link})",
+            f"full{k} AS (SELECT *, cap * (w_all - w_to + w) <= w * (share - c_to + cap) AS is_full FROM run{k})",
+            f"sums{k} AS (SELECT *, sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({by}) AS c_full, sum(CASE WHEN is_full THEN w ELSE 0 END) OVER ({by}) AS w_full FROM full{k})",
+            f"share{k + 1} AS (SELECT {node}, CAST(CASE WHEN is_full THEN cap ELSE greatest(w * (share - c_full), 0) // greatest(w_all - w_full, 1) END AS BIGINT) AS share FROM sums{k})",
+        ]
+    parts += [
+        f"leaves AS (SELECT domain, lang, source, tokens, share, CASE WHEN share <= 0 THEN 0 WHEN tokens > 0 THEN least(share // tokens, {max_epochs}) ELSE {max_epochs} END AS epochs FROM leaf_sizes JOIN share{len(LEVELS)} USING (domain, lang, source))",
+        f"keyed AS (SELECT d.*, epochs, CASE WHEN epochs >= {max_epochs} THEN 0 ELSE share - epochs * tokens END AS rest, sha256('{seed}:' || CAST(epochs + 1 AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM leaf_docs d JOIN leaves USING (domain, lang, source))",
+        "ranked AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM keyed)",
+        "mixed AS (SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ranked)",
+    ]
+    return "WITH " + ",\n".join(parts) + "\nSELECT * FROM mixed WHERE copies > 0"
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_toxicity": op3_toxicity,
+    "op4_urls": op4_urls,
+    "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
     "op9_caps": op9_caps,
+    "op10_ann": op10_ann,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_mixing": _mixing_sql("documents", "total // 2", 2, 1)}
