@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import components, cut, whole_groups
+from bidspark.llm.common import chunk_cells, components, cut, forest, whole_groups
 
 CODES, EXPECTED, CHUNK = 40, 2.0, 512
 
@@ -110,12 +110,7 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "
     element = rows.schema["e"].dataType.simpleString()
     listed = cut(distinct.mapInArrow(decode, f"c long, n long, e {element}, filters array<int>"))
     # chunks of a crowded filter; a filter with one vector needs no meeting
-    seats = listed.select("c", F.explode("filters").alias("f"))
-    crowd = seats.groupBy("f").agg(F.count("*").alias("k")).where("k > 1").withColumn("g", F.ceil(F.col("k") / CHUNK).cast("int"))
-    seats = seats.join(crowd, "f").select("c", "f", "g", F.pmod(F.xxhash64("c", F.lit(3)), F.col("g")).cast("int").alias("h"))
-    # chunk h meets the chunks h..g-1: a cell is a pair of chunks
-    cells = F.expr("transform(sequence(0, g - 1), o -> struct(least(h, o) as i, greatest(h, o) as j))")
-    seats = seats.withColumn("cell", F.explode(cells)).select("c", "f", "h", F.xxhash64("f", "cell.i", "cell.j").alias("cell"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
+    seats = chunk_cells(listed.select("c", F.explode("filters").alias("f")), "f", "c", CHUNK)
     meet = seats.join(listed, "c").select("cell", "h", "i", "j", "f", "c", "n", "e", "filters").repartition("cell").sortWithinPartitions("cell", "c")
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +152,7 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "
             new = np.append(True, c[who][1:] != c[who][:-1])[: len(who)]
             at = np.flatnonzero(new)
             links = np.add.reduceat(mult[with_], at) if len(at) else np.zeros(0, np.int64)
-            pa_, pb = _forest(c[a], c[b])
+            pa_, pb = forest(c[a], c[b])
             yield pa.record_batch([pa.array(np.append(c[who][at], pa_)), pa.array(np.append(links, np.zeros(len(pa_), np.int64))), pa.array(np.append(np.full(len(at), -1), pb), mask=np.append(np.ones(len(at), bool), np.zeros(len(pb), bool)))], schema=pa.schema([("a", pa.int64()), ("links", pa.int64()), ("b", pa.int64())]))
 
     found = cut(meet.mapInArrow(verify, "a long, links long, b long"))
@@ -212,23 +207,3 @@ def _pair_blocks(starts: np.ndarray, ends: np.ndarray, small: int = 48, most: in
         for lo in range(0, len(s), step):
             base = s[lo : lo + step, None]
             yield (base + p).ravel(), (base + q).ravel()
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root of its part) that join the same nodes as all edges (a, b)."""
-    if not len(a):
-        return a, b
-    node, flat = np.unique(np.append(a, b), return_inverse=True)
-    u, v = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(node))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    child = np.flatnonzero(label != np.arange(len(node)))
-    return node[child], node[label[child]]

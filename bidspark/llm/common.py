@@ -83,6 +83,20 @@ def whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
+def chunk_cells(seats: DataFrame, key: str, node: str, size: int) -> DataFrame:
+    """Seats (key, node, ...) of keys with two nodes or more, dealt to cells of two chunks of at most about `size`.
+
+    A key's nodes are cut into g chunks by a hash; chunk h meets each chunk, itself included, in one cell, so every
+    pair of nodes meets and no task holds a whole key. Adds h (own chunk), i <= j (the cell's chunks) and cell.
+    """
+    crowd = seats.groupBy(key).agg(F.count("*").alias("k")).where("k > 1").select(key, F.ceil(F.col("k") / size).cast("int").alias("g"))
+    own = F.pmod(F.xxhash64(node, F.lit(3)), F.col("g")).cast("int").alias("h")
+    dealt = seats.join(crowd, key).select(*seats.columns, "g", own)
+    pairs = F.expr("transform(sequence(0, g - 1), o -> struct(least(h, o) as i, greatest(h, o) as j))")
+    dealt = dealt.withColumn("p", F.explode(pairs)).select(*seats.columns, "h", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+    return dealt.withColumn("cell", F.xxhash64(key, "i", "j"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node long, component long): smallest node reachable by `links`; nodes without links are absent.
 
@@ -104,3 +118,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("components did not settle")
     return labels.select(F.col("v").alias("node"), F.col("l").alias("component"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root of its part) that join the same nodes as all edges (a, b)."""
+    if not len(a):
+        return a, b
+    node, flat = np.unique(np.append(a, b), return_inverse=True)
+    u, v = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    child = np.flatnonzero(label != np.arange(len(node)))
+    return node[child], node[label[child]]

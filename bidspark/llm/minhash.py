@@ -13,8 +13,8 @@ complete but for a few documents; those get a doubled horizon. So the work is ab
 shingle once.
 
 Steps: equal texts are one class from the start; signatures are banded; in each bucket every class meets the
-bucket's smallest one first (a star, not all pairs), and classes that those links don't join meet in pairs.
-All pairs that meet are verified by exact multiset overlap.
+bucket's smallest one first (a star, not all pairs), and classes that those links don't join meet in cells of
+two chunks of the bucket. Whatever meets is verified by exact multiset overlap.
 
 Null and empty texts (no words) are near nothing, themselves included. Texts of fewer than five words have
 one shingle: all their words. Words are `[^\\x20\\t-\\r]+`, unchanged.
@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches, components, cut
+from bidspark.llm.common import batches, chunk_cells, components, cut, forest, whole_groups
 from bidspark.llm.words import U, Words, mix, ngrams, per_doc_counts, split
 
-SHINGLE, BANDS, ROWS = 5, 20, 4
+SHINGLE, BANDS, ROWS, CHUNK = 5, 20, 4, 256
 
 
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +150,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _across(cells: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between parts p of the same cell; overlaps are matrix products within it, pairs aren't listed."""
+    met = cells.join(texts, "c").select("cell", "c", "p", "text").repartition("cell").sortWithinPartitions("cell", "c")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(it, "cell"):
+            for part in _runs(t.combine_chunks(), 2 << 20):
+                cell, c, p = (np.asarray(part[x]) for x in ("cell", "c", "p"))
+                w = split(part["text"])
+                doc, h, n = shingles(w)
+                total = np.bincount(doc, n, len(cell))
+                ptr = np.searchsorted(doc, np.arange(len(cell) + 1))
+                edge = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+                out_a, out_b = [], []
+                for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    if (p[s:e] == p[s]).all():
+                        continue
+                    rows = slice(ptr[s], ptr[e])
+                    both = _overlaps(doc[rows] - s, h[rows], n[rows], e - s)
+                    size = total[s:e]
+                    near = both >= least * (size[:, None] + size[None, :] - both) * (1 - 1e-12)
+                    near &= p[s:e, None] != p[None, s:e]
+                    a, b = np.nonzero(np.triu(near, 1))
+                    out_a.append(c[s:e][a])
+                    out_b.append(c[s:e][b])
+                if out_a:
+                    a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
+                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _runs(t: pa.Table, most: int) -> Iterator[pa.Table]:
+    """Runs of whole cells with about `most` bytes of text; a larger cell stands alone."""
+    cell = np.asarray(t["cell"])
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(t["text"]), 0)).astype(np.int64))
+    edge = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+    lo = 0
+    for k in range(1, len(edge)):
+        if k == len(edge) - 1 or size[edge[k + 1] - 1] - (size[edge[lo] - 1] if edge[lo] else 0) > most:
+            yield t.slice(edge[lo], edge[k] - edge[lo])
+            lo = k
+
+
+def _overlaps(doc: np.ndarray, h: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+    """Multiset overlap of all rows of a cell: a shingle with count n is n columns, the j-th for its j-th copy."""
+    if n.max(initial=1) > 1:
+        copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        doc, h = np.repeat(doc, n), np.repeat(h, n)
+        h = np.where(copy > 0, mix(h + copy.astype(np.uint64) * U(0x9E3779B97F4A7C15)), h)
+    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
+    often = times > 1
+    col_of, on = np.cumsum(often) - 1, often[col]
+    doc, col = doc[on], col_of[col[on]]
+    out, step = np.zeros((rows, rows), np.float32), 4096
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    for lo in range(0, int(often.sum()), step):
+        a, b = np.searchsorted(col, [lo, lo + step])
+        m = np.zeros((rows, min(step, int(often.sum()) - lo)), np.float32)
+        m[doc[a:b], col[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, copies_of, class_id): near-duplicate class of each document, its smallest doc_id.
 
@@ -173,14 +239,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     few = cut(text.join(some, "c", "left_semi"))  # texts that share a bucket with another
     links = cut(_verified(first_pairs, few, least))
     parts = components(links)
-    # members of a bucket that these links leave apart: only pairs across parts can still matter,
-    # and of those only pairs whose sizes allow the similarity
+    # members of a bucket that these links leave apart meet again: only pairs across parts can still matter
     placed = crowded.join(parts, crowded.c == parts.node, "left").select("bucket", "c", "size", F.coalesce("component", "c").alias("p"))
     apart = placed.groupBy("bucket").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("bucket")
-    placed = cut(placed.join(apart, "bucket"))
-    other = placed.select("bucket", F.col("c").alias("b"), F.col("p").alias("q"), F.col("size").alias("size_b"))
-    sizes = (F.col("size") >= least * F.col("size_b")) & (F.col("size_b") >= least * F.col("size"))
-    rest = placed.withColumnRenamed("c", "a").join(other, "bucket").where(sizes & F.expr("p <> q and a < b")).select("a", "b").distinct()
-    more = cut(_verified(rest.join(first_pairs, ["a", "b"], "left_anti"), few, least))
+    placed = placed.join(apart, "bucket")
+    more = cut(_across(chunk_cells(placed, "bucket", "c", CHUNK), few, least))
     parts = components(links.union(more))
     return membership.join(parts, membership.c == parts.node, "left").select("doc_id", F.col("c").alias("copies_of"), F.coalesce("component", "c").alias("class_id"))

@@ -48,8 +48,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def host_links(pages: DataFrame) -> DataFrame:
     """(a, b, w): links from host a to another host b."""
     host, _ = host_and_path(F.col("url"))
-    to = F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))
-    links = pages.where(F.col("html").contains("//")).select(host.alias("a"), F.translate(to, UPPER, LOWER).alias("b"))
+    links = pages.where(F.col("html").contains("//")).select(host.alias("a"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("b"))
+    links = links.withColumn("b", F.translate("b", UPPER, LOWER))
     return links.where("a <> '' and a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
 
 
