@@ -93,7 +93,7 @@ def chunk_cells(seats: DataFrame, key: str, node: str, size: int) -> DataFrame:
     own = F.pmod(F.xxhash64(node, F.lit(3)), F.col("g")).cast("int").alias("h")
     dealt = seats.join(crowd, key).select(*seats.columns, "g", own)
     pairs = F.expr("transform(sequence(0, g - 1), o -> struct(least(h, o) as i, greatest(h, o) as j))")
-    dealt = dealt.withColumn("p", F.explode(pairs)).select(*seats.columns, "h", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+    dealt = dealt.withColumn("__meet", F.explode(pairs)).select(*seats.columns, "h", F.col("__meet.i").alias("i"), F.col("__meet.j").alias("j"))
     return dealt.withColumn("cell", F.xxhash64(key, "i", "j"))
 
 
