@@ -43,6 +43,13 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the model of those not held out."""
+    from bidspark.llm.pitman import score
+
+    return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken for a mix of half the corpus's tokens, of two epochs at most."""
     from bidspark.llm.mixing import mix
@@ -116,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_urls": op4_urls,
+    "op5_lm": op5_lm,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
