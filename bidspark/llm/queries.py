@@ -27,6 +27,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "copies_of", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when passages of earlier documents are removed."""
+    from bidspark.llm.substrings import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of the rows held out are never looked at."""
     from bidspark.llm.toxicity import score_toxicity, train_toxicity
@@ -121,6 +129,7 @@ def _mixing_sql(documents: str, budget: str, max_epochs: int, seed: int) -> str:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op2_substrings": op2_substrings,
     "op3_toxicity": op3_toxicity,
     "op4_urls": op4_urls,
     "op5_lm": op5_lm,
