@@ -83,6 +83,18 @@ def whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
+#: Places of a filter by id: what is broadcast is bounded by it, whatever the number of ids.
+PLACES = 1 << 20
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame, col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `col` is surely not in ids.id_col, the other rows): wide rows that need no join with `ids` stay where they lie."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(PLACES))
+    places = cut(ids.select(place(id_col).alias("__place")).distinct())
+    marked = rows.withColumn("__place", place(col))
+    return tuple(marked.join(F.broadcast(places), "__place", how).drop("__place") for how in ("left_anti", "left_semi"))
+
+
 def chunk_cells(seats: DataFrame, key: str, node: str, size: int) -> DataFrame:
     """Seats (key, node, ...) of keys with two nodes or more, dealt to cells of two chunks of at most about `size`.
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches, chunk_cells, components, cut, forest, whole_groups
+from bidspark.llm.common import batches, chunk_cells, components, cut, forest, split_by_ids, whole_groups
 from bidspark.llm.words import U, Words, mix, ngrams, per_doc_counts, split
 
 SHINGLE, BANDS, ROWS, CHUNK = 5, 20, 4, 256
@@ -246,3 +246,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     more = cut(_across(chunk_cells(placed, "bucket", "c", CHUNK), few, least))
     parts = components(links.union(more))
     return membership.join(parts, membership.c == parts.node, "left").select("doc_id", F.col("c").alias("copies_of"), F.coalesce("component", "c").alias("class_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """The rows of docs without near duplicates: of each class the row with the smallest doc_id (one, if it is repeated).
+
+    Rows without a doc_id or without words stay. Texts that belong to no class of two rows aren't moved.
+    """
+    classes = cut(near_duplicates(docs, least).where("doc_id is not null"))
+    crowd = cut(classes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").join(classes, "class_id").select("class_id", "doc_id"))
+    alone, some = split_by_ids(docs, crowd, "doc_id", "doc_id")
+    gone = crowd.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    some = some.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return alone.unionByName(some.dropDuplicates(["doc_id", "text"]))

@@ -177,3 +177,15 @@ def score_quality(docs: DataFrame, model: QualityModel, bits: int = BITS, id_col
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, least: float, bits: int = BITS) -> DataFrame:
+    """The rows of docs whose text scores `least` or more, all columns unchanged; no row is moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, "text"):
+            doc, idx = features(split(b.column(b.schema.get_field_index("text")), lower=True, kind="mixed"), bits)
+            yield b.filter(pa.array(shared.value.score(doc, idx, b.num_rows) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -31,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches, cut
+from bidspark.llm.common import batches, cut, split_by_ids
 from bidspark.llm.words import U, mix, ngrams, split
 
 WINDOW, GRAM, CROWD = 13, 5, 1000
-PLACES = 1 << 20  # places of the filter by document
 
 
 def anchors_of(h: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int = GRAM):
@@ -260,16 +259,13 @@ def _cover(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs with __kept (string), __n_words and __n_removed (long).
 
-    Texts go to their runs only where a filter of PLACES places (a bounded broadcast) says that there may be some.
+    Texts go to their runs only where a filter of bounded size says that there may be some.
     """
     spans = cut(repeated_windows(docs))
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(PLACES))
-    places = cut(spans.select(place("doc").alias("__place")).distinct())
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = f"{kind}, __kept string, __n_words long, __n_removed long"
-    marked = docs.withColumn("__place", place("doc_id"))
-    plain = marked.join(F.broadcast(places), "__place", "left_anti").drop("__place").withColumn("__runs", F.lit(None).cast("array<long>"))
+    plain, some = split_by_ids(docs, spans, "doc_id", "doc")
+    plain = plain.withColumn("__runs", F.lit(None).cast("array<long>"))
     lists = spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("pos").alias("__runs"))
-    some = marked.join(F.broadcast(places), "__place", "left_semi").drop("__place")
     some = some.join(lists, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
     return plain.unionByName(some).mapInArrow(_cover, out)
