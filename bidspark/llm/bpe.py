@@ -32,7 +32,7 @@ WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: Fixed pattern of the tokenizer file.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 #: Words that a task remembers between batches.
-MEMORY = 400_000
+MEMORY = 120_000
 
 
 class Bpe:
@@ -190,7 +190,7 @@ def load(path: str) -> Bpe:
 
 def _digest(path: str, it: Iterator[pa.RecordBatch], emit_ids: bool) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
-    for batch in batches(it, "text", 8 << 20):
+    for batch in batches(it, "text", 3 << 20):
         w = split(batch.column(1))
         distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         raw = w.data.tobytes()
@@ -218,6 +218,7 @@ def _digest(path: str, it: Iterator[pa.RecordBatch], emit_ids: bool) -> Iterator
             yield pa.record_batch([batch.column(0), pa.array(all_ids, pa.list_(pa.int32()))], names=["id", "ids"])
         else:
             yield pa.record_batch([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(sha_ids), pa.array(sha_text)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    bpe.forget()  # the worker lives on after the task
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
