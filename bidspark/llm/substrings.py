@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from bidspark.llm.common import batches, cut, split_by_ids
 from bidspark.llm.words import U, mix, ngrams, split
 
-WINDOW, GRAM, CROWD = 13, 5, 1000
+WINDOW, GRAM, CROWD, HOT = 13, 5, 1000, 1000
 
 
 def anchors_of(h: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int = GRAM):
@@ -170,7 +170,7 @@ def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     pos &= (1 << 36) - 1
                 first, n = w.ptr[row] + (pos >> 4), pos & 15
-                if m["nv"] <= CROWD:
+                if not m["crowded"]:
                     out.append((m["a"], ids[row], m["pos"], w.hash[first : first + n + WINDOW - 1].view(np.int64), m["lo"]))
                 else:
                     k = np.searchsorted(at, first)
@@ -201,14 +201,14 @@ def _streamed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["doc", "pos"])
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, crowd: int = CROWD, hot_share: int = HOT) -> DataFrame:
     """(doc, pos): runs of windows (first << 4 | number) that also start in a document with a smaller doc_id."""
     ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     repeats = not ids.isEmpty()
     seen = _occurrences(docs, repeats).groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
     known = cut(seen.where("lo < hi").select("a", "lo", "n"))
     # at most 10,000 anchors can have more than a ten-thousandth of all occurrences
-    share = (known.agg(F.sum("n")).first()[0] or 0) // 10_000 + 1000
+    share = (known.agg(F.sum("n")).first()[0] or 0) // 10_000 + hot_share
     hot = cut(known.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("k")))
     salted = _occurrences(docs, repeats).join(F.broadcast(hot), "a", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
     sides = known.join(F.broadcast(hot), "a", "left").select("a", "lo", F.coalesce("k", F.lit(1)).alias("k"))
@@ -222,7 +222,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     heads = cut(rows.where("lead and k = 1").select("a", "doc", "pos", "lo").unionByName(tried.where("doc = first").select("a", "doc", "pos", "lo")))
     # anchors with different segments, some of them of later documents
     several = heads.groupBy("a").agg(F.count("*").alias("nv"), F.max("doc").alias("hi"), F.first("lo").alias("l")).where("nv > 1 and hi > l").select("a", "nv")
-    checked = heads.join(several, "a").groupBy("doc").agg(F.collect_list(F.struct("a", "nv", "pos", "lo")).alias("marks"))
+    checked = heads.join(several, "a").groupBy("doc").agg(F.collect_list(F.struct("a", (F.col("nv") > crowd).alias("crowded"), "pos", "lo")).alias("marks"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(checked, "doc")
     parts = cut(text.select("doc", "text", "marks").mapInArrow(_segments, "a long, doc long, pos long, words array<long>, lo long"))
     found = parts.where("words is not null").repartition("a").sortWithinPartitions("a", "doc").mapInArrow(_streamed, "doc long, pos long")
@@ -256,12 +256,12 @@ def _cover(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*b.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n), pa.array(n - left)], names=[*b.schema.names[:-1], "__kept", "__n_words", "__n_removed"])
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, crowd: int = CROWD, hot_share: int = HOT) -> DataFrame:
     """All rows and columns of docs with __kept (string), __n_words and __n_removed (long).
 
     Texts go to their runs only where a filter of bounded size says that there may be some.
     """
-    spans = cut(repeated_windows(docs))
+    spans = cut(repeated_windows(docs, crowd, hot_share))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = f"{kind}, __kept string, __n_words long, __n_removed long"
     plain, some = split_by_ids(docs, spans, "doc_id", "doc")
