@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,15 @@ from pyspark.sql import functions as F
 
 from bidspark.llm.common import chunk_cells, components, cut, forest, whole_groups
 
-CODES, EXPECTED, CHUNK = 40, 2.0, 512
+CODES, EXPECTED, CHUNK = 40, 1.5, 512
+
+
+def cap_height(dims: int, share: float) -> float:
+    """Inner product with a fixed direction that this share of random unit vectors reaches."""
+    s = np.linspace(0, 1, 400_002)[1:-1]
+    density = (1 - s**2) ** ((dims - 3) / 2)
+    tail = np.cumsum(density[::-1])[::-1]
+    return float(s[np.searchsorted(-tail / tail[0] / 2, -share)])
 
 
 class CapFilters:
@@ -48,8 +55,7 @@ class CapFilters:
             left, right = (c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(2) for c in lists)
             # the rotation is folded into the lists
             self.codes.append((turn[:, : self.half] @ left.T, turn[:, self.half :] @ right.T))
-        # a filter's inner product with a random unit vector is about normal with variance 1 / dims
-        self.threshold = NormalDist().inv_cdf(1 - min(0.5, expected / words**2)) / math.sqrt(self.dims)
+        self.threshold = cap_height(self.dims, min(0.5, expected / words**2))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters that each unit vector passes, sorted."""
