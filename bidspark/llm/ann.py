@@ -163,7 +163,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     few = poor.count()
     if few:
         g, p = max(1, -(-n // ROWS)), max(1, -(-few // QUERIES))
-        h, o = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(g)), F.pmod(F.xxhash64("v", F.lit(2)), F.lit(p))
+        h, o = (F.pmod(F.xxhash64("v", F.lit(s)), F.lit(m)).cast("int") for s, m in ((1, g), (2, p)))
         left = good.select("v", "e", h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("o"))
         right = poor.select("v", "e", o.alias("o"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("h"))
         cell = F.xxhash64("h", "o").alias("cell")
