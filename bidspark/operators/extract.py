@@ -38,7 +38,8 @@ def split_fragments(df: DataFrame, col: str, block_type: str = "block_type") ->
 def split_protected_sentences(c: Column) -> Column:
     """Sentences by . ! ?; points of decimals and of common abbreviations don't end one."""
     text = F.regexp_replace(T.blank_if_null(c), r"(\d)\.(\d)", "$1\u0001$2")
-    text = F.regexp_replace(text, r"(?i)\b(e\.g|i\.e|etc|vs|mr|mrs|ms|dr|no|inc|u\.s)\.", "$1\u0001")
+    text = F.regexp_replace(text, r"(?i)\b(e|i|u)\.(g|e|s)\.", "$1\u0001$2\u0001")
+    text = F.regexp_replace(text, r"(?i)\b(etc|vs|mr|mrs|ms|dr|no|inc)\.", "$1\u0001")
     parts = F.regexp_extract_all(text, F.lit(r"([^.!?]+[.!?]*)"), F.lit(1))
     return F.filter(F.transform(parts, lambda x: T.strip(F.replace(x, F.lit("\u0001"), F.lit(".")))), lambda x: x != "")
 
