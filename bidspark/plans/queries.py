@@ -11,6 +11,7 @@ from bidspark.functions import lexicons as L
 from bidspark.functions import text as T
 from bidspark.operators import chunks as C
 from bidspark.operators import extract as X
+from bidspark.operators import outline as O
 from bidspark.operators import relational as R
 from bidspark.operators import similarity as S
 from bidspark.operators import structure as St
@@ -350,3 +351,13 @@ def _structured(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("explode_structured_json", " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS document_order, text FROM (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''), ' ') AS text, i FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)) WHERE text <> ''")(lambda s, d: St.explode_structured_json(_structured(s, d)).select("doc_id", "document_order", "text"))
+query("outline_nodes")(lambda s, d: O.outline_nodes(_markdown(s, d).withColumnRenamed("normalized_markdown", "markdown")))
+query("prepare_outline_lines")(lambda s, d: O.prepare_outline_lines(_markdown(s, d).withColumnRenamed("normalized_markdown", "raw_text")).select("document_id", F.array_join("lines", "\n").alias("markdown")))
+
+
+@query("report_bundle", _SECTIONS + " SELECT 'Sections' AS report, count(*) AS n FROM a1 UNION ALL SELECT 'Appendices_Attachments', count(*) FROM a1 WHERE tree_kind <> 'MAIN'")
+def report_bundle(spark, sf):
+    """Sizes of two tables of a report over all documents."""
+    s = _assembled(spark, sf).withColumn("project_id", F.lit("all"))
+    named = files.report_bundle(s, s, s, s, s, s, "all")
+    return named["Sections"].select(F.lit("Sections").alias("report")).unionByName(named["Appendices_Attachments"].select(F.lit("Appendices_Attachments").alias("report"))).groupBy("report").agg(F.count("*").alias("n"))
