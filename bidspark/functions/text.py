@@ -234,7 +234,7 @@ def reference_level(ref: Column) -> Column:
 def is_upper_heading(c: Column, max_len: int = 140) -> Column:
     letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(c, r"[^\p{Lu}]", ""))
-    return (letters >= 6) & (F.length(c) <= max_len) & (upper / letters > 0.85)
+    return (letters >= 6) & (F.length(c) <= max_len) & (F.try_divide(upper, letters) > 0.85)
 
 
 def normalize_bullet(c: Column) -> Column:

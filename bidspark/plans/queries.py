@@ -145,7 +145,8 @@ _text("strip_inline_markdown", lambda c: T.strip_inline_markdown(F.concat(F.lit(
 _text("strip_tags", T.strip_tags, "regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')", "pages", "html", "page_id")
 _text("html_unescape", T.html_unescape, "replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')", "pages", "html", "page_id")
 _text("compact_text", T.compact_text, f"CASE WHEN length({STRIP('text')}) <= 700 THEN {STRIP('text')} ELSE regexp_replace(substring({STRIP('text')}, 1, 697), '\\s+$', '') || '...' END")
-_text("slug", lambda c: T.slug(F.substring(c, 1, 60)), "CASE WHEN regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') = '' THEN 'item' ELSE regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END")
+_SLUG = "regexp_replace(substring(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '')"
+_text("slug", T.slug, f"CASE WHEN {_SLUG} = '' THEN 'item' ELSE {_SLUG} END")
 _text("document_digest", lambda c: T.document_digest(F.lit("a.docx"), c), "'doc-' || substring(sha256('a.docx' || chr(10) || coalesce(text, '')), 1, 16)")
 _text("tokens_search", lambda c: F.array_join(F.array_sort(T.tokens_search(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in L.SEARCH_STOPWORDS)})))), ' ')")
 _text("normalized_requirement", T.build_normalized_requirement, f"regexp_replace({INLINE('text')}, '^\\(?[A-Za-z0-9.\\-]+\\)?\\s+', '')")
@@ -154,7 +155,8 @@ _text("strip_margin_line_numbers", T.strip_margin_line_numbers, "")
 _text("clean_companion_text", T.clean_companion_text, "")
 _text("tokens_link", lambda c: F.array_join(F.array_sort(T.tokens_link(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9/&\\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(repr(w) for w in L.LINK_STOPWORDS)})))), ' ')")
 _text("tokens_title", lambda c: F.array_join(F.array_sort(T.tokens_title(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(w) for w in L.TITLE_STOPWORDS)})))), ' ')")
-_text("is_upper_heading", lambda c: T.is_upper_heading(F.substring(c, 1, 100)), "coalesce(length(regexp_replace(substring(text, 1, 100), '[^\\p{L}]', '', 'g')) >= 6 AND length(regexp_replace(substring(text, 1, 100), '[^\\p{Lu}]', '', 'g')) / length(regexp_replace(substring(text, 1, 100), '[^\\p{L}]', '', 'g')) > 0.85, false)")
+_LETTERS = lambda p: f"length(regexp_replace(normalized_text, '[^\\p{{{p}}}]', '', 'g'))"
+query("is_upper_heading", f" SELECT document_id, document_order, {_LETTERS('L')} >= 6 AND length(normalized_text) <= 140 AND {_LETTERS('Lu')} / {_LETTERS('L')} > 0.85 AS value FROM b_blocks")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.is_upper_heading(F.col("normalized_text")).alias("value")))
 query("point_ids")(lambda s, d: B.chunks(s, d).select("vec_id", T.point_id(F.col("project_id"), F.col("filename"), F.col("chunk_index")).alias("point_uuid")))
 query("classify_text", f", {SENTENCES} SELECT document_id, sentence_index, {_case('sentence', L.TRIGGER_KEYWORDS)} AS keyword, {_case('sentence', L.SUBMISSION_CATEGORIES)} AS category, {_case('sentence', L.MODALITIES, chr(39) + 'informational' + chr(39))} AS modality, {_case('sentence', L.ACTORS)} AS actor FROM s_raw")(lambda s, d: X.split_sentences(B.sections(s, d), "body_text").select("document_id", "sentence_index", T.classify_export_keyword(F.col("sentence")).alias("keyword"), T.classify_submission(F.col("sentence")).alias("category"), T.detect_modality(F.col("sentence")).alias("modality"), T.detect_actor(F.col("sentence")).alias("actor")))
 query("filename_rules", f" SELECT id, CASE WHEN {' OR '.join(f'contains(lower(filename), {chr(39)}{t}{chr(39)})' for t in L.POSITIVE_FILENAMES)} THEN 5 ELSE 0 END - CASE WHEN {' OR '.join(f'contains(lower(filename), {chr(39)}{t}{chr(39)})' for t in L.NEGATIVE_FILENAMES)} THEN 8 ELSE 0 END AS weight, {' OR '.join(f'regexp_matches(filename, {chr(39)}(?i){p}{chr(39)})' for p in L.NOISY_FILENAMES)} AS noisy FROM b_documents")(lambda s, d: B.documents(s, d).select("id", T.filename_weight(F.col("filename")).alias("weight"), T.is_noisy_doc(F.col("filename")).alias("noisy")))
@@ -243,7 +245,7 @@ query("hierarchy_rows")(lambda s, d: St.hierarchy_rows(_assembled(s, d)))
 query("objects_with_context")(lambda s, d: St.objects_with_context(_with_objects(s, d)).select("document_id", "document_order", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"), "preceding_heading.section_number"))
 query("align_objects")(lambda s, d: _aligned(s, d))
 query("unplaced_objects")(lambda s, d: St.unplaced_objects(_aligned(s, d)))
-query("heading_anchors")(lambda s, d: St.heading_anchors(_assembled(s, d).where("section_order is not null").select("document_id", "section_order", "section_number", "section_title"), _heads(s, d).where("document_order % 2 = 0")).select("document_id", "section_order", "start_order", "end_order"))
+query("heading_anchors")(lambda s, d: St.heading_anchors(_assembled(s, d).where("section_order is not null").select("document_id", "section_order", "section_number", "section_title"), _heads(s, d)).select("document_id", "section_order", "start_order", "end_order"))
 query("merged_outline_nodes")(lambda s, d: St.merged_outline_nodes(_assembled(s, d).where("section_number is not null"), B.blocks(s, d)))
 query("resolve_section_number", " SELECT DISTINCT document_id, numbering_token || '.9' AS ref, numbering_token AS resolved FROM b_blocks WHERE block_type <> 'paragraph'")(lambda s, d: St.resolve_section_number(_heads(s, d).select("document_id", F.concat("numbering_token", F.lit(".9")).alias("ref")).distinct(), _assembled(s, d).where("section_number is not null")))
 
@@ -253,7 +255,7 @@ def _with_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
-    anchors = St.heading_anchors(_assembled(spark, sf).where("section_order is not null and section_order % 2 = 0").select("document_id", "section_order", "section_number", "section_title"), _heads(spark, sf))
+    anchors = St.heading_anchors(_assembled(spark, sf).where("section_order is not null").select("document_id", "section_order", "section_number", "section_title"), _heads(spark, sf))
     return St.align_objects(St.objects_with_context(_with_objects(spark, sf)), anchors)
 
 
@@ -287,12 +289,12 @@ query("refresh_index", ", touched AS (SELECT DISTINCT project_id, filename FROM
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return B.chunks(spark, sf).where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "project_id", F.col("vector").alias("query_vector"))
+    return B.chunks(spark, sf).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "project_id", F.col("vector").alias("query_vector"))
 
 
 _DOT = "list_sum(list_transform(list_zip(c.vector, q.vector), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 _NORM = "sqrt(list_sum(list_transform({0}, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE))))"
-_MATCHES = f", scored AS (SELECT q.vec_id AS query_id, c.project_id, c.point_id, c.filename, c.chunk_index, c.text, c.chunk_kind, {_DOT} / ({_NORM.format('c.vector')} * {_NORM.format('q.vector')}) AS score FROM b_chunks c JOIN b_chunks q ON c.project_id = q.project_id AND q.vec_id < 10), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM scored)"
+_MATCHES = f", scored AS (SELECT q.vec_id AS query_id, c.project_id, c.point_id, c.filename, c.chunk_index, c.text, c.chunk_kind, {_DOT} / ({_NORM.format('c.vector')} * {_NORM.format('q.vector')}) AS score FROM b_chunks c JOIN b_chunks q ON c.project_id = q.project_id AND q.vec_id % 20 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM scored)"
 query("retrieve", _MATCHES + " SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, score FROM ranked WHERE rank <= 5")(lambda s, d: C.retrieve(B.chunks(s, d), _asked(s, d)).select("query_id", "rank", "point_id", "score"))
 
 
