@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches
+from bidspark.llm.common import batches, small_batches
 from bidspark.llm.words import split
 
 #: White space as the tokenizer's pattern understands it.
@@ -223,7 +223,7 @@ def _digest(path: str, it: Iterator[pa.RecordBatch], emit_ids: bool) -> Iterator
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): token ids of each whole text."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(lambda it: _digest(path, it, True), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -244,7 +244,7 @@ def bpe_decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: st
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded in one pass."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return src.mapInArrow(lambda it: _digest(path, it, False), out).withColumnRenamed("id", id_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,7 +46,22 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """`df`, after lowering the session's Arrow batches to `rows`: texts are long, and each task holds a batch on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
+def release() -> None:
+    """Hand freed memory back: Python workers outlive their tasks, and an executor's memory is theirs too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def batches(it: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that `column` (strings) holds about `max_bytes`; one longer row stands alone."""
     for batch in it:
         if not batch.num_rows:
@@ -56,6 +73,7 @@ def batches(it: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20)
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
 
 
 def whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -81,6 +99,7 @@ def whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             rest.append(batch)
     if rest:
         yield pa.Table.from_batches(rest)
+    release()
 
 
 #: Places of a filter by id: what is broadcast is bounded by it, whatever the number of ids.

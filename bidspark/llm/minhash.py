@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches, chunk_cells, components, cut, forest, split_by_ids, whole_groups
+from bidspark.llm.common import batches, chunk_cells, components, cut, forest, small_batches, split_by_ids, whole_groups
 from bidspark.llm.words import U, Words, mix, ngrams, per_doc_counts, split
 
 SHINGLE, BANDS, ROWS, CHUNK = 5, 20, 4, 256
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             digest = [hashlib.sha256(x.as_buffer()).digest() if x.is_valid else b"" for x in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(digest), pa.array(np.bincount(doc, c, b.num_rows).astype(np.int64)), bins], names=["doc_id", "digest", "size", "buckets"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return src.mapInArrow(run, "doc_id long, digest binary, size long, buckets array<long>")
 
 

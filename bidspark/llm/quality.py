@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches
+from bidspark.llm.common import batches, small_batches
 from bidspark.llm.labelled import labelled_sample
 from bidspark.llm.words import U, Words, mix, ngrams, split
 
@@ -157,7 +157,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str
 
     sample = labelled_sample(docs, labels, label, learn, rows)
     kind = sample.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(featurise, f"id {kind}, y int, f array<int>").repartition(1).mapInArrow(learn_all, "w binary, r binary, bias double, a double, b double").collect()
+    got = small_batches(sample).mapInArrow(featurise, f"id {kind}, y int, f array<int>").repartition(1).mapInArrow(learn_all, "w binary, r binary, bias double, a double, b double").collect()
     if not got:
         return fit(np.zeros(0, np.int64), [], np.zeros(0, np.int32), bits)
     m = got[0]
@@ -174,7 +174,7 @@ def score_quality(docs: DataFrame, model: QualityModel, bits: int = BITS, id_col
             doc, idx = features(split(b.column(1), lower=True, kind="mixed"), bits)
             yield pa.record_batch([b.column(0), pa.array(m.score(doc, idx, b.num_rows))], names=["id", "score"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
@@ -188,4 +188,4 @@ def keep_quality(docs: DataFrame, model: QualityModel, least: float, bits: int =
             doc, idx = features(split(b.column(b.schema.get_field_index("text")), lower=True, kind="mixed"), bits)
             yield b.filter(pa.array(shared.value.score(doc, idx, b.num_rows) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

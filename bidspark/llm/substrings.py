@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches, cut, split_by_ids
+from bidspark.llm.common import batches, cut, small_batches, split_by_ids
 from bidspark.llm.words import U, mix, ngrams, split
 
 WINDOW, GRAM, CROWD, HOT = 13, 5, 1000, 1000
@@ -135,7 +135,7 @@ def _occurrences(docs: DataFrame, repeats: bool) -> DataFrame:
                 pos |= np.array([_tag(x) for x in b.column(1)], np.int64)[row]
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.asarray(b.column(0))[row]), pa.array(pos)], names=["a", "s", "doc", "pos"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "a long, s long, doc long, pos long")
+    return small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "a long, s long, doc long, pos long")
 
 
 def _firsts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

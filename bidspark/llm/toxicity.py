@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches
+from bidspark.llm.common import batches, small_batches
 from bidspark.llm.labelled import labelled_sample
 from bidspark.llm.words import U, Words, mix, ngrams, split
 
@@ -106,7 +106,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
 
     sample = labelled_sample(docs, labels, label, learn, rows)
     kind = sample.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(featurise, f"id {kind}, y int, f array<int>").repartition(1).mapInArrow(learn_all, "i binary, w binary, bias double").collect()
+    got = small_batches(sample).mapInArrow(featurise, f"id {kind}, y int, f array<int>").repartition(1).mapInArrow(learn_all, "i binary, w binary, bias double").collect()
     if not got:
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     return ToxicityModel(np.frombuffer(got[0]["i"], np.int32), np.frombuffer(got[0]["w"], np.float32), got[0]["bias"])
@@ -125,6 +125,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, bits: int = BITS, id_c
             s = np.bincount(doc, w[idx], b.num_rows) + m.bias
             yield pa.record_batch([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))], names=["id", "score"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
