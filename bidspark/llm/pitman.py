@@ -6,12 +6,19 @@ All these restaurants share one parent, whose customers are their tables; the pa
 word types (and one type for unknown words). A rare word's own probability comes from one more restaurant,
 over the rare words, with a uniform base.
 
+Below these, every word that occurs before another is a context of its own, whatever its count: the words behind one of
+the CONTEXTS words that are none of the DISHES sit in a restaurant of that word, whose parent is the rare words' one, and
+all words behind any other word in a restaurant of that word, whose parent is the shared one. These parents are fixed
+by then. So the counts of all word pairs enter; those of CONTEXTS x DISHES are seated above, the others here.
+
 Seating is sampled by Gibbs: in a sweep every dish of a restaurant gives up its tables and its customers are seated
 again one after another given all other tables and the parent's predictive probabilities (customers beyond
 the first 64 in blocks of a tenth, each block at one probability). After a burn-in the predictive probabilities
 of the remaining sweeps are averaged. Restaurants are dealt to tasks by context; what is broadcast is
 bounded by CONTEXTS x DISHES, and by KNOWN words for lookups. Counts of all words, and those of words outside
-that list, stay in Spark: rare words of the documents are joined with the counts.
+that list, stay in Spark: rare words of the documents are joined with the counts. The pairs of all documents are dealt to
+buckets once, packed; a bucket holds whole contexts, and the CONTEXTS words' pairs by a hash of both words, whose sums of
+tables (CONTEXTS numbers a sweep) the driver passes on. A bucket counts the pairs of the documents learnt from and scores those of all.
 
 Tokens: words `[^\\x20\\t-\\r]+` with A-Z lower-cased, then one end token. Null and empty texts have that one
 token. Repeated rows get equal scores, each its own row; other columns aren't looked at. Without training
@@ -20,12 +27,16 @@ rows all scores are 0.
 
 from __future__ import annotations
 
+import gc
+import os
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidspark.llm.common import batches, cut, small_batches, whole_groups
@@ -34,6 +45,8 @@ from bidspark.llm.words import Words, split
 CONTEXTS, DISHES, KNOWN = 512, 2048, 1 << 17
 SWEEPS, BURN_IN, STRENGTH = 6, 2, 1.0
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BUCKET, HELD = 1 << 20, 1 << 20  # tokens for each bucket; pairs a task holds
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,6 +264,182 @@ def train(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, known
     return Model(h[order], order.astype(np.int64), np.log10(c + 0.1)[order], own[order], pair, dishes, contexts, unseen, n, v), rare
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _pack(u: np.ndarray, k: np.ndarray, doc: np.ndarray, m: np.ndarray) -> bytes:
+    """Pairs sorted by u and k: the steps of both, and the other columns, byte by byte of all rows."""
+    step = np.diff(u, prepend=np.uint64(0))
+    near = np.where(step == 0, np.diff(k, prepend=np.uint64(0)), k)
+    return zlib.compress(b"".join(map(_planes, (step, near, doc.astype(np.uint32), m.astype(np.uint32)))), 6)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    n = len(raw) // 24
+    take = lambda lo, width, kind: np.ascontiguousarray(raw[lo * n : (lo + width) * n].reshape(width, n).T).view(kind).ravel()
+    step, near = take(0, 8, np.uint64), take(8, 8, np.uint64)
+    total = np.cumsum(near, dtype=np.uint64)
+    first = np.flatnonzero((step != 0) | (np.arange(n) == 0))
+    k = total - np.repeat(total[first] - near[first], np.diff(np.append(first, n)))
+    return np.cumsum(step, dtype=np.uint64), k, take(16, 4, np.uint32), take(20, 4, np.uint32)
+
+
+def _dealt(u: np.ndarray, k: np.ndarray, doc: np.ndarray, learn: np.ndarray, m: Model, buckets: int) -> Iterator[tuple]:
+    """(bucket, learn, far, blob) of pairs of word ids (rank, or hash of a word that is not known), each with its document."""
+    own = u < m.contexts
+    mixed = (np.where(own, u * MIX ^ k, u) + np.uint64(1)) * MIX
+    place = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) * 2 + learn
+    order = np.lexsort((doc, k, u, place))
+    u, k, doc, place = u[order], k[order], doc[order], place[order]
+    new = np.append(True, (u[1:] != u[:-1]) | (k[1:] != k[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(u)))
+    u, k, doc, place = u[at], k[at], doc[at], place[at]
+    edge = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        far = np.unique(k[a:b][k[a:b] >= len(m.known)])
+        yield int(place[a]) // 2, bool(place[a] % 2), far.view(np.int64), _pack(u[a:b], k[a:b], doc[a:b], times[a:b])
+
+
+@dataclass
+class Bucket:
+    """Pairs (u, k) of one bucket in order; who, cell and m are the documents' pairs."""
+
+    u: np.ndarray
+    context: np.ndarray  # index of u among the bucket's contexts
+    c: np.ndarray  # customers
+    p: np.ndarray  # the parent's probability
+    own: np.ndarray  # whether u is one of the CONTEXTS words
+    who: np.ndarray
+    cell: np.ndarray
+    m: np.ndarray
+
+
+def _bucket(t: pa.Table, m: Model) -> Bucket:
+    got, far, far_own = [], [], []
+    for r in t.select(["uid", "learn", "blob", "hs", "owns"]).to_batches():
+        for uid, learn, blob, hs, owns in zip(*r.columns, strict=True):
+            if blob.is_valid:
+                u, k, doc, times = _unpack(blob.as_py())
+                got.append((u, k, doc.astype(np.int64) + uid.as_py(), times.astype(np.int64), np.full(len(u), learn.as_py())))
+            else:
+                far.append(np.asarray(hs.values).view(np.uint64))
+                far_own.append(np.asarray(owns.values))
+    u, k, who, times, learn = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((k, u))
+    u, k, who, times, learn = u[order], k[order], who[order], times[order], learn[order]
+    new = np.append(True, (u[1:] != u[:-1]) | (k[1:] != k[:-1]))
+    cell, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    u, k = u[at], k[at]
+    c = np.bincount(cell, times * learn).astype(np.int64)
+    listed = k < len(m.known)
+    rank = np.where(listed, k, 0).astype(np.int64)
+    dish = np.where(listed, np.minimum(rank, m.dishes), m.dishes)
+    by_rank = np.empty(len(m.known))
+    by_rank[m.rank] = m.own
+    p = np.where(listed, by_rank[rank], m.unseen)
+    if far:
+        h, o = np.concatenate(far), np.concatenate(far_own)
+        order = np.argsort(h)
+        h, o = h[order], o[order]
+        at = np.minimum(np.searchsorted(h, k), len(h) - 1)
+        p = np.where(~listed & (h[at] == k), o[at], p)
+    own = u < m.contexts
+    p = 10 ** (np.where(dish == m.dishes, p, 0.0) + np.where(own, 0.0, m.pair[m.contexts, dish]))
+    context = np.cumsum(np.append(True, u[1:] != u[:-1])) - 1
+    return Bucket(u, context, c, p, own, who, cell, times)
+
+
+def _seats(b: Bucket, tables: np.ndarray, d: float, seed: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of each cell and of each cell's context, averaged; tables: those of the CONTEXTS words before each sweep and after the last."""
+    t = np.minimum(b.c, 1)
+    own, rest = (np.flatnonzero((b.c > 1) & x) for x in (b.own, ~b.own))
+    mean, sums = np.zeros(len(t)), np.zeros(len(t))
+    for turn in range(SWEEPS):
+        near = np.bincount(b.context, t)[b.context]
+        at = b.u[own].astype(np.int64)
+        t_own = seat(b.c[own], b.p[own], tables[turn][at] - t[own], d, STRENGTH, np.random.default_rng([seed, turn, bucket, 0]))
+        t[rest] = seat(b.c[rest], b.p[rest], near[rest] - t[rest], d, STRENGTH, np.random.default_rng([seed, turn, bucket, 1]))
+        t[own] = t_own
+        if turn >= BURN_IN:
+            mean += t
+            after = np.bincount(b.context, t)[b.context]
+            after[b.own] = tables[turn + 1][b.u[b.own].astype(np.int64)]
+            sums += after
+    return mean / (SWEEPS - BURN_IN), sums / (SWEEPS - BURN_IN)
+
+
+def _forget(spark: SparkSession) -> None:
+    """Shuffle files of steps that have ended go from the disks once the driver's garbage is collected."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def _gains(blobs: DataFrame, rare: DataFrame, model: Model, shared, seed: int) -> DataFrame:
+    """(uid, gain): log10 of what the words' own restaurants make of the probabilities above, summed over each document's pairs."""
+    far = blobs.select("bucket", F.explode("far").alias("h")).distinct().join(rare.select("h", "own"), "h")
+    lists = far.groupBy("bucket").agg(F.collect_list(F.struct("h", "own")).alias("x")).select("bucket", F.col("x.h").alias("hs"), F.col("x.own").alias("owns"))
+    both = blobs.select("bucket", "uid", "learn", "blob").unionByName(cut(lists), allowMissingColumns=True)
+    _forget(blobs.sparkSession)
+    whole = lambda: both.repartition("bucket").sortWithinPartitions("bucket")
+    contexts = model.contexts
+
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(it, "bucket"):
+            for key in np.unique(np.asarray(t["bucket"])).tolist():
+                b = _bucket(t.filter(pc.equal(t["bucket"], key)), shared.value)
+                on = b.own & (b.c > 0)
+                at = b.u[on].astype(np.int64)
+                n, cells = np.bincount(at, b.c[on], contexts).astype(np.int64), np.bincount(at, minlength=contexts)
+                live = b.own & (b.c > 1)
+                lists = [pa.array([x], pa.list_(y)) for x, y in ((n, pa.int64()), (cells, pa.int64()), (b.u[live].astype(np.int64), pa.int64()), (b.c[live], pa.int64()), (b.p[live], pa.float64()), (np.ones(live.sum(), np.int64), pa.int64()))]
+                yield pa.record_batch([pa.array([key]), pa.array([int((b.c == 1).sum())]), pa.array([int((b.c == 2).sum())]), *lists], names=["bucket", "n1", "n2", "n", "tables", "u", "c", "p", "t"])
+
+    state = cut(whole().mapInArrow(first, "bucket long, n1 long, n2 long, n array<long>, tables array<long>, u array<long>, c array<long>, p array<double>, t array<long>"))
+
+    def total(col: str) -> np.ndarray:
+        out = np.zeros(contexts, np.int64)
+        for r in state.select(F.posexplode(col).alias("u", "x")).groupBy("u").agg(F.sum("x").alias("x")).collect():  # CONTEXTS rows
+            out[r["u"]] = r["x"]
+        return out
+
+    s = state.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    d, n, tables = discount(s["n1"] or 0, s["n2"] or 0), total("n"), [total("tables")]
+
+    def sweep(before: np.ndarray, turn: int):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                for key, *cols in zip(*(batch.column(batch.schema.get_field_index(x)) for x in ("bucket", "u", "c", "p", "t")), strict=True):
+                    u, c, p, t = (np.asarray(x.values) for x in cols)
+                    new = seat(c, p, before[u] - t, d, STRENGTH, np.random.default_rng([seed, turn, key.as_py(), 0]))
+                    # what changes in the sums of tables
+                    step = np.bincount(u, new - t, contexts).astype(np.int64)
+                    yield pa.record_batch([pa.array([key.as_py()]), *(pa.array([x], y.type) for x, y in zip((step, u, c, p, new), (cols[0], cols[0], cols[1], cols[2], cols[3]), strict=True))], names=["bucket", "tables", "u", "c", "p", "t"])
+
+        return run
+
+    for turn in range(SWEEPS):
+        state = cut(state.select("bucket", "u", "c", "p", "t").mapInArrow(sweep(tables[-1], turn), "bucket long, tables array<long>, u array<long>, c array<long>, p array<double>, t array<long>"))
+        tables.append(tables[-1] + total("tables"))
+
+    def last(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(it, "bucket"):
+            for key in np.unique(np.asarray(t["bucket"])).tolist():
+                b = _bucket(t.filter(pc.equal(t["bucket"], key)), shared.value)
+                mean, sums = _seats(b, tables, d, seed, key)
+                size = np.bincount(b.context, b.c)[b.context]
+                size[b.own] = n[b.u[b.own].astype(np.int64)]
+                gain = np.log10((np.maximum(b.c - d * mean, 0) / b.p + STRENGTH + d * sums) / (STRENGTH + size))
+                who, at = np.unique(b.who, return_inverse=True)
+                yield pa.record_batch([pa.array(who), pa.array(np.bincount(at, gain[b.cell] * b.m))], names=["uid", "gain"])
+
+    _forget(blobs.sparkSession)
+    return whole().mapInArrow(last, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain"))
+
+
 def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; the others are learnt from."""
     learn = docs.where(~held_out)
@@ -259,8 +448,22 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
     floor = float(np.log10(n + 0.1 * (v + 1)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    buckets = max(64, n // BUCKET)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        start, held, kept, row = int.from_bytes(os.urandom(5)) << 23, [], 0, 0
+        schema = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                cols = list(zip(*_dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), m, buckets), strict=True))
+                count = len(cols[0])
+                none = {f.name: pa.nulls(count, f.type) for f in schema}
+                given = {"uid": pa.array([start] * count), "bucket": pa.array(cols[0], pa.int64()), "learn": pa.array(cols[1]), "far": pa.array(cols[2], pa.list_(pa.int64())), "blob": pa.array(cols[3], pa.binary())}
+                yield pa.record_batch(list((none | given).values()), schema=schema)
+
         for b in batches(it, "text"):
             h, doc, before = tokens(split(b.column(1), lower=True))
             rows = b.num_rows
@@ -268,6 +471,11 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
             k = np.where(hit, np.minimum(m.rank[at], m.dishes), m.dishes)
             u = np.minimum(np.append(0, k[:-1]), m.contexts)
             lm = m.pair[u, k] + np.where(hit & (k == m.dishes), m.own[at], 0.0)
+            word_id = np.where(hit, m.rank[at].astype(np.uint64), h)
+            before_id = np.append(np.uint64(0), word_id[:-1])  # rank 0 is the end token
+            deep = (u == m.contexts) | (k == m.dishes)
+            learns = np.asarray(b.column(2)).astype(bool)
+            held.append((before_id[deep], word_id[deep], row + doc[deep].astype(np.int64), learns[doc[deep]]))
             other, word = doc[~hit], h[~hit]
             order = np.lexsort((word, other))
             other, word = other[order], word[order]
@@ -276,21 +484,32 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
             times = np.diff(np.append(first, len(other)))
             ptr = np.searchsorted(other[first], np.arange(rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ptr), pa.array(x)) for x in (word[first].view(np.int64), times.astype(np.int32))]
-            uid = pa.array(np.frombuffer(np.random.default_rng().bytes(8 * rows), np.int64))
-            yield pa.record_batch([uid, b.column(0), pa.array(np.bincount(doc, minlength=rows)), pa.array(np.bincount(doc, hit, rows).astype(np.int64)), pa.array(np.bincount(doc, np.where(hit, m.base[at], 0.0), rows)), pa.array(np.bincount(doc, lm, rows)), *lists], names=["uid", "doc_id", "n_tokens", "known", "base", "lm", "words", "times"])
+            uid = pa.array(start + row + np.arange(rows))
+            cols = [uid, b.column(0), pa.array(np.bincount(doc, minlength=rows)), pa.array(np.bincount(doc, hit, rows).astype(np.int64)), pa.array(np.bincount(doc, np.where(hit, m.base[at], 0.0), rows)), pa.array(np.bincount(doc, lm, rows)), *lists]
+            empty = [pa.nulls(rows, x) for x in (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary())]
+            out = pa.record_batch([*cols, *empty], names=["uid", "doc_id", "n_tokens", "known", "base", "lm", "words", "times", "bucket", "learn", "far", "blob"])
+            schema = out.schema
+            yield out
+            kept, row = kept + int(deep.sum()), row + rows
+            if kept > HELD or row > 1 << 22:
+                yield from flush()
+                start, held, kept, row = int.from_bytes(os.urandom(5)) << 23, [], 0, 0
+        yield from flush()
 
     if model is None:
         spaced = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\t-\r]+")), F.lit(0)) + 1
         zero = F.lit(0).cast("long")
         return docs.select("doc_id", held_out.alias("held_out"), spaced.cast("long").alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = cut(docs.select("doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, known long, base double, lm double, words array<long>, times array<int>"))
+    learns = F.coalesce(~held_out, F.lit(False)).alias("learns")
+    made = cut(docs.select("doc_id", "text", learns).mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, known long, base double, lm double, words array<long>, times array<int>, bucket long, learn boolean, far array<long>, blob binary"))
+    parts = made.where("bucket is null")
+    gains = _gains(made.where("bucket is not null"), rare, model, shared, 3)
     rest = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("h"), F.col("x.times").alias("m"))
     met = rest.join(rare, "h", "left").select("uid", "m", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", F.lit(model.unseen)).alias("own"))
     sums = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k2"), F.sum(F.col("m") * F.log10(F.col("c") + 0.1)).alias("b2"), F.sum(F.col("m") * F.col("own")).alias("l2"))
-    both = parts.select("uid", "doc_id", "n_tokens", "known", "base", "lm").join(sums, "uid", "left")
+    both = parts.select("uid", "doc_id", "n_tokens", "known", "base", "lm").join(sums, "uid", "left").join(gains, "uid", "left")
     none, zero = F.lit(0.0), F.lit(0).cast("long")
     return both.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("k2", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b2", none) - F.col("n_tokens") * floor).alias("base_score"), (F.col("lm") + F.coalesce("l2", none)).alias("score"),
+        (F.col("base") + F.coalesce("b2", none) - F.col("n_tokens") * floor).alias("base_score"), (F.col("lm") + F.coalesce("l2", none) + F.coalesce("gain", none)).alias("score"),
     )

@@ -226,3 +226,23 @@ def test_language_model(spark, odd):
     assert abs(own - 1) < 1e-6  # the rare words and the unknown one
     assert {r.score for r in score(docs, F.lit(True)).collect()} == {0.0}
     assert score(table(spark, []), F.lit(False)).count() == 0
+
+
+def test_language_model_rare_pairs(spark):
+    """Pairs of words outside both lists of frequent words count: a text of the pairs learnt beats the same words dealt anew."""
+    from bidspark.llm.pitman import score
+
+    common = " ".join(f"c{i % 20}" for i in range(400))
+    rows = [(i, f"{common} " + " ".join(f"a{j} b{j}" for j in range(i % 3, 30, 3)) + f" c1 x{i}") for i in range(60)]
+    rows += [(100, " ".join(f"a{j} b{j}" for j in range(30))), (101, " ".join(f"a{j} b{(j + 7) % 30}" for j in range(30))), (102, "c3 c4"), (102, "c3 c4"), (103, None)]
+    docs = table(spark, rows)
+    for known in (64, 16):  # known by rank, and by their hashes only
+        got = score(docs, F.col("doc_id") >= 100, contexts=4, dishes=8, known=known).collect()
+        assert len(got) == len(rows)
+        by = {r.doc_id: r.score for r in got}
+        assert by[100] > by[101] + 10
+        # of all words behind a5 the one that was learnt there is the likeliest, and far likelier than a new one
+        vocab = sorted({w for i, t in rows if i < 100 for w in t.split()})
+        ask = [(1000 + i, f"a5 {w}") for i, w in enumerate(vocab)] + [(2000, "a5 never"), (2001, "a5"), (2002, "")]
+        s = {r.doc_id: r.score for r in score(table(spark, rows[:60] + ask), F.col("doc_id") >= 100, contexts=4, dishes=8, known=known).collect()}
+        assert max(s[1000 + i] for i in range(len(vocab))) == s[1000 + vocab.index("b5")] > s[2000] + 1
