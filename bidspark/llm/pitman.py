@@ -457,7 +457,7 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
         schema = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
+            if kept:
                 cols = list(zip(*_dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), m, buckets), strict=True))
                 count = len(cols[0])
                 none = {f.name: pa.nulls(count, f.type) for f in schema}
