@@ -9,8 +9,9 @@ Vectors that pass the same filter meet there, and each pair that meets is verifi
 precision.
 
 The lists grow with the square root of the number of vectors, so a filter holds as few of them whatever their
-number. Of pairs at cosine 0.9 about 1 in 1,000 shares no filter (measured on random pairs), of closer
-ones far fewer. A pair is counted only in the first filter that its two vectors share, so no pairs are
+number. A pair at a given cosine meets in one code with a chance that falls as the lists grow; it is measured on random
+pairs at the least cosine, for the given length and lists, and so many codes are drawn (CODES or more) that at most about
+MISSED of such pairs share no filter, of closer ones far fewer. A pair is counted only in the first filter that its two vectors share, so no pairs are
 gathered to be made distinct. Filters with many vectors are cut into chunks that meet pair by pair of chunks:
 no task holds a whole filter. Equal vectors are one row with a multiplicity.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from bidspark.llm.common import chunk_cells, components, cut, forest, whole_groups
 
-CODES, EXPECTED, CHUNK = 40, 1.5, 512
+CODES, EXPECTED, CHUNK, MISSED = 40, 1.5, 512, 1e-3
 
 
 def cap_height(dims: int, share: float) -> float:
@@ -78,6 +79,19 @@ def words_for(n: int) -> int:
     return int(min(4096, max(16, round(2 * math.sqrt(max(n, 1))))))
 
 
+def codes_for(dims: int, words: int, least: float, missed: float = MISSED, pairs: int = 512, tried: int = 16) -> int:
+    """Codes after which at most `missed` of pairs at cosine `least` share no filter, by a cautious estimate of one code's chance."""
+    code, rng, dims = CapFilters(dims, words, tried, seed=6), np.random.default_rng(7), max(dims, 2)
+    x, z = (rng.standard_normal((pairs, dims)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    each = [row * (tried * words**2) + key for row, key in map(code.decode, (x, least * x + math.sqrt(max(0.0, 1 - least**2)) * z))]
+    share = len(np.unique(np.intersect1d(*each) // words**2)) / (pairs * tried)
+    low = max(share - 2 * math.sqrt(share * (1 - share) / (pairs * tried)), 1e-4)
+    return max(CODES, math.ceil(math.log(missed) / math.log(1 - low))) if low < 1 else CODES
+
+
 def usable(col: str, dims: int | None = None) -> F.Column:
     """Whether a vector takes part: not null, finite, not zero and, if given, of the length `dims`."""
     c = F.col(col)
@@ -101,7 +115,10 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "
     members = cut(marked.join(same, "digest", "left").select("v", "c", "n"))
     lead = members.where("v = c").groupBy("c").agg(F.max("n").alias("n"))
     distinct = rows.where(good).join(lead, F.col("v") == F.col("c")).select("c", "n", "e").dropDuplicates(["c"])
-    code = CapFilters(dims, words_for(n))
+    words = words_for(n)
+    while (codes := codes_for(dims, words, least)) * words**2 > np.iinfo(np.int32).max and words > 16:
+        words //= 2  # filters are numbered in 32 bits; shorter lists only make fuller filters
+    code = CapFilters(dims, words, codes)
 
     def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
