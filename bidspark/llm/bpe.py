@@ -32,7 +32,7 @@ WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: Fixed pattern of the tokenizer file.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 #: Words that a task remembers between batches.
-MEMORY = 120_000
+MEMORY = 60_000
 
 
 class Bpe:
@@ -157,26 +157,43 @@ class Bpe:
         self.flat = np.zeros(0, "<u4")
         self.ptr = np.zeros(1, np.int64)
         self.strings = np.zeros(0, object)
+        self.words = np.zeros(0, object)
 
-    def recall(self, hashes: np.ndarray, word_bytes) -> np.ndarray:
-        """Slots of distinct words; those not met before are encoded now. The memory holds MEMORY words and a batch's."""
+    def add(self, words: list[str]) -> np.ndarray:
+        """Encode words; the slots that they get."""
+        flat, ptr = self.encode_words(words)
+        names = list(map(self.names.__getitem__, flat.tolist()))
+        edge = ptr.tolist()
+        strings = np.empty(len(edge) - 1, object)
+        strings[:] = [" ".join(names[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+        slots = np.arange(len(strings)) + len(self.strings)
+        self.ptr = np.append(self.ptr, ptr[1:] + len(self.flat))
+        self.flat = np.append(self.flat, flat.astype("<u4"))
+        self.strings = np.append(self.strings, strings)
+        spelled = np.empty(len(words), object)
+        spelled[:] = words
+        self.words = np.append(self.words, spelled)
+        return slots
+
+    def recall(self, hashes: np.ndarray, spelled) -> np.ndarray:
+        """Slots of distinct words, given as hashes and by `spelled` as strings, which are compared with those met
+        before; the others are encoded now. The memory holds MEMORY words and a batch's."""
         if len(self.met) > MEMORY:
             self.forget()
+        words = np.empty(len(hashes), object)
+        words[:] = spelled(np.arange(len(hashes)))
         at = np.minimum(np.searchsorted(self.met, hashes), max(len(self.met) - 1, 0))
-        new = self.met[at] != hashes if len(self.met) else np.ones(len(hashes), bool)
+        out = self.slot[at] if len(self.met) else np.zeros(len(hashes), np.int64)
+        listed = self.met[at] == hashes if len(self.met) else np.zeros(len(hashes), bool)
+        new = ~listed
+        new[listed] = self.words[out[listed]] != words[listed]
         if new.any():
-            flat, ptr = self.encode_words(word_bytes(np.flatnonzero(new)))
-            names = list(map(self.names.__getitem__, flat.tolist()))
-            edge = ptr.tolist()
-            strings = np.empty(len(edge) - 1, object)
-            strings[:] = [" ".join(names[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
-            met, slot = np.append(self.met, hashes[new]), np.append(self.slot, np.arange(len(strings)) + len(self.strings))
+            out[new] = self.add(words[new].tolist())
+            fresh = new & ~listed
+            met, slot = np.append(self.met, hashes[fresh]), np.append(self.slot, out[fresh])
             order = np.argsort(met, kind="stable")
             self.met, self.slot = met[order], slot[order]
-            self.ptr = np.append(self.ptr, ptr[1:] + len(self.flat))
-            self.flat = np.append(self.flat, flat.astype("<u4"))
-            self.strings = np.append(self.strings, strings)
-        return self.slot[np.searchsorted(self.met, hashes)]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens' strings joined by spaces, as the tokenizer file has no decoder."""
@@ -190,16 +207,19 @@ def load(path: str) -> Bpe:
 
 def _digest(path: str, it: Iterator[pa.RecordBatch], emit_ids: bool) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
-    for batch in batches(it, "text", 3 << 20):
+    for batch in batches(it, "text"):
         w = split(batch.column(1))
         distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         raw = w.data.tobytes()
+        odd = np.flatnonzero(~w.alike(first[inverse]))  # words whose hash another word has
 
         def spelled(k: np.ndarray, w=w, raw=raw, first=first) -> list[str]:
             i = first[k]
             return [raw[a:b].decode() for a, b in zip(w.start[i].tolist(), w.end[i].tolist(), strict=True)]
 
         slots = bpe.recall(distinct, spelled)[inverse]
+        if len(odd):
+            slots[odd] = bpe.add([raw[a:b].decode() for a, b in zip(w.start[odd].tolist(), w.end[odd].tolist(), strict=True)])
         lens, lead = np.diff(bpe.ptr), bpe.ptr
         n_tokens, sha_ids, sha_text, all_ids = [], [], [], []
         for a, b in zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist(), strict=True):

@@ -17,7 +17,10 @@ bucket's smallest one first (a star, not all pairs), and classes that those link
 two chunks of the bucket. Whatever meets is verified by exact multiset overlap.
 
 Null and empty texts (no words) are near nothing, themselves included. Texts of fewer than five words have
-one shingle: all their words. Words are `[^\\x20\\t-\\r]+`, unchanged.
+one shingle: all their words. Words are `[^\\x20\\t-\\r]+`, unchanged; where texts are verified, words are compared by their
+bytes. A text of any length is one row of a batch of its own; texts that meet in a cell hold about MEET words in all. Of
+equal candidates the smallest doc_id stands for the class; rows that share a doc_id are told apart by their texts.
+Other columns aren't looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches, chunk_cells, components, cut, forest, small_batches, split_by_ids, whole_groups
-from bidspark.llm.words import U, Words, mix, ngrams, per_doc_counts, split
+from bidspark.llm.common import batches, chunk_cells, components, cut, discard, forest, free_names, small_batches, split_by_ids, whole_groups
+from bidspark.llm.words import U, Words, mix, ngrams, per_doc_counts, split, split_exact
 
-SHINGLE, BANDS, ROWS, CHUNK = 5, 20, 4, 256
+SHINGLE, BANDS, ROWS, CHUNK, MEET = 5, 20, 4, 256, 1 << 20
 
 
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,9 +145,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches(it, "ta", 1 << 20):
-            for b in batches(iter([big]), "tb", 1 << 20):
-                on = similarity(split(b.column(2)), split(b.column(3)), b.num_rows) >= least
+        for big in batches(it, "ta"):
+            for b in batches(iter([big]), "tb"):
+                n = b.num_rows
+                both = split_exact(pa.concat_arrays([b.column(2), b.column(3)]))
+                on = similarity(both.rows(0, n), both.rows(n, 2 * n), n) >= least
                 yield b.select(["a", "b"]).filter(pa.array(on))
 
     return both.mapInArrow(run, "a long, b long")
@@ -156,10 +161,9 @@ def _across(cells: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(it, "cell"):
-            for part in _runs(t.combine_chunks(), 2 << 20):
+            for part in _runs(t.combine_chunks(), 1 << 20):
                 cell, c, p = (np.asarray(part[x]) for x in ("cell", "c", "p"))
-                w = split(part["text"])
-                doc, h, n = shingles(w)
+                doc, h, n = shingles(split_exact(part["text"]))
                 total = np.bincount(doc, n, len(cell))
                 ptr = np.searchsorted(doc, np.arange(len(cell) + 1))
                 edge = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
@@ -215,47 +219,72 @@ def _overlaps(doc: np.ndarray, h: np.ndarray, n: np.ndarray, rows: int) -> np.nd
     return out
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, copies_of, class_id): near-duplicate class of each document, its smallest doc_id.
-
-    copies_of is the smallest doc_id with the very same text. Classes are the connected parts of the pairs
-    of similarity `least` or more that share a bucket. One row per input row; rows without a doc_id
-    get null ids. With bands of `rows` components each, a pair at 0.8 is missed with probability
-    (1 - 0.8**rows)**bands, 3 in 100,000 by default.
-    """
-    marked = cut(signatures(docs, bands, rows))
+def _classes(docs: DataFrame, least: float, bands: int, rows: int) -> DataFrame:
+    """(doc_id, digest, size, copies_of, class_id, part) of each row; digest: of its text; part: a number of the class, since two
+    classes have one class_id where two texts share a doc_id."""
+    made = cut(signatures(docs, bands, rows))
     own = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")
-    marked = marked.withColumn("digest", F.when(F.col("size") > 0, F.col("digest")).otherwise(own))
-    # equal texts: only digests and ids move
-    firsts = marked.groupBy("digest").agg(F.min("doc_id").alias("c"))
-    membership = cut(marked.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "c"))
-    lead = marked.where("size > 0").join(firsts.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("c")))
-    buckets = cut(lead.select("c", "size", F.explode("buckets").alias("bucket")).distinct())
+    marked = made.withColumn("digest", F.when(F.col("size") > 0, F.col("digest")).otherwise(own))
+    # equal texts: only digests and ids move; each distinct text is a node with a number of its own
+    firsts = marked.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumn("c", F.monotonically_increasing_id())
+    firsts = cut(firsts)
+    lead = marked.where("size > 0").join(firsts.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("first")))
+    buckets = cut(lead.select("c", "first", "digest", "size", F.explode("buckets").alias("bucket")).distinct())
     star = buckets.groupBy("bucket").agg(F.min("c").alias("a"), F.count("*").alias("n")).where("n > 1")
-    crowded = cut(buckets.join(star, "bucket").select("bucket", "c", "size", "a"))
+    crowded = cut(buckets.join(star, "bucket").select("bucket", "c", "first", "digest", "size", "a"))
     first_pairs = cut(crowded.where("a <> c").select("a", F.col("c").alias("b")).distinct())
-    some = cut(crowded.select("c").distinct())
-    text = docs.select(F.col("doc_id").cast("long").alias("c"), "text")
-    few = cut(text.join(some, "c", "left_semi"))  # texts that share a bucket with another
+    some = cut(crowded.select("c", "first", "digest").distinct())
+    discard(buckets)
+    # texts that share a bucket with another; the others stay where they lie
+    _, text = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("first"), "text"), some, "first", "first")
+    few = text.join(some, "first").where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("c", "text")
+    if not marked.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        few = few.dropDuplicates(["c"])
+    few = cut(few)
     links = cut(_verified(first_pairs, few, least))
     parts = components(links)
     # members of a bucket that these links leave apart meet again: only pairs across parts can still matter
     placed = crowded.join(parts, crowded.c == parts.node, "left").select("bucket", "c", "size", F.coalesce("component", "c").alias("p"))
     apart = placed.groupBy("bucket").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("bucket")
     placed = placed.join(apart, "bucket")
-    more = cut(_across(chunk_cells(placed, "bucket", "c", CHUNK), few, least))
-    parts = components(links.union(more))
-    return membership.join(parts, membership.c == parts.node, "left").select("doc_id", F.col("c").alias("copies_of"), F.coalesce("component", "c").alias("class_id"))
+    more = cut(_across(chunk_cells(placed, "bucket", "c", CHUNK, "size", MEET), few, least))
+    parts = cut(components(links.union(more)).join(firsts.select(F.col("c").alias("node"), "first"), "node"))
+    least_id = parts.groupBy("component").agg(F.min("first").alias("class_id"))
+    placed = (firsts.join(parts.join(least_id, "component").select(F.col("node").alias("c"), "component", "class_id"), "c", "left"))
+    placed = placed.select("digest", "first", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("component", "c").alias("part"))
+    out = cut(marked.select("doc_id", "digest", "size").join(placed, "digest").select("doc_id", "digest", "size", F.col("first").alias("copies_of"), "class_id", "part"))
+    discard(made, firsts, crowded, first_pairs, some, few, links, more, parts)
+    return out
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, copies_of, class_id): near-duplicate class of each document, its smallest doc_id.
+
+    copies_of is the smallest doc_id with the very same text. Classes are the connected parts of the pairs
+    of similarity `least` or more that share a bucket. One row per input row; rows without a doc_id
+    get the ids of equal texts, if there are any. With bands of `rows` components each, a pair at 0.8 is missed with
+    probability (1 - 0.8**rows)**bands, 3 in 100,000 by default.
+    """
+    return _classes(docs, least, bands, rows).select("doc_id", "copies_of", "class_id")
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of docs without near duplicates: of each class the row with the smallest doc_id (one, if it is repeated).
 
-    Rows without a doc_id or without words stay. Texts that belong to no class of two rows aren't moved.
+    Rows without a doc_id or without words stay. What goes is decided by doc_id and text together, so other texts
+    under a doc_id are safe. Rows whose ids belong to no class of two rows aren't moved.
     """
-    classes = cut(near_duplicates(docs, least).where("doc_id is not null"))
-    crowd = cut(classes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").join(classes, "class_id").select("class_id", "doc_id"))
+    classes = _classes(docs, least, BANDS, ROWS).where("doc_id is not null and size > 0").select("part", "doc_id", "digest")
+    sizes = classes.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest")).alias("kept"))
+    crowd = cut(sizes.where("n > 1").join(classes, "part").groupBy("doc_id", "digest").agg(F.count("*").alias("times"), F.first("kept").alias("kept")))
     alone, some = split_by_ids(docs, crowd, "doc_id", "doc_id")
-    gone = crowd.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    some = some.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return alone.unionByName(some.dropDuplicates(["doc_id", "text"]))
+    key, d = free_names(docs.columns, "__id", "__digest")
+    some = some.withColumn(d, F.unhex(F.sha2("text", 256)))
+    named = crowd.select(F.col("doc_id").alias(key), F.col("digest").alias("digest"), "times", (F.struct("doc_id", "digest") == F.col("kept")).alias("stays"))
+    same = lambda t: (F.col("doc_id").cast("long") == t[key]) & (F.col(d) == t["digest"])
+    gone, twice = named.where("not stays"), named.where("stays and times > 1")
+    left = some.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return alone.unionByName(left.drop(d))
+    again = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", d])
+    return alone.unionByName(left.join(twice, same(twice), "left_anti").drop(d)).unionByName(again.drop(d))

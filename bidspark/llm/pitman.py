@@ -28,7 +28,6 @@ rows all scores are 0.
 from __future__ import annotations
 
 import gc
-import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches, cut, small_batches, whole_groups
+from bidspark.llm.common import batches, cut, discard, small_batches, whole_groups
 from bidspark.llm.words import Words, split
 
 CONTEXTS, DISHES, KNOWN = 512, 2048, 1 << 17
@@ -66,17 +65,22 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def seat(c: np.ndarray, p0: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that the c customers of each dish sit at, given the tables of all other dishes of its restaurant."""
+    """Tables that the c customers of each dish sit at, given the tables of all other dishes of its restaurant.
+
+    Customers come one after another. Until the next table is opened the chance of one only falls, so those who surely open
+    none are passed over in one draw (thinning at the present chance): the law is that of single seating, whatever c.
+    """
     t = np.minimum(c, 1).astype(np.int64)
-    live, n, block = np.flatnonzero(c > 1), 1, 1
+    n, live = t.copy(), np.flatnonzero(c > 1)
     while len(live):
         new = (theta + d * (others[live] + t[live])) * p0[live]
-        share = new / (new + n - d * t[live])
-        k = np.minimum(block, c[live] - n)
-        t[live] += rng.binomial(k, np.clip(share, 0, 1)) if block > 1 else rng.random(len(live)) < share
-        n += block
-        block = 1 if n < 64 else max(1, n // 10)
-        live = live[c[live] > n]
+        top = new / (new + n[live] - d * t[live])
+        at = n[live] + rng.geometric(np.clip(top, 1e-12, 1.0)) - 1
+        on = at < c[live]
+        live, new, top, at = live[on], new[on], top[on], at[on]
+        t[live] += rng.random(len(live)) * top < new / (new + at - d * t[live])
+        n[live] = at + 1
+        live = live[n[live] < c[live]]
     return t
 
 
@@ -162,23 +166,25 @@ def _rare(counts: DataFrame, top: np.ndarray, v: int, seed: int) -> tuple[DataFr
     def sampler(tables: float, sweep: int):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                h, c = np.asarray(b.column(0)), np.asarray(b.column(1))
+                h, c, t, mean = (np.asarray(x) for x in b.columns)
                 rng = np.random.default_rng([seed, sweep, int(h[0]) & 0x7FFFFFFF, len(h)])
-                t = seat(c, np.full(len(c), base), np.full(len(c), tables - 1), d, STRENGTH, rng)
-                yield pa.record_batch([*b.columns, pa.array(t)], names=[*b.schema.names, f"t{sweep}"])
+                t = seat(c, np.full(len(c), base), tables - t, d, STRENGTH, rng)
+                yield pa.record_batch([*b.columns[:2], pa.array(t), pa.array(mean + t * (sweep >= BURN_IN))], names=["h", "c", "t", "mean"])
 
         return run
 
-    table = rare
-    for sweep in range(2):
-        kind = ", ".join(f"{x} long" for x in [*table.columns, f"t{sweep}"])
-        table = cut(table.mapInArrow(sampler(tables, sweep), kind))
-        tables = float(table.agg(F.sum(f"t{sweep}")).first()[0] or 0)
-        draws.append(tables)
+    table = cut(rare.select("h", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("mean")))
+    for sweep in range(BURN_IN + 2):
+        before, table = table, cut(table.mapInArrow(sampler(tables, sweep), "h long, c long, t long, mean long"))
+        discard(before)
+        tables = float(table.agg(F.sum("t")).first()[0] or 0)
+        draws += [tables] * (sweep >= BURN_IN)
     mean_t = sum(draws) / len(draws)
     rest = (STRENGTH + d * mean_t) / (STRENGTH + n) * base
-    p = (F.col("c") - d * (F.col("t0") + F.col("t1")) / 2) / (STRENGTH + n) + rest
-    return table.select("h", "c", F.log10(p).alias("own")), float(np.log10(rest))
+    p = (F.col("c") - d * F.col("mean") / 2) / (STRENGTH + n) + rest
+    out = cut(table.select("h", "c", F.log10(p).alias("own")))
+    discard(table)
+    return out, float(np.log10(rest))
 
 
 def _restaurants(cells: DataFrame, contexts: int, dishes: int, base: np.ndarray, seed: int) -> np.ndarray:
@@ -208,7 +214,8 @@ def _restaurants(cells: DataFrame, contexts: int, dishes: int, base: np.ndarray,
         return run
 
     for turn in range(SWEEPS):
-        state = cut(state.repartition("u").sortWithinPartitions("u", "k").mapInArrow(sweep(parent, turn), "u long, k long, c long, t long, mean double"))
+        before, state = state, cut(state.repartition("u").sortWithinPartitions("u", "k").mapInArrow(sweep(parent, turn), "u long, k long, c long, t long, mean double"))
+        discard(before)
         by_dish = state.groupBy("k").agg(F.sum("t").alias("t")).collect()  # at most DISHES + 1 rows
         customers = np.zeros(dishes + 1, np.int64)
         for row in by_dish:
@@ -223,6 +230,7 @@ def _restaurants(cells: DataFrame, contexts: int, dishes: int, base: np.ndarray,
             total += np.outer(weight, parent)
     flat = state.select("u", "k", "mean").toArrow()  # at most (CONTEXTS + 1) x (DISHES + 1) rows
     total[np.asarray(flat["u"]), np.asarray(flat["k"])] += np.asarray(flat["mean"])
+    discard(state)
     return np.log10(total / (SWEEPS - BURN_IN))
 
 
@@ -261,6 +269,7 @@ def train(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, known
     c = np.array([x for _, x in rows], np.float64)
     own = np.array([own_of.get(x, 0.0) for x, _ in rows])
     order = np.argsort(h)
+    discard(counts)
     return Model(h[order], order.astype(np.int64), np.log10(c + 0.1)[order], own[order], pair, dishes, contexts, unseen, n, v), rare
 
 
@@ -286,21 +295,38 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.cumsum(step, dtype=np.uint64), k, take(16, 4, np.uint32), take(20, 4, np.uint32)
 
 
-def _dealt(u: np.ndarray, k: np.ndarray, doc: np.ndarray, learn: np.ndarray, m: Model, buckets: int) -> Iterator[tuple]:
-    """(bucket, learn, far, blob) of pairs of word ids (rank, or hash of a word that is not known), each with its document."""
-    own = u < m.contexts
-    mixed = (np.where(own, u * MIX ^ k, u) + np.uint64(1)) * MIX
-    place = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) * 2 + learn
+def _place(u: np.ndarray, k: np.ndarray, contexts: int, buckets: tuple[int, int]) -> np.ndarray:
+    """Bucket of each pair: the CONTEXTS words' pairs by both words in the first buckets[0], others by context in the rest."""
+    own = u < contexts
+    mixed = (np.where(own, u * MIX ^ k, u) + np.uint64(1)) * MIX >> np.uint64(32)
+    return np.where(own, mixed % np.uint64(buckets[0]), mixed % np.uint64(buckets[1]) + np.uint64(buckets[0])).astype(np.int64)
+
+
+def _dealt(u: np.ndarray, k: np.ndarray, doc: np.ndarray, learn: np.ndarray, contexts: int, buckets: tuple[int, int]) -> Iterator[tuple]:
+    """(bucket, learn, blob) of pairs of word ids (rank, or hash of a word that is not known), each with its document."""
+    place = _place(u, k, contexts, buckets) * 2 + learn
     order = np.lexsort((doc, k, u, place))
     u, k, doc, place = u[order], k[order], doc[order], place[order]
-    new = np.append(True, (u[1:] != u[:-1]) | (k[1:] != k[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
+    new = np.append(True, (u[1:] != u[:-1]) | (k[1:] != k[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))[: len(u)]
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(u)))
     u, k, doc, place = u[at], k[at], doc[at], place[at]
-    edge = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
+    edge = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(u)]), len(place))
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        far = np.unique(k[a:b][k[a:b] >= len(m.known)])
-        yield int(place[a]) // 2, bool(place[a] % 2), far.view(np.int64), _pack(u[a:b], k[a:b], doc[a:b], times[a:b])
+        yield int(place[a]) // 2, bool(place[a] % 2), _pack(u[a:b], k[a:b], doc[a:b], times[a:b])
+
+
+def _far(u: np.ndarray, k: np.ndarray, m: Model, buckets: tuple[int, int]) -> Iterator[tuple]:
+    """(bucket, hashes): words of each bucket's pairs that are not known."""
+    on = k >= len(m.known)
+    place, k = _place(u[on], k[on], m.contexts, buckets), k[on]
+    order = np.lexsort((k, place))
+    place, k = place[order], k[order]
+    at = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (k[1:] != k[:-1]))[: len(k)])
+    place, k = place[at], k[at]
+    edge = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(k)]), len(k))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(place[a]), k[a:b].view(np.int64)
 
 
 @dataclass
@@ -311,7 +337,6 @@ class Bucket:
     context: np.ndarray  # index of u among the bucket's contexts
     c: np.ndarray  # customers
     p: np.ndarray  # the parent's probability
-    own: np.ndarray  # whether u is one of the CONTEXTS words
     who: np.ndarray
     cell: np.ndarray
     m: np.ndarray
@@ -349,25 +374,20 @@ def _bucket(t: pa.Table, m: Model) -> Bucket:
     own = u < m.contexts
     p = 10 ** (np.where(dish == m.dishes, p, 0.0) + np.where(own, 0.0, m.pair[m.contexts, dish]))
     context = np.cumsum(np.append(True, u[1:] != u[:-1])) - 1
-    return Bucket(u, context, c, p, own, who, cell, times)
+    return Bucket(u, context, c, p, who, cell, times)
 
 
-def _seats(b: Bucket, tables: np.ndarray, d: float, seed: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+def _seats(b: Bucket, tables: list[np.ndarray] | None, d: float, seed: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables of each cell and of each cell's context, averaged; tables: those of the CONTEXTS words before each sweep and after the last."""
     t = np.minimum(b.c, 1)
-    own, rest = (np.flatnonzero((b.c > 1) & x) for x in (b.own, ~b.own))
+    live = np.flatnonzero(b.c > 1)
     mean, sums = np.zeros(len(t)), np.zeros(len(t))
     for turn in range(SWEEPS):
-        near = np.bincount(b.context, t)[b.context]
-        at = b.u[own].astype(np.int64)
-        t_own = seat(b.c[own], b.p[own], tables[turn][at] - t[own], d, STRENGTH, np.random.default_rng([seed, turn, bucket, 0]))
-        t[rest] = seat(b.c[rest], b.p[rest], near[rest] - t[rest], d, STRENGTH, np.random.default_rng([seed, turn, bucket, 1]))
-        t[own] = t_own
+        near = (np.bincount(b.context, t)[b.context] if tables is None else tables[turn][b.u.astype(np.int64)])[live]
+        t[live] = seat(b.c[live], b.p[live], near - t[live], d, STRENGTH, np.random.default_rng([seed, turn, bucket, 0]))
         if turn >= BURN_IN:
             mean += t
-            after = np.bincount(b.context, t)[b.context]
-            after[b.own] = tables[turn + 1][b.u[b.own].astype(np.int64)]
-            sums += after
+            sums += np.bincount(b.context, t)[b.context] if tables is None else tables[turn + 1][b.u.astype(np.int64)]
     return mean / (SWEEPS - BURN_IN), sums / (SWEEPS - BURN_IN)
 
 
@@ -378,27 +398,30 @@ def _forget(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def _gains(blobs: DataFrame, rare: DataFrame, model: Model, shared, seed: int) -> DataFrame:
-    """(uid, gain): log10 of what the words' own restaurants make of the probabilities above, summed over each document's pairs."""
-    far = blobs.select("bucket", F.explode("far").alias("h")).distinct().join(rare.select("h", "own"), "h")
-    lists = far.groupBy("bucket").agg(F.collect_list(F.struct("h", "own")).alias("x")).select("bucket", F.col("x.h").alias("hs"), F.col("x.own").alias("owns"))
-    both = blobs.select("bucket", "uid", "learn", "blob").unionByName(cut(lists), allowMissingColumns=True)
-    _forget(blobs.sparkSession)
-    whole = lambda: both.repartition("bucket").sortWithinPartitions("bucket")
-    contexts = model.contexts
+def _gains(own: DataFrame, rest: DataFrame, far: DataFrame, rare: DataFrame, shared, contexts: int, first_rest: int, seed: int) -> DataFrame:
+    """(uid, gain): log10 of what the words' own restaurants make of the probabilities above, summed over each document's pairs.
+
+    own, rest: (bucket, uid, learn, blob), the pairs of the CONTEXTS words and all others; far: (bucket, far).
+    """
+    spark = own.sparkSession
+    met = far.select("bucket", F.explode("far").alias("h")).distinct().join(rare.select("h", "own"), "h")
+    lists = cut(met.groupBy("bucket").agg(F.collect_list(F.struct("h", "own")).alias("x")).select("bucket", F.col("x.h").alias("hs"), F.col("x.own").alias("owns")))
+    _forget(spark)
+    whole = lambda blobs, known: blobs.unionByName(known, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
 
     def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(it, "bucket"):
             for key in np.unique(np.asarray(t["bucket"])).tolist():
                 b = _bucket(t.filter(pc.equal(t["bucket"], key)), shared.value)
-                on = b.own & (b.c > 0)
+                on = b.c > 0
                 at = b.u[on].astype(np.int64)
                 n, cells = np.bincount(at, b.c[on], contexts).astype(np.int64), np.bincount(at, minlength=contexts)
-                live = b.own & (b.c > 1)
+                live = b.c > 1
                 lists = [pa.array([x], pa.list_(y)) for x, y in ((n, pa.int64()), (cells, pa.int64()), (b.u[live].astype(np.int64), pa.int64()), (b.c[live], pa.int64()), (b.p[live], pa.float64()), (np.ones(live.sum(), np.int64), pa.int64()))]
                 yield pa.record_batch([pa.array([key]), pa.array([int((b.c == 1).sum())]), pa.array([int((b.c == 2).sum())]), *lists], names=["bucket", "n1", "n2", "n", "tables", "u", "c", "p", "t"])
 
-    state = cut(whole().mapInArrow(first, "bucket long, n1 long, n2 long, n array<long>, tables array<long>, u array<long>, c array<long>, p array<double>, t array<long>"))
+    near = lists.where(F.col("bucket") < first_rest)
+    state = cut(whole(own, near).mapInArrow(first, "bucket long, n1 long, n2 long, n array<long>, tables array<long>, u array<long>, c array<long>, p array<double>, t array<long>"))
 
     def total(col: str) -> np.ndarray:
         out = np.zeros(contexts, np.int64)
@@ -407,7 +430,8 @@ def _gains(blobs: DataFrame, rare: DataFrame, model: Model, shared, seed: int) -
         return out
 
     s = state.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
-    d, n, tables = discount(s["n1"] or 0, s["n2"] or 0), total("n"), [total("tables")]
+    n1, n2 = s["n1"] or 0, s["n2"] or 0
+    d, n, tables = discount(n1, n2), total("n"), [total("tables")]
 
     def sweep(before: np.ndarray, turn: int):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,90 +446,121 @@ def _gains(blobs: DataFrame, rare: DataFrame, model: Model, shared, seed: int) -
         return run
 
     for turn in range(SWEEPS):
-        state = cut(state.select("bucket", "u", "c", "p", "t").mapInArrow(sweep(tables[-1], turn), "bucket long, tables array<long>, u array<long>, c array<long>, p array<double>, t array<long>"))
+        before, state = state, cut(state.select("bucket", "u", "c", "p", "t").mapInArrow(sweep(tables[-1], turn), "bucket long, tables array<long>, u array<long>, c array<long>, p array<double>, t array<long>"))
+        discard(before)
         tables.append(tables[-1] + total("tables"))
+    discard(state)
 
     def last(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(it, "bucket"):
             for key in np.unique(np.asarray(t["bucket"])).tolist():
                 b = _bucket(t.filter(pc.equal(t["bucket"], key)), shared.value)
-                mean, sums = _seats(b, tables, d, seed, key)
                 size = np.bincount(b.context, b.c)[b.context]
-                size[b.own] = n[b.u[b.own].astype(np.int64)]
-                gain = np.log10((np.maximum(b.c - d * mean, 0) / b.p + STRENGTH + d * sums) / (STRENGTH + size))
+                if key < first_rest:
+                    size, fit = n[b.u.astype(np.int64)], d
+                else:  # a bucket's own counts, leaning on the others where they are few
+                    lean = 1000.0 / max(n1 + n2, 1)
+                    fit = discount((b.c == 1).sum() + n1 * lean, (b.c == 2).sum() + n2 * lean)
+                mean, sums = _seats(b, tables if key < first_rest else None, fit, seed, key)
+                gain = np.log10((np.maximum(b.c - fit * mean, 0) / b.p + STRENGTH + fit * sums) / (STRENGTH + size))
                 who, at = np.unique(b.who, return_inverse=True)
                 yield pa.record_batch([pa.array(who), pa.array(np.bincount(at, gain[b.cell] * b.m))], names=["uid", "gain"])
 
-    _forget(blobs.sparkSession)
-    return whole().mapInArrow(last, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain"))
+    _forget(spark)
+    gains = cut(whole(own.unionByName(rest), lists).mapInArrow(last, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain")))
+    discard(lists)
+    _forget(spark)
+    return gains
+
+
+def _parts(m: Model, b: pa.RecordBatch, uid: np.ndarray) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
+    """What the known words alone say of each text, its unknown words, and its pairs (u, k, row) that go to the restaurants below."""
+    h, doc, _ = tokens(split(b.column(1), lower=True))
+    rows = b.num_rows
+    at, hit = m.lookup(h)
+    k = np.where(hit, np.minimum(m.rank[at], m.dishes), m.dishes)
+    u = np.minimum(np.append(0, k[:-1]), m.contexts)
+    lm = m.pair[u, k] + np.where(hit & (k == m.dishes), m.own[at], 0.0)
+    other, word = doc[~hit], h[~hit]
+    order = np.lexsort((word, other))
+    other, word = other[order], word[order]
+    first = np.flatnonzero(np.append(True, (other[1:] != other[:-1]) | (word[1:] != word[:-1]))[: len(other)])
+    times = np.diff(np.append(first, len(other)))
+    ptr = np.searchsorted(other[first], np.arange(rows + 1)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ptr), pa.array(x)) for x in (word[first].view(np.int64), times.astype(np.int32))]
+    cols = [pa.array(uid), b.column(0), pa.array(np.bincount(doc, minlength=rows)), pa.array(np.bincount(doc, hit, rows).astype(np.int64)), pa.array(np.bincount(doc, np.where(hit, m.base[at], 0.0), rows)), pa.array(np.bincount(doc, lm, rows)), *lists]
+    word_id = np.where(hit, m.rank[at].astype(np.uint64), h)
+    before_id = np.append(np.uint64(0), word_id[:-1])  # rank 0 is the end token
+    deep = (u == m.contexts) | (k == m.dishes)
+    pairs = before_id[deep], word_id[deep], doc[deep].astype(np.int64)
+    return pa.record_batch(cols, names=["uid", "doc_id", "n_tokens", "known", "base", "lm", "words", "times"]), pairs
 
 
 def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; the others are learnt from."""
-    learn = docs.where(~held_out)
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; the others are learnt from.
+
+    Documents are known by partition and place while they are scored, so docs is to give its rows in the same order
+    whenever it is read, as a table does; `cut` other frames first.
+    """
+    spark, learn = docs.sparkSession, docs.where(~held_out)
     model, rare = train(learn, **sizes)
     n, v = (model.n, model.v) if model else (0, 0)
     floor = float(np.log10(n + 0.1 * (v + 1)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    buckets = max(64, n // BUCKET)
+    shared = spark.sparkContext.broadcast(model)
+    buckets = max(16, n // BUCKET // 3), max(16, n // BUCKET)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        start, held, kept, row = int.from_bytes(os.urandom(5)) << 23, [], 0, 0
-        schema = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if kept:
-                cols = list(zip(*_dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), m, buckets), strict=True))
-                count = len(cols[0])
-                none = {f.name: pa.nulls(count, f.type) for f in schema}
-                given = {"uid": pa.array([start] * count), "bucket": pa.array(cols[0], pa.int64()), "learn": pa.array(cols[1]), "far": pa.array(cols[2], pa.list_(pa.int64())), "blob": pa.array(cols[3], pa.binary())}
-                yield pa.record_batch(list((none | given).values()), schema=schema)
-
-        for b in batches(it, "text"):
-            h, doc, before = tokens(split(b.column(1), lower=True))
-            rows = b.num_rows
-            at, hit = m.lookup(h)
-            k = np.where(hit, np.minimum(m.rank[at], m.dishes), m.dishes)
-            u = np.minimum(np.append(0, k[:-1]), m.contexts)
-            lm = m.pair[u, k] + np.where(hit & (k == m.dishes), m.own[at], 0.0)
-            word_id = np.where(hit, m.rank[at].astype(np.uint64), h)
-            before_id = np.append(np.uint64(0), word_id[:-1])  # rank 0 is the end token
-            deep = (u == m.contexts) | (k == m.dishes)
-            learns = np.asarray(b.column(2)).astype(bool)
-            held.append((before_id[deep], word_id[deep], row + doc[deep].astype(np.int64), learns[doc[deep]]))
-            other, word = doc[~hit], h[~hit]
-            order = np.lexsort((word, other))
-            other, word = other[order], word[order]
-            new = np.append(True, (other[1:] != other[:-1]) | (word[1:] != word[:-1]))[: len(other)]
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(other)))
-            ptr = np.searchsorted(other[first], np.arange(rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ptr), pa.array(x)) for x in (word[first].view(np.int64), times.astype(np.int32))]
-            uid = pa.array(start + row + np.arange(rows))
-            cols = [uid, b.column(0), pa.array(np.bincount(doc, minlength=rows)), pa.array(np.bincount(doc, hit, rows).astype(np.int64)), pa.array(np.bincount(doc, np.where(hit, m.base[at], 0.0), rows)), pa.array(np.bincount(doc, lm, rows)), *lists]
-            empty = [pa.nulls(rows, x) for x in (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary())]
-            out = pa.record_batch([*cols, *empty], names=["uid", "doc_id", "n_tokens", "known", "base", "lm", "words", "times", "bucket", "learn", "far", "blob"])
-            schema = out.schema
-            yield out
-            kept, row = kept + int(deep.sum()), row + rows
-            if kept > HELD or row > 1 << 22:
+    def read(own: bool):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            start, held, kept = 0, [], 0
+            fields = {"uid": pa.int64(), "bucket": pa.int64(), "learn": pa.bool_(), "far": pa.list_(pa.int64()), "blob": pa.binary()}
+            if own:
+                fields = {"uid": pa.int64(), "doc_id": None, "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "lm": pa.float64(), "words": pa.list_(pa.int64()), "times": pa.list_(pa.int32()), **fields}
+
+            def batch(count: int, **given: pa.Array) -> pa.RecordBatch:
+                return pa.record_batch([given.get(x, pa.nulls(count, y)) for x, y in fields.items()], names=list(fields))
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                u, k, doc, learns = (np.concatenate(x) for x in zip(*held, strict=True))
+                if own:
+                    far = list(zip(*_far(u, k, m, buckets), strict=True))
+                    if far:
+                        yield batch(len(far[0]), bucket=pa.array(far[0], pa.int64()), far=pa.array(far[1], pa.list_(pa.int64())))
+                on = (u < m.contexts) == own
+                got = list(zip(*_dealt(u[on], k[on], doc[on], learns[on], m.contexts, buckets), strict=True))
+                if got:
+                    yield batch(len(got[0]), uid=pa.array([start] * len(got[0])), bucket=pa.array(got[0], pa.int64()), learn=pa.array(got[1]), blob=pa.array(got[2], pa.binary()))
+
+            for b in batches(it, "text"):
+                fields |= {"doc_id": b.column(0).type} if own else {}
+                uid = np.asarray(b.column(3))
+                start = start if held else int(uid[0])
+                out, (u, k, doc) = _parts(m, b, uid)
+                if own:
+                    yield batch(b.num_rows, **dict(zip(out.schema.names, out.columns, strict=True)))
+                learns = np.asarray(b.column(2)).astype(bool)
+                held.append((u, k, uid[doc] - start, learns[doc]))
+                kept += len(u)
+                if kept > HELD or uid[-1] - start > 1 << 22:
+                    yield from flush()
+                    held, kept = [], 0
+            if held:
                 yield from flush()
-                start, held, kept, row = int.from_bytes(os.urandom(5)) << 23, [], 0, 0
-        yield from flush()
+
+        return run
 
     if model is None:
         spaced = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\t-\r]+")), F.lit(0)) + 1
         zero = F.lit(0).cast("long")
         return docs.select("doc_id", held_out.alias("held_out"), spaced.cast("long").alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    learns = F.coalesce(~held_out, F.lit(False)).alias("learns")
-    made = cut(docs.select("doc_id", "text", learns).mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, known long, base double, lm double, words array<long>, times array<int>, bucket long, learn boolean, far array<long>, blob binary"))
+    source, blob = docs.select("doc_id", "text", F.coalesce(~held_out, F.lit(False)).alias("learns"), F.monotonically_increasing_id().alias("uid")), "bucket long, learn boolean, far array<long>, blob binary"
+    made = cut(source.mapInArrow(read(True), f"uid long, doc_id {kind}, n_tokens long, known long, base double, lm double, words array<long>, times array<int>, {blob}"))
+    rest = source.mapInArrow(read(False), f"uid long, {blob}").select("bucket", "uid", "learn", "blob")
     parts = made.where("bucket is null")
-    gains = _gains(made.where("bucket is not null"), rare, model, shared, 3)
-    rest = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("h"), F.col("x.times").alias("m"))
-    met = rest.join(rare, "h", "left").select("uid", "m", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", F.lit(model.unseen)).alias("own"))
+    gains = _gains(made.where("blob is not null").select("bucket", "uid", "learn", "blob"), rest, made.where("far is not null"), rare, shared, model.contexts, buckets[0], 3)
+    words = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("h"), F.col("x.times").alias("m"))
+    met = words.join(rare, "h", "left").select("uid", "m", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", F.lit(model.unseen)).alias("own"))
     sums = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k2"), F.sum(F.col("m") * F.log10(F.col("c") + 0.1)).alias("b2"), F.sum(F.col("m") * F.col("own")).alias("l2"))
     both = parts.select("uid", "doc_id", "n_tokens", "known", "base", "lm").join(sums, "uid", "left").join(gains, "uid", "left")
     none, zero = F.lit(0.0), F.lit(0).cast("long")

@@ -1,7 +1,8 @@
 """Words and word n-grams of whole Arrow batches as flat numpy arrays.
 
 A batch's UTF-8 bytes are looked at in place: no Python string is made for a word. Word hashes are
-64-bit polynomial sums taken from one prefix sum over the bytes.
+62 bits of two polynomials modulo a prime, taken from two prefix sums over the bytes. A text needs about 60 bytes of
+working memory a byte, for batches of about half a megabyte, or one longer text.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import pyarrow.compute as pc
 U = np.uint64
 SPACE = frozenset([0x20, *range(0x09, 0x0E)])
 ALNUM = frozenset([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
-_R = 0x9E3779B97F4A7C15 | 1
-_RINV = pow(_R, -1, 1 << 64)
+#: Two polynomials over the field of this prime stand for a word: their zeros are few, so no two words are bound to collide.
+PRIME = (1 << 31) - 1
+SHORT = 1 << 20  # powers of the base that a worker keeps; longer texts have theirs made anew
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,10 +33,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _bytes_table(lower: bool) -> np.ndarray:
-    t = np.random.Generator(np.random.PCG64(20240517)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+def _base(part: int, salt: int) -> int:
+    return int(np.random.Generator(np.random.PCG64([20240517, part, salt])).integers(1 << 20, PRIME - 1))
+
+
+@cache
+def _bytes_table(lower: bool, part: int, salt: int) -> np.ndarray:
+    t = np.random.Generator(np.random.PCG64([71, part, salt])).integers(1, PRIME, 256, dtype=np.uint64)
     if lower:
-        t = t.copy()
         t[0x41:0x5B] = t[0x61:0x7B]
     return t
 
@@ -51,15 +57,30 @@ def _classes(kind: str) -> np.ndarray:
     return c
 
 
-_powers: dict[str, np.ndarray] = {}
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place; x < 2**63."""
+    for _ in range(2):
+        high = x >> U(31)
+        x &= U(PRIME)
+        x += high
+    x[x >= U(PRIME)] -= U(PRIME)
+    return x
+
+
+def _made_powers(base: int, n: int) -> np.ndarray:
+    p = np.ones(1, np.uint64)
+    while len(p) < n:
+        p = np.append(p, _reduced(p * U(pow(base, len(p), PRIME))))
+    return p.astype(np.uint32)
+
+
+@cache
+def _kept_powers(base: int) -> np.ndarray:
+    return _made_powers(base, SHORT)
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
-        p = np.full(n, U(base), np.uint64)
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name]
+def _power(base: int, n: int) -> np.ndarray:
+    return _kept_powers(base) if n <= SHORT else _made_powers(base, n)
 
 
 @dataclass
@@ -72,12 +93,29 @@ class Words:
     doc: np.ndarray
     ptr: np.ndarray
     hash: np.ndarray
-    total: np.ndarray
+    totals: list[np.ndarray]
+    salt: int
 
     def stems(self, n: int) -> np.ndarray:
         """Hashes of each word's first n bytes (all of a shorter word)."""
-        end = np.minimum(self.start + n, self.end)
-        return mix((self.total[end] - self.total[self.start]) * _power("i", _RINV, len(self.data))[self.start] + U(n))
+        return _hashes(self.totals, self.start, np.minimum(self.start + n, self.end), self.salt)
+
+    def alike(self, other: np.ndarray) -> np.ndarray:
+        """Whether word i and word other[i] have the same bytes."""
+        size = self.end - self.start
+        same = size == size[other]
+        at = np.flatnonzero(same & (other != np.arange(len(other))))
+        n = size[at]
+        ends = np.cumsum(n)
+        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+        wrong = self.data[np.repeat(self.start[at], n) + step] != self.data[np.repeat(self.start[other[at]], n) + step]
+        same[at[np.unique(np.searchsorted(ends, np.flatnonzero(wrong), "right"))]] = False
+        return same
+
+    def rows(self, lo: int, hi: int) -> Words:
+        """The words of rows lo to hi, renumbered from 0."""
+        a, b = self.ptr[lo], self.ptr[hi]
+        return Words(self.data, self.start[a:b], self.end[a:b], self.doc[a:b] - lo, self.ptr[lo : hi + 1] - a, self.hash[a:b], self.totals, self.salt)
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -99,7 +137,25 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def split(col: pa.Array, lower: bool = False, kind: str = "space") -> Words:
+def _hashes(totals: list[np.ndarray], start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    out = (end - start).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F)
+    for part, total in enumerate(totals):
+        inverse = _power(pow(_base(part, salt), -1, PRIME), len(total))[start].astype(np.uint64)
+        out ^= _reduced(_reduced(total[end] - total[start]) * inverse) << U(part * 31)
+    return mix(out)
+
+
+def split_exact(col: pa.Array) -> Words:
+    """Words of each row whose hashes are equal only where the bytes are: compared, and hashed anew where they aren't."""
+    for salt in range(64):
+        w = split(col, salt=salt)
+        _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        if w.alike(first[inverse]).all():
+            return w
+    raise RuntimeError("no hash tells the words apart")
+
+
+def split(col: pa.Array, lower: bool = False, kind: str = "space", salt: int = 0) -> Words:
     """Words of each row. kind "space": what [\\x20\\t-\\r] parts; "alnum": runs of ASCII letters, digits
     and bytes of other characters; "mixed": those and the runs of punctuation between them. lower: hashes
     ignore the case of A-Z."""
@@ -117,10 +173,17 @@ def split(col: pa.Array, lower: bool = False, kind: str = "space") -> Words:
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     ptr = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(ptr))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_bytes_table(lower)[data] * _power("r", _R, n)[:n], out=total[1:])
-    h = (total[end] - total[start]) * _power("i", _RINV, n)[start] + (end - start).astype(np.uint64)
-    return Words(data, start, end, doc, ptr, mix(h), total)
+    totals = []
+    for part in range(2):
+        x = _bytes_table(lower, part, salt)[data]
+        x *= _power(_base(part, salt), n)[:n]
+        high = x >> U(31)
+        x &= U(PRIME)
+        x += high
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(x, out=total[1:])
+        totals.append(total)
+    return Words(data, start, end, doc, ptr, _hashes(totals, start, end, salt), totals, salt)
 
 
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -246,3 +246,78 @@ def test_language_model_rare_pairs(spark):
         ask = [(1000 + i, f"a5 {w}") for i, w in enumerate(vocab)] + [(2000, "a5 never"), (2001, "a5"), (2002, "")]
         s = {r.doc_id: r.score for r in score(table(spark, rows[:60] + ask), F.col("doc_id") >= 100, contexts=4, dishes=8, known=known).collect()}
         assert max(s[1000 + i] for i in range(len(vocab))) == s[1000 + vocab.index("b5")] > s[2000] + 1
+
+
+def test_seating_follows_the_law_of_single_customers():
+    """Customers passed over in one draw: the number of tables has the law of seating one after another."""
+    from bidspark.llm.pitman import seat
+
+    d, theta, others, p0 = 0.6, 1.0, 7, 0.2
+    for c in (1, 2, 5, 40, 300):
+        law = np.zeros(c + 2)
+        law[1] = 1.0
+        for n in range(1, c):
+            t = np.arange(c + 2)
+            new = (theta + d * (others + t)) * p0
+            share = np.where(t > 0, new / np.maximum(new + n - d * t, 1e-9), 0)
+            law = law * (1 - share) + np.append(0, (law * share)[:-1])
+        draws = 20_000
+        got = np.bincount(seat(np.full(draws, c), np.full(draws, p0), np.full(draws, others), d, theta, np.random.default_rng(c)), minlength=c + 2)[: c + 2]
+        assert np.abs(got / draws - law).sum() < 0.02 + 0.03 * (c > 10)
+
+
+def _morse(n):
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_simple_hashes_stay_apart(spark, monkeypatch):
+    """Thue-Morse words have equal polynomial hashes modulo powers of two; then any two words at all, by a broken hash."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from bidspark.llm import words as W
+    from bidspark.llm.bpe import Bpe, bpe_digests
+    from bidspark.llm.minhash import near_duplicates, similarity
+    from bidspark.llm.substrings import substring_dedup
+
+    x, y = _morse(11)
+    rows = [(1, " ".join([x] * 14)), (2, " ".join([y] * 14))]
+    docs = table(spark, rows)
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 2}
+    assert all(r["__n_removed"] == 0 for r in substring_dedup(docs).collect())
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    for r in bpe_digests(docs, path).collect():
+        ids = tok.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert W.split(pa.array(["one two one"])).alike(np.array([1, 1, 0])).tolist() == [False, True, True]
+    true, calls = W._hashes, []
+
+    def broken(totals, start, end, salt):
+        calls.append(salt)
+        return true(totals, start, end, salt) if salt else (end - start).astype(np.uint64)
+
+    monkeypatch.setattr(W, "_hashes", broken)
+    assert len(set(W.split_exact(pa.array(["abc abd abc"])).hash.tolist())) == 2 and max(calls) == 1
+    both = W.split_exact(pa.array(["abc abd", "abc xyz"]))
+    assert similarity(both.rows(0, 1), both.rows(1, 2), 1)[0] == 0.0
+    bpe = Bpe(path)
+    slots = [bpe.recall(np.array([7], np.uint64), lambda k, w=w: [w])[0] for w in ("one", "two", "one")]
+    assert [bpe.strings[s] for s in slots] == [tok.decode(tok.encode(w).ids) for w in ("one", "two", "one")]
+
+
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    from bidspark.llm.minhash import drop_near_duplicates, near_duplicates
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b + " more"), (7, ""), (7, ""), (None, a), (None, a), (8, "b"), (8, "b c")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, __place string, __digest int")
+    got = collections.Counter((r.doc_id, r.class_id) for r in near_duplicates(docs).where("doc_id is not null").collect())
+    assert got == {(3, 3): 1, (5, 3): 1, (5, 5): 2, (6, 5): 1, (7, 7): 2, (8, 8): 2}
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = [(3, a), (5, b), (7, ""), (7, ""), (None, a), (None, a), (8, "b"), (8, "b c")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
