@@ -12,7 +12,7 @@ slices of the order, so a leaf with a third of all rows is still many tasks' wor
 which the prefix ends is sorted.
 
 Tokens are words `[^\\x20\\t-\\r]+`. Null or empty texts have no tokens and are taken in each whole epoch and in
-the prefix like others. Null domain, language or source is the empty name. Rows of a leaf that share a doc_id
+the prefix like others. A text of any length is counted where it lies. Equal capacities per weight are taken in the order of names. Null domain, language or source is the empty name. Rows of a leaf that share a doc_id
 are taken or left together. An empty table, or a budget of 0, selects nothing.
 """
 
@@ -23,12 +23,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import cut
+from bidspark.llm.common import cut, free_names
 
 LEVELS = ("domain", "lang", "source")
 #: Whole-number weights by level and name; others weigh 1.
 WEIGHTS: Mapping[str, Mapping[str, int]] = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "de": 3, "fr": 3, "es": 2}, "source": {}}
 SLICE = 5000  # documents of a leaf in one slice of its order
+BROADCAST = 100_000  # leaves whose ends are broadcast to the documents; more are joined
 
 
 def domain_of(source: Column) -> Column:
@@ -43,10 +44,10 @@ def _weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
     return w.cast("long")
 
 
-def with_leaves(docs: DataFrame) -> DataFrame:
-    """The documents with the names of their leaf in fresh columns (leaf struct)."""
+def with_leaves(docs: DataFrame, leaf: str = "__leaf") -> DataFrame:
+    """The documents with the names of their leaf in a struct column `leaf`."""
     name = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return docs.withColumn("__leaf", F.struct(domain_of(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source")))
+    return docs.withColumn(leaf, F.struct(domain_of(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source")))
 
 
 def budgets(leaves: DataFrame, budget: Column, weights=WEIGHTS, max_epochs: int = 1) -> DataFrame:
@@ -79,7 +80,7 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
 def plan(docs: DataFrame, budget: Column, weights=WEIGHTS, max_epochs: int = 1, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(slim, leaves): (doc_id, leaf, n_tokens) of each document, and each leaf's whole epochs and last key."""
     count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\t-\r]+")), F.lit(0)).cast("long")
-    slim = cut(with_leaves(docs).select("doc_id", "__leaf.*", count.alias("n_tokens")))
+    slim = cut(with_leaves(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "__leaf.*", count.alias("n_tokens")))
     sizes = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     shared = budgets(cut(sizes), budget, weights, max_epochs)
     whole = F.least(F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(max_epochs)), F.lit(max_epochs)).cast("long")
@@ -118,7 +119,8 @@ def mix(docs: DataFrame, budget: Column, weights=WEIGHTS, max_epochs: int = 1, s
 
 def mix_rows(docs: DataFrame, budget: Column, weights=WEIGHTS, seed: int = 1) -> DataFrame:
     """The documents' own rows that one epoch at most selects; texts are filtered where they lie, not moved by key."""
-    _, leaves = plan(docs, budget, weights, 1, seed)
-    named = leaves.select(F.struct(*LEVELS).alias("__leaf"), F.col("epochs").alias("__epochs"), F.col("last").alias("__last"))
-    taken = (F.col("__epochs") > 0) | (order_key(seed, F.col("__epochs") + 1, F.col("doc_id")) <= F.col("__last"))
-    return with_leaves(docs).join(named, "__leaf").where(taken).select(*[F.col(f"`{c}`") for c in docs.columns])
+    slim, leaves = plan(docs, budget, weights, 1, seed)
+    leaf, epochs, last = free_names(docs.columns, "__leaf", "__epochs", "__last")
+    named = leaves.select(F.struct(*LEVELS).alias(leaf), F.col("epochs").alias(epochs), F.col("last").alias(last))
+    taken = (F.col(epochs) > 0) | (order_key(seed, F.col(epochs) + 1, F.col("doc_id")) <= F.col(last))
+    return with_leaves(docs, leaf).join(F.broadcast(named) if leaves.count() < BROADCAST else named, leaf).where(taken).select(*[F.col(f"`{c}`") for c in docs.columns])

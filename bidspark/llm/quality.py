@@ -5,7 +5,7 @@ log-count ratios of the two classes; a linear hinge-loss model is fitted to them
 descent and its margins are turned into probabilities by a logistic fit on rows kept aside.
 
 The fit uses a sample of labelled rows bounded by `rows`; it runs in one task because that sample is
-bounded. Scoring reads every whole text. Null and empty texts have no n-grams and get the score of the
+bounded. Scoring reads every whole text; one of any length is a batch of its own. Of equal labelled ids one row counts, so ties don't arise. Null and empty texts have no n-grams and get the score of the
 intercept; repeated rows get equal scores; other columns are not looked at. Without labelled rows of both
 classes the score is the share of ones (0.5 without any).
 """

@@ -31,7 +31,7 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document when passages of earlier documents are removed."""
     from bidspark.llm.substrings import substring_dedup
 
-    out = substring_dedup(table(spark, sf_dir, "documents"))
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 

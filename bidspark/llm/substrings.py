@@ -18,7 +18,8 @@ Anchors with very many occurrences are salted by document; each salt finds its f
 of all follows from those.
 
 Null and empty texts have no words and stay. Rows without a doc_id are neither judged nor a source. Rows that
-share a doc_id are judged each by itself. Words are `[^\\x20\\t-\\r]+`, unchanged; 64-bit hashes stand for them.
+share a doc_id are judged each by itself, told apart by 27 bits of a digest of their texts. A text of any length is a batch of its own. Words are `[^\\x20\\t-\\r]+`, unchanged; 62-bit
+hashes by two polynomials stand for them.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidspark.llm.common import batches, cut, small_batches, split_by_ids
+from bidspark.llm.common import batches, cut, discard, free_names, small_batches, split_by_ids
 from bidspark.llm.words import U, mix, ngrams, split
 
 WINDOW, GRAM, CROWD, HOT = 13, 5, 1000, 1000
+ADDED = ("__kept", "__n_words", "__n_removed")
 
 
 def anchors_of(h: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int = GRAM):
@@ -120,7 +122,7 @@ class SuffixAutomaton:
 
 
 def _tag(text: pa.Scalar) -> int:
-    return int.from_bytes(hashlib.sha256(text.as_buffer()).digest()[:2], "big") << 36 if text.is_valid else 0
+    return int.from_bytes(hashlib.sha256(text.as_buffer()).digest()[:4], "big") >> 5 << 36 if text.is_valid else 0
 
 
 def _occurrences(docs: DataFrame, repeats: bool) -> DataFrame:
@@ -229,11 +231,13 @@ def repeated_windows(docs: DataFrame, crowd: int = CROWD, hot_share: int = HOT)
     single = parts.where("words is null").select(F.col("a").alias("w"), "doc", "pos")
     least = single.groupBy("w").agg(F.min("doc").alias("first"))
     crowded = single.join(least, "w").where("doc > first").select("doc", "pos")
-    return later.unionByName(found).unionByName(crowded)
+    out = cut(later.unionByName(found).unionByName(crowded))
+    discard(known, hot, rows, heads, parts)
+    return out
 
 
-def _cover(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds kept (words left, joined by one space), n_words and n_removed; the last column lists the runs."""
+def _cover(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Adds kept (words left, joined by one space), n_words and n_removed by `names`; the last column lists the runs."""
     for b in batches(it, "text"):
         col = b.column(b.schema.get_field_index("text"))
         w = split(col)
@@ -253,19 +257,21 @@ def _cover(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = keep.tolist()
         kept = [b" ".join([raw[start[i] : end[i]] for i in order[x:y]]) for x, y in zip(cutoff[:-1].tolist(), cutoff[1:].tolist(), strict=True)]
         n, left = np.diff(w.ptr), np.diff(cutoff)
-        yield pa.record_batch([*b.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n), pa.array(n - left)], names=[*b.schema.names[:-1], "__kept", "__n_words", "__n_removed"])
+        yield pa.record_batch([*b.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n), pa.array(n - left)], names=[*b.schema.names[:-1], *names])
 
 
 def substring_dedup(docs: DataFrame, crowd: int = CROWD, hot_share: int = HOT) -> DataFrame:
-    """All rows and columns of docs with __kept (string), __n_words and __n_removed (long).
+    """All rows and columns of docs with __kept (string), __n_words and __n_removed (long), under names that are free.
 
-    Texts go to their runs only where a filter of bounded size says that there may be some.
+    A name that docs already has gets one underscore more before it. Texts go to their runs only where a filter of bounded
+    size says that there may be some.
     """
-    spans = cut(repeated_windows(docs, crowd, hot_share))
+    spans = repeated_windows(docs, crowd, hot_share)
+    *names, runs, key = free_names(docs.columns, *ADDED, "__runs", "__doc")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = f"{kind}, __kept string, __n_words long, __n_removed long"
+    out = f"{kind}, `{names[0]}` string, `{names[1]}` long, `{names[2]}` long"
     plain, some = split_by_ids(docs, spans, "doc_id", "doc")
-    plain = plain.withColumn("__runs", F.lit(None).cast("array<long>"))
-    lists = spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("pos").alias("__runs"))
-    some = some.join(lists, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    return plain.unionByName(some).mapInArrow(_cover, out)
+    plain = plain.withColumn(runs, F.lit(None).cast("array<long>"))
+    lists = spans.groupBy(F.col("doc").alias(key)).agg(F.collect_list("pos").alias(runs))
+    some = some.join(lists, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    return plain.unionByName(some).mapInArrow(lambda it: _cover(it, names), out)

@@ -5,7 +5,7 @@ don't hide a stem), neighbouring pairs and pairs with one word between, hashed t
 what is broadcast is the short list of the others.
 
 The fit uses a sample of labelled rows bounded by `rows`, in one task because the sample is bounded.
-Scoring reads every whole text. Null and empty texts have no features and get the intercept's score;
+Scoring reads every whole text; one of any length is a batch of its own. Of equal labelled ids one row counts, so ties don't arise. Null and empty texts have no features and get the intercept's score;
 repeated rows get equal scores; other columns are not looked at. Without labelled rows scores are 0.5.
 """
 

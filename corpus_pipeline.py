@@ -3,7 +3,10 @@
 STAGES lists (name, function) in order. Each function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs; all but the last return the columns of documents. A
 stage works on all that the one before it kept. Null and empty texts pass the first stage only if the
-classifier lets them, are near nothing, hold no passages and no tokens. An empty table gives empty results.
+classifier lets them, are near nothing, hold no passages and no tokens. A very long text is handled as one row like
+others. Of equal candidates the smallest doc_id stays; rows that share a doc_id are told apart by their texts, and equal rows of
+one doc_id are one. Rows without a doc_id are neither near duplicates nor sources of passages. Other columns, whatever
+their names, pass through the stages unchanged. An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -36,9 +39,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of earlier documents; texts that hold none stay as they are."""
     cleaned = substring_dedup(docs)
-    changed = F.col("__n_removed") > 0
-    text = F.when(changed, F.col("__kept")).otherwise(F.col("text"))
-    return cleaned.withColumns({"text": text, "n_chars": F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    kept, _, removed = (F.col(f"`{c}`") for c in cleaned.columns[-3:])
+    text = F.when(removed > 0, kept).otherwise(F.col("text"))
+    chars = {"n_chars": F.when(removed > 0, F.length(kept).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return cleaned.withColumns({"text": text, **chars}).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

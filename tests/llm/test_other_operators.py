@@ -108,9 +108,12 @@ def test_trust_and_distrust_match_matrices(spark):
         t = t0 * 0.15 + 0.85 * (w / np.maximum(w.sum(1, keepdims=True), 1)).T @ t
         d = d0 * 0.15 + 0.85 * (w / np.maximum(w.sum(0, keepdims=True), 1)) @ d
     seeds = spark.createDataFrame([(n, float(t0[i]), float(d0[i])) for i, n in enumerate(names)], "host string, trust double, distrust double")
-    got = {r.host: r for r in spread(spark.createDataFrame(edges, "a string, b string, w long"), seeds, 0.85, 40, 1e-4).collect()}
+    got = {r.host: r for r in spread(spark.createDataFrame(edges, "a string, b string, w long"), seeds, 0.85, 1e-6).collect()}
     for i, n in enumerate(names):
-        assert got[n].trust == pytest.approx(t[i], abs=1e-3) and got[n].distrust == pytest.approx(d[i], abs=1e-3)
+        assert got[n].trust == pytest.approx(t[i], abs=1e-5) and got[n].distrust == pytest.approx(d[i], abs=1e-5)
+    chain = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(30)], "a string, b string, w long")
+    far = {r.host: r.trust for r in spread(chain, spark.createDataFrame([("h0", 1.0, 0.0)], "host string, trust double, distrust double"), 0.85, 1e-6).collect()}
+    assert far["h30"] == pytest.approx(0.15 * 0.85**30, rel=1e-3)
 
 
 def _fill(budget, items):
@@ -210,6 +213,58 @@ def test_caps_miss_as_few_of_a_large_table():
     met = set()
     for lo in range(0, 4000, 500):
         (r, k), (s, m) = code.decode(x[lo : lo + 500]), code.decode(y[lo : lo + 500])
-        size = len(code.codes) * words**2
+        size = code.codes * words**2
         met |= set((np.intersect1d(r * size + k, s * size + m) // size + lo).tolist())
     assert 4000 - len(met) <= 10
+
+
+def test_embeddings_of_odd_kinds(spark):
+    """Repeated ids, several lengths, very large and very small numbers, no usable vector at all."""
+    from bidspark.llm.caps import embedding_duplicates
+
+    rng = np.random.default_rng(8)
+    p, q, r = rng.standard_normal((3, 8))
+    rows = [
+        (1, p), (2, p + 0.01), (5, p + 0.02), (5, q), (6, q + 0.01), (7, r), (7, r),  # 5 joins what is near either of its vectors
+        (20, [1e200, 1e200]), (21, [1e200, 1.0001e200]), (22, [1e-200, 1e-200]), (23, [1.0, -1.0]),  # another length
+        (30, [3.0]), (31, [5.0]), (32, [-5.0]), (40, None), (40, None), (None, p),
+    ]
+    docs = spark.createDataFrame([(i, None if v is None else [float(a) for a in v], 1) for i, v in rows], "vec_id long, embedding array<double>, c int")
+    got = collections.Counter(tuple(r) for r in embedding_duplicates(docs).collect())
+    want = [(1, 2, 1), (2, 2, 1), (5, 2, 1), (5, 1, 1), (6, 1, 1), (7, 1, 7), (7, 1, 7), (20, 2, 20), (21, 2, 20), (22, 2, 20), (23, 0, 23), (30, 1, 30), (31, 1, 30), (32, 0, 32), (40, 0, 40), (40, 0, 40), (None, 0, None)]
+    assert got == collections.Counter((v, n, c, v is None or v == c) for v, n, c in want)
+    assert embedding_duplicates(docs.where("vec_id = 40")).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["skewed", "clustered"])
+def test_nearest_on_skewed_norms_and_clusters(spark, kind):
+    """Recall where norms differ widely; on clusters the chosen setting looks at few rows."""
+    from bidspark.llm import ann
+
+    rng = np.random.default_rng(12)
+    n, d = 3000, 16 if kind == "skewed" else 48
+    if kind == "skewed":
+        x = rng.standard_normal((n, d)) * np.exp(0.7 * rng.standard_normal((n, 1)))
+        x[:20] *= 10
+    else:
+        x = np.repeat(rng.standard_normal((100, d)), n // 100, 0) + 0.05 * rng.standard_normal((n, d))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, [1.0, 2.0]), (5001, [2.0, 1.0]), (5020, [1e200, 1e-200]), (0, [float(v) for v in x[1]])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(docs, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    for q in range(20, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(np.argsort(-s, kind="stable")[:20].tolist())
+        hit += len(best & {v if v else 0 for _, v, _ in got[q]})
+        assert [r for r, _, _ in sorted(got[q])] == list(range(1, 21))
+    assert hit / (20 * (n // 20 - 1)) >= 0.9
+    assert [v for _, v, _ in sorted(got[5000])] == [5020, 5001] and [v for _, v, _ in sorted(got[5020])] == [5001, 5000]
+    if kind == "clustered":
+        ask = x[::50][:60]
+        near = [x[np.argsort(-(x @ q))[1:21]] for q in ask]
+        top = np.array([ann.norms(x).max()])
+        _, _, recall, looked = ann.choose(ask, near, x, np.array([]), top)
+        assert recall >= 0.95 and looked < 0.2
