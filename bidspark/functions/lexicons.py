@@ -47,13 +47,15 @@ DELIVERABLE = r"\b(deliverable|cdrl|report|plan|schedule|roadmap|status report|s
 EXPORT_TRIGGER = r"\b(shall|must|required|requires|is required to)\b"
 
 SEARCH_STOPWORDS = (
-    "the and for that with this from shall must will are not all any into their have has provide provides provided "
-    "use using required requirement requirements contractor government"
-).split()
+    "the", "and", "for", "that", "with", "this", "from", "shall", "must", "will", "are", "not", "all", "any", "into",
+    "their", "have", "has", "provide", "provides", "provided", "use", "using", "required", "requirement",
+    "requirements", "contractor", "government",
+)
 LINK_STOPWORDS = (
-    "the and for that with this from must shall provide support section sections appendix appendices contractor "
-    "requirements required base idiq pws iaw each listed under"
-).split()
+    "the", "and", "for", "that", "with", "this", "from", "must", "shall", "provide", "support", "section", "sections",
+    "appendix", "appendices", "contractor", "requirements", "required", "base", "idiq", "pws", "iaw", "each",
+    "listed", "under",
+)
 TITLE_STOPWORDS = ("the", "and", "for", "with")
 POSITIVE_FILENAMES = ("pws", "appendix", "section l", "section m", "cdrl")
 NEGATIVE_FILENAMES = ("pricing", "template", "resume", "boe", "oci", "small business")
@@ -84,3 +86,17 @@ SECTION_HEADING = r"^(?i)(SECTION)\s+([A-Z0-9IVX.\-]+)\s*[-.:]?\s*(.*)$"
 DECIMAL_HEADING = r"^(\d+(?:\.\d+)+)\s+(.+)$"
 NUMBER_HEADING = r"^(\d+)\s+(.+)$"
 WORD_FRAGMENTS = r"(?i)(?:Error!\s*Reference source not found\.?|Error!\s*Bookmark not defined\.?|Error!\s*No table of contents entries found\.?)"
+#: Lines of outlines and imported text.
+OUTLINE_NUMBERED = r"^(\d+(?:\.\d+)*)\s+(.+?)\s*$"
+OUTLINE_LEADER = r"\.{4,}\s*[A-Z]?-?\d+\s*$"
+OUTLINE_HASH = r"^(#+)\s+(.+)$"
+OUTLINE_BOLD = r"^\*\*(.+?)\*\*$"
+OUTLINE_NUMBER = r"^((?:[A-Za-z]+\.)?\d+(?:\.\d+)*|[A-Za-z]+\.\d+(?:\.\d+)*)\s+(.+)$"
+OUTLINE_ORDERED = r"^(\d+\.|[A-Za-z]\.|(?:\([A-Za-z0-9]+\))+)\s+(.+)$"
+BLANK_NUMBER_LINE = r"^\s*\d{1,4}\s*$"
+UNCLASSIFIED_LINE = r"^(?i)\s*\(?Unclassified//FOUO\)?\s*$"
+FIGURE_LINE = r"^(?i)\s*\(?Figure is UNCLASSIFIED(?://FOUO)?\)?\s*$"
+FIGURE_MARK = r"(?i)Figure is UNCLASSIFIED(?://FOUO)?\s*"
+REMOVED_MARK = r"(?i)\bRemoved for classification\b"
+MARGIN_NUMBER = r"^\s*\d{1,4}(?:\s{2,}|\t+)(?=\S)"
+PAGE_LINE = r"^(?i)\s*(page\s+)?[A-Z]?-?\d+\s*$"

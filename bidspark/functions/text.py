@@ -1,9 +1,11 @@
-"""Text cleaning and scalar functions, Column to Column, all built in."""
+"""Text cleaning and scalar functions, Column to Column, all built in but for entities."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,11 +98,11 @@ def clean_line(c: Column) -> Column:
     line = F.regexp_replace(line, r"^\s*\d{3,4}\s+(?=\S)", "")
     core = F.ltrim(line)
     indent = F.length(line) - F.length(core)
-    empty = (core == "") | line.rlike(r"^\s*\d{1,4}\s*$") | core.rlike(r"^\s*\d{1,4}\s*$") | core.rlike(r"^(?i)\s*\(?Unclassified//FOUO\)?\s*$")
-    empty = empty | core.rlike(r"^(?i)\s*\(?Figure is UNCLASSIFIED(?://FOUO)?\)?\s*$") | core.rlike(r"^(?i)Appendices\b")
+    empty = (core == "") | line.rlike(L.BLANK_NUMBER_LINE) | core.rlike(L.BLANK_NUMBER_LINE) | core.rlike(L.UNCLASSIFIED_LINE)
+    empty = empty | core.rlike(L.FIGURE_LINE) | core.rlike(r"^(?i)Appendices\b")
     text = F.regexp_replace(core, r"\[image:\s*\]", " ")
-    text = F.regexp_replace(strip_classification_inline(text), r"(?i)\bRemoved for classification\b", "")
-    text = F.regexp_replace(F.regexp_replace(text, L.WORD_FRAGMENTS, " "), r"(?i)Figure is UNCLASSIFIED(?://FOUO)?\s*", "")
+    text = F.regexp_replace(strip_classification_inline(text), L.REMOVED_MARK, "")
+    text = F.regexp_replace(F.regexp_replace(text, L.WORD_FRAGMENTS, " "), L.FIGURE_MARK, "")
     text = strip(F.regexp_replace(text, r"\s+", " "))
     bullet = (indent > 0) & text.rlike(r"^[-*]\s+.+$")
     return F.when(empty, "").when(bullet, F.concat(F.repeat(F.lit(" "), indent), text)).otherwise(text)
@@ -109,11 +111,11 @@ def clean_line(c: Column) -> Column:
 def strip_margin_line_numbers(c: Column) -> Column:
     """One line of text without margin numbers; a number before a heading, contents entry, page or date stays."""
     lines = F.split(F.regexp_replace(blank_if_null(c), "\r", "\n"), "\n")
-    lines = F.filter(lines, lambda x: ~x.rlike(r"^\s*\d{1,4}\s*$"))
-    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*\d{1,4}(?:\s{2,}|\t+)(?=\S)", ""))
+    lines = F.filter(lines, lambda x: ~x.rlike(L.BLANK_NUMBER_LINE))
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, L.MARGIN_NUMBER, ""))
     text = strip(F.regexp_replace(F.array_join(lines, " "), r"[ \t]{2,}", " "))
     kept = F.lit(False)
-    for pattern in (r"^\d+(?:\.\d+)*\.?\s+\S", L.SECTION_HEADING, L.APPENDIX_HEADING, L.TOC_TITLE, L.TOC_ENTRY, r"^(?i)\s*(page\s+)?[A-Z]?-?\d+\s*$", L.DATE_ONLY):
+    for pattern in (r"^\d+(?:\.\d+)*\.?\s+\S", L.SECTION_HEADING, L.APPENDIX_HEADING, L.TOC_TITLE, L.TOC_ENTRY, L.PAGE_LINE, L.DATE_ONLY):
         kept = kept | text.rlike(pattern)
     return F.when(kept, text).otherwise(strip(F.regexp_replace(text, r"^\d{1,4}\s+(?=\S)", "")))
 
@@ -124,11 +126,12 @@ def strip_inline_markdown(c: Column) -> Column:
 
 
 def html_unescape(c: Column) -> Column:
-    """The entities that markup can't do without, and the no-break space."""
-    text = blank_if_null(c)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All named and numbered entities."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: html.unescape(x) if "&" in x else x)
+
+    return F.pandas_udf(run, "string")(blank_if_null(c))
 
 
 def strip_tags(c: Column) -> Column:

@@ -21,9 +21,14 @@ def word_windows(c: Column, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORD
     """Array of windows of `size` words that share `overlap` words; the last ends at the last word."""
     stride = max(size - overlap, 1)
     words = F.filter(F.split(T.blank_if_null(c), r"\s+"), lambda w: w != "")
-    last = F.greatest(F.ceil((F.size(words) - size) / F.lit(float(stride))), F.lit(0)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * stride + 1, size), " "))
-    return F.when(F.size(words) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / F.lit(float(stride))), F.lit(0)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * stride + 1, size), " "))
+        return F.when(F.size(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    # the words are bound once: inside the lambda they are a value, not an expression to be evaluated for each window
+    return F.transform(F.array(words), windows)[0]
 
 
 def chunk_words(df: DataFrame, col: str = "text", size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
@@ -40,10 +45,12 @@ def _chunk(df: DataFrame, index: Column, kind: str, body: Column, text: Column,
     return rows.withColumn("point_id", T.point_id(F.col("project_id"), F.col("filename"), F.col("chunk_index"))).select(*CHUNK)
 
 
-def artifact_chunks(documents: DataFrame, sections: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """Chunks of heading texts where a document's hierarchy is strong or partial, else windows of its whole text.
+def artifact_chunks(documents: DataFrame, sections: DataFrame, tables: DataFrame | None = None, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """Chunks of heading texts where a document's hierarchy is strong or partial, else windows of its whole text; and
+    one chunk `t-i` for each table with content, under the section that it is attached to.
 
-    documents: document_id, project_id, filename, quality, text; sections: document_id, section_order, number and title.
+    documents: document_id, project_id, filename, quality, text; sections: document_id, section_order, number and title;
+    tables: document_id, table_index, rows, attached_section_id.
     """
     good = documents.where(F.col("quality").isin("strong", "partial"))
     s = sections.where("section_order is not null").withColumn("i", F.row_number().over(Window.partitionBy("document_id").orderBy("section_order")) - 1)
@@ -54,7 +61,14 @@ def artifact_chunks(documents: DataFrame, sections: DataFrame, size: int = CHUNK
     a = _chunk(heads, F.concat_ws("-", F.lit("s"), F.col("i").cast("string"), F.col("j").cast("string")), "section", F.col("c"), F.concat(F.lit("Section Heading: "), "section_heading", F.lit("\n\n"), "c"))
     plain = documents.join(good.select("document_id").join(s.select("document_id").distinct(), "document_id"), "document_id", "left_anti")
     pages = plain.withColumns({"section_path": F.lit("DOCUMENT"), "section_heading": F.lit("Document Body")}).select("*", F.posexplode(word_windows(T.clean_extracted_text(F.col("text")), size, overlap)).alias("j", "c"))
-    return a.unionByName(_chunk(pages, F.concat_ws("-", F.lit("p"), F.col("j").cast("string")), "page_window", F.col("c"), F.col("c")))
+    out = a.unionByName(_chunk(pages, F.concat_ws("-", F.lit("p"), F.col("j").cast("string")), "page_window", F.col("c"), F.col("c")))
+    if tables is None:
+        return out
+    lines = F.transform(F.filter("rows", lambda r: F.size(r) > 0), lambda r: F.array_join(r, " | ", ""))
+    place = F.when(F.col("attached_section_id") != "", F.col("attached_section_id"))
+    t = tables.select("document_id", "table_index", T.strip(F.array_join(lines, "\n")).alias("c"), F.coalesce(place, F.lit("DOCUMENT")).alias("section_path"), F.coalesce(place, F.lit("Document Body")).alias("section_heading"))
+    t = t.where("c <> ''").join(documents.select("document_id", "project_id", "filename"), "document_id")
+    return out.unionByName(_chunk(t, F.concat_ws("-", F.lit("t"), F.col("table_index").cast("string")), "table", F.col("c"), F.concat(F.lit("Table Content\n\n"), "c")))
 
 
 def section_chunks(sections: DataFrame, tables: DataFrame | None = None, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:

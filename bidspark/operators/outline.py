@@ -18,10 +18,10 @@ from bidspark.functions import lexicons as L
 from bidspark.functions import text as T
 
 _MARK = re.compile(rf"^\s*\({L.SIMPLE_MARKING}\)\s*", re.IGNORECASE)
-_NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)\s+(.+?)\s*$")
+_NUMBERED = re.compile(L.OUTLINE_NUMBERED)
 _APPENDIX = re.compile(r"^appendix\s+([A-Z])\s+\(U\)\s+(.+?)(?:\s+\d+)?$", re.IGNORECASE)
 _CONTENTS = re.compile(r"^(?:\(U\)\s*)?table of (?:contents|figures|tables)$", re.IGNORECASE)
-_LEADER = re.compile(r"\.{4,}\s*[A-Z]?-?\d+\s*$")
+_LEADER = re.compile(L.OUTLINE_LEADER)
 _SHALL = re.compile(r"^the contractor shall:?$", re.IGNORECASE)
 _BULLET = re.compile(r"^(\s*)[-*•·]\s+(.+)$")
 
@@ -191,10 +191,10 @@ def prepare_outline_lines(documents: DataFrame, col: str = "raw_text") -> DataFr
     return documents.withColumn("lines", F.pandas_udf(run, "array<string>")(cleaned)).drop(col)
 
 
-_HASH = re.compile(r"^(#+)\s+(.+)$")
-_BOLD = re.compile(r"^\*\*(.+?)\*\*$")
-_NUMBER = re.compile(r"^((?:[A-Za-z]+\.)?\d+(?:\.\d+)*|[A-Za-z]+\.\d+(?:\.\d+)*)\s+(.+)$")
-_ORDERED = re.compile(r"^(\d+\.|[A-Za-z]\.|(?:\([A-Za-z0-9]+\))+)\s+(.+)$")
+_HASH = re.compile(L.OUTLINE_HASH)
+_BOLD = re.compile(L.OUTLINE_BOLD)
+_NUMBER = re.compile(L.OUTLINE_NUMBER)
+_ORDERED = re.compile(L.OUTLINE_ORDERED)
 _INLINE = re.compile(r"(?:^|(?<=\s))(\d+\.|[A-Za-z]\.|\([A-Za-z0-9]{1,4}\))\s+")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,23 +46,113 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"score": score, "match_reason": text, "weight": weight})
 
 
-def score_related(sources: DataFrame, requirements: DataFrame, mode: str = "exact", max_frequency: int = 1000) -> DataFrame:
-    """Scores of candidates for each source, within a project.
+def score_related(sources: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Scores of all candidates of its project for each source: linear in the candidates, for few sources."""
+    return score_pairs(_prepared(sources, "s_").join(_prepared(requirements, "c_"), "project_id"))
 
-    exact: every candidate of the project (linear per source; a candidate without shared terms still scores).
-    bulk: only candidates that share a term held by at most `max_frequency` requirements of the project, found by an
-    inverted index: a documented limit on candidates, meant for all requirements as sources.
-    """
-    s, c = _prepared(sources, "s_"), _prepared(requirements, "c_")
-    if mode == "exact":
-        pairs = s.join(c, "project_id")
+
+CELL = 1024  # sources, and candidates, that are compared at once
+SETS = ("tokens", "objects", "numbers", "above", "letters")
+
+
+def _coded(df: DataFrame, prefix: str) -> DataFrame:
+    """A prepared side as numbers: sets as arrays of hashes, equal fields as hashes (0 for an empty one)."""
+    hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    col = lambda c: F.col(f"{prefix}{c}")
+    code = lambda c: F.when(col(c) == "", 0).otherwise(F.xxhash64(col(c)))
+    parts = lambda x: F.split(x, r"\.")
+    up = lambda x: F.transform(F.sequence(F.lit(1), F.size(parts(x))), lambda k: F.array_join(F.slice(parts(x), F.lit(1), k), "."))
+    proper = lambda x: F.slice(up(x), F.lit(1), F.size(parts(x)) - 1)
+    if prefix == "s_":
+        numbers, above = col("refs"), F.array_distinct(F.flatten(F.transform(col("refs"), proper)))
+        letters = col("appendices")
     else:
-        terms = c.select("project_id", "c_id", F.explode("c_tokens").alias("token"))
-        rare = terms.groupBy("project_id", "token").agg(F.count("*").alias("n")).where(F.col("n") <= max_frequency).select("project_id", "token")
-        left = s.select("project_id", "s_id", F.explode("s_tokens").alias("token")).join(rare, ["project_id", "token"])
-        keys = left.join(terms, ["project_id", "token"]).select("project_id", "s_id", "c_id").distinct()
-        pairs = keys.join(s, ["project_id", "s_id"]).join(c, ["project_id", "c_id"])
-    return score_pairs(pairs)
+        numbers = F.filter(F.array(col("section_number")), lambda x: x != "")
+        above = F.when(col("section_number") != "", proper(col("section_number"))).otherwise(F.array().cast("array<string>"))
+        letters = F.array_distinct(F.regexp_extract_all(col("place"), F.lit("APPENDIX[ _](.)"), F.lit(1)))
+    sets = dict(zip(SETS, (col("tokens"), col("object_tokens"), numbers, above, letters), strict=True))
+    return df.select("project_id", col("id").alias("id"), col("filename").alias("filename"), T.filename_weight(col("filename")).cast("long").alias("weight"), *[hashes(c).alias(n) for n, c in sets.items()], *[code(c).alias(c if c != "filename" else "file") for c in ("modality", "actor", "action", "section_number", "filename")])
+
+
+def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Shared elements of each set of a with each set of b."""
+    rows = [np.repeat(np.arange(len(x)), np.diff(np.asarray(x.offsets))) for x in (a, b)]
+    keys = [np.asarray(x.flatten()) for x in (a, b)]
+    both = np.intersect1d(*[np.unique(k) for k in keys])
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(both), 4096):
+        part = both[lo : lo + 4096]
+        hot = []
+        for r, k, n in zip(rows, keys, (len(a), len(b)), strict=True):
+            at = np.minimum(np.searchsorted(part, k), len(part) - 1)
+            on = part[at] == k
+            m = np.zeros((n, len(part)), np.float32)
+            m[r[on], at[on]] = 1
+            hot.append(m)
+        out += hot[0] @ hot[1].T
+    return out
+
+
+def _best_of_cells(it: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The best candidates of each source in each cell; rows come sorted by cell, filename and id."""
+    rest: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rest).combine_chunks()
+        asks = np.asarray(t["ask"])
+        s, c = t.filter(pa.array(asks)).combine_chunks(), t.filter(pa.array(~asks)).combine_chunks()
+        if not len(s) or not len(c):
+            return
+        col = lambda x, n: x[n].combine_chunks() if isinstance(x[n], pa.ChunkedArray) else x[n]
+        num = lambda x, n: np.asarray(x[n])
+        same = lambda n: (num(s, n)[:, None] == num(c, n)[None, :]) & (num(c, n) != 0)
+        score = 5 * _common(col(s, "tokens"), col(c, "tokens")) + 3 * _common(col(s, "objects"), col(c, "objects"))
+        exact = _common(col(s, "numbers"), col(c, "numbers")) > 0
+        family = (_common(col(s, "numbers"), col(c, "above")) > 0) | (_common(col(s, "above"), col(c, "numbers")) > 0)
+        score += np.where(exact, 14, np.where(family, 6, 0)) + 10 * (_common(col(s, "letters"), col(c, "letters")) > 0)
+        for n, points in (("modality", 2), ("actor", 2), ("action", 3), ("section_number", 1), ("file", 1)):
+            score += points * same(n)
+        score += num(c, "weight")[None, :]
+        ids, names = (x["id"].to_numpy(zero_copy_only=False) for x in (s, c))
+        off = (np.diff(np.asarray(col(c, "tokens").offsets)) == 0)[None, :] | (ids[:, None] == names[None, :])
+        score[off] = 0
+        order = np.argsort(-(score * 64 + num(c, "weight")[None, :]), 1, kind="stable")[:, :limit]
+        top = np.take_along_axis(score, order, 1)
+        r, k = np.nonzero(top > 0)
+        at = order[r, k]
+        yield pa.record_batch([col(s, "project_id").take(pa.array(r)), pa.array(ids[r], pa.string()), pa.array(names[at], pa.string()), col(c, "filename").take(pa.array(at)), pa.array(num(c, "weight")[at], pa.int64()), pa.array(top[r, k], pa.float64())], names=["project_id", "s_id", "c_id", "filename", "weight", "score"])
+
+    for batch in it:
+        cell = np.asarray(batch.column(0))
+        edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                if rest and rest[-1].column(0)[0].as_py() != cell[a]:
+                    yield from flush()
+                    rest = []
+                rest.append(batch.slice(a, b - a))
+    if rest:
+        yield from flush()
+
+
+def shortlist(s: DataFrame, c: DataFrame, limit: int) -> DataFrame:
+    """(project_id, s_id, c_id): the `limit` best candidates of each source in its project, the source itself aside.
+
+    Every source is compared with every candidate of its project, in cells of CELL by CELL, so no task holds a project; a
+    cell's scores are products of small matrices, and only its best rows leave it. Ties go to the larger weight, then by
+    file name and id.
+    """
+    own = lambda side, k: F.pmod(F.xxhash64("id", F.lit(k)), F.col(side)).cast("int")
+    cells = lambda df, name: df.groupBy("project_id").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
+    left, right = _coded(s, "s_"), _coded(c, "c_")
+    plan = cells(s, "p").join(cells(c, "g"), "project_id")
+    ask = left.join(plan, "project_id").withColumns({"ask": F.lit(True), "i": own("p", 1), "j": F.explode(F.sequence(F.lit(0), F.col("g") - 1))})
+    give = right.join(plan, "project_id").withColumns({"ask": F.lit(False), "j": own("g", 2), "i": F.explode(F.sequence(F.lit(0), F.col("p") - 1))})
+    both = ask.unionByName(give).select(F.xxhash64("project_id", "i", "j").alias("cell"), *left.columns, "ask")
+    met = both.repartition("cell").sortWithinPartitions("cell", "filename", "id")
+    found = met.mapInArrow(lambda it: _best_of_cells(it, limit), "project_id string, s_id string, c_id string, filename string, weight long, score double")
+    order = Window.partitionBy("s_id").orderBy(F.desc("score"), F.desc("weight"), "filename", "c_id")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select("project_id", "s_id", "c_id")
 
 
 def normalized_key(filename: Column, number: Column, text: Column) -> Column:
@@ -89,19 +182,23 @@ def merge_semantic(scored: DataFrame, boosts: DataFrame, parity: bool = False) -
     return both.select("s_id", "c_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("score"), reason.alias("match_reason"))
 
 
-def related_requirements(sources: DataFrame, requirements: DataFrame, boosts: DataFrame | None = None, limit: int = 20, source_filename: str | None = None, mode: str = "exact") -> DataFrame:
-    """The `limit` best candidates of each source (s_id, rank, c_id, score, match_reason)."""
+def related_requirements(sources: DataFrame, requirements: DataFrame, boosts: DataFrame | None = None, limit: int = 20, source_filename: str | None = None, parity: bool = False) -> DataFrame:
+    """The `limit` best candidates of each source (s_id, rank, c_id, score, match_reason), for few sources or for all."""
     live = requirements
     if source_filename:
         key = lambda x: F.lower(T.strip(F.regexp_replace(x, r"\s+", " ")))
         live = live.where(key(T.blank_if_null("filename")) != " ".join(source_filename.lower().split()))
-    scored = score_related(sources, live, mode).where("s_id <> c_id and score > 0")
+    s, c = _prepared(sources, "s_"), _prepared(live, "c_")
+    keys = shortlist(s, c, limit)
+    if boosts is not None:  # what a boost could lift is scored too
+        allowed = boosts.join(c.select("c_id"), "c_id", "left_semi")
+        keys = keys.unionByName(allowed.join(s.select("project_id", "s_id"), "s_id").select("project_id", "s_id", "c_id")).distinct()
+    scored = score_pairs(keys.join(s, ["project_id", "s_id"]).join(c, ["project_id", "c_id"])).where("s_id <> c_id and score > 0")
     rows = scored.select("s_id", "c_id", "score", "match_reason")
     if boosts is not None:
-        allowed = live.select(F.col("id").cast("string").alias("c_id"))
-        rows = merge_semantic(rows, boosts.join(allowed, "c_id", "left_semi"))
-    names = live.select(F.col("id").cast("string").alias("c_id"), "filename").withColumn("weight", T.filename_weight(F.col("filename")))
-    order = Window.partitionBy("s_id").orderBy(F.desc("score"), F.desc("weight"), T.blank_if_null("filename"), "c_id")
+        rows = merge_semantic(rows, allowed, parity)
+    names = c.select("c_id", F.col("c_filename").alias("filename"), T.filename_weight(F.col("c_filename")).alias("weight"))
+    order = Window.partitionBy("s_id").orderBy(F.desc("score"), F.desc("weight"), "filename", "c_id")
     ranked = rows.join(names, "c_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return ranked.select("s_id", "rank", "c_id", "score", "match_reason")
 

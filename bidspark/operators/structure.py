@@ -147,19 +147,29 @@ def structure_metrics(sections: DataFrame, total_chars: DataFrame) -> DataFrame:
     return out.select("document_id", "section_count", "prose_block_count", "suspicious_empty_section_count", ratio.alias("coverage_ratio"), "orphan_content_count", (F.col("prose_block_count") + 2 * F.col("filled")).alias("body_signal_score"))
 
 
+#: The names of the parse modes, and why another than the structural one was taken.
+PARSE_MODES = {"structural": "docling_structural", "markdown": "hybrid_markdown_fill", "text": "tika_fallback", "none": "manual_review_required"}
+FALLBACKS = {"markdown": "docling_body_signal_low", "text": "docling_and_markdown_body_signal_low", "none": "no_reliable_structural_source"}
+
+
 def select_parse_mode(metrics: DataFrame) -> DataFrame:
-    """(document_id, parse_mode, fallback_reason) from rows per document and source (structural, markdown, text)."""
+    """(document_id, parse_mode, fallback_reason) from rows per document and source (structural, markdown, text).
+
+    Markdown, or the plain text where there is no Markdown, wins whenever it yields sections and prose; without that a
+    sound structural source is taken, then a source whose body outweighs its contents list.
+    """
     pick = lambda s, c: F.max(F.when(F.col("source") == s, F.col(c)))
     names = ("section_count", "prose_block_count", "suspicious_empty_section_count", "coverage_ratio", "toc_signal_score", "body_signal_score")
     wide = metrics.groupBy("document_id").agg(*[pick(s, c).alias(f"{s}_{c}") for s in ("structural", "markdown", "text") for c in names])
     at = lambda s, c: F.coalesce(F.col(f"{s}_{c}"), F.lit(0))
-    good = (at("structural", "section_count") > 0) & (at("structural", "body_signal_score") >= F.greatest(at("structural", "toc_signal_score"), F.lit(1)))
-    good = good & (at("structural", "coverage_ratio") >= 0.45) & (at("structural", "suspicious_empty_section_count") <= F.greatest(F.lit(1), F.floor(at("structural", "section_count") / 2)))
+    filled = lambda s: (at(s, "section_count") > 0) & (at(s, "prose_block_count") > 0)
     alive = lambda s: (at(s, "section_count") > 0) & (at(s, "body_signal_score") > at(s, "toc_signal_score"))
-    first = (at("markdown", "section_count") > 0) & (at("markdown", "prose_block_count") > 0)
-    say = lambda m, r: F.struct(F.lit(m).alias("m"), F.lit(r).cast("string").alias("r"))
-    mode = F.when(good, say("structural", None)).when(alive("markdown") | first, say("markdown", "structural_body_signal_low"))
-    mode = mode.when(alive("text"), say("text", "structural_and_markdown_body_signal_low")).otherwise(say("manual_review", "no_reliable_structural_source"))
+    sound = (at("structural", "section_count") > 0) & (at("structural", "body_signal_score") >= F.greatest(at("structural", "toc_signal_score"), F.lit(1)))
+    sound = sound & (at("structural", "coverage_ratio") >= 0.45) & (at("structural", "suspicious_empty_section_count") <= F.greatest(F.lit(1), F.floor(at("structural", "section_count") / 2)))
+    no_markdown = F.col("markdown_section_count").isNull()
+    say = lambda m: F.struct(F.lit(PARSE_MODES[m]).alias("m"), F.lit(FALLBACKS.get(m)).cast("string").alias("r"))
+    mode = F.when(filled("markdown"), say("markdown")).when(no_markdown & filled("text"), say("text")).when(sound, say("structural"))
+    mode = mode.when(alive("markdown"), say("markdown")).when(alive("text"), say("text")).otherwise(say("none"))
     return wide.withColumn("x", mode).select("document_id", F.col("x.m").alias("parse_mode"), F.col("x.r").alias("fallback_reason"))
 
 
@@ -231,13 +241,14 @@ def appendix_sections(sections: DataFrame) -> DataFrame:
     return sections.where("tree_kind is not null and tree_kind <> 'MAIN'")
 
 
-def audit_documents(sections: DataFrame, candidates: DataFrame, reviews: DataFrame, tables: DataFrame) -> DataFrame:
-    """One row per document: counts of sections, candidates, reviews, and tables without a section."""
-    out = sections.where("section_order is not null").groupBy("document_id").agg(F.count("*").alias("section_count"))
-    counts = ((candidates, "candidate_count", F.count("*")), (reviews, "review_count", F.count("*")), (tables, "unassigned_table_count", F.sum(F.col("section_number").isNull().cast("int"))))
-    for df, name, agg in counts:
-        out = out.join(df.groupBy("document_id").agg(agg.alias(name)), "document_id", "left")
-    return out.na.fill(0)
+def audit_documents(metrics: DataFrame, modes: DataFrame, blocks: DataFrame, candidates: DataFrame, reviews: DataFrame, tables: DataFrame) -> DataFrame:
+    """One row per document of `metrics`: its metrics and mode, and counts of blocks, candidates, reviews, and tables without a section."""
+    out = metrics.join(modes, "document_id", "left").withColumnsRenamed({"parse_mode": "parse_mode_selected"})
+    out = out.withColumn("metrics_json", F.to_json(F.struct(*[c for c in out.columns if c != "document_id"])))
+    loose = F.sum((T.blank_if_null("section_number") == "").cast("int"))
+    for df, name, agg in ((blocks, "block_count", F.count("*")), (candidates, "requirement_candidate_count", F.count("*")), (reviews, "review_count", F.count("*")), (tables, "unassigned_table_count", loose)):
+        out = out.join(df.groupBy("document_id").agg(agg.cast("long").alias(name)), "document_id", "left").na.fill(0, [name])
+    return out.withColumns({"heading_count": F.col("section_count"), "unassigned_block_count": F.col("orphan_content_count")})
 
 
 def hierarchy_quality(sections: DataFrame, none: str = "weak", strong_provider: str | None = None) -> DataFrame:
@@ -255,13 +266,51 @@ def flat_sections(sections: DataFrame) -> DataFrame:
     return rows.join(parents, ["document_id", "parent_order"], "left").withColumn("section_id", T.section_id(F.col("section_number"), F.col("section_title")))
 
 
-def build_artifacts(documents: DataFrame, sections: DataFrame) -> DataFrame:
-    """(document_id, artifact_json): one nested record per document, sections in order."""
-    lists = sections.where("section_number is not null").groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section_order", "section_number", "section_title"))), lambda s: F.struct(T.section_id(s["section_number"], s["section_title"]).alias("section_id"), s["section_number"].alias("section_number"), s["section_title"].alias("section_title"))).alias("sections"))
-    both = documents.join(lists, "document_id", "left")
-    n = F.size(F.coalesce("sections", F.array().cast(lists.schema["sections"].dataType)))
-    record = F.struct(F.lit("structured_document_v1").alias("schema"), F.struct("document_id", "filename").alias("source"), F.struct(F.col("text").alias("full_text")).alias("cleaned_text"), F.struct(F.when(n >= 3, "strong").when(n > 0, "partial").otherwise("weak").alias("quality"), "sections").alias("hierarchy"))
-    return both.select("document_id", F.to_json(record).alias("artifact_json"))
+def build_artifacts(documents: DataFrame, sections: DataFrame, blocks: DataFrame | None = None, objects: DataFrame | None = None) -> DataFrame:
+    """(document_id, artifact_json): one nested record per document; sections, blocks and objects in order.
+
+    documents: document_id, filename, text; blocks: document_id, document_order, block_type, normalized_text and, if
+    known, page_start; objects, as `align_objects` places them: document_id, block_id, document_order, object_type,
+    section_number, confidence, method and, if known, rows. Trees stay flat: each section names its parent and depth.
+    """
+
+    def listed(df: DataFrame, name: str, order: str, fields: list[Column]) -> DataFrame:
+        rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*fields).alias("x")))), lambda s: s["x"])
+        return df.groupBy("document_id").agg(rows.alias(name))
+
+    flat = flat_sections(sections.where("section_number is not null").select("document_id", "section_order", "section_number", "section_title"))
+    out = documents.join(listed(flat, "sections", "section_order", [F.col(c) for c in ("section_id", "section_number", "section_title", "parent_number", "depth")]), "document_id", "left")
+    kind = out.schema["sections"].dataType
+    out = out.withColumn("sections", F.coalesce("sections", F.array().cast(kind)))
+    if blocks is not None:
+        page = F.col("page_start") if "page_start" in blocks.columns else F.lit(None).cast("int")
+        rows = blocks.select("document_id", "document_order", F.col("block_type").alias("kind"), F.col("normalized_text").alias("text"), page.alias("page"))
+        out = out.join(listed(rows, "blocks", "document_order", [F.col(c) for c in ("document_order", "kind", "text", "page")]), "document_id", "left")
+    else:
+        out = out.withColumn("blocks", F.array().cast("array<struct<document_order:int,kind:string,text:string,page:int>>"))
+    if objects is not None:
+        grid = F.col("rows") if "rows" in objects.columns else F.array().cast("array<array<string>>")
+        rows = objects.select("document_id", "document_order", "object_type", F.struct(F.col("block_id").alias("object_id"), F.col("section_number").alias("attached_section_id"), F.col("confidence").alias("attachment_confidence"), F.col("method").alias("attachment_method"), grid.alias("rows")).alias("x"))
+        out = out.join(listed(rows, "objects", "document_order", [F.col("object_type"), F.col("x")]), "document_id", "left")
+    else:
+        out = out.withColumn("objects", F.array().cast("array<struct<object_type:string,x:struct<object_id:string,attached_section_id:string,attachment_confidence:double,attachment_method:string,rows:array<array<string>>>>>"))
+    for name in ("blocks", "objects"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+    n, found = F.size("sections"), F.size("sections") > 0
+    of = lambda t: F.transform(F.filter("objects", lambda o: o["object_type"] == t), lambda o: o["x"])
+    pages = F.array_sort(F.array_distinct(F.array_compact(F.transform("blocks", lambda b: b["page"]))))
+    loose = F.transform(F.filter("objects", lambda o: F.coalesce(o["x"]["attached_section_id"], F.lit("")) == ""), lambda o: o["x"]["object_id"])
+    wanted = F.exists("sections", lambda s: F.lower(T.blank_if_null(s["section_title"])).contains("requirement"))
+    record = F.struct(
+        F.lit("structured_document_v1").alias("artifact_type"), T.document_digest(F.col("filename"), F.col("text")).alias("document_id"), F.struct("filename").alias("source"),
+        F.struct(F.lit("pws_sow").alias("document_type"), F.when(found, 0.9).otherwise(0.55).alias("document_type_confidence"), F.array_max(pages).alias("page_count")).alias("metadata"),
+        F.struct(T.blank_if_null("text").alias("full_text"), F.lit("pws_clean_v2").alias("cleaning_profile")).alias("cleaned_text"),
+        F.struct(F.when(n >= 3, "strong").when(found, "partial").otherwise("weak").alias("quality"), "sections", F.transform(F.filter("sections", lambda s: s["parent_number"].isNull()), lambda s: s["section_id"]).alias("root_sections")).alias("hierarchy"),
+        F.struct(of("table").alias("tables"), of("image").alias("images")).alias("objects"), F.col("blocks"),
+        F.struct(F.struct(F.lit(True).alias("applied"), F.when(found, 0.93).otherwise(0.6).alias("confidence"), wanted.alias("requirements_detected"), loose.alias("unplaced_object_ids")).alias("pws")).alias("enrichments"),
+        F.struct(pages.alias("source_pages")).alias("provenance"),
+    )
+    return out.select("document_id", F.to_json(record).alias("artifact_json"))
 
 
 def outline_stats(nodes: DataFrame) -> DataFrame:
@@ -330,27 +379,39 @@ def heading_anchors(sections: DataFrame, headings: DataFrame, least: float = 0.7
     step = F.greatest((F.col("n.at") - F.col("p.at")) / (F.col("n.i") - F.col("p.i")), F.lit(1.0))
     between = F.bround(F.col("p.at") + step * (F.col("i") - F.col("p.i")))
     start = F.coalesce(F.col("at").cast("double"), between, F.col("p.at") + F.col("i") - F.col("p.i"), F.greatest(F.col("n.at") - (F.col("n.i") - F.col("i")), F.lit(0)), F.col("i") - 1).cast("int")
-    rows = rows.withColumn("start_order", start)
+    rows = rows.withColumns({"start_order": start, "matched": F.col("at").isNotNull()})
     return rows.withColumn("end_order", F.lead("start_order").over(by) - 1).drop("i", "p", "n", "at")
 
 
 def align_objects(objects: DataFrame, anchors: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Section of each object: explicit heading (.98), preceding heading (.84), order window (.80), else word overlap
-    (at most .69); below the threshold an object stays unplaced."""
-    s = anchors.select("document_id", F.col("section_number").alias("n"), "start_order", "end_order", T.tokens_title(F.col("section_title")).alias("sw"))
+    """Section of each object: explicit heading (.98), preceding heading (.84), window of a matched anchor (.72 by order,
+    .08 more by page), else words shared with a title (at most .69); below the threshold an object stays unplaced.
+
+    Optional columns: objects page_start and caption; anchors page_start, page_end and matched.
+    """
+    col = lambda df, c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    s = anchors.select("document_id", F.col("section_number").alias("n"), "section_order", "start_order", "end_order", T.tokens_title(F.col("section_title")).alias("sw"), col(anchors, "page_start", "int").alias("p0"), col(anchors, "page_end", "int").alias("p1"), F.coalesce(col(anchors, "matched", "boolean"), F.lit(True)).alias("matched"))
     known = s.select("document_id", "n").distinct()
-    rows = objects
+    near = T.tokens_title(F.concat_ws(" ", col(objects, "caption", "string"), F.array_join("before", " "), F.array_join("after", " ")))
+    rows = objects.withColumns({"ow": near, "page": col(objects, "page_start", "int")})
     for c, name in (("explicit_heading", "e"), ("preceding_heading", "p")):
         k = known.select("document_id", F.col("n").alias("__n"), F.col("n").alias(name))
         rows = rows.withColumn("__n", F.col(f"{c}.section_number")).join(k, ["document_id", "__n"], "left").drop("__n")
-    inside = rows.select("document_id", "block_id", "document_order").join(s, "document_id").where((F.col("start_order") <= F.col("document_order")) & (F.col("end_order").isNull() | (F.col("document_order") <= F.col("end_order"))))
-    window = inside.groupBy("document_id", "block_id").agg(F.max_by("n", "start_order").alias("w"))
-    rows = rows.join(window, ["document_id", "block_id"], "left")
-    placed = lambda n, c, m: F.struct(n.alias("n"), F.lit(c).alias("c"), F.lit(m).alias("m"))
-    say = F.when(F.col("e").isNotNull(), placed(F.col("e"), 0.98, "explicit_heading_context"))
-    say = say.when(F.col("p").isNotNull(), placed(F.col("p"), 0.84, "nearest_preceding_heading")).when(F.col("w").isNotNull(), placed(F.col("w"), 0.8, "page_order_window")).otherwise(placed(F.lit(None).cast("string"), 0.0, "unplaced"))
-    out = rows.withColumn("x", say).select("document_id", "block_id", "document_order", F.when(F.col("x.c") >= threshold, F.col("x.n")).alias("section_number"), F.col("x.c").alias("confidence"), F.when(F.col("x.c") >= threshold, F.col("x.m")).otherwise("unplaced").alias("method"))
-    return out
+    # only what no heading places looks at the document's anchors
+    open_ones = rows.where("e is null and p is null").select("document_id", "block_id", "document_order", "page", "ow").join(s, "document_id")
+    in_order = (F.col("start_order") <= F.col("document_order")) & (F.col("end_order").isNull() | (F.col("document_order") <= F.col("end_order")))
+    in_page = (F.col("p0") <= F.col("page")) & (F.col("page") <= F.col("p1"))
+    window = F.when(F.col("matched") & in_order, F.when(in_page, 0.8).otherwise(0.72))
+    shared = T.overlap_ratio(F.col("ow"), F.col("sw"))
+    best = lambda score, least: F.max(F.when(score >= least, F.struct(score.alias("score"), (-F.col("section_order")).alias("o"), F.col("n").alias("n"))))
+    found = open_ones.groupBy("document_id", "block_id").agg(best(window, 0.6).alias("w"), best(shared, 0.5).alias("l"))
+    rows = rows.join(found, ["document_id", "block_id"], "left")
+    placed = lambda n, c, m: F.struct(n.alias("n"), c.alias("c"), F.lit(m).alias("m"))
+    say = F.when(F.col("e").isNotNull(), placed(F.col("e"), F.lit(0.98), "explicit_heading_context"))
+    say = say.when(F.col("p").isNotNull(), placed(F.col("p"), F.lit(0.84), "nearest_preceding_heading")).when(F.col("w").isNotNull(), placed(F.col("w.n"), F.col("w.score"), "page_order_window"))
+    say = say.when(F.col("l").isNotNull(), placed(F.col("l.n"), F.least(F.lit(0.45) + F.col("l.score"), F.lit(0.69)), "lexical_overlap")).otherwise(placed(F.lit(None).cast("string"), F.lit(0.0), "unplaced"))
+    on = F.col("x.c") >= threshold
+    return rows.withColumn("x", say).select("document_id", "block_id", "document_order", F.when(on, F.col("x.n")).alias("section_number"), F.col("x.c").alias("confidence"), F.when(on, F.col("x.m")).otherwise("unplaced").alias("method"))
 
 
 def unplaced_objects(decisions: DataFrame) -> DataFrame:
@@ -369,13 +430,21 @@ def merged_outline_nodes(sections: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.where("section_number is not null").select("document_id", "section_number", "document_order", F.concat("section_number", F.lit("."), "kind", F.row_number().over(seat).cast("string")).alias("node_id"), "block_type", "normalized_text")
 
 
-def hierarchy_rows(sections: DataFrame) -> DataFrame:
-    """Labels of levels 1 to 4 and one row per paragraph of the section (a blank one if it has none)."""
+def hierarchy_rows(sections: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Labels of levels 1 to 4 and one row per paragraph and then per table of the section (a blank one if it has neither).
+
+    tables: document_id, table_index, heading_path (section numbers, as `heading_paths` joins them) and normalized_text.
+    """
     label = T.strip(F.concat_ws(" ", "section_number", "section_title"))
     rows = sections.where("section_order is not null").withColumn("label", label)
-    rows = heading_paths(rows, "section_order", "heading_level", "label", "label", "tree_kind")
+    rows = heading_paths(rows, "section_order", "heading_level", "label", "section_number", "tree_kind")
     chain = F.split("heading_path", " > ")
     parts = F.filter(F.split(T.blank_if_null("body_text"), r"\n{2,}"), lambda x: T.strip(x) != "")
+    if tables is not None:
+        live = tables.where((T.blank_if_null("heading_path") != "") & (T.strip(T.blank_if_null("normalized_text")) != ""))
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("table_index", T.strip("normalized_text").alias("x")))), lambda s: s["x"])
+        rows = rows.join(live.groupBy("document_id", F.col("heading_path").alias("title_path")).agg(texts.alias("__tables")), ["document_id", "title_path"], "left")
+        parts = F.concat(parts, F.coalesce("__tables", F.array().cast("array<string>")))
     out = rows.select("document_id", "section_order", *[T.blank_if_null(F.get(chain, F.lit(k))).alias(f"level_{k + 1}") for k in range(4)], F.posexplode_outer(parts).alias("i", "content"))
     return out.withColumns({"i": F.coalesce("i", F.lit(0)), "content": T.blank_if_null("content")})
 
@@ -469,7 +538,7 @@ def render_markdown_table(rows: Column) -> Column:
     width = F.array_max(F.transform(rows, F.size))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), width), lambda i: T.blank_if_null(F.get(r, i - 1))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), width), lambda i: F.lit("---")), " | "), F.lit(" |"))
-    body = F.transform(F.slice(rows, 2, 1_000_000), line)
+    body = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)
     return F.array_join(F.concat(F.array(line(rows[0]), rule), body), "\n")
 
 

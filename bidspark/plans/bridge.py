@@ -41,19 +41,21 @@ def normalizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.unionByName(old)
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    return d.select(
-        "project_id", "filename", "document_id", "doc_id", F.lit("docling").alias("provider"), "content_sha256", (F.col("doc_id") % 4).alias("section_index"), F.when(F.expr("doc_id % 5 = 0"), "DOCUMENT").otherwise(F.concat(F.lit("L."), F.col("doc_id") % 6)).alias("section_path"), F.when(F.expr("doc_id % 3 = 0"), "Document Body").otherwise(F.concat(F.lit("Heading "), F.col("doc_id") % 10)).alias("section_heading"), prefixed(F.col("extracted_text"), F.col("doc_id")).alias("body_text")
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(
+        "project_id", "filename", "document_id", "doc_id", F.lit("docling").alias("provider"), "content_sha256", (F.col("doc_id") % 4).alias("section_index"), F.when(F.expr("doc_id % 5 = 0"), "DOCUMENT").otherwise(F.concat(F.lit("L."), F.col("doc_id") % 6)).alias("section_path"), F.when(F.expr("doc_id % 3 = 0"), "Document Body").otherwise(F.concat(F.lit("Heading "), F.col("doc_id") % 10)).alias("section_heading"), "extracted_text"
     )
 
 
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sections(spark, sf_dir).withColumn("body_text", prefixed(F.col("extracted_text"), F.col("doc_id"))).drop("extracted_text")
+
+
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the sections' tables: the lines of each document, each with the document's prefix."""
     p = _pick(PREFIXES, F.col("doc_id") % 9)
     text = F.concat(p, F.regexp_replace(F.coalesce("extracted_text", F.lit("")), F.lit("\n"), F.concat(F.lit("\n"), p)))
-    s = sections(spark, sf_dir).drop("body_text").withColumnRenamed("section_index", "table_index")
-    return s.join(documents(spark, sf_dir).select("document_id", text.alias("body_text")), "document_id")
+    return _sections(spark, sf_dir).withColumn("body_text", text).withColumnRenamed("section_index", "table_index").drop("extracted_text")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +79,10 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One requirement per document: its first sentence behind its prefix."""
-    d = documents(spark, sf_dir).withColumn("t", F.concat(_pick(PREFIXES, F.col("doc_id") % 9), F.substring_index(F.coalesce("extracted_text", F.lit("")), ".", 1)))
+    """One requirement per document: its whole text, each sentence behind the document's prefix."""
+    d = documents(spark, sf_dir)
     return d.select(
-        F.col("id"), "project_id", "document_id", "filename", F.concat((F.col("doc_id") % 3 + 1).cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string")).alias("section_number"), F.concat(F.lit("Heading "), F.col("doc_id") % 10).alias("section_heading"), F.lit("").alias("heading_path"), F.col("t").alias("requirement_text"), F.get(F.array(*map(F.lit, ("shall", "must", "will"))), (F.col("doc_id") % 3).cast("int")).alias("modality"), F.when(F.expr("doc_id % 2 = 0"), "contractor").alias("actor"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("object_text"), "doc_id"
+        F.col("id"), "project_id", "document_id", "filename", F.concat((F.col("doc_id") % 3 + 1).cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string")).alias("section_number"), F.concat(F.lit("Heading "), F.col("doc_id") % 10).alias("section_heading"), F.lit("").alias("heading_path"), prefixed(F.col("extracted_text"), F.col("doc_id")).alias("requirement_text"), F.get(F.array(*map(F.lit, ("shall", "must", "will"))), (F.col("doc_id") % 3).cast("int")).alias("modality"), F.when(F.expr("doc_id % 2 = 0"), "contractor").alias("actor"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("object_text"), "doc_id"
     )
 
 
@@ -112,6 +114,6 @@ b_blocks AS (SELECT document_id, project_id, document_order, CASE WHEN app THEN
   CASE WHEN app THEN 1 WHEN is_head THEN ([1, 2, 2, 3])[CAST(i % 4 + 1 AS INTEGER)] END AS heading_level, CASE WHEN is_head THEN regexp_extract(line, '^(\\S+(?: \\S+){{0,3}})', 1) END AS heading_title, CASE WHEN app THEN 'APPENDIX' WHEN is_head THEN 'MAIN' END AS tree_kind,
   CASE WHEN is_head THEN (CASE WHEN app THEN 'APPENDIX ' || chr(CAST(65 + i % 26 AS INTEGER)) ELSE number END) || ' ' || regexp_extract(line, '^(\\S+(?: \\S+){{0,3}})', 1) ELSE line END AS normalized_text FROM b_named),
 b_chunks AS (SELECT 'p-' || vec_id AS point_id, coalesce(CAST(label AS VARCHAR), '') AS project_id, (['section', 'requirement', 'table'])[CAST(vec_id % 3 + 1 AS INTEGER)] AS chunk_kind, ({_list(FILENAMES)})[CAST((vec_id // 3) % 8 + 1 AS INTEGER)] AS filename, 'c-' || (vec_id % 50) AS chunk_index, 'text ' || (vec_id % 40) AS text, embedding AS vector, vec_id FROM embeddings),
-b_requirements AS (SELECT id, project_id, document_id, filename, (doc_id % 3 + 1) || '.' || (doc_id % 4) AS section_number, 'Heading ' || (doc_id % 10) AS section_heading, prefix || string_split(coalesce(extracted_text, ''), '.')[1] AS requirement_text, (['shall', 'must', 'will'])[CAST(doc_id % 3 + 1 AS INTEGER)] AS modality, CASE WHEN doc_id % 2 = 0 THEN 'contractor' END AS actor, doc_id FROM b_documents),
+b_requirements AS (SELECT id, project_id, document_id, filename, (doc_id % 3 + 1) || '.' || (doc_id % 4) AS section_number, 'Heading ' || (doc_id % 10) AS section_heading, body_text AS requirement_text, (['shall', 'must', 'will'])[CAST(doc_id % 3 + 1 AS INTEGER)] AS modality, CASE WHEN doc_id % 2 = 0 THEN 'contractor' END AS actor, doc_id FROM b_body),
 b_grid AS (SELECT p_brand AS document_id, p_brand || ':table:0' AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_index, [p_name, p_type, CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN 'The Contractor shall deliver' ELSE 'none' END] AS r FROM part)
 """

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidspark.functions import lexicons as L
@@ -67,6 +68,7 @@ def requirement_export(spark, sf):
 
 
 query("submission_requirements", EXPORT_SQL + f"SELECT * FROM (SELECT *, coalesce({SUBMISSION}, CASE WHEN requirement_type = 'submission' THEN 'content' END) AS submission_category FROM export) WHERE submission_category IS NOT NULL")(lambda s, d: X.submission_requirements(_export(s, d)))
+query("requirement_export_all")(lambda s, d: X.project_requirement_export(B.sections(s, d), B.tables(s, d), X.extract_requirements(B.sections(s, d)), B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
 query("split_sentences", f", {SENTENCES} SELECT document_id, sentence_index, sentence FROM s_raw")(lambda s, d: X.split_sentences(B.sections(s, d), "body_text").select("document_id", "sentence_index", "sentence"))
 query("extract_requirements", f", {SENTENCES} SELECT document_id, section_path, sentence_index AS requirement_index, sentence AS requirement_text, {_case('sentence', L.REQUIREMENT_TYPES)} AS requirement_type FROM s_raw WHERE {_case('sentence', L.REQUIREMENT_TYPES)} IS NOT NULL")(lambda s, d: X.extract_requirements(B.sections(s, d)).select("document_id", "section_path", "requirement_index", "requirement_text", "requirement_type"))
 query("markdown_export")(lambda s, d: X.markdown_export_rows(B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
@@ -143,7 +145,7 @@ _text("is_weak_text", T.is_weak_text, f"length({STRIP('text')}) < 1500 OR CASE W
 _text("strip_classification", lambda c: T.strip_classification(F.concat(F.lit("(U) (S//NF) "), c)), STRIP("text"))
 _text("strip_inline_markdown", lambda c: T.strip_inline_markdown(F.concat(F.lit("**A** __b__ `c` "), c)), "regexp_replace(regexp_replace(regexp_replace('**A** __b__ `c` ' || text, '\\*\\*(.*?)\\*\\*', '\\1', 'g'), '__(.*?)__', '\\1', 'g'), '`([^`]+)`', '\\1', 'g')")
 _text("strip_tags", T.strip_tags, "regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')", "pages", "html", "page_id")
-_text("html_unescape", T.html_unescape, "replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')", "pages", "html", "page_id")
+_text("html_unescape", T.html_unescape, "replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')", "pages", "html", "page_id")
 _text("compact_text", T.compact_text, f"CASE WHEN length({STRIP('text')}) <= 700 THEN {STRIP('text')} ELSE regexp_replace(substring({STRIP('text')}, 1, 697), '\\s+$', '') || '...' END")
 _SLUG = "regexp_replace(substring(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '')"
 _text("slug", T.slug, f"CASE WHEN {_SLUG} = '' THEN 'item' ELSE {_SLUG} END")
@@ -165,10 +167,14 @@ _PWS = f"contains({_NAME}, 'pws') OR contains({_NAME}, 'sow') OR contains({_NAME
 _PRIORITY = "CASE " + " ".join(f"WHEN regexp_matches(filename, '(?i){p}') THEN {n}" for n, p in L.DOC_PRIORITIES) + " ELSE 50 END"
 _NOISY = "(" + " OR ".join(f"regexp_matches(filename, '(?i){p}')" for p in L.NOISY_FILENAMES) + ")"
 query("document_tags", f" SELECT id, {_PRIORITY} AS priority, array_to_string(list_filter([CASE WHEN regexp_extract(upper(filename), 'APPENDIX[_\\s-]*([A-Z])', 1) <> '' THEN 'APPENDIX ' || regexp_extract(upper(filename), 'APPENDIX[_\\s-]*([A-Z])', 1) END, CASE WHEN contains(upper(filename), 'IDIQ') AND contains(upper(filename), 'PWS') THEN 'BASE IDIQ PWS' END], lambda x: x IS NOT NULL), ',') AS tags, {_PWS} AS pws FROM b_documents")(lambda s, d: B.documents(s, d).select("id", T.doc_priority(F.col("filename")).alias("priority"), F.array_join(T.derive_document_tags(F.col("filename")), ",").alias("tags"), T.is_likely_pws(F.col("filename"), F.col("extracted_text")).alias("pws")))
-query("extraction_route")(lambda s, d: B.documents(s, d).select("id", T.extraction_route(F.col("filename"), F.col("extracted_text")).alias("route")))
+_STRIPPED = STRIP("coalesce(extracted_text, '')")
+query("extraction_route", f" SELECT id, CASE WHEN NOT ends_with(lower(filename), '.pdf') THEN 'default' WHEN length({_STRIPPED}) < 1500 OR CASE WHEN length(regexp_replace({_STRIPPED}, '\\s', '', 'g')) > 0 THEN length(regexp_replace({_STRIPPED}, '[^\\p{{L}}]', '', 'g')) / length(regexp_replace({_STRIPPED}, '\\s', '', 'g')) ELSE 0 END < 0.55 THEN 'ocr' ELSE 'fast' END AS route FROM b_documents")(lambda s, d: B.documents(s, d).select("id", T.extraction_route(F.col("filename"), F.col("extracted_text")).alias("route")))
 query("section_numbers", " SELECT document_id, document_order, CASE WHEN CAST(string_split(numbering_token, '.')[1] AS INTEGER) >= 3 THEN (CAST(string_split(numbering_token, '.')[1] AS INTEGER) - 2) || substring(numbering_token, length(string_split(numbering_token, '.')[1]) + 1) ELSE numbering_token END AS remapped, CASE WHEN contains(numbering_token, '.') THEN regexp_replace(numbering_token, '\\.[^.]*$', '') END AS parent, len(string_split(numbering_token, '.')) AS depth FROM b_blocks WHERE block_type = 'heading'")(lambda s, d: B.blocks(s, d).where("block_type = 'heading'").select("document_id", "document_order", T.remap_section_number(F.col("numbering_token")).alias("remapped"), T.parent_section_number(F.col("numbering_token"), F.col("tree_kind")).alias("parent"), T.section_depth(F.col("numbering_token"), F.col("tree_kind")).alias("depth")))
 query("references", ", r AS (SELECT document_id, regexp_extract_all(body_text, '(?i)\\bsections?\\s+(\\d+(?:\\.\\d+)*)', 1) AS s FROM b_body) SELECT document_id, array_to_string(list_sort(list_distinct(s)), ',') AS sections FROM r")(lambda s, d: B.sections(s, d).select("document_id", F.array_join(F.array_sort(T.section_refs(F.col("body_text"))), ",").alias("sections")))
-query("appendix_references")(lambda s, d: B.sections(s, d).select("document_id", F.array_join(T.appendix_refs_ranged(F.col("body_text")), ",").alias("ranged"), F.array_join(T.appendix_refs(F.col("body_text")), ",").alias("single")))
+_SINGLE = "regexp_extract_all(body_text, '(?i)\\bappendix(?:es)?\\s+([A-Z](?:\\s*[,\\-]\\s*[A-Z])*)', 1)"
+_RANGE = lambda k: f"regexp_extract_all(body_text, '(?i)\\bAppendices?\\s+([A-Z])\\s*[–\\-]\\s*([A-Z])([A-Z\\s,]*)(?:&\\s*([A-Z]))?', {k})"
+_LETTERS_SQL = f"""list_concat(flatten(list_transform(list_zip({_RANGE(1)}, {_RANGE(2)}, {_RANGE(3)}, {_RANGE(4)}), lambda z: list_concat(list_transform(range(least(ascii(upper(z[1])), ascii(upper(z[2]))), greatest(ascii(upper(z[1])), ascii(upper(z[2]))) + 1), lambda x: chr(CAST(x AS INTEGER))), list_concat(regexp_extract_all(z[3], '[A-Z]'), list_filter([upper(z[4])], lambda x: x <> ''))))), list_transform(regexp_extract_all(body_text, '(?i)\\bAppendix\\s+([A-Z])\\b', 1), lambda x: upper(x)))"""
+query("appendix_references", f" SELECT document_id, array_to_string(list_sort(list_distinct({_LETTERS_SQL})), ',') AS ranged, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform({_SINGLE}, lambda x: regexp_split_to_array(upper(x), '\\s*[,\\-]\\s*'))), lambda x: x <> ''))), ',') AS single FROM b_body")(lambda s, d: B.sections(s, d).select("document_id", F.array_join(F.array_sort(T.appendix_refs_ranged(F.col("body_text"))), ",").alias("ranged"), F.array_join(F.array_sort(T.appendix_refs(F.col("body_text"))), ",").alias("single")))
 query("bullets")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.normalize_bullet(F.concat(F.lit("o (U) "), "normalized_text")).alias("bullet"), F.size(T.expand_inline_bullets(F.concat("normalized_text", F.lit(" o Next")))).alias("lines")))
 query("heading_candidates")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.normalize_heading_candidate(F.concat(F.lit("(U) "), "normalized_text", F.lit(" ..... 12"))).alias("candidate"), T.strip_trailing_page_digits(F.concat("normalized_text", F.lit("12"))).alias("title")))
 
@@ -198,9 +204,43 @@ def _chars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("structure_metrics", _SECTIONS + " SELECT document_id, count(*) AS section_count, CAST(sum(prose_blocks) AS BIGINT) AS prose_block_count, CAST(sum(CASE WHEN prose_blocks = 0 THEN 1 ELSE 0 END) AS BIGINT) AS suspicious_empty_section_count, CAST(sum(prose_blocks) + 2 * sum(CASE WHEN prose_blocks > 0 THEN 1 ELSE 0 END) AS BIGINT) AS body_signal_score FROM a1 GROUP BY 1")(lambda s, d: St.structure_metrics(_assembled(s, d), _chars(s, d)).select("document_id", "section_count", "prose_block_count", "suspicious_empty_section_count", "body_signal_score"))
-query("select_parse_mode")(lambda s, d: St.select_parse_mode(St.structure_metrics(_assembled(s, d), _chars(s, d)).withColumns({"source": F.lit("structural"), "toc_signal_score": F.lit(0)})))
+
+
+def _number() -> Column:
+    """A document's number, from its id."""
+    return F.regexp_extract("document_id", r"(\d+)$", 1).cast("long")
+
+
+def _parse_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of three sources of each document: as they are, and with less or no body by the document's number."""
+    m = St.structure_metrics(_assembled(spark, sf), _chars(spark, sf)).withColumns({"k": _number(), "toc_signal_score": F.lit(0).cast("long")})
+    less = lambda df, c, cond: df.withColumn(c, F.when(F.expr(cond), 0).otherwise(F.col(c)).cast("long"))
+    a = m.withColumn("source", F.lit("structural")).withColumn("toc_signal_score", F.when(F.expr("k % 4 = 3"), 1_000_000).otherwise(0).cast("long"))
+    b = less(less(m.where("k % 3 <> 0").withColumn("source", F.lit("markdown")), "prose_block_count", "k % 2 = 0"), "body_signal_score", "k % 5 = 0")
+    c = less(less(m.where("k % 7 <> 0").withColumn("source", F.lit("text")), "prose_block_count", "k % 11 = 0"), "section_count", "k % 8 = 3")
+    return a.unionByName(b).unionByName(c).drop("k")
+
+
+
+_METRICS = _SECTIONS + """, m0 AS (SELECT document_id, CAST(regexp_extract(document_id, '(\\d+)$', 1) AS BIGINT) AS k, sum(CASE WHEN section_order IS NOT NULL THEN 1 ELSE 0 END) AS sec, sum(CASE WHEN section_order IS NOT NULL THEN prose_blocks ELSE 0 END) AS prose, sum(CASE WHEN section_order IS NOT NULL AND prose_blocks = 0 THEN 1 ELSE 0 END) AS hollow,
+  sum(CASE WHEN section_order IS NOT NULL THEN length(body_text) ELSE 0 END) AS inside, sum(CASE WHEN section_order IS NULL THEN prose_blocks ELSE 0 END) AS orphans, sum(CASE WHEN section_order IS NOT NULL AND prose_blocks > 0 THEN 1 ELSE 0 END) AS filled FROM a1 GROUP BY 1),
+m1 AS (SELECT m0.*, prose + 2 * filled AS body, CASE WHEN length(coalesce(extracted_text, '')) > 0 THEN round_even(inside / length(extracted_text), 4) ELSE 0.0 END AS cover FROM m0 JOIN b_documents USING (document_id))"""
+_MODE_SQL = """, w AS (SELECT *, CASE WHEN k % 4 = 3 THEN 1000000 ELSE 0 END AS toc, k % 3 <> 0 AS has_b, CASE WHEN k % 2 = 0 THEN 0 ELSE prose END AS prose_b, CASE WHEN k % 5 = 0 THEN 0 ELSE body END AS body_b, k % 7 <> 0 AS has_c, CASE WHEN k % 11 = 0 THEN 0 ELSE prose END AS prose_c, CASE WHEN k % 8 = 3 THEN 0 ELSE sec END AS sec_c FROM m1),
+v AS (SELECT document_id, CASE WHEN has_b AND sec > 0 AND prose_b > 0 THEN 'markdown' WHEN NOT has_b AND has_c AND sec_c > 0 AND prose_c > 0 THEN 'text' WHEN sec > 0 AND body >= greatest(toc, 1) AND cover >= 0.45 AND hollow <= greatest(1, sec // 2) THEN 'structural'
+  WHEN has_b AND sec > 0 AND body_b > 0 THEN 'markdown' WHEN has_c AND sec_c > 0 AND body > 0 THEN 'text' ELSE 'none' END AS m FROM w)
+SELECT document_id, CASE m WHEN 'structural' THEN 'docling_structural' WHEN 'markdown' THEN 'hybrid_markdown_fill' WHEN 'text' THEN 'tika_fallback' ELSE 'manual_review_required' END AS parse_mode, CASE m WHEN 'markdown' THEN 'docling_body_signal_low' WHEN 'text' THEN 'docling_and_markdown_body_signal_low' WHEN 'none' THEN 'no_reliable_structural_source' END AS fallback_reason FROM v"""
+query("select_parse_mode", _METRICS + _MODE_SQL)(lambda s, d: St.select_parse_mode(_parse_metrics(s, d)))
 query("classify_blocks")(lambda s, d: St.classify_blocks(B.blocks(s, d).select("document_id", "document_order", "normalized_text")).drop("normalized_text"))
-query("content_scope")(lambda s, d: St.tag_content_scope(B.blocks(s, d)).select("document_id", "document_order", "content_scope"))
+query("content_scope")(lambda s, d: St.tag_content_scope(_with_contents(s, d)).select("document_id", "document_order", "content_scope"))
+
+
+def _with_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks whose documents open with a cover and a contents list: title, contents heading, entries, then the body."""
+    text = F.expr("case when document_order = 0 then 'Performance Work Statement (PWS)' when document_order = 3 then 'Table of Contents' when document_order in (4, 5) then concat('1.', document_order, ' Scope ........ ', document_order) else normalized_text end")
+    plain = F.expr("document_order in (0, 3)")
+    return B.blocks(spark, sf).withColumns({"normalized_text": text, "heading_title": F.when(plain, text).otherwise(F.col("heading_title")), "numbering_token": F.when(~plain, F.col("numbering_token"))})
+
+
 query("stage1_sections")(lambda s, d: St.stage1_sections(_stage1(s, d)).select("document_id", "source_kind", "source_order", "accepted", "section_number", "reason", "parent_missing"))
 query("stage1_best")(lambda s, d: St.stage1_best(St.stage1_sections(_stage1(s, d))))
 
@@ -215,20 +255,41 @@ query("table_cells", ", a AS (SELECT document_id, table_id, row_index, unnest(r)
 
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of the blocks, each paragraph behind its document's prefix, and of the parts' tables."""
+    prefix = F.get(F.array(*map(F.lit, _UNIT_PREFIXES)), (_number() % 9).cast("int"))
     b = B.blocks(spark, sf).withColumns({"block_id": F.concat("document_id", F.lit(":block:"), "document_order"), "section_path": F.lit(None).cast("string")})
+    b = b.withColumn("normalized_text", F.when(F.col("block_type") == "paragraph", F.concat(prefix, "normalized_text")).otherwise(F.col("normalized_text")))
     return X.extraction_units(b, B.grids(spark, sf))
 
 
-query("extraction_units", ", u AS (SELECT table_id || ':row:' || row_index || ':unit' AS unit_id, 'name: ' || r[1] || ' | type: ' || r[2] || ' | size: ' || r[3] || ' | col_4: ' || r[4] AS text_exact FROM b_grid UNION ALL SELECT document_id || ':block:' || document_order || ':unit', normalized_text FROM b_blocks WHERE block_type = 'paragraph') SELECT unit_id, text_exact FROM u")(lambda s, d: _units(s, d).select("unit_id", "text_exact"))
-query("requirement_candidates")(lambda s, d: X.requirement_candidates(_units(s, d)))
-query("deliverable_candidates")(lambda s, d: X.deliverable_candidates(_units(s, d)))
-query("table_cell_provenance")(lambda s, d: X.table_cell_provenance(X.requirement_candidates(_units(s, d)).where("table_id is not null"), St.table_cells(B.grids(s, d))).select("candidate_id", "table_id", "row_index", "table_col_index"))
-query("review_queue")(lambda s, d: X.review_queue(St.heading_gaps(_assembled(s, d)).select("document_id", F.lit("heading_continuity_gap").alias("reason"), F.col("section_number").alias("raw_text")), X.requirement_candidates(_units(s, d)).where("review_flag").select("document_id", F.lit(None).cast("string").alias("reason"), F.col("requirement_text").alias("raw_text"))))
-query("link_tables", ", p AS (SELECT p_brand AS document_id, min(p_size) AS page FROM part GROUP BY 1), s AS (SELECT p_brand AS document_id, p_partkey AS o, p_size AS page FROM part WHERE p_partkey % 3 = 0), k AS (SELECT *, lpad(CAST(page AS VARCHAR), 6, '0') || lpad(CAST(o AS VARCHAR), 12, '0') AS v, row_number() OVER (PARTITION BY document_id ORDER BY o DESC) AS rn FROM s), h AS (SELECT p.document_id, max(v) AS v FROM p JOIN k ON k.document_id = p.document_id AND k.page <= p.page + 10 GROUP BY 1) SELECT p.document_id, coalesce(h.v, k.v) AS hit FROM p LEFT JOIN h ON h.document_id = p.document_id LEFT JOIN k ON k.document_id = p.document_id AND k.rn = 1")(lambda s, d: _linked_tables(s, d))
+#: What stands before the paragraphs of a document, by its number: with and without duties, deliverables and reviews.
+_UNIT_PREFIXES = (*B.PREFIXES[:5], "The Contractor shall provide the monthly status report. Deliverable: ", *B.PREFIXES[6:8], "Provide support. ")
+_UNITS = f""", u AS (SELECT table_id || ':row:' || row_index || ':unit' AS unit_id, document_id, 'DOCUMENT' AS heading_path, table_id AS source_block_id, 'table_row' AS unit_type, table_id, CAST(row_index AS INTEGER) AS row_index, 'name: ' || r[1] || ' | type: ' || r[2] || ' | size: ' || r[3] || ' | col_4: ' || r[4] AS text_exact, r FROM b_grid
+  UNION ALL SELECT document_id || ':block:' || document_order || ':unit', document_id, 'DOCUMENT', document_id || ':block:' || document_order, 'paragraph', NULL, NULL, ({B._list(_UNIT_PREFIXES)})[CAST(CAST(regexp_extract(document_id, '(\\d+)$', 1) AS BIGINT) % 9 + 1 AS INTEGER)] || normalized_text, NULL FROM b_blocks WHERE block_type = 'paragraph')"""
+_PIECES = FRAGMENTS.replace("normalized_text", "text_exact")
+_DUTY = lambda c: f"({_case(c, [('t', L.TASKING)])} IS NOT NULL OR {_case(c, L.MODALITIES, chr(39) + 'informational' + chr(39))} <> 'informational')"
+_CANDIDATES = f"""{_UNITS}, fr AS (SELECT *, unnest({_PIECES}) AS fragment, unnest(range(len({_PIECES}))) AS fi FROM u), ta AS (SELECT * FROM fr WHERE {_DUTY('fragment')} OR unit_type = 'table_row'),
+ca AS (SELECT unit_id, document_id, heading_path, source_block_id, unit_type, table_id, row_index, r, fragment, row_number() OVER (PARTITION BY unit_id ORDER BY fi) - 1 AS idx, CASE WHEN unit_type = 'table_row' THEN 0.65 ELSE 0.72 END AS confidence, TRUE AS ruled FROM ta
+  UNION ALL SELECT unit_id, document_id, heading_path, source_block_id, unit_type, table_id, row_index, r, {INLINE('text_exact')}, 0, 0.55, FALSE FROM u WHERE unit_id NOT IN (SELECT unit_id FROM ta)),
+cand AS (SELECT unit_id || ':requirement:' || idx AS candidate_id, unit_id, document_id, heading_path, source_block_id, unit_type, table_id, row_index, r, {_case('fragment', L.MODALITIES, chr(39) + 'informational' + chr(39))} AS modality, CAST(confidence AS DOUBLE) AS confidence, ruled, fragment AS requirement_text, regexp_replace({INLINE('fragment')}, '^\\(?[A-Za-z0-9.\\-]+\\)?\\s+', '') AS normalized_text, {_case('fragment', L.ACTORS)} AS actor, {_case('fragment', [('d', L.DELIVERABLE)])} IS NOT NULL AS deliverable_flag FROM ca)"""
+query("extraction_units", _UNITS + " SELECT unit_id, text_exact FROM u")(lambda s, d: _units(s, d).select("unit_id", "text_exact"))
+query("requirement_candidates", _CANDIDATES + " SELECT * EXCLUDE (ruled, r), ruled AND modality = 'informational' AS review_flag FROM cand")(lambda s, d: X.requirement_candidates(_units(s, d)))
+query("deliverable_candidates", _CANDIDATES + f" SELECT unit_id || ':deliverable:' || (row_number() OVER (PARTITION BY unit_id ORDER BY fi) - 1) AS deliverable_id, document_id, heading_path, source_block_id, fragment AS deliverable_text, regexp_replace({INLINE('fragment')}, '^\\(?[A-Za-z0-9.\\-]+\\)?\\s+', '') AS normalized_text, CAST(0.6 AS DOUBLE) AS confidence, TRUE AS review_flag FROM ta WHERE {_case('fragment', [('d', L.DELIVERABLE)])} IS NOT NULL")(lambda s, d: X.deliverable_candidates(_units(s, d)))
+query("table_cell_provenance", _CANDIDATES + f" SELECT candidate_id, table_id, row_index, CASE WHEN {_DUTY('r[1]')} THEN 0 WHEN {_DUTY('r[2]')} THEN 1 WHEN {_DUTY('r[3]')} THEN 2 WHEN {_DUTY('r[4]')} THEN 3 END AS table_col_index FROM cand WHERE table_id IS NOT NULL")(lambda s, d: X.table_cell_provenance(X.requirement_candidates(_units(s, d)).where("table_id is not null"), St.table_cells(B.grids(s, d))).select("candidate_id", "table_id", "row_index", "table_col_index"))
+_GAPS = "g AS (SELECT document_id, document_order AS section_order, numbering_token AS section_number, lag(numbering_token) OVER (PARTITION BY document_id ORDER BY document_order) AS previous FROM b_blocks WHERE block_type <> 'paragraph'), gaps AS (SELECT document_id, section_order, previous, section_number FROM g WHERE contains(previous, '.') AND contains(section_number, '.') AND regexp_extract(previous, '^(.*)\\.[^.]*$', 1) = regexp_extract(section_number, '^(.*)\\.[^.]*$', 1) AND TRY_CAST(regexp_extract(section_number, '\\.(\\d+)$', 1) AS INTEGER) > TRY_CAST(regexp_extract(previous, '\\.(\\d+)$', 1) AS INTEGER) + 1)"
+query("review_queue", _CANDIDATES + ", " + _GAPS + " SELECT document_id, 'heading_continuity_gap' AS reason, section_number AS raw_text, 'warning' AS severity FROM gaps UNION ALL SELECT document_id, 'needs_review', requirement_text, 'warning' FROM cand WHERE ruled AND modality = 'informational'")(lambda s, d: _reviews(s, d).drop("details_json"))
+
+
+def _reviews(s: SparkSession, d: str) -> DataFrame:
+    flagged = X.requirement_candidates(_units(s, d)).where("review_flag").select("document_id", F.lit(None).cast("string").alias("reason"), F.col("requirement_text").alias("raw_text"))
+    return X.review_queue(St.heading_gaps(_assembled(s, d)).select("document_id", F.lit("heading_continuity_gap").alias("reason"), F.col("section_number").alias("raw_text")), flagged)
+
+
+query("link_tables", ", p AS (SELECT p_brand AS document_id, min(p_size) AS page FROM part GROUP BY 1), s AS (SELECT p_brand AS document_id, p_partkey AS o, p_size AS page FROM part ), k AS (SELECT *, lpad(CAST(page AS VARCHAR), 6, '0') || lpad(CAST(o AS VARCHAR), 12, '0') AS v, row_number() OVER (PARTITION BY document_id ORDER BY o DESC) AS rn FROM s), h AS (SELECT p.document_id, max(v) AS v FROM p JOIN k ON k.document_id = p.document_id AND k.page <= p.page + 10 GROUP BY 1) SELECT p.document_id, coalesce(h.v, k.v) AS hit FROM p LEFT JOIN h ON h.document_id = p.document_id LEFT JOIN k ON k.document_id = p.document_id AND k.rn = 1")(lambda s, d: _linked_tables(s, d))
 
 
 def _linked_tables(spark: SparkSession, sf: str) -> DataFrame:
-    part = B.read(spark, sf, "part").where("p_partkey % 3 = 0")
+    part = B.read(spark, sf, "part")
     key = F.concat(F.lpad(F.col("p_size").cast("string"), 6, "0"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
     s = part.select(F.col("p_brand").alias("document_id"), F.col("p_partkey").alias("section_order"), F.col("p_size").alias("page_start"), F.lit("MAIN").alias("tree_kind"), key.alias("section_number"), F.lit("").alias("heading_path"))
     t = B.grids(spark, sf).select("document_id", "block_id", (F.col("page_start") + 10).alias("page_start"))
@@ -237,16 +298,68 @@ def _linked_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 query("appendix_sections", _SECTIONS + " SELECT document_id, section_number FROM a1 WHERE tree_kind <> 'MAIN'")(lambda s, d: St.appendix_sections(_assembled(s, d)).select("document_id", "section_number"))
 query("hierarchy_quality", _SECTIONS + " SELECT document_id, CASE WHEN count(section_number) = 0 THEN 'weak' WHEN count(section_number) >= 3 THEN 'strong' ELSE 'partial' END AS quality FROM a1 GROUP BY 1")(lambda s, d: St.hierarchy_quality(_assembled(s, d)))
-query("flat_sections")(lambda s, d: St.flat_sections(_assembled(s, d).where("tree_kind = 'MAIN'")).select("document_id", "section_order", "depth", "parent_number", "section_id"))
-query("build_artifacts")(lambda s, d: St.build_artifacts(B.documents(s, d).select("document_id", "filename", F.col("extracted_text").alias("text")), _assembled(s, d)))
-query("validate_artifacts", " SELECT document_id, '' AS problems FROM b_documents")(lambda s, d: files.validate_artifacts(St.build_artifacts(B.documents(s, d).select("document_id", "filename", F.col("extracted_text").alias("text")), _assembled(s, d))).select("document_id", F.array_join("problems", ",").alias("problems")))
-query("audit_documents")(lambda s, d: St.audit_documents(_assembled(s, d), X.requirement_candidates(_units(s, d)), St.heading_gaps(_assembled(s, d)), B.grids(s, d).withColumn("section_number", F.lit(None).cast("string"))))
-query("hierarchy_rows")(lambda s, d: St.hierarchy_rows(_assembled(s, d)))
-query("objects_with_context")(lambda s, d: St.objects_with_context(_with_objects(s, d)).select("document_id", "document_order", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"), "preceding_heading.section_number"))
-query("align_objects")(lambda s, d: _aligned(s, d))
-query("unplaced_objects")(lambda s, d: St.unplaced_objects(_aligned(s, d)))
-query("heading_anchors")(lambda s, d: St.heading_anchors(_assembled(s, d).where("section_order is not null").select("document_id", "section_order", "section_number", "section_title"), _heads(s, d)).select("document_id", "section_order", "start_order", "end_order"))
-query("merged_outline_nodes")(lambda s, d: St.merged_outline_nodes(_assembled(s, d).where("section_number is not null"), B.blocks(s, d)))
+_SLUG_OF = lambda c: f"CASE WHEN regexp_replace({c}, '[^A-Za-z0-9]', '', 'g') = '' THEN 'section' ELSE regexp_replace(substring(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') END"
+_NAMED = _SECTIONS + ", a2 AS (SELECT a1.*, b.heading_title AS section_title FROM a1 LEFT JOIN b_blocks b ON b.document_id = a1.document_id AND b.document_order = a1.section_order)"
+query("flat_sections", _NAMED + ", f AS (SELECT document_id, section_order, CAST(len(string_split(section_number, '.')) AS INTEGER) AS depth, section_number, section_title FROM a2 WHERE tree_kind = 'MAIN') SELECT document_id, section_order, depth, CASE WHEN depth = 3 THEN last_value(CASE WHEN depth = 2 THEN section_number END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY section_order ROWS UNBOUNDED PRECEDING) END AS parent_number, 'sec-' || " + _SLUG_OF("(section_number || ' ' || coalesce(section_title, ''))") + " AS section_id FROM f")(lambda s, d: St.flat_sections(_assembled(s, d).where("tree_kind = 'MAIN'")).select("document_id", "section_order", "depth", "parent_number", "section_id"))
+query("build_artifacts")(lambda s, d: _artifacts(s, d))
+
+
+def _artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    objects = _aligned(spark, sf).join(_tables_of(spark, sf).select("document_id", "document_order", "rows"), ["document_id", "document_order"], "left").withColumn("object_type", F.lit("table"))
+    return St.build_artifacts(B.documents(spark, sf).select("document_id", "filename", F.col("extracted_text").alias("text")), _assembled(spark, sf), B.blocks(spark, sf), objects)
+
+
+def _damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Every artifact, with another piece damaged by the document's number."""
+    a = F.col("artifact_json")
+    bad = F.when(_number() % 7 == 0, F.replace(a, F.lit('"structured_document_v1"'), F.lit('"other"'))).when(_number() % 7 == 1, F.replace(a, F.lit('"cleaned_text":'), F.lit('"text":')))
+    bad = bad.when(_number() % 7 == 2, F.replace(a, F.lit('"document_type":'), F.lit('"type":'))).when(_number() % 7 == 3, F.replace(a, F.lit('"hierarchy":{'), F.lit('"hierarchy":{"sections":3,"old":{'))).when(_number() % 7 == 4, F.lit(None).cast("string"))
+    return _artifacts(spark, sf).withColumn("artifact_json", F.when(_number() % 7 == 3, F.concat(F.replace(bad, F.lit(',"objects":'), F.lit('},"objects":')), F.lit(""))).otherwise(F.when(_number() % 7 > 4, a).otherwise(bad)))
+
+
+_ALL_FIELDS = "missing artifact_type,missing document_id,missing source,missing metadata,missing cleaned_text,missing hierarchy,missing objects,missing blocks,missing enrichments,missing provenance"
+query("validate_artifacts", f" SELECT document_id, CASE doc_id % 7 WHEN 0 THEN 'wrong artifact_type' WHEN 1 THEN 'missing cleaned_text' WHEN 2 THEN 'missing metadata.document_type' WHEN 3 THEN 'hierarchy.sections is no list,hierarchy.root_sections is no list' WHEN 4 THEN '{_ALL_FIELDS}' ELSE '' END AS problems FROM b_documents")(lambda s, d: files.validate_artifacts(_damaged(s, d)).select("document_id", F.array_join("problems", ",").alias("problems")))
+
+
+def _tables_of(spark: SparkSession, sf: str) -> DataFrame:
+    """A table after every block with order 6 i + 4: its text cut into rows of a cell; two in three under the section before it."""
+    b = B.blocks(spark, sf).withColumn("section_order", F.expr("document_order div 3 * 3")).where("document_order % 6 = 4").drop("heading_title")
+    paths = St.heading_paths(_heads(spark, sf)).select("document_id", F.col("document_order").alias("section_order"), F.col("numbering_token").alias("at"), "heading_path")
+    b = b.join(paths, ["document_id", "section_order"]).withColumn("table_index", F.expr("document_order div 6"))
+    return b.select("document_id", "document_order", "table_index", "heading_path", "normalized_text", F.when(F.expr("table_index % 3 <> 2"), F.col("at")).alias("section_number"), F.array(F.array(F.lit("item"), F.lit("text")), F.array(F.col("table_index").cast("string"), F.col("normalized_text"))).alias("rows"))
+
+
+_TABLES_OF = _SECTIONS + _PATHS.replace("\nSELECT document_id, document_order, array_to_string", "\n, h3 AS (SELECT document_id, document_order, numbering_token, array_to_string") + """),
+x0 AS (SELECT b.document_id, b.document_order, b.document_order // 6 AS table_index, h3.heading_path, b.normalized_text, CASE WHEN b.document_order // 6 % 3 <> 2 THEN h3.numbering_token END AS section_number FROM b_blocks b JOIN h3 ON h3.document_id = b.document_id AND h3.document_order = b.document_order // 3 * 3 WHERE b.document_order % 6 = 4)"""
+_AUDIT = """, g AS (SELECT document_id, count(*) AS n FROM b_blocks GROUP BY 1), t AS (SELECT document_id, sum(CASE WHEN section_number IS NULL THEN 1 ELSE 0 END) AS n FROM x0 GROUP BY 1), """
+query("audit_documents", _TABLES_OF + _METRICS.removeprefix(_SECTIONS) + _AUDIT.removesuffix(", ") + " SELECT document_id, CAST(sec AS BIGINT) AS section_count, CAST(prose AS BIGINT) AS prose_block_count, CAST(hollow AS BIGINT) AS suspicious_empty_section_count, cover AS coverage_ratio, CAST(orphans AS BIGINT) AS orphan_content_count, CAST(body AS BIGINT) AS body_signal_score, g.n AS block_count, CAST(coalesce(t.n, 0) AS BIGINT) AS unassigned_table_count FROM m1 JOIN g USING (document_id) LEFT JOIN t USING (document_id)")(lambda s, d: _audited(s, d).select("document_id", "section_count", "prose_block_count", "suspicious_empty_section_count", "coverage_ratio", "orphan_content_count", "body_signal_score", "block_count", "unassigned_table_count"))
+query("audit_records")(lambda s, d: _audited(s, d))
+
+
+def _audited(spark: SparkSession, sf: str) -> DataFrame:
+    m = St.structure_metrics(_assembled(spark, sf), _chars(spark, sf))
+    return St.audit_documents(m, St.select_parse_mode(_parse_metrics(spark, sf)), B.blocks(spark, sf), X.requirement_candidates(_units(spark, sf)), St.heading_gaps(_assembled(spark, sf)), _tables_of(spark, sf))
+
+
+_LABEL = "regexp_replace(numbering_token || ' ' || coalesce(heading_title, ''), '^\\s+|\\s+$', '', 'g')"
+_ROWS_SQL = _TABLES_OF.replace("array_to_string(list_filter([substring(a, 11), substring(b2, 11), substring(c2, 11)], lambda x: x IS NOT NULL), ' > ') AS heading_path", "array_to_string(list_filter([substring(a, 11), substring(b2, 11), substring(c2, 11)], lambda x: x IS NOT NULL), ' > ') AS heading_path, list_filter([substring(a, 1, 9), substring(b2, 1, 9), substring(c2, 1, 9)], lambda x: x IS NOT NULL) AS stack") + f""",
+l0 AS (SELECT document_id, document_order, {_LABEL} AS label FROM b_blocks WHERE block_type <> 'paragraph'), l1 AS (SELECT h3.document_id, h3.document_order AS section_order, h3.heading_path, u.k, l0.label FROM h3, unnest(range(1, len(h3.stack) + 1)) AS u(k) JOIN l0 ON l0.document_id = h3.document_id AND l0.document_order = CAST(h3.stack[CAST(u.k AS INTEGER)] AS INTEGER)),
+l2 AS (SELECT document_id, section_order, heading_path, coalesce(max(CASE WHEN k = 1 THEN label END), '') AS level_1, coalesce(max(CASE WHEN k = 2 THEN label END), '') AS level_2, coalesce(max(CASE WHEN k = 3 THEN label END), '') AS level_3, '' AS level_4 FROM l1 GROUP BY ALL),
+tt AS (SELECT document_id, heading_path, list(regexp_replace(normalized_text, '^\\s+|\\s+$', '', 'g') ORDER BY table_index) AS texts FROM x0 WHERE regexp_replace(normalized_text, '\\s', '', 'g') <> '' GROUP BY ALL),
+c0 AS (SELECT l2.* EXCLUDE (heading_path), list_concat(list_filter(regexp_split_to_array(coalesce(a1.body_text, ''), '\\n{{2,}}'), lambda x: regexp_replace(x, '\\s', '', 'g') <> ''), coalesce(tt.texts, [])) AS parts FROM l2 JOIN a1 USING (document_id, section_order) LEFT JOIN tt ON tt.document_id = l2.document_id AND tt.heading_path = l2.heading_path)
+SELECT * EXCLUDE (parts), unnest(CASE WHEN len(parts) = 0 THEN [''] ELSE parts END) AS content, CAST(unnest(range(greatest(len(parts), 1))) AS INTEGER) AS i FROM c0"""
+query("hierarchy_rows", _ROWS_SQL)(lambda s, d: St.hierarchy_rows(_assembled(s, d), _tables_of(s, d)))
+_OBJECTS = """, o0 AS (SELECT *, CASE WHEN block_type = 'paragraph' AND document_order % 6 <> 4 THEN normalized_text END AS txt FROM b_blocks),
+o1 AS (SELECT document_id, document_order, CAST(regexp_extract(document_id, '(\\d+)$', 1) AS BIGINT) AS k, list_filter(list(txt) OVER (PARTITION BY document_id ORDER BY document_order ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS b4, list_filter(list(txt) OVER (PARTITION BY document_id ORDER BY document_order ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), lambda x: x IS NOT NULL) AS a4,
+  last_value(CASE WHEN block_type <> 'paragraph' THEN numbering_token END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY document_order ROWS UNBOUNDED PRECEDING) AS section_number FROM o0 QUALIFY document_order % 6 = 4)"""
+query("objects_with_context", _OBJECTS + " SELECT document_id, document_order, array_to_string(coalesce(b4[-2:], []), '|') AS before, array_to_string(coalesce(a4[1:2], []), '|') AS after, section_number FROM o1")(lambda s, d: St.objects_with_context(_with_objects(s, d)).select("document_id", "document_order", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"), "preceding_heading.section_number"))
+_ALIGNED = _OBJECTS + """, h0 AS (SELECT document_id, document_order AS section_order, numbering_token AS n, min(document_order) OVER (PARTITION BY document_id, numbering_token) AS lo FROM b_blocks WHERE block_type <> 'paragraph'), h1 AS (SELECT *, lead(lo) OVER (PARTITION BY document_id ORDER BY section_order) - 1 AS hi FROM h0),
+w0 AS (SELECT o1.document_id, o1.document_order, min_by(n, section_order) AS n FROM o1 JOIN h1 ON h1.document_id = o1.document_id AND lo <= o1.document_order AND (hi IS NULL OR o1.document_order <= hi) WHERE k % 4 = 2 GROUP BY 1, 2),
+d0 AS (SELECT o1.document_id, o1.document_id || ':block:' || o1.document_order AS block_id, o1.document_order, CASE WHEN k % 4 < 2 THEN section_number ELSE n END AS section_number, CASE WHEN k % 4 = 0 THEN 0.98 WHEN k % 4 = 1 THEN 0.84 WHEN n IS NOT NULL THEN 0.72 ELSE 0.0 END AS confidence, CASE WHEN k % 4 = 0 THEN 'explicit_heading_context' WHEN k % 4 = 1 THEN 'nearest_preceding_heading' WHEN n IS NOT NULL THEN 'page_order_window' ELSE 'unplaced' END AS method FROM o1 LEFT JOIN w0 USING (document_id, document_order))"""
+query("align_objects", _ALIGNED + " SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM d0")(lambda s, d: _aligned(s, d))
+query("unplaced_objects", _ALIGNED + " SELECT document_id, block_id, document_order FROM d0 WHERE section_number IS NULL")(lambda s, d: St.unplaced_objects(_aligned(s, d)).select("document_id", "block_id", "document_order"))
+query("heading_anchors", _ALIGNED + " SELECT document_id, section_order, CAST(lo AS INTEGER) AS start_order, CAST(hi AS INTEGER) AS end_order FROM h1")(lambda s, d: St.heading_anchors(_assembled(s, d).where("section_order is not null").select("document_id", "section_order", "section_number", "section_title"), _heads(s, d)).select("document_id", "section_order", "start_order", "end_order"))
+query("merged_outline_nodes", _SECTIONS + ", j AS (SELECT a0.*, h.numbering_token AS n FROM a0 JOIN b_blocks h ON h.document_id = a0.document_id AND h.document_order = a0.section_order WHERE a0.block_type = 'paragraph') SELECT document_id, n AS section_number, document_order, n || '.p' || row_number() OVER (PARTITION BY document_id, n ORDER BY document_order) AS node_id, block_type, normalized_text FROM j")(lambda s, d: St.merged_outline_nodes(_assembled(s, d).where("section_number is not null"), B.blocks(s, d)))
 query("resolve_section_number", " SELECT DISTINCT document_id, numbering_token || '.9' AS ref, numbering_token AS resolved FROM b_blocks WHERE block_type <> 'paragraph'")(lambda s, d: St.resolve_section_number(_heads(s, d).select("document_id", F.concat("numbering_token", F.lit(".9")).alias("ref")).distinct(), _assembled(s, d).where("section_number is not null")))
 
 
@@ -255,8 +368,12 @@ def _with_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects whose near headings are known or not by the document's number, so that each way of placing them is taken."""
     anchors = St.heading_anchors(_assembled(spark, sf).where("section_order is not null").select("document_id", "section_order", "section_number", "section_title"), _heads(spark, sf))
-    return St.align_objects(St.objects_with_context(_with_objects(spark, sf)), anchors)
+    objects = St.objects_with_context(_with_objects(spark, sf))
+    none = F.array().cast("array<string>")
+    objects = objects.withColumns({"before": F.when(_number() % 4 < 2, F.col("before")).otherwise(none), "after": F.when(_number() % 4 < 2, F.col("after")).otherwise(none), "explicit_heading": F.when(_number() % 4 == 0, F.col("explicit_heading")), "preceding_heading": F.when(_number() % 4 < 2, F.col("preceding_heading"))})
+    return St.align_objects(objects, anchors.withColumn("matched", F.col("matched") & (_number() % 4 != 3)), 0.6)
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,19 +387,37 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 _NODES = _SECTIONS + """, n1 AS (SELECT document_id, regexp_replace(section_number, '\\.0$', '') AS node_id, section_order, list_filter(string_split(body_text, chr(10) || chr(10)), lambda x: x <> '') AS parts FROM a1 WHERE tree_kind = 'MAIN'),
 n2 AS (SELECT *, CASE WHEN contains(node_id, '.') THEN regexp_replace(node_id, '\\.[^.]*$', '') END AS parent_id, len(parts) AS p FROM n1) """
+_N3 = ", n3 AS (SELECT n2.document_id, node_id, parent_id, section_order AS position, b.heading_title AS title FROM n2 JOIN b_blocks b ON b.document_id = n2.document_id AND b.document_order = n2.section_order UNION ALL SELECT document_id, node_id || '.p' || (i + 1), node_id, i, NULL FROM (SELECT document_id, node_id, unnest(range(p)) AS i FROM n2))"
+_PAIRS = ", e1 AS (SELECT document_id, parent_id AS root, node_id FROM n2 WHERE parent_id IS NOT NULL), e2 AS (SELECT a.document_id, a.root, b.node_id FROM e1 a JOIN e1 b ON b.document_id = a.document_id AND b.root = a.node_id), e3 AS (SELECT a.document_id, a.root, b.node_id FROM e2 a JOIN e1 b ON b.document_id = a.document_id AND b.root = a.node_id)"
 _NODE_SQL = {
+    "resequence": _N3 + " SELECT document_id, node_id, parent_id, CAST(row_number() OVER (PARTITION BY document_id, parent_id ORDER BY position, title NULLS FIRST, node_id) AS INTEGER) AS position FROM n3",
+    "descendants": _PAIRS + " SELECT *, 1 AS distance FROM e1 UNION ALL SELECT *, 2 FROM e2 UNION ALL SELECT *, 3 FROM e3",
+    "outline_requirements": " , q AS (SELECT document_id, node_id AS parent_id, section_order, unnest(parts) AS text, unnest(range(p)) AS i FROM n2) SELECT q.document_id, parent_id, parent_id || '.p' || (i + 1) AS node_id, text, numbering_token AS section_number, heading_title AS section_title, regexp_replace(numbering_token || ' ' || heading_title, '^\\s+|\\s+$', '', 'g') AS section_label FROM q JOIN b_blocks b ON b.document_id = q.document_id AND b.document_order = q.section_order",
     "outline_stats": " SELECT document_id, 'section' AS node_type, count(*) AS n FROM n2 GROUP BY 1 UNION ALL SELECT document_id, 'paragraph', CAST(sum(p) AS BIGINT) FROM n2 GROUP BY 1 HAVING sum(p) > 0",
     "section_index": " SELECT document_id, node_id, parent_id, len(string_split(node_id, '.')) AS depth, (SELECT count(*) FROM n2 k WHERE k.document_id = n2.document_id AND k.parent_id = n2.node_id) AS child_count FROM n2",
     "section_requirement_counts": " SELECT document_id, node_id, p AS requirements FROM n2",
     "review_rollup": " SELECT document_id, CAST(count(*) + sum(p) AS BIGINT) AS items, CAST(sum((p + 1) // 2) AS BIGINT) AS flagged, CAST(count(*) + sum(p // 2) AS BIGINT) AS accepted FROM n2 GROUP BY 1",
 }
-for _name, _f in (("outline_stats", St.outline_stats), ("section_index", St.section_index), ("normalize_numbering", St.normalize_numbering), ("outline_requirements", St.outline_requirements), ("section_requirement_counts", St.section_requirement_counts), ("resequence", St.resequence), ("review_rollup", St.review_rollup), ("descendants", lambda n: St.descendants(n.where("node_type = 'section'"), 4))):
+for _name, _f in (("outline_stats", St.outline_stats), ("section_index", St.section_index), ("normalize_numbering", St.normalize_numbering), ("outline_requirements", St.outline_requirements), ("section_requirement_counts", St.section_requirement_counts), ("resequence", lambda n: St.resequence(n).select("document_id", "node_id", "parent_id", "position")), ("review_rollup", St.review_rollup), ("descendants", lambda n: St.descendants(n.where("node_type = 'section'")))):
     query(_name, _NODES + _NODE_SQL[_name] if _name in _NODE_SQL else None)(lambda s, d, f=_f: f(_nodes(s, d)))
 
 _WINDOWS = "list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')"
 query("chunk_words", f", w AS (SELECT doc_id, {_WINDOWS} AS w FROM documents), k AS (SELECT doc_id, w, unnest(range(CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1)) AS chunk_index FROM w WHERE len(w) > 0) SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, array_to_string(w[chunk_index * 180 + 1 : chunk_index * 180 + 220], ' ') AS chunk FROM k")(lambda s, d: C.chunk_words(B.read(s, d, "documents").select("doc_id", "text")))
-query("artifact_chunks")(lambda s, d: C.artifact_chunks(B.documents(s, d).select("document_id", "project_id", "filename", F.col("extracted_text").alias("text")).join(St.hierarchy_quality(_assembled(s, d)), "document_id"), _assembled(s, d)))
-query("section_chunks")(lambda s, d: C.section_chunks(B.sections(s, d), B.tables(s, d)))
+_HEADING = "regexp_replace(coalesce(section_number, '') || ' ' || CASE WHEN coalesce(section_title, '') <> '' THEN section_title ELSE 'Section' END, '^\\s+|\\s+$', '', 'g')"
+query("artifact_chunks", _TABLES_OF + _NAMED.removeprefix(_SECTIONS) + f""", c0 AS (SELECT document_id, 's-' || (row_number() OVER (PARTITION BY document_id ORDER BY section_order) - 1) || '-0' AS chunk_index, 'section' AS chunk_kind, section_number AS section_path, {_HEADING} AS section_heading, array_to_string(list_filter(regexp_split_to_array({_HEADING}, '\\s+'), lambda x: x <> ''), ' ') AS body_text FROM a2 WHERE section_order IS NOT NULL),
+c1 AS (SELECT *, 'Section Heading: ' || section_heading || chr(10) || chr(10) || body_text AS text FROM c0 UNION ALL SELECT document_id, 't-' || table_index, 'table', coalesce(section_number, 'DOCUMENT'), coalesce(section_number, 'Document Body'), content, 'Table Content' || chr(10) || chr(10) || content FROM (SELECT *, regexp_replace('item | text' || chr(10) || table_index || ' | ' || normalized_text, '\\s+$', '') AS content FROM x0))
+SELECT document_id, project_id, filename, chunk_index, chunk_kind, section_path, section_heading, body_text, text FROM c1 JOIN b_documents USING (document_id)""")(lambda s, d: _artifact_chunks(s, d).select("document_id", "project_id", "filename", "chunk_index", "chunk_kind", "section_path", "section_heading", "body_text", "text"))
+
+
+def _artifact_chunks(s: SparkSession, d: str) -> DataFrame:
+    return (C.artifact_chunks(B.documents(s, d).select("document_id", "project_id", "filename", F.col("extracted_text").alias("text")).join(St.hierarchy_quality(_assembled(s, d)), "document_id"), _assembled(s, d), _tables_of(s, d).withColumnRenamed("section_number", "attached_section_id")))
+
+
+_CUT = lambda table, index: f"(SELECT *, {index} || '-' || j AS chunk_index, array_to_string(w[j * 180 + 1 : j * 180 + 220], ' ') AS body FROM (SELECT *, unnest(range(CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1)) AS j FROM (SELECT *, list_filter(regexp_split_to_array(body_text, '\\s+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) > 0))"
+_KEEP = "project_id, filename, document_id, section_path, section_heading"
+query("section_chunks", f""", {SENTENCES}, k0 AS (SELECT {_KEEP}, chunk_index, 'section' AS chunk_kind, body AS body_text, NULL AS requirement_type FROM {_CUT('b_sections', 'section_index')} UNION ALL SELECT {_KEEP}, chunk_index, 'table', body, NULL FROM {_CUT('b_tables', "'t-' || section_index")}
+  UNION ALL SELECT {_KEEP}, section_index || '-r-' || sentence_index, 'requirement', sentence, {_case('sentence', L.REQUIREMENT_TYPES)} FROM s_raw WHERE {_case('sentence', L.REQUIREMENT_TYPES)} IS NOT NULL)
+SELECT *, 'Section Path: ' || section_path || chr(10) || 'Section Heading: ' || section_heading || chr(10) || chr(10) || body_text AS text FROM k0""")(lambda s, d: C.section_chunks(B.sections(s, d), B.tables(s, d)).drop("point_id"))
 query("embed_chunks", f", w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(unnest(range(CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1)) AS INTEGER) AS chunk_index, 64 AS dims FROM w WHERE len(w) > 0")(lambda s, d: C.embed_chunks(C.chunk_words(B.read(s, d, "documents").select("doc_id", "text")).withColumnRenamed("chunk", "text")).select("doc_id", "chunk_index", F.size("vector").alias("dims")))
 query("check_dimensions", " SELECT CAST(len(vector) AS INTEGER) AS dims, count(*) AS n FROM b_chunks GROUP BY 1")(lambda s, d: C.check_dimensions(B.chunks(s, d)))
 query("refresh_index", ", touched AS (SELECT DISTINCT project_id, filename FROM b_chunks WHERE vec_id % 10 = 0) SELECT point_id FROM b_chunks c WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.project_id = c.project_id AND t.filename = c.filename) UNION ALL SELECT 'new-' || vec_id FROM b_chunks WHERE vec_id % 10 = 0")(lambda s, d: C.refresh_index(B.chunks(s, d), B.chunks(s, d).where("vec_id % 10 = 0").withColumn("point_id", F.concat(F.lit("new-"), "vec_id"))).select("point_id"))
@@ -315,9 +450,10 @@ query("latest_questions", ", l AS (SELECT conv_id, turn, text, row_number() OVER
 def _chat(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation's last question, sent to the project of its number."""
     index = B.chunks(spark, sf)
-    projects = [r[0] for r in index.select("project_id").distinct().orderBy("project_id").collect()]
-    q = C.latest_questions(B.read(spark, sf, "conversations")).withColumnRenamed("question", "text")
-    q = C.embed_chunks(q).select(F.col("conv_id").alias("query_id"), F.get(F.array(*map(F.lit, projects)), (F.col("conv_id") % len(projects)).cast("int")).alias("project_id"), F.col("vector").alias("query_vector"))
+    projects = index.select("project_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("project_id")) - 1)
+    n = max(projects.count(), 1)
+    q = C.latest_questions(B.read(spark, sf, "conversations")).withColumnRenamed("question", "text").withColumn("k", (F.col("conv_id") % n).cast("int")).join(projects, "k")
+    q = C.embed_chunks(q).select(F.col("conv_id").alias("query_id"), "project_id", F.col("vector").alias("query_vector"))
     return C.chat_evidence(q, index).select("query_id", "rank", "point_id", "filename", "score")
 
 
@@ -330,12 +466,22 @@ q1 AS (SELECT s.id AS s_id, c.id AS c_id, c.filename, {_WEIGHT} AS weight, CASE
 q2 AS (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY score DESC, weight DESC, filename, c_id) AS rank FROM q1 WHERE score > 0)
 SELECT s_id, CAST(rank AS INTEGER) AS rank, c_id, CAST(score AS DOUBLE) AS score FROM q2 WHERE rank <= 20"""
 query("related_requirements", _RELATED)(lambda s, d: S.related_requirements(B.requirements(s, d).where("doc_id % 20 = 0"), B.requirements(s, d)).select("s_id", "rank", "c_id", "score"))
-query("related_bulk")(lambda s, d: S.related_requirements(B.requirements(s, d), B.requirements(s, d), mode="bulk", limit=5))
+_BULK = f""", q0 AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(requirement_text), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in L.SEARCH_STOPWORDS)}))) AS tokens, list_distinct(regexp_extract_all(requirement_text, '(?i)\\bsections?\\s+(\\d+(?:\\.\\d+)*)', 1)) AS refs FROM b_requirements),
+t0 AS (SELECT project_id, id, unnest(tokens) AS token FROM q0), n0 AS (SELECT s.id AS s_id, c.id AS c_id, count(*) AS n FROM t0 s JOIN t0 c USING (project_id, token) GROUP BY ALL),
+q1 AS (SELECT s.id AS s_id, c.id AS c_id, c.filename, {_WEIGHT} AS weight, CASE WHEN len(c.tokens) = 0 THEN 0 ELSE 5 * coalesce(n0.n, 0) + CASE WHEN s.modality = c.modality THEN 2 ELSE 0 END + CASE WHEN s.actor = c.actor THEN 2 ELSE 0 END
+  + CASE WHEN list_contains(s.refs, c.section_number) THEN 14 WHEN len(list_filter(s.refs, lambda r: starts_with(c.section_number, r || '.') OR starts_with(r, c.section_number || '.'))) > 0 THEN 6 ELSE 0 END + {_WEIGHT} + CASE WHEN s.section_number = c.section_number THEN 1 ELSE 0 END + CASE WHEN s.filename = c.filename THEN 1 ELSE 0 END END AS score
+  FROM q0 s JOIN q0 c ON s.project_id = c.project_id AND s.id <> c.id LEFT JOIN n0 ON n0.s_id = s.id AND n0.c_id = c.id),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY score DESC, weight DESC, filename, c_id) AS rank FROM q1 WHERE score > 0)
+SELECT s_id, CAST(rank AS INTEGER) AS rank, c_id, CAST(score AS DOUBLE) AS score FROM q2 WHERE rank <= 5"""
+query("related_bulk", _BULK)(lambda s, d: S.related_requirements(B.requirements(s, d), B.requirements(s, d), limit=5).select("s_id", "rank", "c_id", "score"))
 
 
 def _semantic(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest requirements of each source by their vectors, as a semantic index returns them."""
     r = B.requirements(spark, sf)
-    m = r.where("doc_id % 20 = 0").select(F.col("id").alias("s_id"), "project_id").join(r.where("doc_id % 20 = 1 or doc_id % 20 = 2").select("project_id", "filename", "section_number", F.upper("requirement_text").alias("text"), (F.col("doc_id") % 3).alias("rank")), "project_id")
+    v = C.embed_chunks(r.withColumnRenamed("requirement_text", "text")).withColumnRenamed("id", "point_id")
+    asked = v.where("doc_id % 20 = 0").select(F.col("point_id").alias("query_id"), "project_id", F.col("vector").alias("query_vector"))
+    m = C.retrieve(v, asked).select(F.col("query_id").alias("s_id"), "project_id", (F.col("rank") - 1).alias("rank"), "filename", "section_number", "text")
     return S.semantic_boosts(m, r)
 
 
@@ -344,14 +490,23 @@ query("merge_semantic")(lambda s, d: S.related_requirements(B.requirements(s, d)
 
 def _support(spark: SparkSession, sf: str) -> DataFrame:
     r = B.requirements(spark, sf)
-    return r.select("project_id", F.when(F.expr("doc_id % 2 = 0"), "Base IDIQ PWS.docx").otherwise("Appendix A.docx").alias("filename"), "section_number", F.col("section_heading").alias("section_title"), F.array("requirement_text", "section_heading").alias("snippets"))
+    return r.select("project_id", F.when(F.expr("doc_id % 5 < 3"), "Base IDIQ PWS.docx").otherwise("Appendix A.docx").alias("filename"), "section_number", F.col("section_heading").alias("section_title"), F.array("requirement_text", "section_heading").alias("snippets"))
 
 
 _PARA = lambda s, d: B.requirements(s, d).select("project_id", F.col("id").alias("paragraph_id"), F.col("requirement_text").alias("text"))
-query("governing_section_links")(lambda s, d: S.governing_section_links(_PARA(s, d), _support(s, d)))
-query("appendix_links")(lambda s, d: S.appendix_links(_PARA(s, d), _support(s, d)))
-query("related_links")(lambda s, d: S.related_links(_PARA(s, d), _support(s, d)))
-query("correlation_summary")(lambda s, d: S.correlation_summary(S.related_links(_PARA(s, d), _support(s, d))))
+_WORDS = lambda c: f"list_distinct(list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z][A-Za-z0-9/&\\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(repr(w) for w in L.LINK_STOPWORDS)})))"
+_LINKS = f""", sup AS (SELECT project_id, CASE WHEN doc_id % 5 < 3 THEN 'Base IDIQ PWS.docx' ELSE 'Appendix A.docx' END AS filename, section_number, [requirement_text, section_heading] AS snippets FROM b_requirements),
+par AS (SELECT project_id, id AS paragraph_id, requirement_text AS body_text, {_WORDS('requirement_text')} AS words FROM b_requirements),
+hit AS (SELECT p.project_id, paragraph_id, words, filename, s.section_number AS cited, snippets, 'governing_section' AS relationship, 3 AS keep FROM (SELECT *, unnest(list_distinct(regexp_extract_all(body_text, '(?i)\\bsections?\\s+(\\d+(?:\\.\\d+)*)', 1))) AS n FROM par) p JOIN sup s ON s.project_id = p.project_id AND s.section_number = n AND s.filename = 'Base IDIQ PWS.docx'
+  UNION ALL SELECT p.project_id, paragraph_id, words, filename, 'APPENDIX ' || letter, snippets, 'referenced_appendix', 2 FROM (SELECT *, unnest(list_distinct({_LETTERS_SQL})) AS letter FROM par) p JOIN sup s ON s.project_id = p.project_id AND letter = 'A' AND s.filename = 'Appendix A.docx'),
+sn AS (SELECT * EXCLUDE (snippets), unnest(snippets) AS snippet, unnest([0, 1]) AS i FROM hit), sc AS (SELECT *, {_WORDS('snippet')} AS sw FROM sn),
+sr AS (SELECT *, round(CASE WHEN len(words) > 0 AND len(sw) > 0 THEN len(list_filter(words, lambda x: list_contains(sw, x))) / len(words) ELSE 0.0 END, 3) AS score FROM sc), rk AS (SELECT *, row_number() OVER (PARTITION BY relationship, project_id, paragraph_id, filename, cited ORDER BY score DESC, i, snippet) AS r FROM sr),
+links AS (SELECT project_id, paragraph_id, filename, cited, string_agg(snippet, '|' ORDER BY r) AS supporting, relationship FROM rk WHERE r <= keep AND (score > 0 OR r = 1) GROUP BY ALL)"""
+_LINK = lambda df: df.withColumn("supporting", F.array_join("supporting", "|"))
+query("governing_section_links", _LINKS + " SELECT * FROM links WHERE relationship = 'governing_section'")(lambda s, d: _LINK(S.governing_section_links(_PARA(s, d), _support(s, d))))
+query("appendix_links", _LINKS + " SELECT * FROM links WHERE relationship = 'referenced_appendix'")(lambda s, d: _LINK(S.appendix_links(_PARA(s, d), _support(s, d))))
+query("related_links", _LINKS + " SELECT * FROM links")(lambda s, d: _LINK(S.related_links(_PARA(s, d), _support(s, d))))
+query("correlation_summary", _LINKS + " SELECT project_id, relationship, count(*) AS links, count(DISTINCT paragraph_id) AS paragraphs, count(DISTINCT filename) AS documents FROM links GROUP BY 1, 2")(lambda s, d: S.correlation_summary(S.related_links(_PARA(s, d), _support(s, d))))
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,9 +536,14 @@ query("outline_nodes")(lambda s, d: O.outline_nodes(_markdown(s, d).withColumnRe
 query("prepare_outline_lines")(lambda s, d: O.prepare_outline_lines(_markdown(s, d).withColumnRenamed("normalized_markdown", "raw_text")).select("document_id", F.array_join("lines", "\n").alias("markdown")))
 
 
-@query("report_bundle", _SECTIONS + " SELECT 'Sections' AS report, count(*) AS n FROM a1 UNION ALL SELECT 'Appendices_Attachments', count(*) FROM a1 WHERE tree_kind <> 'MAIN'")
+@query("report_bundle", _TABLES_OF + """, r AS (SELECT 'Sections' AS report, document_id, count(*) AS n FROM a1 GROUP BY ALL UNION ALL SELECT 'Appendices_Attachments', document_id, count(*) FROM a1 WHERE tree_kind <> 'MAIN' GROUP BY ALL UNION ALL SELECT 'Tables', document_id, count(*) FROM x0 GROUP BY ALL
+  UNION ALL SELECT 'Requirements', document_id, count(*) FROM b_blocks WHERE block_type = 'paragraph' GROUP BY ALL UNION ALL SELECT 'Review_Queue', document_id, count(*) FROM b_blocks WHERE block_type = 'heading' GROUP BY ALL UNION ALL SELECT 'Deliverables', document_id, count(*) FROM b_blocks WHERE block_type = 'appendix_heading' GROUP BY ALL UNION ALL SELECT 'Audit', document_id, 1 FROM b_documents)
+SELECT report, document_id, CAST(n AS BIGINT) AS n FROM r JOIN b_documents USING (document_id) WHERE project_id = 'src3'""")
 def report_bundle(spark, sf):
-    """Sizes of two tables of a report over all documents."""
-    s = _assembled(spark, sf).withColumn("project_id", F.lit("all"))
-    named = files.report_bundle(s, s, s, s, s, s, "all")
-    return named["Sections"].select(F.lit("Sections").alias("report")).unionByName(named["Appendices_Attachments"].select(F.lit("Appendices_Attachments").alias("report"))).groupBy("report").agg(F.count("*").alias("n"))
+    """Sizes of the seven tables of one project's report, by document."""
+    docs = B.documents(spark, sf).select("document_id", "project_id")
+    b = B.blocks(spark, sf)
+    of = lambda df: df.drop("project_id").join(docs, "document_id")
+    named = files.report_bundle(of(_assembled(spark, sf)), b.where("block_type = 'paragraph'"), b.where("block_type = 'appendix_heading'"), of(_tables_of(spark, sf)), b.where("block_type = 'heading'"), docs, "src3")
+    out = [df.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("report", F.lit(k)) for k, df in named.items()]
+    return reduce(DataFrame.unionByName, out)

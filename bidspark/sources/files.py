@@ -51,14 +51,18 @@ def report_bundle(sections: DataFrame, requirements: DataFrame, deliverables: Da
     return {k: df.where(F.col("project_id") == project_id).orderBy(*orders.get(k, ("document_id",))) for k, df in named.items()}
 
 
-ARTIFACT = "schema string, source struct<document_id string, filename string>, cleaned_text struct<full_text string>, hierarchy struct<quality string, sections array<struct<section_id string, section_number string, section_title string>>>"
+FIELDS = ("artifact_type", "document_id", "source", "metadata", "cleaned_text", "hierarchy", "objects", "blocks", "enrichments", "provenance")
 
 
 def validate_artifacts(df: DataFrame, col: str = "artifact_json", tag: str = "structured_document_v1") -> DataFrame:
-    """(document_id, problems): missing fields, a wrong type tag, sections without ids; empty if all is well."""
-    a = F.from_json(col, ARTIFACT)
-    rows = df.select("document_id", a.alias("a"))
-    say = lambda cond, text: F.when(F.coalesce(cond, F.lit(True)), F.lit(text))
-    blank = F.exists("a.hierarchy.sections", lambda s: F.coalesce(s["section_id"], F.lit("")) == "")
-    problems = F.array_compact(F.array(say(F.col("a").isNull() | F.col("a.schema").isNull(), "missing schema"), F.when(F.col("a.schema") != tag, F.lit("wrong schema")), say(F.col("a.source").isNull(), "missing source"), say(F.col("a.cleaned_text").isNull(), "missing cleaned_text"), say(F.col("a.hierarchy").isNull(), "missing hierarchy"), F.when(blank, F.lit("section without id"))))
-    return rows.select("document_id", problems.alias("problems"))
+    """(document_id, problems): missing fields, a wrong type tag, lists that are none, sections without ids; empty if all is well."""
+    at = lambda p: F.get_json_object(col, f"$.{p}")
+    missing = [F.when(at(f).isNull(), F.lit(f"missing {f}")) for f in FIELDS]
+    whole = F.forall(F.array(*[at(f).isNotNull() for f in FIELDS]), lambda x: x)
+    needed = [F.when(F.coalesce(at(p), F.lit("")) == "", F.lit(f"missing {p}")) for p in ("source.filename", "metadata.document_type", "enrichments.pws")]
+    needed += [F.when(at("cleaned_text.full_text").isNull(), F.lit("missing cleaned_text.full_text"))]
+    lists = [F.when(~F.coalesce(at(p), F.lit("")).startswith("["), F.lit(f"{p} is no list")) for p in ("hierarchy.sections", "hierarchy.root_sections", "objects.tables", "objects.images", "blocks", "provenance.source_pages")]
+    sections = F.from_json(at("hierarchy.sections"), "array<struct<section_id string, section_title string>>")
+    inside = [F.when(F.exists(sections, lambda s: F.coalesce(s["section_id"], F.lit("")) == ""), F.lit("section without id")), F.when(F.exists(sections, lambda s: s["section_title"].isNull()), F.lit("section without title"))]
+    problems = F.array_compact(F.array(*missing, F.when(at("artifact_type") != tag, F.lit("wrong artifact_type")), *[F.when(whole, p) for p in (*needed, *lists, *inside)]))
+    return df.select("document_id", problems.alias("problems"))

@@ -182,8 +182,31 @@ def test_related_requirements_rank(spark):
     got = S.related_requirements(df.where("id = 'r1'"), df).orderBy("rank").collect()
     assert [r.c_id for r in got] == ["r2"]
     assert got[0].score == 2 * 5 + 2 + 2 + 14 + 5
-    bulk = S.related_requirements(df, df, mode="bulk").where("s_id = 'r1'").collect()
-    assert [(r.c_id, r.score) for r in bulk] == [("r2", got[0].score)]
+    every = S.related_requirements(df, df).where("s_id = 'r1'").collect()
+    assert [(r.c_id, r.score) for r in every] == [("r2", got[0].score)]
+
+
+def test_related_requirements_equal_all_pairs(spark, monkeypatch):
+    """Small cells, common words, ties, empty texts: the shortlist loses no candidate that belongs to the best."""
+    monkeypatch.setattr(S, "CELL", 7)
+    rng = random.Random(4)
+    pick = lambda *xs: rng.choice(xs)
+    words = ["system", "data", "network", "outage", "report", "section 2.3", "section 4", "Appendix B", "monthly", "care"]
+    cols = "project_id string, id string, filename string, section_number string, section_heading string, heading_path string, requirement_text string, modality string, actor string, action string, object_text string"
+    rows = [(pick("p", "p", "q"), f"r{i:02}", pick("A PWS.docx", "Appendix B.docx", "Pricing Template.xlsx", None), pick("2.3", "2.3.1", "4", "4.1", "", None), pick("", "Appendix B"), "", pick("", None, " ".join(rng.choices(words, k=4)), " ".join(rng.choices(words, k=6))), pick("shall", "must", None), pick("contractor", None), pick("track", None), pick("", "network care", None)) for i in range(60)]
+    df = spark.createDataFrame(rows, cols)
+    pairs = S.score_related(df, df).where("s_id <> c_id and score > 0").select("s_id", "c_id", "score", "weight", "c_filename").collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (-r.score, -r.weight, r.c_filename, r.c_id)):
+        want.setdefault(r.s_id, []).append((r.c_id, r.score))
+    got = {}
+    for r in S.related_requirements(df, df, limit=6).orderBy("s_id", "rank").collect():
+        got.setdefault(r.s_id, []).append((r.c_id, r.score))
+    assert got == {k: v[:6] for k, v in want.items()}
+    boosts = spark.createDataFrame([("r00", "r01", 18.0), ("r00", "r00", 18.0), ("r02", "r59", 17.0)], "s_id string, c_id string, boost double")
+    up = {(r.s_id, r.c_id): r.score for r in S.related_requirements(df, df, boosts, limit=60).collect()}
+    score = {(r.s_id, r.c_id): r.score for r in pairs}
+    assert up["r00", "r01"] == score.get(("r00", "r01"), 0.0) + 18 and ("r00", "r00") not in up and up["r02", "r59"] == score.get(("r02", "r59"), 0.0) + 17
 
 
 def test_links(spark):
@@ -201,9 +224,66 @@ def test_files_and_manifests(spark, tmp_path):
         (tmp_path / "proj" / name).write_text(body)
     assert [(r.project_id, r.filename, r.size_bytes) for r in files.scan_folder(spark, str(tmp_path)).collect()] == [("proj", "a.txt", 1)]
     assert [tuple(r) for r in files.read_project_manifests(spark, f"{tmp_path}/*/project.json").collect()] == [("proj", "D", "D")]
-    bad = spark.createDataFrame([("d", "{}"), ("e", None), ("f", '{"schema": "x", "source": {"document_id": "d"}, "cleaned_text": {"full_text": ""}, "hierarchy": {"sections": [{"section_title": "t"}]}}')], "document_id string, artifact_json string")
+    bad = spark.createDataFrame([("d", "{}"), ("e", None), ("f", "[not json")], "document_id string, artifact_json string")
     got = {r.document_id: r.problems for r in files.validate_artifacts(bad).collect()}
-    assert got["f"] == ["wrong schema", "section without id"] and "missing source" in got["d"]
+    assert all(v == [f"missing {f}" for f in files.FIELDS] for v in got.values())
+
+
+def test_parse_modes(spark):
+    """Markdown with sections and prose wins over a sound structure; then plain text, structure, and review."""
+    rows = [
+        ("md", "structural", 3, 5, 0, 0.9, 0, 11), ("md", "markdown", 2, 2, 0, 0.9, 0, 6),
+        ("text", "structural", 1, 0, 1, 0.0, 0, 0), ("text", "text", 1, 1, 0, 1.0, 0, 3),
+        ("own", "structural", 3, 5, 0, 0.9, 0, 11),
+        ("toc", "structural", 3, 5, 0, 0.9, 99, 11), ("toc", "markdown", 1, 0, 1, 0.0, 0, 1),
+        ("none", "structural", 0, 0, 0, 0.0, 0, 0), ("none", "markdown", 0, 4, 0, 0.0, 0, 4),
+    ]
+    df = spark.createDataFrame(rows, "document_id string, source string, section_count long, prose_block_count long, suspicious_empty_section_count long, coverage_ratio double, toc_signal_score long, body_signal_score long")
+    got = {r.document_id: (r.parse_mode, r.fallback_reason) for r in St.select_parse_mode(df).collect()}
+    assert got == {"md": ("hybrid_markdown_fill", "docling_body_signal_low"), "text": ("tika_fallback", "docling_and_markdown_body_signal_low"), "own": ("docling_structural", None), "toc": ("hybrid_markdown_fill", "docling_body_signal_low"), "none": ("manual_review_required", "no_reliable_structural_source")}
+
+
+def test_objects_are_placed_by_the_first_rule_that_fits(spark):
+    anchors = spark.createDataFrame([("d", 0, "1", "Network Operations", 10, 19, 2, 3, True), ("d", 1, "2", "Help Desk Services", 20, None, 4, 6, True), ("d", 2, "3", "Monthly Cost Report", 90, None, None, None, False)], "document_id string, section_order int, section_number string, section_title string, start_order int, end_order int, page_start int, page_end int, matched boolean")
+    head = "struct<section_number:string,section_title:string>"
+    rows = [("e", 5, ("2", "x"), ("1", "y"), None, []), ("p", 6, ("9", "x"), ("1", "y"), None, []), ("o", 12, None, None, None, []), ("g", 12, None, None, 3, []), ("l", 1, None, None, 3, ["the monthly cost"]), ("n", 1, None, None, None, ["other words"])]
+    objects = spark.createDataFrame([("d", b, o, e, p, pg, t, []) for b, o, e, p, pg, t in rows], f"document_id string, block_id string, document_order int, explicit_heading {head}, preceding_heading {head}, page_start int, before array<string>, after array<string>")
+    got = {r.block_id: (r.section_number, round(r.confidence, 2), r.method) for r in St.align_objects(objects, anchors, 0.6).collect()}
+    assert got == {"e": ("2", 0.98, "explicit_heading_context"), "p": ("1", 0.84, "nearest_preceding_heading"), "o": ("1", 0.72, "page_order_window"), "g": ("1", 0.8, "page_order_window"), "l": ("3", 0.69, "lexical_overlap"), "n": (None, 0.0, "unplaced")}
+    assert {r.block_id for r in St.unplaced_objects(St.align_objects(objects, anchors)).collect()} == {"l", "n"}
+
+
+def test_artifacts_hierarchy_rows_and_table_chunks(spark):
+    sections = spark.createDataFrame([("d", 0, "3", "Operations", 1, "MAIN", "Top paragraph", 1), ("d", 1, "3.1", "Program Requirements", 2, "MAIN", "First bullet\n\nSecond bullet", 2), ("d", 2, "Appendix A", "Acronyms", 1, "APPENDIX", "", 0)], "document_id string, section_order int, section_number string, section_title string, heading_level int, tree_kind string, body_text string, prose_blocks long")
+    tables = spark.createDataFrame([("d", 0, "3 > 3.1", "Col1 | Col2\nA | B"), ("d", 1, "", "lost"), ("d", 2, "3 > 3.1", " ")], "document_id string, table_index int, heading_path string, normalized_text string")
+    got = [(r.level_1, r.level_2, r.content) for r in St.hierarchy_rows(sections, tables).orderBy("section_order", "i").collect()]
+    assert got == [("3 Operations", "", "Top paragraph"), ("3 Operations", "3.1 Program Requirements", "First bullet"), ("3 Operations", "3.1 Program Requirements", "Second bullet"), ("3 Operations", "3.1 Program Requirements", "Col1 | Col2\nA | B"), ("Appendix A Acronyms", "", "")]
+    docs = spark.createDataFrame([("d", "a.docx", "whole"), ("x", "b.docx", None)], "document_id string, filename string, text string")
+    blocks = spark.createDataFrame([("d", 0, "heading", "3 Operations", 2), ("d", 1, "paragraph", "Top", 1)], "document_id string, document_order int, block_type string, normalized_text string, page_start int")
+    placed = spark.createDataFrame([("d", "t1", 2, "table", "3.1", 0.98, "m", [["a", "b"], []]), ("d", "i1", 3, "image", None, 0.0, "unplaced", [])], "document_id string, block_id string, document_order int, object_type string, section_number string, confidence double, method string, rows array<array<string>>")
+    made = St.build_artifacts(docs, sections, blocks, placed)
+    a = {r.document_id: json.loads(r.artifact_json) for r in made.collect()}["d"]
+    assert [s["section_number"] for s in a["hierarchy"]["sections"]] == ["3", "3.1", "Appendix A"] and a["hierarchy"]["sections"][1]["parent_number"] == "3" and a["hierarchy"]["quality"] == "strong"
+    assert a["objects"]["tables"][0]["rows"] == [["a", "b"], []] and a["objects"]["images"][0]["object_id"] == "i1" and a["enrichments"]["pws"]["unplaced_object_ids"] == ["i1"]
+    assert a["enrichments"]["pws"]["requirements_detected"] is True and a["provenance"]["source_pages"] == [1, 2] and a["metadata"]["page_count"] == 2 and a["blocks"][1]["kind"] == "paragraph"
+    assert all(r.problems == [] for r in files.validate_artifacts(made).collect())
+    rows = spark.createDataFrame([("d", 0, [["a", "b"], [], ["c", "d"]], "3.1"), ("d", 1, [[]], None), ("d", 2, [["x"]], None)], "document_id string, table_index int, rows array<array<string>>, attached_section_id string")
+    whole = docs.withColumns({"project_id": F.lit("p"), "quality": F.lit("strong")})
+    got = {r.chunk_index: (r.chunk_kind, r.section_path, r.section_heading, r.body_text, r.text) for r in C.artifact_chunks(whole, sections, rows).where("document_id = 'd'").collect()}
+    assert got["t-0"] == ("table", "3.1", "3.1", "a | b\nc | d", "Table Content\n\na | b\nc | d") and got["t-2"][1:3] == ("DOCUMENT", "Document Body") and "t-1" not in got and "s-0-0" in got
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)], "text string")
+        C.chunk_words(df).count()
+        t = time.time()
+        C.chunk_words(df).agg(F.sum(F.length("chunk"))).collect()
+        took.append(time.time() - t)
+    assert took[1] < 8 * took[0] + 4  # quadratic work took 20 s for 80,000 words
 
 
 def test_streams(spark, tmp_path):
