@@ -51,13 +51,18 @@ def pws_area(path: Column, heading: Column) -> Column:
 
 def extract_requirements(sections: DataFrame, text: str = "body_text") -> DataFrame:
     """Classified sentences of sections; requirement_index counts all sentences of the section."""
-    rows = split_sentences(sections, text).withColumn("requirement_type", T.classify_requirement(F.col("sentence")))
-    return rows.where("requirement_type is not null").withColumnsRenamed({"sentence_index": "requirement_index", "sentence": "requirement_text"})
+    rows = _labelled(split_sentences(sections, text), "requirement_type", T.classify_requirement(F.col("sentence")))
+    return rows.withColumnsRenamed({"sentence_index": "requirement_index", "sentence": "requirement_text"})
+
+
+def _labelled(df: DataFrame, name: str, label: Column) -> DataFrame:
+    """Rows that have a label. It is exploded, not filtered: a filter would look through all its patterns a second time."""
+    return df.select("*", F.explode(F.array_compact(F.array(label))).alias(name))
 
 
 def _export(df: DataFrame, kind: str, text: Column, default: str) -> DataFrame:
     rows = df.withColumns({"source_kind": F.lit(kind), "requirement_text": text, "source_document": F.col("filename"), "pws_area": pws_area(F.col("section_path"), F.col("section_heading"))})
-    rows = rows.withColumn("trigger_keyword", T.classify_export_keyword(F.col("requirement_text"))).where("trigger_keyword is not null")
+    rows = _labelled(rows, "trigger_keyword", T.classify_export_keyword(F.col("requirement_text")))
     return rows.withColumns({"requirement_type": F.coalesce(T.classify_requirement(F.col("requirement_text")), F.lit(default)), "content_sha256": T.blank_if_null("content_sha256")}).select(*EXPORT)
 
 
@@ -66,6 +71,15 @@ def section_export_rows(sections: DataFrame) -> DataFrame:
     return _export(split_sentences(sections, "body_text"), "section", F.col("sentence"), "requirement_statement")
 
 
+def section_and_record_rows(sections: DataFrame) -> DataFrame:
+    """`section_export_rows` and the export rows of `extract_requirements`, from one split and one classification."""
+    both = F.array(F.struct(T.classify_export_keyword(F.col("sentence")).alias("k"), T.classify_requirement(F.col("sentence")).alias("t")))
+    row = lambda cond, kind, of_type, keyword: F.when(cond, F.struct(F.lit(kind).alias("source_kind"), of_type.alias("requirement_type"), keyword.alias("trigger_keyword")))
+    kinds = lambda x: F.array_compact(F.array(row(x["k"].isNotNull(), "section", F.coalesce(x["t"], F.lit("requirement_statement")), x["k"]), row(x["t"].isNotNull(), "requirement_record", x["t"], F.coalesce(x["k"], F.lit("classified")))))
+    rows = split_sentences(sections, "body_text").withColumn("x", F.explode(F.flatten(F.transform(both, kinds)))).select("*", "x.*")
+    return rows.withColumns({"requirement_text": F.col("sentence"), "source_document": F.col("filename"), "pws_area": pws_area(F.col("section_path"), F.col("section_heading")), "content_sha256": T.blank_if_null("content_sha256")}).select(*EXPORT)
+
+
 def table_export_rows(tables: DataFrame) -> DataFrame:
     """Non-empty lines of table text that have a trigger keyword."""
     lines = tables.withColumn("line", F.explode(F.split(T.blank_if_null("body_text"), r"\n+"))).withColumn("line", T.normalize_inline(F.col("line"))).where("line <> ''")
@@ -121,14 +135,16 @@ def markdown_export_rows(documents: DataFrame) -> DataFrame:
     return _export(rows, "markdown_sentence", F.col("sentence"), "requirement_statement").withColumn("pws_area", F.col("section_path"))
 
 
-def project_requirement_export(sections: DataFrame, tables: DataFrame, requirements: DataFrame, markdown: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
+def project_requirement_export(sections: DataFrame, tables: DataFrame, requirements: DataFrame | None = None, markdown: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
     """All requirement rows of every project, each key once (first source first).
 
     A key holds the source kind, so duplicates only meet inside one source; among them the smallest row stays,
-    which a combining aggregate finds before the shuffle.
+    which a combining aggregate finds before the shuffle. Without `requirements` the sections' own are taken, and
+    their sentences are split and classified once for both.
     """
     keep = lambda df: df if not pattern else df.where(F.col("filename").ilike(pattern))
-    parts = [section_export_rows(keep(sections)), table_export_rows(keep(tables)), requirement_export_rows(keep(requirements))]
+    parts = [section_and_record_rows(keep(sections))] if requirements is None else [section_export_rows(keep(sections)), requirement_export_rows(keep(requirements))]
+    parts.append(table_export_rows(keep(tables)))
     if markdown is not None:
         parts.append(markdown_export_rows(keep(markdown)))
     rest = [c for c in EXPORT if c not in EXPORT_KEY]

@@ -57,8 +57,7 @@ export AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _export(spark: SparkSession, sf: str) -> DataFrame:
-    s = B.sections(spark, sf)
-    return X.project_requirement_export(s, B.tables(spark, sf), X.extract_requirements(s))
+    return X.project_requirement_export(B.sections(spark, sf), B.tables(spark, sf))
 
 
 @query("requirement_export", EXPORT_SQL + "SELECT * FROM export")
@@ -68,7 +67,7 @@ def requirement_export(spark, sf):
 
 
 query("submission_requirements", EXPORT_SQL + f"SELECT * FROM (SELECT *, coalesce({SUBMISSION}, CASE WHEN requirement_type = 'submission' THEN 'content' END) AS submission_category FROM export) WHERE submission_category IS NOT NULL")(lambda s, d: X.submission_requirements(_export(s, d)))
-query("requirement_export_all")(lambda s, d: X.project_requirement_export(B.sections(s, d), B.tables(s, d), X.extract_requirements(B.sections(s, d)), B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
+query("requirement_export_all")(lambda s, d: X.project_requirement_export(B.sections(s, d), B.tables(s, d), None, B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
 query("split_sentences", f", {SENTENCES} SELECT document_id, sentence_index, sentence FROM s_raw")(lambda s, d: X.split_sentences(B.sections(s, d), "body_text").select("document_id", "sentence_index", "sentence"))
 query("extract_requirements", f", {SENTENCES} SELECT document_id, section_path, sentence_index AS requirement_index, sentence AS requirement_text, {_case('sentence', L.REQUIREMENT_TYPES)} AS requirement_type FROM s_raw WHERE {_case('sentence', L.REQUIREMENT_TYPES)} IS NOT NULL")(lambda s, d: X.extract_requirements(B.sections(s, d)).select("document_id", "section_path", "requirement_index", "requirement_text", "requirement_type"))
 query("markdown_export")(lambda s, d: X.markdown_export_rows(B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
