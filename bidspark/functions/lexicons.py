@@ -100,3 +100,9 @@ FIGURE_MARK = r"(?i)Figure is UNCLASSIFIED(?://FOUO)?\s*"
 REMOVED_MARK = r"(?i)\bRemoved for classification\b"
 MARGIN_NUMBER = r"^\s*\d{1,4}(?:\s{2,}|\t+)(?=\S)"
 PAGE_LINE = r"^(?i)\s*(page\s+)?[A-Z]?-?\d+\s*$"
+#: Lines of paragraphs, and where a heading starts inside one; pipe tables pressed into one line.
+MARKDOWN_LINK = r"^\[([^\]]+)\]\(\.\)$"
+IMAGE_TAG = r"^(?i)<!--\s*image\s*-->$"
+MARKING_ONLY = r"^\(?[A-Z/]{1,12}\)?$"
+INLINE_HEADING = r"(?i)(?=(?:^|\s)(?:\(?[A-Z]{0,3}\)?\s*)?(?:APPENDIX|ATTACHMENT|SECTION|\d+(?:\.\d+)+|\d+)\s+[A-Z])"
+INLINE_TABLE = r"^([^|]*)((?:\|[^|\n]*){2,}?\|)\s*(\|(?:[-:\s]*\|){2,})\s*(.*)$"

@@ -524,11 +524,25 @@ def explode_structured_json(documents: DataFrame, col: str = "structured_json")
 
 
 def iter_paragraphs(df: DataFrame, col: str = "text") -> DataFrame:
-    """Paragraphs: split at blank lines, and around heading lines, which stand alone."""
-    lines = F.transform(F.split(F.regexp_replace(T.blank_if_null(col), r"\r\n?", "\n"), "\n"), T.strip)
-    head = lambda x: x.rlike(L.DECIMAL_HEADING) | x.rlike(L.SECTION_HEADING) | x.rlike(L.APPENDIX_HEADING)
-    marked = F.transform(lines, lambda x: F.when(head(x), F.concat(F.lit("\n\n"), x, F.lit("\n\n"))).otherwise(x))
-    parts = F.filter(F.transform(F.split(F.array_join(marked, "\n"), r"\n{2,}"), T.strip), lambda x: x != "")
+    """Paragraphs: split at blank lines and at lines of contents lists or images, which go; heading lines stand alone, and a
+    paragraph is split where a heading starts inside it."""
+
+    def keyed(x: Column) -> Column:
+        bare = F.when(x.startswith("**") & x.endswith("**") & (F.length(x) > 4), T.strip(F.substr(x, F.lit(3), F.length(x) - 4))).otherwise(x)
+        link = F.regexp_extract(bare, L.MARKDOWN_LINK, 1)
+        return F.struct(x.alias("x"), T.normalize_heading_candidate(F.when(link != "", link).otherwise(bare)).alias("k"))
+
+    def head(k: Column) -> Column:
+        noise = (F.length(k) <= 1) | k.rlike(L.DATE_ONLY) | F.upper(k).rlike(L.MARKING_ONLY)
+        number = k.rlike(L.NUMBER_HEADING) & (F.size(F.split(T.strip(F.regexp_extract(k, L.NUMBER_HEADING, 2)), r"\s+")) <= 12)
+        return ~noise & (k.rlike(L.APPENDIX_HEADING) | k.rlike(L.SECTION_HEADING) | k.rlike(L.DECIMAL_HEADING) | number)
+
+    noise = lambda k: (k == "") | k.rlike(L.IMAGE_TAG) | k.rlike(L.TOC_TITLE) | k.rlike(L.TOC_ENTRY)
+    lines = F.transform(F.transform(F.split(F.regexp_replace(T.blank_if_null(col), r"\r\n?", "\n"), "\n"), T.strip), keyed)
+    marked = F.transform(lines, lambda s: F.when(noise(s["k"]), "").when(head(s["k"]), F.concat(F.lit("\n\n"), s["x"], F.lit("\n\n"))).otherwise(s["x"]))
+    whole = F.filter(F.transform(F.split(F.array_join(marked, "\n"), r"\n{2,}"), T.strip), lambda x: x != "")
+    pieces = lambda x: F.filter(F.transform(F.split(x, L.INLINE_HEADING), T.strip), lambda y: y != "")
+    parts = F.flatten(F.transform(F.transform(whole, keyed), lambda s: F.when(head(s["k"]), F.array(s["x"])).otherwise(pieces(s["x"]))))
     rest = [c for c in df.columns if c != col]
     return df.select(*rest, F.posexplode(parts).alias("paragraph_index", "paragraph"))
 
@@ -542,7 +556,26 @@ def render_markdown_table(rows: Column) -> Column:
     return F.array_join(F.concat(F.array(line(rows[0]), rule), body), "\n")
 
 
+def inline_table(c: Column) -> Column:
+    """Of a line that holds a whole table (header, rule and cells one after another): text before it, and its rows, as wide as
+    the header; cells that fill no row are left out. Null rows if the line holds none."""
+    part = lambda k: F.regexp_extract(c, L.INLINE_TABLE, k)
+    cells = lambda x: F.transform(F.split(F.regexp_replace(T.strip(x), r"^\||\|$", ""), r"\|"), lambda y: T.strip_inline_markdown(T.strip(y)))
+
+    def rows(s: Column) -> Column:
+        n, tokens = F.size(s["header"]), F.filter(s["body"], lambda x: x != "")
+        full = F.floor(F.size(tokens) / n).cast("int")
+        body = F.when(full > 0, F.transform(F.sequence(F.lit(1), F.greatest(full, F.lit(1))), lambda k: F.slice(tokens, (k - 1) * n + 1, n)))
+        return F.when(full > 0, F.concat(F.array(s["header"]), body))
+
+    found = F.transform(F.array(F.struct(cells(part(2)).alias("header"), cells(part(4)).alias("body"))), rows)[0]
+    return F.struct(T.strip(part(1)).alias("prefix"), F.when(c.rlike(L.INLINE_TABLE), found).alias("rows"))
+
+
 def markdown_tables(c: Column) -> Column:
-    """Rows of a pipe table as an array of arrays, without the rule below the header."""
-    lines = F.filter(F.split(T.blank_if_null(c), "\n"), lambda x: T.strip(x).startswith("|") & ~x.rlike(r"^\s*\|[\s|:\-]+\|?\s*$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(T.strip(x), r"^\||\|$", ""), r"\|"), T.strip))
+    """Rows of a pipe table as an array of arrays, without the rule below the header; tables pressed into one line are opened."""
+    row = lambda x: F.transform(F.split(F.regexp_replace(T.strip(x), r"^\||\|$", ""), r"\|"), T.strip)
+    rule = lambda x: x.rlike(r"^\s*\|[\s|:\-]+\|?\s*$")
+    none = F.array().cast("array<array<string>>")
+    lines = F.transform(F.split(T.blank_if_null(c), "\n"), lambda x: F.struct(x.alias("x"), inline_table(x)["rows"].alias("t")))
+    return F.flatten(F.transform(lines, lambda s: F.when(s["t"].isNotNull(), s["t"]).when(T.strip(s["x"]).startswith("|") & ~rule(s["x"]), F.array(row(s["x"]))).otherwise(none)))

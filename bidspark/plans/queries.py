@@ -73,9 +73,21 @@ query("extract_requirements", f", {SENTENCES} SELECT document_id, section_path,
 query("markdown_export")(lambda s, d: X.markdown_export_rows(B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
 FRAGMENTS = f"list_filter(list_transform(string_split(regexp_replace({INLINE('normalized_text')}, '([.;!?])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {STRIP('x')}), lambda x: x <> '')"
 query("split_fragments", f" SELECT document_id, document_order, unnest({FRAGMENTS}) AS fragment, unnest(range(len({FRAGMENTS}))) AS fragment_index FROM b_blocks")(lambda s, d: X.split_fragments(B.blocks(s, d), "normalized_text").select("document_id", "document_order", "fragment_index", "fragment"))
-query("protected_sentences")(lambda s, d: B.sections(s, d).select("document_id", F.posexplode(X.split_protected_sentences(F.col("body_text"))).alias("i", "sentence")))
+_GUARDED = "regexp_replace(regexp_replace(regexp_replace(body_text, '(\\d)\\.(\\d)', '\\1' || chr(1) || '\\2', 'g'), '(^|[^\\p{L}\\p{N}_])(e|i|u)\\.(g|e|s)\\.', '\\1\\2' || chr(1) || '\\3' || chr(1), 'gi'), '(^|[^\\p{L}\\p{N}_])(etc|vs|mr|mrs|ms|dr|no|inc)\\.', '\\1\\2' || chr(1), 'gi')"
+_GUARDED_PARTS = f"list_filter(list_transform(regexp_extract_all({_GUARDED}, '([^.!?]+[.!?]*)', 1), lambda x: regexp_replace(replace(x, chr(1), '.'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+query("protected_sentences", f" SELECT document_id, unnest({_GUARDED_PARTS}) AS sentence, CAST(unnest(range(len({_GUARDED_PARTS}))) AS INTEGER) AS i FROM b_body")(lambda s, d: B.sections(s, d).select("document_id", F.posexplode(X.split_protected_sentences(F.col("body_text"))).alias("i", "sentence")))
 query("hierarchy_export")(lambda s, d: X.hierarchy_requirement_export(_markdown(s, d)))
-query("summary_sections")(lambda s, d: X.parse_summary_sections(_markdown(s, d).select("document_id", F.concat(F.lit("## Executive Summary\n"), "normalized_markdown", F.lit("\n## Key Documents\n- one\n* two\n")).alias("markdown"))).select("document_id", "executive_summary", "key_documents"))
+_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '\\s', '', 'g') <> '')"
+_SUMMARY = {n: f"{STRIP("array_to_string(list_transform(" + _LINES + ", lambda x: regexp_replace(x, '\\s+$', '')), chr(10))")}" for n in X.SUMMARY_TEXTS} | {n: f"array_to_string(list_transform({_LINES}, lambda x: {STRIP('x')}), chr(10))" for n in X.SUMMARY_LISTS}
+query("summary_sections", " SELECT doc_id, " + ", ".join(f"{c} AS {n.replace(' ', '_')}" for n, c in _SUMMARY.items()) + " FROM documents")(lambda s, d: _summaries(s, d))
+
+
+def _summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text as each of the eight sections of a summary: as prose, and line by line as bullets."""
+    text = F.coalesce("text", F.lit(""))
+    parts = [F.concat(F.lit(f"## {n.title()}\n"), text if n in X.SUMMARY_TEXTS else F.regexp_replace(text, r"(?m)^\s*(?=\S)", "- "), F.lit("\n\n")) for n in (*X.SUMMARY_TEXTS, *X.SUMMARY_LISTS)]
+    out = X.parse_summary_sections(B.read(spark, sf, "documents").select("doc_id", F.concat(*parts).alias("markdown"))).drop("markdown")
+    return out.withColumns({n.replace(" ", "_"): F.array_join(n.replace(" ", "_"), "\n") for n in X.SUMMARY_LISTS})
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,12 +165,14 @@ _text("tokens_search", lambda c: F.array_join(F.array_sort(T.tokens_search(c)),
 _text("normalized_requirement", T.build_normalized_requirement, f"regexp_replace({INLINE('text')}, '^\\(?[A-Za-z0-9.\\-]+\\)?\\s+', '')")
 _text("clean_line", T.clean_line, "")
 _text("strip_margin_line_numbers", T.strip_margin_line_numbers, "")
-_text("clean_companion_text", T.clean_companion_text, "")
+_COMPANION = STRIP("regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\b(?:Table|Figure)\\s+\\d+\\b', ' ', 'gi'), '\\|[\\s|]*', ' ', 'g'), '\\b(?:[A-Z]{2,}\\s+){3,}[A-Z]{2,}\\b', ' ', 'g'), '\\s+', ' ', 'g')")
+_text("clean_companion_text", T.clean_companion_text, f"CASE WHEN length({_COMPANION}) <= 500 THEN {_COMPANION} ELSE regexp_replace(substring({_COMPANION}, 1, 497), '\\s+$', '') || '...' END")
 _text("tokens_link", lambda c: F.array_join(F.array_sort(T.tokens_link(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9/&\\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(repr(w) for w in L.LINK_STOPWORDS)})))), ' ')")
 _text("tokens_title", lambda c: F.array_join(F.array_sort(T.tokens_title(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(w) for w in L.TITLE_STOPWORDS)})))), ' ')")
 _LETTERS = lambda p: f"length(regexp_replace(normalized_text, '[^\\p{{{p}}}]', '', 'g'))"
 query("is_upper_heading", f" SELECT document_id, document_order, {_LETTERS('L')} >= 6 AND length(normalized_text) <= 140 AND {_LETTERS('Lu')} / {_LETTERS('L')} > 0.85 AS value FROM b_blocks")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.is_upper_heading(F.col("normalized_text")).alias("value")))
-query("point_ids")(lambda s, d: B.chunks(s, d).select("vec_id", T.point_id(F.col("project_id"), F.col("filename"), F.col("chunk_index")).alias("point_uuid")))
+_SHA = f"sha1(unhex('{L.URL_NAMESPACE}') || encode(project_id || ':' || filename || ':' || chunk_index))"
+query("point_ids", f", h AS (SELECT vec_id, lower({_SHA}) AS h FROM b_chunks) SELECT vec_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || (['8', '9', 'a', 'b'])[CAST((instr('0123456789abcdef', h[17]) - 1) % 4 + 1 AS INTEGER)] || h[18:20] || '-' || h[21:32] AS point_uuid FROM h")(lambda s, d: B.chunks(s, d).select("vec_id", T.point_id(F.col("project_id"), F.col("filename"), F.col("chunk_index")).alias("point_uuid")))
 query("classify_text", f", {SENTENCES} SELECT document_id, sentence_index, {_case('sentence', L.TRIGGER_KEYWORDS)} AS keyword, {_case('sentence', L.SUBMISSION_CATEGORIES)} AS category, {_case('sentence', L.MODALITIES, chr(39) + 'informational' + chr(39))} AS modality, {_case('sentence', L.ACTORS)} AS actor FROM s_raw")(lambda s, d: X.split_sentences(B.sections(s, d), "body_text").select("document_id", "sentence_index", T.classify_export_keyword(F.col("sentence")).alias("keyword"), T.classify_submission(F.col("sentence")).alias("category"), T.detect_modality(F.col("sentence")).alias("modality"), T.detect_actor(F.col("sentence")).alias("actor")))
 query("filename_rules", f" SELECT id, CASE WHEN {' OR '.join(f'contains(lower(filename), {chr(39)}{t}{chr(39)})' for t in L.POSITIVE_FILENAMES)} THEN 5 ELSE 0 END - CASE WHEN {' OR '.join(f'contains(lower(filename), {chr(39)}{t}{chr(39)})' for t in L.NEGATIVE_FILENAMES)} THEN 8 ELSE 0 END AS weight, {' OR '.join(f'regexp_matches(filename, {chr(39)}(?i){p}{chr(39)})' for p in L.NOISY_FILENAMES)} AS noisy FROM b_documents")(lambda s, d: B.documents(s, d).select("id", T.filename_weight(F.col("filename")).alias("weight"), T.is_noisy_doc(F.col("filename")).alias("noisy")))
 _NAME = "lower(filename)"
@@ -174,7 +188,8 @@ _SINGLE = "regexp_extract_all(body_text, '(?i)\\bappendix(?:es)?\\s+([A-Z](?:\\s
 _RANGE = lambda k: f"regexp_extract_all(body_text, '(?i)\\bAppendices?\\s+([A-Z])\\s*[–\\-]\\s*([A-Z])([A-Z\\s,]*)(?:&\\s*([A-Z]))?', {k})"
 _LETTERS_SQL = f"""list_concat(flatten(list_transform(list_zip({_RANGE(1)}, {_RANGE(2)}, {_RANGE(3)}, {_RANGE(4)}), lambda z: list_concat(list_transform(range(least(ascii(upper(z[1])), ascii(upper(z[2]))), greatest(ascii(upper(z[1])), ascii(upper(z[2]))) + 1), lambda x: chr(CAST(x AS INTEGER))), list_concat(regexp_extract_all(z[3], '[A-Z]'), list_filter([upper(z[4])], lambda x: x <> ''))))), list_transform(regexp_extract_all(body_text, '(?i)\\bAppendix\\s+([A-Z])\\b', 1), lambda x: upper(x)))"""
 query("appendix_references", f" SELECT document_id, array_to_string(list_sort(list_distinct({_LETTERS_SQL})), ',') AS ranged, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform({_SINGLE}, lambda x: regexp_split_to_array(upper(x), '\\s*[,\\-]\\s*'))), lambda x: x <> ''))), ',') AS single FROM b_body")(lambda s, d: B.sections(s, d).select("document_id", F.array_join(F.array_sort(T.appendix_refs_ranged(F.col("body_text"))), ",").alias("ranged"), F.array_join(F.array_sort(T.appendix_refs(F.col("body_text"))), ",").alias("single")))
-query("bullets")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.normalize_bullet(F.concat(F.lit("o (U) "), "normalized_text")).alias("bullet"), F.size(T.expand_inline_bullets(F.concat("normalized_text", F.lit(" o Next")))).alias("lines")))
+_INLINE_MARK = f"\\(\\s*{L.SIMPLE_MARKING}\\s*\\)"
+query("bullets", f" SELECT document_id, document_order, '  - ' || {STRIP("regexp_replace(" + STRIP("regexp_replace('o (U) ' || normalized_text, '" + _INLINE_MARK + "', '', 'gi')") + ", '^\\s*o\\s+', '')")} AS bullet, CAST(len(list_filter(string_split(regexp_replace(normalized_text || ' o Next', '\\s+o\\s+([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda x: {STRIP('x')} <> '')) AS INTEGER) AS lines FROM b_blocks")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.normalize_bullet(F.concat(F.lit("o (U) "), "normalized_text")).alias("bullet"), F.size(T.expand_inline_bullets(F.concat("normalized_text", F.lit(" o Next")))).alias("lines")))
 query("heading_candidates")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.normalize_heading_candidate(F.concat(F.lit("(U) "), "normalized_text", F.lit(" ..... 12"))).alias("candidate"), T.strip_trailing_page_digits(F.concat("normalized_text", F.lit("12"))).alias("title")))
 
 
@@ -389,6 +404,9 @@ n2 AS (SELECT *, CASE WHEN contains(node_id, '.') THEN regexp_replace(node_id, '
 _N3 = ", n3 AS (SELECT n2.document_id, node_id, parent_id, section_order AS position, b.heading_title AS title FROM n2 JOIN b_blocks b ON b.document_id = n2.document_id AND b.document_order = n2.section_order UNION ALL SELECT document_id, node_id || '.p' || (i + 1), node_id, i, NULL FROM (SELECT document_id, node_id, unnest(range(p)) AS i FROM n2))"
 _PAIRS = ", e1 AS (SELECT document_id, parent_id AS root, node_id FROM n2 WHERE parent_id IS NOT NULL), e2 AS (SELECT a.document_id, a.root, b.node_id FROM e1 a JOIN e1 b ON b.document_id = a.document_id AND b.root = a.node_id), e3 AS (SELECT a.document_id, a.root, b.node_id FROM e2 a JOIN e1 b ON b.document_id = a.document_id AND b.root = a.node_id)"
 _NODE_SQL = {
+    "normalize_numbering": """, r0 AS (SELECT n2.document_id, node_id, b.numbering_token AS number, CAST(string_split(b.numbering_token, '.')[1] AS INTEGER) AS top, NOT contains(node_id, '.') AS root, CAST(regexp_extract(n2.document_id, '(\\d+)$', 1) AS BIGINT) % 3 = 0 AS listed FROM n2 JOIN b_blocks b ON b.document_id = n2.document_id AND b.document_order = n2.section_order),
+    r1 AS (SELECT document_id, bool_or(listed AND node_id = '1') AND min(CASE WHEN root AND NOT (listed AND node_id = '1') THEN top END) > 1 AS gone FROM r0 GROUP BY 1)
+    SELECT document_id, node_id, CASE WHEN coalesce(gone, FALSE) THEN (top - 1) || regexp_extract(number, '^\\d+(.*)$', 1) ELSE number END AS section_number FROM r0 JOIN r1 USING (document_id) WHERE NOT (coalesce(gone, FALSE) AND top = 1) UNION ALL SELECT document_id, node_id || '.p' || (i + 1), NULL FROM (SELECT document_id, node_id, unnest(range(p)) AS i FROM n2)""",
     "resequence": _N3 + " SELECT document_id, node_id, parent_id, CAST(row_number() OVER (PARTITION BY document_id, parent_id ORDER BY position, title NULLS FIRST, node_id) AS INTEGER) AS position FROM n3",
     "descendants": _PAIRS + " SELECT *, 1 AS distance FROM e1 UNION ALL SELECT *, 2 FROM e2 UNION ALL SELECT *, 3 FROM e3",
     "outline_requirements": " , q AS (SELECT document_id, node_id AS parent_id, section_order, unnest(parts) AS text, unnest(range(p)) AS i FROM n2) SELECT q.document_id, parent_id, parent_id || '.p' || (i + 1) AS node_id, text, numbering_token AS section_number, heading_title AS section_title, regexp_replace(numbering_token || ' ' || heading_title, '^\\s+|\\s+$', '', 'g') AS section_label FROM q JOIN b_blocks b ON b.document_id = q.document_id AND b.document_order = q.section_order",
@@ -397,7 +415,7 @@ _NODE_SQL = {
     "section_requirement_counts": " SELECT document_id, node_id, p AS requirements FROM n2",
     "review_rollup": " SELECT document_id, CAST(count(*) + sum(p) AS BIGINT) AS items, CAST(sum((p + 1) // 2) AS BIGINT) AS flagged, CAST(count(*) + sum(p // 2) AS BIGINT) AS accepted FROM n2 GROUP BY 1",
 }
-for _name, _f in (("outline_stats", St.outline_stats), ("section_index", St.section_index), ("normalize_numbering", St.normalize_numbering), ("outline_requirements", St.outline_requirements), ("section_requirement_counts", St.section_requirement_counts), ("resequence", lambda n: St.resequence(n).select("document_id", "node_id", "parent_id", "position")), ("review_rollup", St.review_rollup), ("descendants", lambda n: St.descendants(n.where("node_type = 'section'")))):
+for _name, _f in (("outline_stats", St.outline_stats), ("section_index", St.section_index), ("normalize_numbering", lambda n: St.normalize_numbering(n.withColumn("section_title", F.when((F.col("node_id") == "1") & (_number() % 3 == 0), "Table of Contents").otherwise(F.col("section_title")))).select("document_id", "node_id", "section_number")), ("outline_requirements", St.outline_requirements), ("section_requirement_counts", St.section_requirement_counts), ("resequence", lambda n: St.resequence(n).select("document_id", "node_id", "parent_id", "position")), ("review_rollup", St.review_rollup), ("descendants", lambda n: St.descendants(n.where("node_type = 'section'")))):
     query(_name, _NODES + _NODE_SQL[_name] if _name in _NODE_SQL else None)(lambda s, d, f=_f: f(_nodes(s, d)))
 
 _WINDOWS = "list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')"
@@ -518,7 +536,10 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 query("document_events", " SELECT 'doc-' || user_id AS document_id, CAST(min(epoch(date_trunc('second', ts))) AS BIGINT) AS at FROM events GROUP BY 1")(_events)
 query("iter_paragraphs")(lambda s, d: St.iter_paragraphs(_markdown(s, d).withColumnRenamed("normalized_markdown", "text")))
-query("markdown_tables", " SELECT document_id, CAST(count(*) + 1 AS INTEGER) AS n FROM b_grid GROUP BY 1")(lambda s, d: B.grids(s, d).select("document_id", St.render_markdown_table(F.col("rows")).alias("md")).select("document_id", F.size(St.markdown_tables(F.col("md"))).alias("n")))
+_GRID_TEXT = "SELECT document_id, 'name|type|size|' || chr(10) || string_agg(array_to_string(r, '|'), chr(10) ORDER BY row_index) AS cells FROM b_grid GROUP BY 1"
+_CELLS = lambda md: F.array_join(F.transform(St.markdown_tables(md), lambda r: F.array_join(r, "|")), "\n").alias("cells")
+query("markdown_tables", " " + _GRID_TEXT)(lambda s, d: B.grids(s, d).select("document_id", St.render_markdown_table(F.col("rows")).alias("md")).select("document_id", _CELLS(F.col("md"))))
+query("inline_tables", " " + _GRID_TEXT.replace("size|", "size|due"))(lambda s, d: B.grids(s, d).select("document_id", F.concat(F.lit("See "), F.replace(St.render_markdown_table(F.concat(F.array(F.array(*map(F.lit, ("name", "type", "size", "due")))), F.expr("slice(rows, 2, size(rows))"))), F.lit("\n"), F.lit(" "))).alias("md")).select("document_id", _CELLS(F.col("md"))))
 
 
 def _structured(spark: SparkSession, sf: str) -> DataFrame:

@@ -304,3 +304,11 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted((r.document_id, r.requirement_text) for r in state["rows"].collect()) in ([("d1", "The contractor shall deliver."), ("d2", "It must run.")], [("d2", "It must run.")])
     assert events.batch_document_events(spark.read.text(f"{tmp_path}/in")).count() == 2
+
+
+def test_paragraphs_and_inline_tables(spark):
+    text = "Table of Contents\n1.1 Scope ..... 4\nfirst line\nsecond line\n<!-- image -->\nthird\n**2.1 Duties**\nbody text 3.2 Reports are due\n\n12 Short title\r\nend"
+    df = spark.createDataFrame([("d", text), ("n", None)], "document_id string, text string")
+    got = [r.paragraph for r in St.iter_paragraphs(df).where("document_id = 'd'").orderBy("paragraph_index").collect()]
+    assert got == ["first line\nsecond line", "third", "**2.1 Duties**", "body text", "3.2 Reports are due", "12 Short title", "end"]
+    assert one(spark, St.markdown_tables, "intro | Name | **Size** | | --- | --- | | a | 1 | | b | 2 | | c |", "| x | y |\n|---|:-:|\n| 1 | 2 |", "no | table", None) == [[["Name", "Size"], ["a", "1"], ["b", "2"]], [["x", "y"], ["1", "2"]], [], []]
