@@ -190,7 +190,16 @@ _LETTERS_SQL = f"""list_concat(flatten(list_transform(list_zip({_RANGE(1)}, {_RA
 query("appendix_references", f" SELECT document_id, array_to_string(list_sort(list_distinct({_LETTERS_SQL})), ',') AS ranged, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform({_SINGLE}, lambda x: regexp_split_to_array(upper(x), '\\s*[,\\-]\\s*'))), lambda x: x <> ''))), ',') AS single FROM b_body")(lambda s, d: B.sections(s, d).select("document_id", F.array_join(F.array_sort(T.appendix_refs_ranged(F.col("body_text"))), ",").alias("ranged"), F.array_join(F.array_sort(T.appendix_refs(F.col("body_text"))), ",").alias("single")))
 _INLINE_MARK = f"\\(\\s*{L.SIMPLE_MARKING}\\s*\\)"
 query("bullets", f" SELECT document_id, document_order, '  - ' || {STRIP("regexp_replace(" + STRIP("regexp_replace('o (U) ' || normalized_text, '" + _INLINE_MARK + "', '', 'gi')") + ", '^\\s*o\\s+', '')")} AS bullet, CAST(len(list_filter(string_split(regexp_replace(normalized_text || ' o Next', '\\s+o\\s+([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda x: {STRIP('x')} <> '')) AS INTEGER) AS lines FROM b_blocks")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.normalize_bullet(F.concat(F.lit("o (U) "), "normalized_text")).alias("bullet"), F.size(T.expand_inline_bullets(F.concat("normalized_text", F.lit(" o Next")))).alias("lines")))
-query("heading_candidates")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.normalize_heading_candidate(F.concat(F.lit("(U) "), "normalized_text", F.lit(" ..... 12"))).alias("candidate"), T.strip_trailing_page_digits(F.concat("normalized_text", F.lit("12"))).alias("title")))
+def _heading_sql(text: str) -> str:
+    """Steps of `normalize_heading_candidate` as table expressions over a table x0 with `text`; the last one is hx with h."""
+    leader = "[.·…\\s]{3,}[A-Z]?-?\\d+\\s*$"
+    return f"""x0 AS ({text}), x1 AS (SELECT *, {STRIP(INLINE("replace(regexp_replace(coalesce(text, ''), '\\[bookmark:[^\\]]+\\]', '', 'g'), '[image: ]', '')"))} AS t1 FROM x0),
+x2 AS (SELECT *, CASE WHEN {STRIP(f"regexp_replace(t1, '(?i)^(?:\\({L.MARKING}\\)\\s*)+', '')")} = '' THEN t1 ELSE {STRIP(f"regexp_replace(t1, '(?i)^(?:\\({L.MARKING}\\)\\s*)+', '')")} END AS t2 FROM x1),
+x3 AS (SELECT *, {STRIP(f"regexp_replace(t2, '{leader}', '')")} AS t3, contains(t2, chr(9)) OR regexp_matches(t2, '{leader}') OR regexp_matches(t2, '{L.TOC_ENTRY}') AS listed FROM x2),
+hx AS (SELECT *, regexp_replace(CASE WHEN listed THEN {STRIP("regexp_replace(t3, '\\s+\\d+\\s*$', '')")} ELSE t3 END, '^[ \\-:\\t]+|[ \\-:\\t]+$', '', 'g') AS h FROM x3)"""
+
+
+query("heading_candidates", f", {_heading_sql("SELECT document_id, document_order, normalized_text, '(U) ' || normalized_text || ' ..... 12' AS text FROM b_blocks")}, z AS (SELECT *, {STRIP("normalized_text || '12'")} AS s FROM hx) SELECT document_id, document_order, h AS candidate, CASE WHEN regexp_matches(regexp_extract(s, '^(.*?)(\\d{{1,3}})$', 1), '\\p{{L}}') THEN {STRIP("regexp_extract(s, '^(.*?)(\\d{1,3})$', 1)")} ELSE s END AS title FROM z")(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.normalize_heading_candidate(F.concat(F.lit("(U) "), "normalized_text", F.lit(" ..... 12"))).alias("candidate"), T.strip_trailing_page_digits(F.concat("normalized_text", F.lit("12"))).alias("title")))
 
 
 def _heads(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,7 +253,31 @@ v AS (SELECT document_id, CASE WHEN has_b AND sec > 0 AND prose_b > 0 THEN 'mark
   WHEN has_b AND sec > 0 AND body_b > 0 THEN 'markdown' WHEN has_c AND sec_c > 0 AND body > 0 THEN 'text' ELSE 'none' END AS m FROM w)
 SELECT document_id, CASE m WHEN 'structural' THEN 'docling_structural' WHEN 'markdown' THEN 'hybrid_markdown_fill' WHEN 'text' THEN 'tika_fallback' ELSE 'manual_review_required' END AS parse_mode, CASE m WHEN 'markdown' THEN 'docling_body_signal_low' WHEN 'text' THEN 'docling_and_markdown_body_signal_low' WHEN 'none' THEN 'no_reliable_structural_source' END AS fallback_reason FROM v"""
 query("select_parse_mode", _METRICS + _MODE_SQL)(lambda s, d: St.select_parse_mode(_parse_metrics(s, d)))
-query("classify_blocks")(lambda s, d: St.classify_blocks(B.blocks(s, d).select("document_id", "document_order", "normalized_text")).drop("normalized_text"))
+
+
+#: Lines of documents as each kind of block, by their order: lists, notes, sections, attachments, pages, dates, capitals.
+_KINDS = ("", "(a) ", "3.2.1(a)(b) ", "A. ", "- ", "NOTE: ", "SECTION L ", "Attachment 3 - ", "7 ", "4.2 ")
+_MIXED = f"SELECT document_id, document_order, CASE WHEN document_order % 17 = 11 THEN 'Page ' || document_order WHEN document_order % 17 = 12 THEN 'March 3, 2024' WHEN document_order % 17 = 13 THEN '(U) 5.1.2 Reports ........ 12' WHEN document_order % 17 = 14 THEN 'GENERAL REQUIREMENTS' ELSE ({B._list(_KINDS)})[CAST(document_order % 10 + 1 AS INTEGER)] || normalized_text END AS text FROM b_blocks"
+_CAPS = "length(regexp_replace(h, '[^\\p{L}]', '', 'g')) >= 6 AND length(h) <= 120 AND length(regexp_replace(h, '[^\\p{Lu}]', '', 'g')) / length(regexp_replace(h, '[^\\p{L}]', '', 'g')) > 0.85"
+_G = lambda p, k, c="h": f"regexp_extract({c}, '{p}', {k})"
+_COMPOSITE, _PAREN, _ALPHA, _DASH = "^(\\d+(?:\\.\\d+)+)((?:\\([A-Za-z0-9]+\\))+)\\s+(.+)$", "^((?:\\([A-Za-z0-9]+\\))+)\\s+(.+)$", "^([A-Za-z]\\.)\\s+(.+)$", "^([-*•])\\s+(.+)$"
+_CLASSIFIED = f""", {_heading_sql(_MIXED)}, kx AS (SELECT *, CASE WHEN regexp_matches(text, '^(?i)\\s*page\\s+\\d+\\s*$') THEN 'page' WHEN length(h) <= 1 OR regexp_matches(h, '{L.DATE_ONLY}') OR regexp_matches(upper(h), '{L.MARKING_ONLY}') THEN 'noise' WHEN regexp_matches(h, '{L.APPENDIX_HEADING}') THEN 'appendix' WHEN regexp_matches(h, '{L.SECTION_HEADING}') THEN 'section'
+  WHEN regexp_matches(h, '{L.DECIMAL_HEADING}') THEN 'decimal' WHEN regexp_matches(h, '{L.NUMBER_HEADING}') THEN 'number' WHEN regexp_matches(text, '{_COMPOSITE}') THEN 'composite' WHEN regexp_matches(text, '{_PAREN}') THEN 'paren' WHEN regexp_matches(text, '{_ALPHA}') THEN 'alpha' WHEN regexp_matches(text, '{_DASH}') THEN 'dash' WHEN starts_with(upper(text), 'NOTE:') THEN 'note' WHEN {_CAPS} THEN 'caps' ELSE 'prose' END AS k FROM hx)"""
+query("classify_blocks", _CLASSIFIED + f""" SELECT document_id, document_order, CASE k WHEN 'page' THEN 'page_break' WHEN 'noise' THEN 'footer_or_header' WHEN 'appendix' THEN CASE WHEN upper({_G(L.APPENDIX_HEADING, 1)}) = 'APPENDIX' THEN 'appendix_heading' ELSE 'attachment_heading' END WHEN 'note' THEN 'note' WHEN 'prose' THEN 'paragraph' WHEN 'section' THEN 'heading' WHEN 'decimal' THEN 'heading' WHEN 'number' THEN 'heading' WHEN 'caps' THEN 'heading' ELSE 'list_item' END AS block_type,
+  CAST(CASE k WHEN 'appendix' THEN 1 WHEN 'section' THEN 1 WHEN 'number' THEN 1 WHEN 'caps' THEN 2 WHEN 'decimal' THEN CASE WHEN len(string_split({_G(L.DECIMAL_HEADING, 1)}, '.')) = 2 AND ends_with({_G(L.DECIMAL_HEADING, 1)}, '.0') THEN 1 ELSE len(string_split({_G(L.DECIMAL_HEADING, 1)}, '.')) END END AS INTEGER) AS heading_level,
+  CASE k WHEN 'appendix' THEN upper({_G(L.APPENDIX_HEADING, 1)}) || ' ' || {_G(L.APPENDIX_HEADING, 2)} WHEN 'section' THEN 'SECTION ' || {_G(L.SECTION_HEADING, 2)} WHEN 'decimal' THEN {_G(L.DECIMAL_HEADING, 1)} WHEN 'number' THEN {_G(L.NUMBER_HEADING, 1)} WHEN 'composite' THEN {_G(_COMPOSITE, 1, 'text')} || {_G(_COMPOSITE, 2, 'text')} WHEN 'paren' THEN {_G(_PAREN, 1, 'text')} WHEN 'alpha' THEN {_G(_ALPHA, 1, 'text')} WHEN 'dash' THEN {_G(_DASH, 1, 'text')} WHEN 'caps' THEN h END AS numbering_token,
+  CASE k WHEN 'appendix' THEN upper({_G(L.APPENDIX_HEADING, 1)}) WHEN 'section' THEN 'MAIN' WHEN 'decimal' THEN 'MAIN' WHEN 'number' THEN 'MAIN' WHEN 'caps' THEN 'MAIN' END AS tree_kind,
+  CAST(CASE k WHEN 'composite' THEN length({_G(_COMPOSITE, 2, 'text')}) - length(replace({_G(_COMPOSITE, 2, 'text')}, '(', '')) WHEN 'paren' THEN length({_G(_PAREN, 1, 'text')}) - length(replace({_G(_PAREN, 1, 'text')}, '(', '')) WHEN 'alpha' THEN 1 WHEN 'dash' THEN 1 END AS INTEGER) AS list_level,
+  CASE k WHEN 'composite' THEN {STRIP(_G(_COMPOSITE, 3, 'text'))} WHEN 'paren' THEN {STRIP(_G(_PAREN, 2, 'text'))} WHEN 'alpha' THEN {STRIP(_G(_ALPHA, 2, 'text'))} WHEN 'dash' THEN {STRIP(_G(_DASH, 2, 'text'))} END AS list_body,
+  CAST(CASE k WHEN 'page' THEN 0.99 WHEN 'noise' THEN 0.99 WHEN 'appendix' THEN 0.99 WHEN 'section' THEN 0.98 WHEN 'decimal' THEN 0.97 WHEN 'number' THEN 0.95 WHEN 'composite' THEN 0.94 WHEN 'paren' THEN 0.93 WHEN 'alpha' THEN 0.86 WHEN 'dash' THEN 0.82 WHEN 'note' THEN 0.9 WHEN 'caps' THEN 0.68 ELSE 0.7 END AS DOUBLE) AS confidence FROM kx""")(lambda s, d: St.classify_blocks(_mixed(s, d)).drop("normalized_text", "heading_title"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    o = F.col("document_order")
+    head = F.get(F.array(*map(F.lit, _KINDS)), (o % 10).cast("int"))
+    text = F.when(o % 17 == 11, F.concat(F.lit("Page "), o)).when(o % 17 == 12, "March 3, 2024").when(o % 17 == 13, "(U) 5.1.2 Reports ........ 12").when(o % 17 == 14, "GENERAL REQUIREMENTS").otherwise(F.concat(head, "normalized_text"))
+    return B.blocks(spark, sf).select("document_id", "document_order", text.alias("normalized_text"))
+
 query("content_scope")(lambda s, d: St.tag_content_scope(_with_contents(s, d)).select("document_id", "document_order", "content_scope"))
 
 
