@@ -164,7 +164,10 @@ _text("document_digest", lambda c: T.document_digest(F.lit("a.docx"), c), "'doc-
 _text("tokens_search", lambda c: F.array_join(F.array_sort(T.tokens_search(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in L.SEARCH_STOPWORDS)})))), ' ')")
 _text("normalized_requirement", T.build_normalized_requirement, f"regexp_replace({INLINE('text')}, '^\\(?[A-Za-z0-9.\\-]+\\)?\\s+', '')")
 _text("clean_line", T.clean_line, "")
-_text("strip_margin_line_numbers", T.strip_margin_line_numbers, "")
+_MARGIN_JOIN = STRIP("regexp_replace(array_to_string(list_transform(list_filter(string_split(replace(coalesce(text, ''), chr(13), chr(10)), chr(10)), lambda x: NOT regexp_matches(x, '^\\s*\\d{1,4}\\s*$')), lambda x: regexp_replace(x, '^\\s*\\d{1,4}(?:\\s{2,}|\\t+)(\\S)', '\\1')), ' '), '[ \\t]{2,}', ' ', 'g')")
+_MARGIN_KEPT = " OR ".join(f"regexp_matches(m, '{p}')" for p in ("^\\d+(?:\\.\\d+)*\\.?\\s+\\S", L.SECTION_HEADING, L.APPENDIX_HEADING, L.TOC_TITLE, L.TOC_ENTRY, L.PAGE_LINE, L.DATE_ONLY))
+_MARGIN_DONE = f"CASE WHEN {_MARGIN_KEPT} THEN m ELSE {STRIP("regexp_replace(m, '^\\d{1,4}\\s+(\\S)', '\\1')")} END"
+query("strip_margin_line_numbers", f", y0 AS (SELECT doc_id, {_MARGIN_JOIN} AS m FROM documents) SELECT doc_id, {_MARGIN_DONE} AS value FROM y0")(lambda s, d: B.read(s, d, "documents").select("doc_id", T.strip_margin_line_numbers(F.col("text")).alias("value")))
 _COMPANION = STRIP("regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\b(?:Table|Figure)\\s+\\d+\\b', ' ', 'gi'), '\\|[\\s|]*', ' ', 'g'), '\\b(?:[A-Z]{2,}\\s+){3,}[A-Z]{2,}\\b', ' ', 'g'), '\\s+', ' ', 'g')")
 _text("clean_companion_text", T.clean_companion_text, f"CASE WHEN length({_COMPANION}) <= 500 THEN {_COMPANION} ELSE regexp_replace(substring({_COMPANION}, 1, 497), '\\s+$', '') || '...' END")
 _text("tokens_link", lambda c: F.array_join(F.array_sort(T.tokens_link(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9/&\\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(repr(w) for w in L.LINK_STOPWORDS)})))), ' ')")
@@ -288,12 +291,20 @@ def _with_contents(spark: SparkSession, sf: str) -> DataFrame:
     return B.blocks(spark, sf).withColumns({"normalized_text": text, "heading_title": F.when(plain, text).otherwise(F.col("heading_title")), "numbering_token": F.when(~plain, F.col("numbering_token"))})
 
 
-query("stage1_sections")(lambda s, d: St.stage1_sections(_stage1(s, d)).select("document_id", "source_kind", "source_order", "accepted", "section_number", "reason", "parent_missing"))
-query("stage1_best")(lambda s, d: St.stage1_best(St.stage1_sections(_stage1(s, d))))
+_NUMBERED = "^(\\d+(?:\\.\\d+)*)\\.?\\s+(.*)$"
+_BARE = STRIP(f"regexp_replace(t, '(?i)^(?:\\({L.MARKING}\\)\\s*)+', '')")
+_STAGE1 = f""", y0 AS (SELECT document_id, document_order AS source_order, {_MARGIN_JOIN} AS m FROM ({_MIXED})), y1 AS (SELECT *, {STRIP(f"({_MARGIN_DONE})")} AS t FROM y0), y2 AS (SELECT document_id, source_order, CASE WHEN {_BARE} = '' THEN t ELSE {_BARE} END AS h FROM y1),
+y3 AS (SELECT y2.*, 'structured' AS source_kind, FALSE AS plain FROM y2 UNION ALL SELECT y2.*, 'markdown', source_order % 2 <> 0 FROM y2), y4 AS (SELECT *, CASE WHEN h = '' THEN 'empty' WHEN regexp_matches(h, '{L.PAGE_LINE}') THEN 'page_only' WHEN regexp_matches(h, '{L.DATE_ONLY}') THEN 'date_only' WHEN regexp_matches(h, '{L.TOC_TITLE}') THEN 'toc_heading' WHEN regexp_matches(h, '{L.TOC_ENTRY}') THEN 'toc_entry'
+  WHEN regexp_matches(h, '{L.APPENDIX_HEADING}') THEN 'appendix_pattern' WHEN regexp_matches(h, '{L.SECTION_HEADING}') THEN 'section_pattern' WHEN regexp_matches(h, '{_NUMBERED}') THEN CASE WHEN len(regexp_split_to_array({STRIP(_G(_NUMBERED, 2))}, '\\s+')) > 18 THEN 'numbered_heading_too_long' WHEN plain THEN 'markdown_plain_text' ELSE 'numbered_pattern' END ELSE 'no_heading_match' END AS reason FROM y3),
+y5 AS (SELECT *, reason IN ('appendix_pattern', 'section_pattern', 'numbered_pattern') AS accepted, CASE reason WHEN 'appendix_pattern' THEN upper({_G(L.APPENDIX_HEADING, 1)}) || ' ' || {_G(L.APPENDIX_HEADING, 2)} WHEN 'section_pattern' THEN upper('SECTION ' || {_G(L.SECTION_HEADING, 2)}) WHEN 'numbered_pattern' THEN {_G(_NUMBERED, 1)} END AS section_number FROM y4),
+y6 AS (SELECT *, CASE WHEN reason = 'numbered_pattern' AND contains(section_number, '.') THEN regexp_replace(section_number, '\\.[^.]*$', '') END AS parent FROM y5), y7 AS (SELECT document_id, source_kind, section_number AS parent, min(source_order) AS lo FROM y6 WHERE accepted GROUP BY ALL),
+y8 AS (SELECT y6.*, y6.parent IS NOT NULL AND (lo IS NULL OR lo >= source_order) AS parent_missing FROM y6 LEFT JOIN y7 ON y7.document_id = y6.document_id AND y7.source_kind = y6.source_kind AND y7.parent = y6.parent)"""
+query("stage1_sections", _STAGE1 + " SELECT document_id, source_kind, source_order, accepted, section_number, reason, parent_missing FROM y8")(lambda s, d: St.stage1_sections(_stage1(s, d)).select("document_id", "source_kind", "source_order", "accepted", "section_number", "reason", "parent_missing"))
+query("stage1_best", _STAGE1 + ", y9 AS (SELECT document_id, source_kind, CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS BIGINT) AS accepted_count, CAST(sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS BIGINT) AS rejected_count, CAST(sum(CASE WHEN parent_missing THEN 1 ELSE 0 END) AS BIGINT) AS warnings FROM y8 GROUP BY 1, 2) SELECT * FROM y9 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY accepted_count DESC, warnings, source_kind) = 1")(lambda s, d: St.stage1_best(St.stage1_sections(_stage1(s, d))))
 
 
 def _stage1(spark: SparkSession, sf: str) -> DataFrame:
-    b = B.blocks(spark, sf).select("document_id", F.col("document_order").alias("source_order"), F.col("normalized_text").alias("text_exact"))
+    b = _mixed(spark, sf).select("document_id", F.col("document_order").alias("source_order"), F.col("normalized_text").alias("text_exact"))
     return b.withColumns({"source_kind": F.lit("structured"), "label": F.lit("text"), "markdown_heading_level": F.lit(None).cast("int")}).unionByName(b.withColumns({"source_kind": F.lit("markdown"), "label": F.lit("markdown"), "markdown_heading_level": F.when(F.expr("source_order % 2 = 0"), 1)}))
 
 
