@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value evaluated once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def first_match(c: Column, patterns: Sequence[tuple[str, str]], default: Column | None = None) -> Column:
     """Label of the first pattern of the list found in the text, ignoring case."""
     out = F.lit(None).cast("string") if default is None else default
@@ -62,9 +68,8 @@ def extraction_route(filename: Column, text: Column, min_len: int = 1500, min_al
 
 def strip_classification(c: Column) -> Column:
     """Without leading markings such as (U); the text itself if nothing else is in it."""
-    text = strip(blank_if_null(c))
-    bare = strip(F.regexp_replace(text, rf"^(?i)(?:\({L.MARKING}\)\s*)+", ""))
-    return F.when(bare == "", text).otherwise(bare)
+    bare = lambda text: strip(F.regexp_replace(text, rf"^(?i)(?:\({L.MARKING}\)\s*)+", ""))
+    return let(strip(blank_if_null(c)), lambda text: let(bare(text), lambda x: F.when(x == "", text).otherwise(x)))
 
 
 def strip_classification_inline(c: Column) -> Column:
@@ -73,11 +78,13 @@ def strip_classification_inline(c: Column) -> Column:
 
 def strip_page_artifacts(c: Column) -> Column:
     """Without dot leaders and the page number after them; a page number after a contents entry goes too."""
-    text = blank_if_null(c)
     leader = r"[.·…\s]{3,}[A-Z]?-?\d+\s*$"
-    bare = strip(F.regexp_replace(text, leader, ""))
-    entry = text.contains("\t") | text.rlike(leader) | text.rlike(L.TOC_ENTRY)
-    return F.when(entry, strip(F.regexp_replace(bare, r"\s+\d+\s*$", ""))).otherwise(bare)
+
+    def bare(text: Column) -> Column:
+        entry = text.contains("\t") | text.rlike(leader) | text.rlike(L.TOC_ENTRY)
+        return let(strip(F.regexp_replace(text, leader, "")), lambda x: F.when(entry, strip(F.regexp_replace(x, r"\s+\d+\s*$", ""))).otherwise(x))
+
+    return let(blank_if_null(c), bare)
 
 
 def strip_trailing_page_digits(c: Column) -> Column:
@@ -113,11 +120,12 @@ def strip_margin_line_numbers(c: Column) -> Column:
     lines = F.split(F.regexp_replace(blank_if_null(c), "\r", "\n"), "\n")
     lines = F.filter(lines, lambda x: ~x.rlike(L.BLANK_NUMBER_LINE))
     lines = F.transform(lines, lambda x: F.regexp_replace(x, L.MARGIN_NUMBER, ""))
-    text = strip(F.regexp_replace(F.array_join(lines, " "), r"[ \t]{2,}", " "))
-    kept = F.lit(False)
-    for pattern in (r"^\d+(?:\.\d+)*\.?\s+\S", L.SECTION_HEADING, L.APPENDIX_HEADING, L.TOC_TITLE, L.TOC_ENTRY, L.PAGE_LINE, L.DATE_ONLY):
-        kept = kept | text.rlike(pattern)
-    return F.when(kept, text).otherwise(strip(F.regexp_replace(text, r"^\d{1,4}\s+(?=\S)", "")))
+    keeps = (r"^\d+(?:\.\d+)*\.?\s+\S", L.SECTION_HEADING, L.APPENDIX_HEADING, L.TOC_TITLE, L.TOC_ENTRY, L.PAGE_LINE, L.DATE_ONLY)
+
+    def kept(text: Column) -> Column:
+        return F.when(reduce(Column.__or__, [text.rlike(p) for p in keeps]), text).otherwise(strip(F.regexp_replace(text, r"^\d{1,4}\s+(?=\S)", "")))
+
+    return let(strip(F.regexp_replace(F.array_join(lines, " "), r"[ \t]{2,}", " ")), kept)
 
 
 def strip_inline_markdown(c: Column) -> Column:

@@ -178,23 +178,26 @@ def stage1_sections(blocks: DataFrame, order: str = "source_order") -> DataFrame
 
     blocks: document_id, source_kind, source_order, text_exact, label, markdown_heading_level.
     """
+
+    def judged(t: Column) -> Column:
+        g = lambda p, k: F.regexp_extract(t, p, k)
+        numbered = r"^(\d+(?:\.\d+)*)\.?\s+(.*)$"
+        plain = (F.col("label") == "markdown") & F.col("markdown_heading_level").isNull()
+        row = lambda ok, number, title, kind, why: F.struct(F.lit(ok).alias("accepted"), number.alias("section_number"), title.alias("section_title"), kind.alias("tree_kind"), F.lit(why).alias("reason"))
+        none = F.lit(None).cast("string")
+        no = lambda why: row(False, none, none, none, why)
+        other = lambda title, number: F.when(title == "", number).otherwise(title)
+        app, sec = F.concat(F.upper(g(L.APPENDIX_HEADING, 1)), F.lit(" "), g(L.APPENDIX_HEADING, 2)), F.upper(F.concat(F.lit("SECTION "), g(L.SECTION_HEADING, 2)))
+        title = T.strip(g(numbered, 2))
+        chain = F.when(t == "", no("empty")).when(t.rlike(r"^(?i)\s*(page\s+)?[A-Z]?-?\d+\s*$"), no("page_only")).when(t.rlike(L.DATE_ONLY), no("date_only")).when(t.rlike(L.TOC_TITLE), no("toc_heading")).when(t.rlike(L.TOC_ENTRY), no("toc_entry"))
+        chain = chain.when(t.rlike(L.APPENDIX_HEADING), row(True, app, other(T.strip(g(L.APPENDIX_HEADING, 3)), app), F.upper(g(L.APPENDIX_HEADING, 1)), "appendix_pattern"))
+        chain = chain.when(t.rlike(L.SECTION_HEADING), row(True, sec, other(T.strip(g(L.SECTION_HEADING, 3)), sec), F.lit("SECTION"), "section_pattern"))
+        chain = chain.when(t.rlike(numbered) & (F.size(F.split(title, r"\s+")) > 18), no("numbered_heading_too_long")).when(t.rlike(numbered) & plain, no("markdown_plain_text"))
+        chain = chain.when(t.rlike(numbered), row(True, g(numbered, 1), title, F.lit("MAIN"), "numbered_pattern")).otherwise(no("no_heading_match"))
+        return chain
+
     c = T.strip_classification(T.strip_margin_line_numbers(F.col("text_exact")))
-    g = lambda p, k: F.regexp_extract("__t", p, k)
-    t = F.col("__t")
-    numbered = r"^(\d+(?:\.\d+)*)\.?\s+(.*)$"
-    plain = (F.col("label") == "markdown") & F.col("markdown_heading_level").isNull()
-    row = lambda ok, number, title, kind, why: F.struct(F.lit(ok).alias("accepted"), number.alias("section_number"), title.alias("section_title"), kind.alias("tree_kind"), F.lit(why).alias("reason"))
-    none = F.lit(None).cast("string")
-    no = lambda why: row(False, none, none, none, why)
-    other = lambda title, number: F.when(title == "", number).otherwise(title)
-    app, sec = F.concat(F.upper(g(L.APPENDIX_HEADING, 1)), F.lit(" "), g(L.APPENDIX_HEADING, 2)), F.upper(F.concat(F.lit("SECTION "), g(L.SECTION_HEADING, 2)))
-    title = T.strip(g(numbered, 2))
-    chain = F.when(t == "", no("empty")).when(t.rlike(r"^(?i)\s*(page\s+)?[A-Z]?-?\d+\s*$"), no("page_only")).when(t.rlike(L.DATE_ONLY), no("date_only")).when(t.rlike(L.TOC_TITLE), no("toc_heading")).when(t.rlike(L.TOC_ENTRY), no("toc_entry"))
-    chain = chain.when(t.rlike(L.APPENDIX_HEADING), row(True, app, other(T.strip(g(L.APPENDIX_HEADING, 3)), app), F.upper(g(L.APPENDIX_HEADING, 1)), "appendix_pattern"))
-    chain = chain.when(t.rlike(L.SECTION_HEADING), row(True, sec, other(T.strip(g(L.SECTION_HEADING, 3)), sec), F.lit("SECTION"), "section_pattern"))
-    chain = chain.when(t.rlike(numbered) & (F.size(F.split(title, r"\s+")) > 18), no("numbered_heading_too_long")).when(t.rlike(numbered) & plain, no("markdown_plain_text"))
-    chain = chain.when(t.rlike(numbered), row(True, g(numbered, 1), title, F.lit("MAIN"), "numbered_pattern")).otherwise(no("no_heading_match"))
-    rows = blocks.withColumn("__t", c).withColumn("__x", chain).select(*blocks.columns, "__x.*")
+    rows = blocks.withColumn("__x", T.let(c, judged)).select(*blocks.columns, "__x.*")
     rows = rows.withColumns({"parent_section_number": T.parent_section_number(F.col("section_number"), F.col("tree_kind")), "depth": T.section_depth(F.col("section_number"), F.col("tree_kind"))})
     # a parent is missing if no accepted block before has its number
     first = rows.where("accepted").groupBy("document_id", "source_kind", "section_number").agg(F.min(order).alias("__at"))
