@@ -37,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bidspark.llm.common import batches, cut, discard, small_batches, whole_groups
 from bidspark.llm.words import Words, split
@@ -342,16 +343,18 @@ class Bucket:
     m: np.ndarray
 
 
-def _bucket(t: pa.Table, m: Model) -> Bucket:
+def _bucket(t: pa.Table, m: Model) -> Bucket | None:
     got, far, far_own = [], [], []
     for r in t.select(["uid", "learn", "blob", "hs", "owns"]).to_batches():
         for uid, learn, blob, hs, owns in zip(*r.columns, strict=True):
             if blob.is_valid:
                 u, k, doc, times = _unpack(blob.as_py())
                 got.append((u, k, doc.astype(np.int64) + uid.as_py(), times.astype(np.int64), np.full(len(u), learn.as_py())))
-            else:
+            elif hs.is_valid:
                 far.append(np.asarray(hs.values).view(np.uint64))
                 far_own.append(np.asarray(owns.values))
+    if not got:
+        return None
     u, k, who, times, learn = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.lexsort((k, u))
     u, k, who, times, learn = u[order], k[order], who[order], times[order], learn[order]
@@ -398,10 +401,12 @@ def _forget(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def _gains(own: DataFrame, rest: DataFrame, far: DataFrame, rare: DataFrame, shared, contexts: int, first_rest: int, seed: int) -> DataFrame:
-    """(uid, gain): log10 of what the words' own restaurants make of the probabilities above, summed over each document's pairs.
+def _gains(own: DataFrame, rest: DataFrame, far: DataFrame, rare: DataFrame, shared, contexts: int, first_rest: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """log10 of what the words' own restaurants make of the probabilities above, summed over each document's pairs: (uid, gain) of
+    the pairs in own, (doc_id, th, gain) of those in rest.
 
-    own, rest: (bucket, uid, learn, blob), the pairs of the CONTEXTS words and all others; far: (bucket, far).
+    own, rest: (bucket, uid, learn, blob), the pairs of the CONTEXTS words and all others; rest also has lists `docs` of what its
+    uids stand for; far: (bucket, far).
     """
     spark = own.sparkSession
     met = far.select("bucket", F.explode("far").alias("h")).distinct().join(rare.select("h", "own"), "h")
@@ -413,6 +418,8 @@ def _gains(own: DataFrame, rest: DataFrame, far: DataFrame, rare: DataFrame, sha
         for t in whole_groups(it, "bucket"):
             for key in np.unique(np.asarray(t["bucket"])).tolist():
                 b = _bucket(t.filter(pc.equal(t["bucket"], key)), shared.value)
+                if b is None:
+                    continue
                 on = b.c > 0
                 at = b.u[on].astype(np.int64)
                 n, cells = np.bincount(at, b.c[on], contexts).astype(np.int64), np.bincount(at, minlength=contexts)
@@ -453,8 +460,14 @@ def _gains(own: DataFrame, rest: DataFrame, far: DataFrame, rare: DataFrame, sha
 
     def last(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(it, "bucket"):
+            listed = t.filter(t["docs"].is_valid())
+            for docs in listed["docs"].combine_chunks() if len(listed) else []:
+                cols = [docs.values.field(x) for x in ("uid", "doc_id", "th")]
+                yield pa.record_batch([cols[0], pa.nulls(len(cols[0]), pa.float64()), *cols[1:]], names=["uid", "gain", "doc_id", "th"])
             for key in np.unique(np.asarray(t["bucket"])).tolist():
                 b = _bucket(t.filter(pc.equal(t["bucket"], key)), shared.value)
+                if b is None:
+                    continue
                 size = np.bincount(b.context, b.c)[b.context]
                 if key < first_rest:
                     size, fit = n[b.u.astype(np.int64)], d
@@ -464,13 +477,19 @@ def _gains(own: DataFrame, rest: DataFrame, far: DataFrame, rare: DataFrame, sha
                 mean, sums = _seats(b, tables if key < first_rest else None, fit, seed, key)
                 gain = np.log10((np.maximum(b.c - fit * mean, 0) / b.p + STRENGTH + fit * sums) / (STRENGTH + size))
                 who, at = np.unique(b.who, return_inverse=True)
-                yield pa.record_batch([pa.array(who), pa.array(np.bincount(at, gain[b.cell] * b.m))], names=["uid", "gain"])
+                yield pa.record_batch([pa.array(who), pa.array(np.bincount(at, gain[b.cell] * b.m)), pa.nulls(len(who), kind), pa.nulls(len(who), pa.int64())], names=["uid", "gain", "doc_id", "th"])
 
     _forget(spark)
-    gains = cut(whole(own.unionByName(rest), lists).mapInArrow(last, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain")))
+    field = rest.schema["docs"].dataType.elementType["doc_id"].dataType
+    kind = to_arrow_type(field)
+    every = own.unionByName(rest, allowMissingColumns=True)
+    found = cut(whole(every, lists).mapInArrow(last, f"uid long, gain double, doc_id {field.simpleString()}, th long"))
     discard(lists)
     _forget(spark)
-    return gains
+    sums = found.where("gain is not null").groupBy("uid").agg(F.sum("gain").alias("gain"))
+    # copies of a row under one doc_id have equal gains, so their mean is each one's
+    named = found.where("gain is null").select("uid", "doc_id", "th").join(sums, "uid", "left").groupBy("doc_id", "th").agg(F.avg(F.coalesce("gain", F.lit(0.0))).alias("gain"))
+    return sums.where("uid >= 0"), named
 
 
 def _parts(m: Model, b: pa.RecordBatch, uid: np.ndarray) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
@@ -499,8 +518,8 @@ def _parts(m: Model, b: pa.RecordBatch, uid: np.ndarray) -> tuple[pa.RecordBatch
 def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; the others are learnt from.
 
-    Documents are known by partition and place while they are scored, so docs is to give its rows in the same order
-    whenever it is read, as a table does; `cut` other frames first.
+    Documents are read twice, for the pairs of the CONTEXTS words and for all others. A reading numbers its rows as they come; the
+    two are joined by doc_id and a hash of the text, so it doesn't matter if rows are dealt otherwise the second time.
     """
     spark, learn = docs.sparkSession, docs.where(~held_out)
     model, rare = train(learn, **sizes)
@@ -508,15 +527,18 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
     floor = float(np.log10(n + 0.1 * (v + 1)))
     shared = spark.sparkContext.broadcast(model)
     buckets = max(16, n // BUCKET // 3), max(16, n // BUCKET)
+    of_doc = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(own: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            start, held, kept = 0, [], 0
+            start, held, kept, below = 0, [], 0, None
             fields = {"uid": pa.int64(), "bucket": pa.int64(), "learn": pa.bool_(), "far": pa.list_(pa.int64()), "blob": pa.binary()}
+            if not own:
+                fields = {"docs": pa.list_(pa.struct([("uid", pa.int64()), ("doc_id", of_doc), ("th", pa.int64())])), **fields}
             if own:
-                fields = {"uid": pa.int64(), "doc_id": None, "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "lm": pa.float64(), "words": pa.list_(pa.int64()), "times": pa.list_(pa.int32()), **fields}
+                fields = {"uid": pa.int64(), "doc_id": of_doc, "th": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "lm": pa.float64(), "words": pa.list_(pa.int64()), "times": pa.list_(pa.int32()), **fields}
 
             def batch(count: int, **given: pa.Array) -> pa.RecordBatch:
                 return pa.record_batch([given.get(x, pa.nulls(count, y)) for x, y in fields.items()], names=list(fields))
@@ -533,13 +555,18 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
                     yield batch(len(got[0]), uid=pa.array([start] * len(got[0])), bucket=pa.array(got[0], pa.int64()), learn=pa.array(got[1]), blob=pa.array(got[2], pa.binary()))
 
             for b in batches(it, "text"):
-                fields |= {"doc_id": b.column(0).type} if own else {}
-                uid = np.asarray(b.column(3))
-                start = start if held else int(uid[0])
+                uid = np.asarray(b.column(4))
+                below = np.iinfo(np.int64).min + int(uid[0]) if below is None else below
                 out, (u, k, doc) = _parts(m, b, uid)
                 if own:
-                    yield batch(b.num_rows, **dict(zip(out.schema.names, out.columns, strict=True)))
+                    yield batch(b.num_rows, th=b.column(3), **dict(zip(out.schema.names, out.columns, strict=True)))
+                else:  # numbers below 0 are of this reading
+                    uid = np.arange(b.num_rows) + below
+                    below += b.num_rows
+                    rows = pa.StructArray.from_arrays([pa.array(uid), b.column(0), b.column(3)], names=["uid", "doc_id", "th"])
+                    yield batch(1, bucket=pa.array([buckets[0] + int(b.column(4)[0].as_py()) % buckets[1]]), docs=pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows))
                 learns = np.asarray(b.column(2)).astype(bool)
+                start = start if held else int(uid[0])
                 held.append((u, k, uid[doc] - start, learns[doc]))
                 kept += len(u)
                 if kept > HELD or uid[-1] - start > 1 << 22:
@@ -554,17 +581,19 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
         spaced = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\t-\r]+")), F.lit(0)) + 1
         zero = F.lit(0).cast("long")
         return docs.select("doc_id", held_out.alias("held_out"), spaced.cast("long").alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    source, blob = docs.select("doc_id", "text", F.coalesce(~held_out, F.lit(False)).alias("learns"), F.monotonically_increasing_id().alias("uid")), "bucket long, learn boolean, far array<long>, blob binary"
-    made = cut(source.mapInArrow(read(True), f"uid long, doc_id {kind}, n_tokens long, known long, base double, lm double, words array<long>, times array<int>, {blob}"))
-    rest = source.mapInArrow(read(False), f"uid long, {blob}").select("bucket", "uid", "learn", "blob")
+    source, blob = docs.select("doc_id", "text", F.coalesce(~held_out, F.lit(False)).alias("learns"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("uid")), "bucket long, learn boolean, far array<long>, blob binary"
+    made = cut(source.mapInArrow(read(True), f"uid long, doc_id {kind}, th long, n_tokens long, known long, base double, lm double, words array<long>, times array<int>, {blob}"))
+    rest = source.mapInArrow(read(False), f"docs array<struct<uid: long, doc_id: {kind}, th: long>>, uid long, {blob}").select("bucket", "uid", "learn", "blob", "docs")
     parts = made.where("bucket is null")
-    gains = _gains(made.where("blob is not null").select("bucket", "uid", "learn", "blob"), rest, made.where("far is not null"), rare, shared, model.contexts, buckets[0], 3)
+    gains, others = _gains(made.where("blob is not null").select("bucket", "uid", "learn", "blob"), rest, made.where("far is not null"), rare, shared, model.contexts, buckets[0], 3)
     words = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("h"), F.col("x.times").alias("m"))
     met = words.join(rare, "h", "left").select("uid", "m", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", F.lit(model.unseen)).alias("own"))
     sums = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k2"), F.sum(F.col("m") * F.log10(F.col("c") + 0.1)).alias("b2"), F.sum(F.col("m") * F.col("own")).alias("l2"))
-    both = parts.select("uid", "doc_id", "n_tokens", "known", "base", "lm").join(sums, "uid", "left").join(gains, "uid", "left")
+    both = parts.select("uid", "doc_id", "th", "n_tokens", "known", "base", "lm").join(sums, "uid", "left").join(gains, "uid", "left")
+    others = others.select(F.col("doc_id").alias("other"), F.col("th").alias("other_th"), F.col("gain").alias("more"))
+    both = both.join(others, F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("th") == F.col("other_th")), "left")
     none, zero = F.lit(0.0), F.lit(0).cast("long")
     return both.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("k2", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b2", none) - F.col("n_tokens") * floor).alias("base_score"), (F.col("lm") + F.coalesce("l2", none) + F.coalesce("gain", none)).alias("score"),
+        (F.col("base") + F.coalesce("b2", none) - F.col("n_tokens") * floor).alias("base_score"), (F.col("lm") + F.coalesce("l2", none) + F.coalesce("gain", none) + F.coalesce("more", none)).alias("score"),
     )
