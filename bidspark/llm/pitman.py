@@ -202,7 +202,10 @@ def _restaurants(cells: DataFrame, contexts: int, dishes: int, base: np.ndarray,
         keep = turn >= BURN_IN
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in whole_groups(it, "u"):
+            # a task's restaurants at once, (CONTEXTS + 1) x (DISHES + 1) rows at most: seating goes in rounds over all dishes
+            held = [b for b in it if b.num_rows]
+            if held:
+                b = pa.Table.from_batches(held)
                 u, k, c, t, mean = (np.asarray(b[x]) for x in ("u", "k", "c", "t", "mean"))
                 rng = np.random.default_rng([seed, turn, int(u[0]), len(u)])
                 _, r = np.unique(u, return_inverse=True)
