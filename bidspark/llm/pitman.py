@@ -68,20 +68,23 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def seat(c: np.ndarray, p0: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that the c customers of each dish sit at, given the tables of all other dishes of its restaurant.
 
-    Customers come one after another. Until the next table is opened the chance of one only falls, so those who surely open
-    none are passed over in one draw (thinning at the present chance): the law is that of single seating, whatever c.
+    Customers come one after another, and from the 128th on in blocks of a 64th of those seated: over a block the chance of a
+    new table moves by less than a 64th, and the chance at its middle stands for all of it.
     """
     t = np.minimum(c, 1).astype(np.int64)
-    n, live = t.copy(), np.flatnonzero(c > 1)
+    live, n = np.flatnonzero(c > 1), 1
     while len(live):
+        k = np.minimum(max(1, n // 64), c[live] - n)
         new = (theta + d * (others[live] + t[live])) * p0[live]
-        top = new / (new + n[live] - d * t[live])
-        at = n[live] + rng.geometric(np.clip(top, 1e-12, 1.0)) - 1
-        on = at < c[live]
-        live, new, top, at = live[on], new[on], top[on], at[on]
-        t[live] += rng.random(len(live)) * top < new / (new + at - d * t[live])
-        n[live] = at + 1
-        live = live[n[live] < c[live]]
+        share = new / (new + n - d * t[live])
+        if n < 128:
+            t[live] += rng.random(len(live)) < share
+        else:
+            more = share * (k - 1) / 2  # tables opened by the middle of the block
+            new += d * more * p0[live]
+            t[live] += rng.binomial(k, np.clip(new / (new + n + (k - 1) / 2 - d * (t[live] + more)), 0, 1))
+        n += max(1, n // 64)
+        live = live[c[live] > n]
     return t
 
 
@@ -202,7 +205,7 @@ def _restaurants(cells: DataFrame, contexts: int, dishes: int, base: np.ndarray,
         keep = turn >= BURN_IN
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # a task's restaurants at once, (CONTEXTS + 1) x (DISHES + 1) rows at most: seating goes in rounds over all dishes
+            # a task's restaurants at once, (CONTEXTS + 1) x (DISHES + 1) rows at most
             held = [b for b in it if b.num_rows]
             if held:
                 b = pa.Table.from_batches(held)

@@ -249,7 +249,7 @@ def test_language_model_rare_pairs(spark):
 
 
 def test_seating_follows_the_law_of_single_customers():
-    """Customers passed over in one draw: the number of tables has the law of seating one after another."""
+    """Customers in blocks: the number of tables has the law of seating one after another."""
     from bidspark.llm.pitman import seat
 
     d, theta, others, p0 = 0.6, 1.0, 7, 0.2
