@@ -261,9 +261,9 @@ def test_seating_follows_the_law_of_single_customers():
             new = (theta + d * (others + t)) * p0
             share = np.where(t > 0, new / np.maximum(new + n - d * t, 1e-9), 0)
             law = law * (1 - share) + np.append(0, (law * share)[:-1])
-        draws = 20_000
+        draws = 400_000
         got = np.bincount(seat(np.full(draws, c), np.full(draws, p0), np.full(draws, others), d, theta, np.random.default_rng(c)), minlength=c + 2)[: c + 2]
-        assert np.abs(got / draws - law).sum() < 0.02 + 0.03 * (c > 10)
+        assert np.abs(got / draws - law).sum() < 0.01
 
 
 def _morse(n):
