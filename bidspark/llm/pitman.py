@@ -288,7 +288,7 @@ def _pack(u: np.ndarray, k: np.ndarray, doc: np.ndarray, m: np.ndarray) -> bytes
     """Pairs sorted by u and k: the steps of both, and the other columns, byte by byte of all rows."""
     step = np.diff(u, prepend=np.uint64(0))
     near = np.where(step == 0, np.diff(k, prepend=np.uint64(0)), k)
-    return zlib.compress(b"".join(map(_planes, (step, near, doc.astype(np.uint32), m.astype(np.uint32)))), 6)
+    return zlib.compress(b"".join(map(_planes, (step, near, doc.astype(np.uint32), m.astype(np.uint32)))), 3)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -489,13 +489,14 @@ def _gains(own: DataFrame, rest: DataFrame, far: DataFrame, rare: DataFrame, sha
     field = rest.schema["docs"].dataType.elementType["doc_id"].dataType
     kind = to_arrow_type(field)
     every = own.unionByName(rest, allowMissingColumns=True)
-    found = cut(whole(every, lists).mapInArrow(last, f"uid long, gain double, doc_id {field.simpleString()}, th long"))
+    found = whole(every, lists).mapInArrow(last, f"uid long, gain double, doc_id {field.simpleString()}, th long")
+    # a document has a row for each bucket that its pairs lie in: summed before they move
+    found = cut(found.groupBy("uid").agg(F.sum("gain").alias("gain"), F.max(F.when(F.col("th").isNotNull(), F.struct("th", "doc_id"))).alias("of")))
     discard(lists)
     _forget(spark)
-    sums = found.where("gain is not null").groupBy("uid").agg(F.sum("gain").alias("gain"))
     # copies of a row under one doc_id have equal gains, so their mean is each one's
-    named = found.where("gain is null").select("uid", "doc_id", "th").join(sums, "uid", "left").groupBy("doc_id", "th").agg(F.avg(F.coalesce("gain", F.lit(0.0))).alias("gain"))
-    return sums.where("uid >= 0"), named
+    named = found.where("uid < 0").select("of.*", "gain").groupBy("doc_id", "th").agg(F.avg(F.coalesce("gain", F.lit(0.0))).alias("gain"))
+    return found.where("uid >= 0").select("uid", "gain"), named
 
 
 def _parts(m: Model, b: pa.RecordBatch, uid: np.ndarray) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
@@ -532,7 +533,7 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
     n, v = (model.n, model.v) if model else (0, 0)
     floor = float(np.log10(n + 0.1 * (v + 1)))
     shared = spark.sparkContext.broadcast(model)
-    buckets = max(16, n // BUCKET // 3), max(16, n // BUCKET)
+    buckets = max(32, n // BUCKET // 3), max(64, n // BUCKET)
     of_doc = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
