@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators: op1 to op10 over whole tables."""
+"""The registered queries of the training-data operators over whole tables."""
 
 from __future__ import annotations
 
@@ -95,6 +95,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to record files and read back: where they stand, how many, their checksum."""
+    from bidspark.llm.records import record_digests
+
+    return record_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def _mixing_sql(documents: str, budget: str, max_epochs: int, seed: int) -> str:
     """DuckDB SQL of `mix`: (doc_id, domain, lang, source, n_tokens, copies)."""
     from bidspark.llm.mixing import LEVELS, WEIGHTS
@@ -138,5 +145,6 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_caps": op9_caps,
     "op10_ann": op10_ann,
+    "op13_records": op13_records,
 }
 ORACLE: dict[str, str] = {"op6_mixing": _mixing_sql("documents", "total // 2", 2, 1)}
