@@ -95,6 +95,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under two tokenizers aligned, with the corpus-wide counts of its linked ids."""
+    from bidspark.llm.align import align
+
+    out = align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to record files and read back: where they stand, how many, their checksum."""
     from bidspark.llm.records import record_digests
@@ -145,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_caps": op9_caps,
     "op10_ann": op10_ann,
+    "op11_align": op11_align,
     "op13_records": op13_records,
 }
 ORACLE: dict[str, str] = {"op6_mixing": _mixing_sql("documents", "total // 2", 2, 1)}
