@@ -103,6 +103,13 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of every language."""
+    from bidspark.llm.phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to record files and read back: where they stand, how many, their checksum."""
     from bidspark.llm.records import record_digests
@@ -142,6 +149,25 @@ def _mixing_sql(documents: str, budget: str, max_epochs: int, seed: int) -> str:
     return "WITH " + ",\n".join(parts) + "\nSELECT * FROM mixed WHERE copies > 0"
 
 
+PHRASES_SQL = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, CAST(count(*) AS BIGINT) AS f
+  FROM starts, (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, k, f, unnest(range(1, k)) AS c, w FROM cand),
+scored AS (SELECT x.lang, x.phrase, x.k, x.f, x.c, a.f AS l, b.f AS r, CAST((1000000::HUGEINT * x.f * x.f) // (a.f::HUGEINT * b.f) AS BIGINT) AS score
+  FROM cuts x JOIN grams a ON a.lang = x.lang AND a.phrase = array_to_string(x.w[1:x.c], ' ')
+  JOIN grams b ON b.lang = x.lang AND b.phrase = array_to_string(x.w[x.c + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (
+  SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM cand WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * b.f)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, f AS a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000"""
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_substrings": op2_substrings,
@@ -154,6 +180,7 @@ QUERIES: dict[str, Query] = {
     "op9_caps": op9_caps,
     "op10_ann": op10_ann,
     "op11_align": op11_align,
+    "op12_phrases": op12_phrases,
     "op13_records": op13_records,
 }
-ORACLE: dict[str, str] = {"op6_mixing": _mixing_sql("documents", "total // 2", 2, 1)}
+ORACLE: dict[str, str] = {"op6_mixing": _mixing_sql("documents", "total // 2", 2, 1), "op12_phrases": PHRASES_SQL}
