@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from bidspark.llm.common import batches, cut, discard, release, small_batches
 from bidspark.llm.words import mix, text_buffer
 
-SHARD = 10 << 20  # bytes of text of a shard, but for one longer text
+SHARD = 5 << 20  # bytes of text of a shard, but for one longer text
 PLACES = 1 << 27  # bits of the filter of frequent pairs: 16 MB
 NO_LANG = "und"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -206,7 +206,7 @@ def _counted(docs: DataFrame, count: Callable[[Shard], Iterator[tuple[pa.Array,
                 for k in range(0, len(keys), 1 << 15):
                     yield pa.record_batch([keys.slice(k, 1 << 15), pa.array(n[k : k + (1 << 15)], pa.int64())], names=["key", "f"])
             del shard
-        release()
+            release()  # before the next one is gathered
 
     src = small_batches(docs).select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     return src.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
