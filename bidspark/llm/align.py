@@ -304,21 +304,20 @@ def _hash_of(t: pa.Table, k: int) -> tuple[Perfect, np.ndarray]:
 
 
 class Lookup:
-    """Hashes, keys and counts of all buckets, as sent to the tasks."""
+    """Hashes, keys and counts of all buckets, as sent to the tasks; -1 for keys that were not counted."""
 
     def __init__(self, table: pa.Table):
         order = np.argsort(np.asarray(table.column("bucket")))
         self.hashes = [(*_hash_of(table, k), np.frombuffer(table.column("counts")[k].as_py(), np.int64)) for k in order.tolist()]
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
+        out = np.full(len(keys), -1, np.int64)
         bucket = (scramble(keys, 0) % np.uint64(max(1, len(self.hashes)))).astype(np.int64)
         for k, (perfect, placed, counts) in enumerate(self.hashes):
             at = np.flatnonzero(bucket == k)
             place = perfect(keys[at])
-            if len(at) and not ((place >= 0) & (placed[place] == keys[at])).all():
-                raise ValueError("a pair that was not counted")
-            out[at] = counts[place]
+            known = (place >= 0) & (placed[place] == keys[at])
+            out[at[known]] = counts[place[known]]
         return out
 
 
@@ -360,12 +359,14 @@ def _second(a_path: str, b_path: str, lookup, best: np.ndarray | None, kind: str
             if table is not None:
                 if len(x.keys) > len(count):
                     new = np.fromiter(list(x.keys)[len(count) :], np.int64, len(x.keys) - len(count))
-                    got = table(new)
-                    count, top = np.append(count, got), np.append(top, got == best[new >> 32])
+                    got, a = table(new), np.minimum(new >> 32, len(best) - 1)  # a worker remembers pairs of other tables too
+                    count, top = np.append(count, got), np.append(top, got == best[a])
                 used, inverse = np.unique(slots, return_inverse=True)
                 pair, size = x.lists["pair"].take(used)
                 times, _ = x.lists["times"].take(used)
                 owner = np.repeat(np.arange(len(used)), size)
+                if (count[pair] < 0).any():
+                    raise ValueError("a pair that was not counted")
                 for worth in (top, count):
                     total = np.zeros(len(used), np.int64)
                     np.add.at(total, owner, times * worth[pair])
