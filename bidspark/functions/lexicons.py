@@ -93,6 +93,31 @@ OUTLINE_HASH = r"^(#+)\s+(.+)$"
 OUTLINE_BOLD = r"^\*\*(.+?)\*\*$"
 OUTLINE_NUMBER = r"^((?:[A-Za-z]+\.)?\d+(?:\.\d+)*|[A-Za-z]+\.\d+(?:\.\d+)*)\s+(.+)$"
 OUTLINE_ORDERED = r"^(\d+\.|[A-Za-z]\.|(?:\([A-Za-z0-9]+\))+)\s+(.+)$"
+#: A plain line is no outline heading if it reads like a sentence; markings that number no list, and markers that do.
+OUTLINE_SENTENCE = r"(?i)^(?:the|this|these|those) |[.!?;:]$|^(?:\S+\s+){18}\S"
+OUTLINE_LIST_MARKER = r"(?i)^(?:\d+\.|[a-z]\.|\((?!(?:U|C|S|TS|FOUO)\))(?:i{1,3}|iv|vi{0,3}|ix|x|\d{1,2}|[a-z])\))$"
+OUTLINE_INLINE_ITEM = r"(?:^|(?<=\s))(\d+\.|[A-Za-z]\.|(?:\([A-Za-z0-9]+\))+)\s+"
+OUTLINE_TABLE_PIPES = 6
+OUTLINE_BULLET = r"^(\s*)[-*•·▪]\s+(.+)$"
+OUTLINE_IMAGE_FILE = r"(?i)^\s*image\d+\.(?:png|jpe?g|gif|webp)\s*$"
+OUTLINE_IMAGE_LINE = r"(?i)^\s*<!--\s*image\s*-->\s*$"
+OUTLINE_MARGIN = r"^\s*\d{1,4}\s+(?=\S)"
+#: Lines of imported text (without case), and how near and how short titles are.
+IMPORT_APPENDIX = r"^appendix\s+([A-Z])\s+\(U\)\s+(.+?)(?:\s+\d+)?$"
+IMPORT_CONTENTS = r"^(?:\(U\)\s*)?table of (?:contents|figures|tables)$"
+IMPORT_DUTY = r"^the contractor shall:?$"
+IMPORT_GENERIC = r"^the following requirements apply\b"
+IMPORT_CAPTION = r"^(?:(?:figure|table)\b|table is unclassified)"
+IMPORT_NO_TABLE = "table is unclassified"
+IMPORT_BULLET = r"^(\s*)[-*•·]\s+(.+)$"
+IMPORT_SUB_BULLET = r"^o\s+"
+IMPORT_INLINE_BULLET = r"\s+o\s+(?=[A-Z])"
+IMPORT_STUCK_PAGE = r"(.*?)(\d{1,3})"
+IMPORT_WRAP_END = r"[A-Za-z0-9),]$"
+IMPORT_WRAP_START = r"^[A-Z][A-Za-z0-9(]"
+IMPORT_START = r"^#+\s+1(?:\.0+|\.1)?\s"
+IMPORT_TITLE_REACH, IMPORT_SHORT_TITLE, IMPORT_LOOK_BACK, IMPORT_SEEN = 24, 6, 6, 12
+IMPORT_STRONG_LINES, IMPORT_STRONG_HEADINGS, IMPORT_STRONG_ROOTS = 120, 4, 2
 BLANK_NUMBER_LINE = r"^\s*\d{1,4}\s*$"
 UNCLASSIFIED_LINE = r"^(?i)\s*\(?Unclassified//FOUO\)?\s*$"
 FIGURE_LINE = r"^(?i)\s*\(?Figure is UNCLASSIFIED(?://FOUO)?\)?\s*$"

@@ -1,6 +1,6 @@
-"""Import clean-up and outline nodes: per-document folds over lines, where what a line means depends on its neighbours.
+"""Outline nodes of Markdown documents: a fold over lines, where what a line means depends on those before it.
 
-Lines are cleaned by Column functions first; the folds get arrays of lines in Arrow batches, and no document is moved.
+Documents come in Arrow batches of bounded size, and none is moved.
 """
 
 from __future__ import annotations
@@ -15,209 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidspark.functions import lexicons as L
-from bidspark.functions import text as T
+from bidspark.functions.arrow import bounded
 
-_MARK = re.compile(rf"^\s*\({L.SIMPLE_MARKING}\)\s*", re.IGNORECASE)
-_NUMBERED = re.compile(L.OUTLINE_NUMBERED)
-_APPENDIX = re.compile(r"^appendix\s+([A-Z])\s+\(U\)\s+(.+?)(?:\s+\d+)?$", re.IGNORECASE)
-_CONTENTS = re.compile(r"^(?:\(U\)\s*)?table of (?:contents|figures|tables)$", re.IGNORECASE)
-_LEADER = re.compile(L.OUTLINE_LEADER)
-_SHALL = re.compile(r"^the contractor shall:?$", re.IGNORECASE)
-_BULLET = re.compile(r"^(\s*)[-*•·]\s+(.+)$")
-
-
-def _bare(text: str) -> str:
-    return re.sub(rf"\(\s*{L.SIMPLE_MARKING}\s*\)", "", _MARK.sub("", text), flags=re.IGNORECASE).strip()
-
-
-def _title(text: str) -> str:
-    """A title without its marking and without page digits stuck to its end."""
-    t = _bare(text)
-    m = re.fullmatch(r"(.*?)(\d{1,3})", t)
-    return m[1].strip() if m and re.search("[A-Za-z]", m[1]) else t
-
-
-@dataclass
-class _Line:
-    """A cleaned line: what it says, and the heading it stands for if it is one."""
-
-    text: str
-    number: str = ""
-    title: str = ""
-
-    @property
-    def heading(self) -> bool:
-        return bool(self.number)
-
-    @property
-    def depth(self) -> int:
-        return min(self.number.count(".") + 1, 6) if self.number[:1].isdigit() else 1
-
-    def markdown(self) -> str:
-        return f"{'#' * self.depth} {self.number} {self.title}".strip()
-
-
-def _read(text: str) -> _Line:
-    """A line with its heading, if number and title make one."""
-    if m := _APPENDIX.match(text):
-        return _Line(text, f"Appendix {m[1].upper()}", _bare(m[2]))
-    m = _NUMBERED.match(text)
-    if m and not _LEADER.search(text) and not re.match(r"(?:figure|table)\b", _bare(m[2]), re.IGNORECASE):
-        plain = m[2][:1].isupper() or m[2].startswith("(")
-        if plain or "." in m[1]:
-            return _Line(text, m[1], _title(m[2]))
-    return _Line(text)
-
-
-def _without_contents(lines: list[_Line]) -> list[_Line]:
-    """Contents lists end at the first numbered heading 1 or 1.1 without a page leader."""
-    out, inside = [], False
-    for x in lines:
-        inside = inside or bool(_CONTENTS.match(x.text))
-        if inside and x.number in ("1", "1.1") and not _LEADER.search(x.text):
-            inside = False
-        if not inside and not _LEADER.search(x.text):
-            out.append(x)
-    return out
-
-
-def _prose(x: _Line) -> bool:
-    return bool(x.text) and not x.heading and not _BULLET.match(x.text)
-
-
-def _from_body(lines: list[_Line], titles: dict[str, str]) -> list[_Line]:
-    """Lines from the first real heading on: 1 or 1.1 with prose soon after it, else a known title at a line's start."""
-    for k, x in enumerate(lines):
-        if x.number in ("1", "1.1"):
-            after = next((y for y in lines[k + 1 : k + 9] if y.text and not y.heading), None)
-            if after is not None and not any(y.number and not y.text.startswith(y.number + " (") for y in lines[k + 1 : k + 2]):
-                return lines[k:]
-    for k, x in enumerate(lines):
-        if _prose(x) and any(x.text == t or x.text.startswith(t + " ") for t, n in titles.items() if "." not in n):
-            return lines[k:]
-    return lines
-
-
-def _named(lines: list[_Line], titles: dict[str, str]) -> list[_Line]:
-    """Known titles that stand alone or begin a paragraph become headings with their numbers."""
-    out: list[_Line] = []
-    by_length = sorted(titles, key=len, reverse=True)
-    for x in lines:
-        hit = next((t for t in by_length if x.text == t or x.text.startswith(t + " ")), None) if _prose(x) else None
-        last = next((y for y in reversed(out) if y.text), None)
-        if hit is None or (last is not None and last.number == titles[hit]):
-            out.append(x)
-            continue
-        out.append(_Line(f"{titles[hit]} {hit}", titles[hit], hit))
-        if rest := x.text[len(hit) :].strip():
-            out.append(_Line(rest))
-    return out
-
-
-def _with_parents(lines: list[_Line]) -> list[_Line]:
-    """A short title before `The Contractor Shall:` and a child numbered a.b.c.d becomes the heading a.b.c."""
-    out: list[_Line] = []
-    full = [k for k, x in enumerate(lines) if x.text]
-    after = {k: full[i + 1 : i + 3] for i, k in enumerate(full)}
-    for k, x in enumerate(lines):
-        nxt = [lines[j] for j in after.get(k, [])]
-        if _prose(x) and len(x.text.split()) <= 6 and len(nxt) == 2 and _SHALL.match(_bare(nxt[0].text)) and nxt[1].number.count(".") >= 2:
-            parent = nxt[1].number.rsplit(".", 1)[0]
-            if not any(y.number == parent for y in out[-12:]):
-                x = _Line(f"{parent} {_bare(x.text)}", parent, _bare(x.text))
-        out.append(x)
-    return out
-
-
-def _markdown(lines: list[_Line]) -> list[str]:
-    """Markdown lines: headings apart, bullets with their indent, wrapped prose joined."""
-    out: list[str] = []
-    for x in lines:
-        text = x.text
-        if not text or _SHALL.match(_bare(text)) or text.lower() == "table is unclassified":
-            if not text and out and out[-1]:
-                out.append("")
-            continue
-        if x.heading:
-            out += ([""] if out and out[-1] else []) + [x.markdown(), ""]
-            continue
-        m = _BULLET.match(text)
-        if m or re.match(r"^o\s+", _bare(text)):
-            indent, body = (m[1], _bare(m[2])) if m else ("  ", _bare(text)[2:].strip())
-            out.append(f"{indent}- {body}")
-            continue
-        first, *subs = re.split(r"\s+o\s+(?=[A-Z])", _bare(text))
-        wrapped = out and out[-1] and not out[-1].lstrip().startswith(("#", "- ")) and re.search(r"[A-Za-z0-9),]$", out[-1]) and re.match(r"[A-Z][A-Za-z0-9(]", first)
-        if wrapped:
-            out[-1] = f"{out[-1]} {first.strip()}"
-        elif first.strip():
-            out.append(first.strip())
-        out += [f"  - {s.strip()}" for s in subs if s.strip()]
-    while out and not out[-1]:
-        out.pop()
-    start = next((k for k, s in enumerate(out) if re.match(r"#+\s+1(?:\.0+|\.1)?\s", s)), 0)
-    return out[start:]
-
-
-def prepared(raw: list[str]) -> list[str]:
-    """Markdown lines of one document from its cleaned lines."""
-    lines = [_read(x) for x in raw]
-    titles: dict[str, str] = {}
-    for x in lines:
-        if x.heading and x.number[0].isdigit() and x.title and not _LEADER.search(x.text):
-            titles.setdefault(x.title, x.number)
-    body = _without_contents(lines)
-    top = [x for x in body[:120] if x.heading and x.number[0].isdigit()]
-    paged = sum(bool(re.search(r"[A-Za-z]\d{1,3}$", x.text)) for x in top)
-    strong = not paged * 2 > len(top) and (len(top) >= 4 or sum("." not in x.number for x in top) >= 2)
-    if not strong and paged * 2 > len(top):  # a contents list without its title: only what follows it is body
-        last = max(k for k, x in enumerate(body) if x.heading and re.search(r"[A-Za-z]\d{1,3}$", x.text))
-        body = body[last + 1 :]
-    body = _from_body(body, titles)
-    if not strong:
-        body = _named(body, titles)
-    return _markdown(_with_parents(body))
-
-
-def prepare_outline_lines(documents: DataFrame, col: str = "raw_text") -> DataFrame:
-    """Replaces `col` by `lines`, the Markdown lines of each document after the clean-up."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: prepared(list(x)))
-
-    cleaned = F.transform(F.split(F.regexp_replace(T.blank_if_null(col), r"\r\n?", "\n"), "\n"), T.clean_line)
-    # markings at a line's start tell headings apart, so the numbers' lines are cleaned but for those
-    return documents.withColumn("lines", F.pandas_udf(run, "array<string>")(cleaned)).drop(col)
-
-
-_HASH = re.compile(L.OUTLINE_HASH)
-_BOLD = re.compile(L.OUTLINE_BOLD)
-_NUMBER = re.compile(L.OUTLINE_NUMBER)
-_ORDERED = re.compile(L.OUTLINE_ORDERED)
-_INLINE = re.compile(r"(?:^|(?<=\s))(\d+\.|[A-Za-z]\.|\([A-Za-z0-9]{1,4}\))\s+")
-
-
-def _list_marker(marker: str) -> bool:
-    """Whether a marker numbers a list: not a marking such as (U), not an acronym such as (IH2)."""
-    if not marker.startswith("("):
-        return True
-    token = marker.strip("()")
-    if token.upper() in ("U", "C", "S", "TS", "FOUO"):
-        return False
-    return bool(re.fullmatch(r"[ivxIVX]{1,5}|\d{1,2}|[A-Za-z]", token))
+_NUMBER, _BULLET, _ORDERED, _INLINE, _LISTED = (re.compile(p) for p in (L.OUTLINE_NUMBER, L.OUTLINE_BULLET, L.OUTLINE_ORDERED, L.OUTLINE_INLINE_ITEM, L.OUTLINE_LIST_MARKER))
+_IMAGE, _IMAGE_FILE, _BARE_NUMBER, _MARGIN, _PLAIN_MARGIN = (re.compile(p) for p in (L.OUTLINE_IMAGE_LINE, L.OUTLINE_IMAGE_FILE, L.BLANK_NUMBER_LINE, L.MARGIN_NUMBER, L.OUTLINE_MARGIN))
+#: How a line may show that it is a heading, and what its title then must not look like; the first form that fits decides.
+_FORMS = tuple((re.compile(form), tuple(map(re.compile, never))) for form, never in ((L.OUTLINE_HASH, (L.OUTLINE_LEADER,)), (L.OUTLINE_BOLD, (L.OUTLINE_LEADER,)), (r"^(.+)$", (L.OUTLINE_LEADER, L.OUTLINE_SENTENCE))))
 
 
 def _outline_heading(line: str) -> tuple[str, str] | None:
+    """(number, title) of a heading line."""
     text = line.strip()
-    m = _HASH.match(text) or _BOLD.match(text)
-    body = " ".join((m[m.lastindex] if m else text).split())
-    n = _NUMBER.match(body)
-    if not n or _LEADER.search(n[2]):
-        return None
-    if not m and (len(n[2].split()) > 18 or n[2][-1] in ".!?;:" or n[2].lower().startswith(("the ", "this ", "these ", "those "))):
-        return None
-    return n[1], n[2]
+    for form, never in _FORMS:
+        if shown := form.match(text):
+            named = _NUMBER.match(" ".join(shown[shown.lastindex].split()))
+            return (named[1], named[2]) if named and not any(p.search(named[2]) for p in never) else None
+    return None
 
 
 @dataclass
@@ -232,20 +45,22 @@ class _Outline:
     bullets: int = 0
     open_bullets: list[tuple[int, str]] = field(default_factory=list)
     lines: list[str] = field(default_factory=list)
+    levels: dict[str | None, int] = field(default_factory=dict)
 
     def add(self, node_id: str, parent: str | None, kind: str, text: str = "", **more) -> None:
-        base = {"node_id": node_id, "parent_id": parent, "node_type": kind, "section_number": None, "section_title": None, "depth": 0, "marker": "", "indent": 0, "text": text}
-        self.nodes.append(base | more | {"position": len(self.nodes)})
+        base = {"node_id": node_id, "parent_id": parent, "node_type": kind, "section_number": None, "section_title": None, "depth": 0, "marker": "", "indent": 0, "text": text, "content": ""}
+        self.levels[node_id] = level = self.levels.get(parent, 0) + 1
+        self.nodes.append(base | more | {"position": len(self.nodes), "level": level})
 
     def flush(self) -> None:
         if self.lines and self.section:
             self.paragraphs, self.bullets, self.open_bullets = self.paragraphs + 1, 0, []
             self.paragraph = f"{self.section}.p{self.paragraphs}"
             text = " ".join(" ".join(self.lines).split())
-            marks = [] if text.count("|") >= 2 else list(_INLINE.finditer(text))
-            if len(marks) < 2 or not all(_list_marker(m[1]) for m in marks):
+            marks = [] if text.count("|") >= L.OUTLINE_TABLE_PIPES else list(_INLINE.finditer(text))
+            if len(marks) < 2 or not all(_LISTED.match(m[1]) for m in marks):
                 marks = []
-            self.add(self.paragraph, self.section, "paragraph", text[: marks[0].start()].strip() if marks else text)
+            self.add(self.paragraph, self.section, "paragraph", text[: marks[0].start()].strip() if marks else text, content="\n".join(self.lines))
             for k, m in enumerate(marks):
                 end = marks[k + 1].start() if k + 1 < len(marks) else len(text)
                 self.add(f"{self.paragraph}.i{k + 1}", self.paragraph, "bullet", text[m.end() : end].strip(), marker=m[1])
@@ -271,14 +86,14 @@ class _Outline:
         node = f"{self.section}.p{max(self.paragraphs, 1)}.b{self.bullets}"
         while self.open_bullets and self.open_bullets[-1][0] >= indent:
             self.open_bullets.pop()
-        self.add(node, self.open_bullets[-1][1] if self.open_bullets else self.paragraph, "bullet", " ".join(body.split()), marker=marker, indent=indent)
+        self.add(node, self.open_bullets[-1][1] if self.open_bullets else self.paragraph, "bullet", " ".join(body.split()), marker=marker, indent=indent, content=body)
         self.open_bullets.append((indent, node))
 
 
 def outlined(markdown: str | None) -> list[dict]:
     """Flat nodes of one Markdown document; without any heading all hangs below a section DOC."""
-    lines = [re.sub(r"^\s*\d{1,4}(?:\s{2,}|\t+)(?=\S)", "", html.unescape(x)).rstrip() for x in (markdown or "").splitlines() if not re.fullmatch(r"\s*\d{1,4}\s*", x)]
-    lines = [x for x in lines if not re.fullmatch(r"(?i)\s*(?:image\d+\.(?:png|jpe?g|gif|webp)|<!--\s*image\s*-->)\s*", x)]
+    lines = [_MARGIN.sub("", html.unescape(x)).rstrip() for x in (markdown or "").splitlines() if not _BARE_NUMBER.match(x) and not _IMAGE.match(x)]
+    lines = ["" if _IMAGE_FILE.match(x) else x for x in lines]
     doc = _Outline()
     if not any(_outline_heading(x) for x in lines) and any(x.strip() for x in lines):
         doc.head("DOC", "Imported Document")
@@ -289,19 +104,20 @@ def outlined(markdown: str | None) -> list[dict]:
             doc.head(*h)
         elif m := _BULLET.match(line):
             doc.bullet(len(m[1]), "-", m[2])
-        elif (m := _ORDERED.match(line.strip())) and _list_marker(m[1]):
+        elif (m := _ORDERED.match(line.strip())) and _LISTED.match(m[1]):
             doc.bullet(len(line) - len(line.lstrip()), m[1], m[2])
         else:
-            doc.lines.append(line.strip())
+            doc.lines.append(_PLAIN_MARGIN.sub("", line).strip())
     doc.flush()
     return doc.nodes
 
 
-NODE = "node_id string, parent_id string, node_type string, section_number string, section_title string, depth int, position int, marker string, indent int, text string"
+NODE = "node_id string, parent_id string, node_type string, section_number string, section_title string, depth int, position int, marker string, indent int, text string, content string, level int"
 
 
 def outline_nodes(documents: DataFrame, col: str = "markdown") -> DataFrame:
-    """A row per section, paragraph and bullet of each document, in order of `position`."""
+    """A row per section, paragraph and bullet of each document, in order of `position`; level is the depth in the tree, content the
+    lines of a paragraph or bullet as they stood."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -309,4 +125,4 @@ def outline_nodes(documents: DataFrame, col: str = "markdown") -> DataFrame:
 
     rest = [c for c in documents.columns if c != col]
     nodes = F.explode(F.pandas_udf(run, f"array<struct<{NODE}>>")(col))
-    return documents.select(*rest, nodes.alias("x")).select(*rest, "x.*")
+    return bounded(documents).select(*rest, nodes.alias("x")).select(*rest, "x.*")

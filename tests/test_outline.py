@@ -1,9 +1,10 @@
+from bidspark.operators import cleanup as Cl
 from bidspark.operators import outline as O
 from bidspark.operators import structure as St
 
 
 def clean(spark, raw):
-    df = O.prepare_outline_lines(spark.createDataFrame([("d", raw)], "document_id string, raw_text string"))
+    df = Cl.prepare_outline_lines(spark.createDataFrame([("d", raw)], "document_id string, raw_text string"))
     return df.first().lines
 
 
