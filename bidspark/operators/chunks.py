@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from bidspark.functions import text as T
 from bidspark.functions.lexicons import IGNORED_FILENAMES
 from bidspark.operators.extract import extract_requirements
 from bidspark.operators.relational import VERSION
+from bidspark.sources.tables import staged
 
 CHUNK_WORDS, OVERLAP_WORDS = 220, 40
 
@@ -130,18 +132,142 @@ def cosine(a: str, b: str) -> Column:
     return F.coalesce(dot / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
-def retrieve(index: DataFrame, queries: DataFrame, top_k: int = 5, chunk_kind: str | None = None, salts: int = 8) -> DataFrame:
-    """The top_k chunks by cosine of each query within its project, ties to the smaller point id.
+PART = 4096  # points, and queries, that are multiplied at once
+PIVOTS = 64  # cells of a project at most, about
+SLACK = 1e-9  # scores are compared after rounding to nine places
 
-    queries: query_id, project_id, query_vector. A project's points are ranked in `salts` parts first, so no
-    task ranks a whole project; what moves is top_k rows of each part.
+
+def _unit(col: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    """Vectors as rows of unit length; null, zero and not finite ones, and those of other sizes, are zero."""
+    out = np.zeros((len(col), dims))
+    for k, v in enumerate(col.to_pylist()):
+        if v is not None and len(v) == dims and None not in v:
+            out[k] = v
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.where((size > 0) & np.isfinite(size), out / np.where(size > 0, size, 1), 0.0)
+
+
+def _dims(*tables: pa.Table, of: str = "vector") -> int:
+    return max((len(v) for t in tables for v in t.column(of).to_pylist()[:64] if v is not None), default=0)
+
+
+def _dealt(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points of the queries' projects with n (the project's points) and part, and queries with their part: parts are of PART rows
+    about, so no task holds a project."""
+    asked = queries.groupBy("project_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("q_parts"))
+    sizes = points.groupBy("project_id").agg(F.count("*").alias("n")).join(asked, "project_id")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    p = points.join(sizes, "project_id").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("part", own("point_id", "parts"))
+    return p, queries.join(asked, "project_id").withColumn("q_part", own("query_id", "q_parts"))
+
+
+def cells(points: DataFrame) -> DataFrame:
+    """Points with the pivot whose vector is nearest (pivot, near: the cosine): about one in every PART points of a project is a pivot,
+    and PIVOTS of them at most. points: as `_dealt` returns them."""
+    step = F.ceil(F.col("n") / F.least(F.ceil(F.col("n") / PART), F.lit(PIVOTS)))
+    pivots = points.where(F.pmod(F.xxhash64("point_id", F.lit(7)), step) == 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pivots = pivots.select(F.col("project_id").alias("at"), F.col("part").alias("at_part"), F.col("point_id").alias("pivot_id"), F.col("vector").alias("pivot_vector"))
+
+    def nearest(key: tuple, rows: pa.Table, p: pa.Table) -> pa.Table:
+        dims = max(_dims(rows), _dims(p, of="pivot_vector"))
+        ids = p.column("pivot_id").to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        if not order or not dims or not rows.num_rows:  # no pivot fell into the project: one cell that is never skipped
+            pivot, near = [""] * rows.num_rows, np.full(rows.num_rows, -1.0)
+        else:
+            score = _unit(rows.column("vector"), dims) @ _unit(p.column("pivot_vector"), dims)[order].T
+            best = score.argmax(1)
+            pivot, near = [ids[order[k]] for k in best], score[np.arange(len(best)), best]
+        return rows.append_column("pivot", pa.array(pivot, pa.string())).append_column("near", pa.array(near, pa.float64()))
+
+    kept = points.select("project_id", "part", "point_id", "vector", "q_parts")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.groupBy("project_id", "part").cogroup(pivots.groupBy("at", "at_part")).applyInArrow(nearest, f"{kinds}, pivot string, near double")
+
+
+def _best(points: DataFrame, asks: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, project_id, pivot, point_id, score): the top_k points of each part of a cell for each query that asks the cell.
+
+    points: as `cells` returns them; asks: query_id, project_id, pivot, q_part, parts, vector.
+    """
+    p = points.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
+    q = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    by = ["project_id", "pivot", "part", "q_part"]
+    kind = dict(asks.dtypes)["query_id"]
+    said = f"query_id {kind}, project_id string, pivot string, point_id string, score double"
+
+    def product(key: tuple, rows: pa.Table, ask: pa.Table) -> pa.Table:
+        ids = np.array(rows.column("point_id").to_pylist(), object)
+        dims = max(_dims(rows), _dims(ask, of="q_vector"))
+        got: list[tuple[int, int, float]] = []
+        if len(ids) and ask.num_rows and dims:
+            score = _unit(ask.column("q_vector"), dims) @ _unit(rows.column("vector"), dims).T
+            shown, k = np.round(score, 9), min(top_k, len(ids))
+            least = np.partition(shown, len(ids) - k, axis=1)[:, len(ids) - k]
+            for i in range(len(shown)):
+                at = np.flatnonzero(shown[i] >= least[i])
+                at = at[np.lexsort((ids[at].astype(str), -shown[i][at]))][:k]
+                got += [(i, j, score[i, j]) for j in at.tolist()]
+        i, j = ([g[m] for g in got] for m in (0, 1))
+        cols = {"query_id": ask.column("query_id").take(pa.array(i, pa.int64())), "project_id": [key[0].as_py()] * len(got), "pivot": [key[1].as_py()] * len(got), "point_id": ids[j].tolist() if got else [], "score": [g[2] for g in got]}
+        return pa.table(cols, pa.schema([("query_id", ask.schema.field("query_id").type), ("project_id", pa.string()), ("pivot", pa.string()), ("point_id", pa.string()), ("score", pa.float64())]))
+
+    p, q = p.select(*by, "point_id", "vector"), q.select(*[F.col(c).alias(f"q_{c}") for c in by], "query_id", F.col("vector").alias("q_vector"))
+    return p.groupBy(*by).cogroup(q.groupBy(*[f"q_{c}" for c in by])).applyInArrow(product, said)
+
+
+def _asked_cells(queries: DataFrame, dealt: DataFrame, points: DataFrame) -> DataFrame:
+    """(query_id, project_id, pivot, q_part, parts, vector, bound): each query with the cells of its project and the best score that
+    any point of the cell can have. The angle between query and point is at least that between query and pivot less the cell's
+    widest, so its cosine is at most `bound`."""
+    wide = dealt.groupBy("project_id", "pivot").agg(F.min("near").alias("near"), (F.max("part") + 1).alias("parts"))
+    at = points.select("project_id", F.col("point_id").alias("pivot"), F.col("vector").alias("pivot_vector"))
+    wide = wide.join(at, ["project_id", "pivot"], "left")
+    pairs = queries.join(wide, "project_id").withColumn("c", F.coalesce(cosine("vector", "pivot_vector"), F.lit(0.0)))
+    angle = lambda c: F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
+    free = F.cos(F.greatest(angle(F.col("c")) - angle(F.col("near")), F.lit(0.0)))
+    # vectors of length zero score 0 everywhere, and stand in the cell of any pivot
+    bound = F.when(F.col("pivot_vector").isNull(), 1.0).otherwise(F.greatest(free, F.lit(0.0)))
+    return pairs.select("query_id", "project_id", "pivot", "q_part", "parts", "vector", bound.alias("bound"))
+
+
+def retrieve(index: DataFrame, queries: DataFrame, top_k: int = 5, chunk_kind: str | None = None) -> DataFrame:
+    """The top_k chunks by cosine of each query within its project, ties (to nine places) to the smaller point id; exact.
+
+    queries: query_id, project_id, query_vector. A project's points are dealt to cells around pivots. Every query first looks at the
+    cell that may hold the best points; what it finds there is a score that a point must reach, and cells that can hold no such
+    point are skipped. Cells are cut into parts, and a part's scores are one product of matrices, so no task holds a project. Null and
+    zero vectors score 0. point_id is a key of the index.
     """
-    points = index if chunk_kind is None else index.where(F.col("chunk_kind") == chunk_kind)
-    pairs = points.join(queries, "project_id").withColumn("score", cosine("vector", "query_vector")).drop("vector", "query_vector")
-    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("point_id"), F.lit(salts))).orderBy(F.desc("score"), "point_id")
-    few = pairs.withColumn("r", F.row_number().over(part)).where(F.col("r") <= top_k)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
-    return few.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top_k).drop("r")
+    return _retrieved(index, queries, top_k, chunk_kind)[0]
+
+
+def retrieval_cells(index: DataFrame, queries: DataFrame, top_k: int = 5, chunk_kind: str | None = None) -> DataFrame:
+    """(query_id, cells, looked_at): of the cells of its project those that `retrieve` looks at for a query."""
+    return _retrieved(index, queries, top_k, chunk_kind)[1]
+
+
+def _retrieved(index: DataFrame, queries: DataFrame, top_k: int, chunk_kind: str | None) -> tuple[DataFrame, DataFrame]:
+    live = index if chunk_kind is None else index.where(F.col("chunk_kind") == chunk_kind)
+    points, asked = _dealt(live.select("project_id", "point_id", "vector"), queries.select("query_id", "project_id", F.col("query_vector").alias("vector")))
+    dealt = staged(cells(points))
+    asks = staged(_asked_cells(asked, dealt, live))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "pivot")
+    ranked = asks.withColumn("r", F.row_number().over(order))
+    shown = F.round("score", 9)
+    top = Window.partitionBy("query_id").orderBy(F.desc(shown), "point_id")
+    cut = lambda df: df.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= top_k)
+    first = staged(cut(_best(dealt, ranked.where("r = 1").drop("r", "bound"), top_k)).drop("rank"))
+    reached = first.groupBy("query_id").agg(F.count("*").alias("k"), F.min(shown).alias("least"))
+    more = ranked.where("r > 1").join(reached, "query_id", "left").where((F.coalesce("k", F.lit(0)) < top_k) | (F.col("bound") >= F.col("least") - SLACK))
+    found = first.unionByName(_best(dealt, more.drop("r", "bound", "k", "least"), top_k))
+    best = cut(found).select("query_id", "project_id", "point_id", "score", "rank")
+    rows = live.drop("vector").join(best, ["project_id", "point_id"])
+    extra = [c for c in queries.columns if c not in ("query_id", "project_id", "query_vector")]
+    if extra:
+        rows = rows.join(queries.select("query_id", *extra), "query_id")
+    looked = more.select("query_id").unionByName(ranked.where("r = 1").select("query_id")).groupBy("query_id").agg(F.count("*").alias("looked_at"))
+    return rows.select(*[c for c in index.columns if c != "vector"], "query_id", *extra, "score", "rank"), asks.groupBy("query_id").agg(F.count("*").alias("cells")).join(looked, "query_id")
 
 
 def package_evidence(matches: DataFrame, pattern: str | None = None, max_matches: int = 30) -> DataFrame:

@@ -18,13 +18,29 @@ FIELDS = ("filename", "section_number", "section_heading", "heading_path", "requ
 def _prepared(df: DataFrame, prefix: str) -> DataFrame:
     text = F.coalesce(F.when(F.col("normalized_requirement_text") != "", F.col("normalized_requirement_text")), F.col("requirement_text"), F.lit("")) if "normalized_requirement_text" in df.columns else T.blank_if_null("requirement_text")
     place = F.upper(F.concat_ws(" ", T.blank_if_null("filename"), T.blank_if_null("section_heading"), T.blank_if_null("heading_path")))
-    named = df.select("project_id", F.col("id").cast("string").alias("id"), *[T.blank_if_null(c).alias(c) for c in FIELDS], T.tokens_search(text).alias("tokens"), T.tokens_search(F.col("object_text")).alias("object_tokens"), T.section_refs(text).alias("refs"), T.appendix_refs(text).alias("appendices"), place.alias("place"))
+    asked = F.coalesce(F.when(F.col("query_text") != "", F.col("query_text")), text) if "query_text" in df.columns else text
+    named = df.select("project_id", F.col("id").cast("string").alias("id"), *[T.blank_if_null(c).alias(c) for c in FIELDS], T.tokens_search(text).alias("tokens"), T.tokens_search(asked).alias("asked"), T.tokens_search(F.col("object_text")).alias("object_tokens"), T.section_refs(asked).alias("refs"), T.appendix_refs(asked).alias("appendices"), place.alias("place"))
     return named.select("project_id", *[F.col(c).alias(f"{prefix}{c}") for c in named.columns if c != "project_id"])
 
 
+#: Points of a term that query and candidate share, and of one that source and candidate share; a source without a query is its own.
+ASKED, OWN = 4, 1
+
+
+def ad_hoc_sources(texts: DataFrame) -> DataFrame:
+    """Sources that are no requirements: project_id, source_text and, if there, id and query_text; all other fields are blank."""
+    blank = [F.lit("").alias(c) for c in FIELDS if c not in ("filename", "requirement_text")]
+    name = F.col("id").cast("string") if "id" in texts.columns else F.lit("ad-hoc-source")
+    query = [F.col("query_text")] if "query_text" in texts.columns else []
+    return texts.select("project_id", name.alias("id"), F.lit("Ad hoc source").alias("filename"), *blank, F.col("source_text").alias("requirement_text"), *query)
+
+
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Adds score and reasons (first three) to pairs of prepared sources (s_) and candidates (c_)."""
-    shared = F.array_sort(F.array_intersect("s_tokens", "c_tokens"))
+    """Adds score and reasons (first three) to pairs of prepared sources (s_) and candidates (c_).
+
+    Terms, sections and appendices are those of the source's query_text, if it has one; its own text counts besides.
+    """
+    shared = F.array_sort(F.array_intersect("s_asked", "c_tokens"))
     objects = F.array_sort(F.array_intersect("s_object_tokens", "c_object_tokens"))
     both = lambda c: (F.col(f"s_{c}") != "") & (F.col(f"s_{c}") == F.col(f"c_{c}"))
     number = F.col("c_section_number")
@@ -33,7 +49,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     appendix = F.exists("s_appendices", lambda a: F.col("c_place").contains(F.concat(F.lit("APPENDIX "), a)) | F.col("c_place").contains(F.concat(F.lit("APPENDIX_"), a)))
     weight = T.filename_weight(F.col("c_filename"))
     points = lambda cond, n: F.when(cond, n).otherwise(0)
-    score = F.size(shared) * 5 + points(both("modality"), 2) + points(both("actor"), 2) + points(both("action"), 3) + F.size(objects) * 3
+    score = F.size(shared) * ASKED + F.size(F.array_intersect("s_tokens", "c_tokens")) * OWN + points(both("modality"), 2) + points(both("actor"), 2) + points(both("action"), 3) + F.size(objects) * 3
     score = score + F.when(exact, 14).when(family, 6).otherwise(0) + points(appendix, 10) + weight + points(both("section_number"), 1) + points(both("filename"), 1)
     score = F.when(F.size("c_tokens") == 0, 0).otherwise(score).cast("double")
     say = lambda cond, text: F.when(cond, text)
@@ -52,7 +68,7 @@ def score_related(sources: DataFrame, requirements: DataFrame) -> DataFrame:
 
 
 CELL = 1024  # sources, and candidates, that are compared at once
-SETS = ("tokens", "objects", "numbers", "above", "letters")
+SETS = ("tokens", "asked", "objects", "numbers", "above", "letters")
 
 
 def _coded(df: DataFrame, prefix: str) -> DataFrame:
@@ -70,7 +86,8 @@ def _coded(df: DataFrame, prefix: str) -> DataFrame:
         numbers = F.filter(F.array(col("section_number")), lambda x: x != "")
         above = F.when(col("section_number") != "", proper(col("section_number"))).otherwise(F.array().cast("array<string>"))
         letters = F.array_distinct(F.regexp_extract_all(col("place"), F.lit("APPENDIX[ _](.)"), F.lit(1)))
-    sets = dict(zip(SETS, (col("tokens"), col("object_tokens"), numbers, above, letters), strict=True))
+    asked = col("asked") if prefix == "s_" else F.array().cast("array<string>")
+    sets = dict(zip(SETS, (col("tokens"), asked, col("object_tokens"), numbers, above, letters), strict=True))
     return df.select("project_id", col("id").alias("id"), col("filename").alias("filename"), T.filename_weight(col("filename")).cast("long").alias("weight"), *[hashes(c).alias(n) for n, c in sets.items()], *[code(c).alias(c if c != "filename" else "file") for c in ("modality", "actor", "action", "section_number", "filename")])
 
 
@@ -106,7 +123,7 @@ def _best_of_cells(it: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
         col = lambda x, n: x[n].combine_chunks() if isinstance(x[n], pa.ChunkedArray) else x[n]
         num = lambda x, n: np.asarray(x[n])
         same = lambda n: (num(s, n)[:, None] == num(c, n)[None, :]) & (num(c, n) != 0)
-        score = 5 * _common(col(s, "tokens"), col(c, "tokens")) + 3 * _common(col(s, "objects"), col(c, "objects"))
+        score = ASKED * _common(col(s, "asked"), col(c, "tokens")) + OWN * _common(col(s, "tokens"), col(c, "tokens")) + 3 * _common(col(s, "objects"), col(c, "objects"))
         exact = _common(col(s, "numbers"), col(c, "numbers")) > 0
         family = (_common(col(s, "numbers"), col(c, "above")) > 0) | (_common(col(s, "above"), col(c, "numbers")) > 0)
         score += np.where(exact, 14, np.where(family, 6, 0)) + 10 * (_common(col(s, "letters"), col(c, "letters")) > 0)
@@ -183,7 +200,10 @@ def merge_semantic(scored: DataFrame, boosts: DataFrame, parity: bool = False) -
 
 
 def related_requirements(sources: DataFrame, requirements: DataFrame, boosts: DataFrame | None = None, limit: int = 20, source_filename: str | None = None, parity: bool = False) -> DataFrame:
-    """The `limit` best candidates of each source (s_id, rank, c_id, score, match_reason), for few sources or for all."""
+    """The `limit` best candidates of each source (s_id, rank, c_id, score, match_reason), for few sources or for all.
+
+    sources: requirements or `ad_hoc_sources`; with a column query_text, what is asked about them.
+    """
     live = requirements
     if source_filename:
         key = lambda x: F.lower(T.strip(F.regexp_replace(x, r"\s+", " ")))

@@ -57,39 +57,54 @@ def classify_blocks(blocks: DataFrame, text: str = "normalized_text") -> DataFra
 
 
 def tag_content_scope(blocks: DataFrame, order: str = "document_order") -> DataFrame:
-    """Adds content_scope (front_matter, table_of_contents, body): a two-flag machine folded over a document's blocks."""
+    """Adds content_scope: front_matter, table_of_contents or body.
+
+    A document's blocks drive two flags, inside a contents list and body begun. Each block is a map of the flags to the flags,
+    and such maps compose without the blocks before: `body begun` only ever goes up, so it is a running maximum; of the contents
+    flag a block is the identity or sets or clears it whatever it was, so its state is the last block that isn't the identity.
+    Both are windows over a document's order.
+    """
     title = F.when(F.col("block_type").isin(*HEADINGS), T.normalize_heading_candidate(F.coalesce("heading_title", "normalized_text"))).otherwise("")
     entry = F.col("block_type").isin("heading", "list_item", "paragraph") & T.strip_classification(T.normalize_inline(F.col("normalized_text"))).rlike(L.TOC_ENTRY)
-    front = title.isin("Performance Work Statement (PWS)") | title.rlike(L.DATE_ONLY)
-    item = F.struct(order, F.col("block_type").alias("t"), front.alias("front"), title.rlike(L.TOC_TITLE).alias("toc"), entry.alias("entry"), F.col("numbering_token").isNotNull().alias("num"))
-    lists = blocks.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-
-    def step(s: Column, x: Column) -> Column:
-        is_head = x["t"].isin(*HEADINGS)
-        cover = ~s["body"] & is_head & x["front"]
-        ends = s["toc"] & (x["t"] == "heading") & x["num"]
-        listed = s["toc"] & (x["entry"] | (~ends & x["t"].isin("paragraph", "list_item")))
-        started = s["body"] | ends
-        after = started | is_head
-        say = F.when((x["t"] == "footer_or_header") | cover, "front_matter").when(x["toc"] | listed, "table_of_contents").when(after, "body").otherwise("front_matter")
-        hold = (x["t"] == "footer_or_header") | cover | x["toc"] | listed
-        return F.struct(
-            F.when(x["toc"] & (x["t"] != "footer_or_header") & ~cover, True).otherwise(F.when(hold, s["toc"]).otherwise(s["toc"] & ~ends)).alias("toc"),
-            F.when(hold, s["body"]).otherwise(after).alias("body"),
-            F.concat(s["out"], F.array(F.struct(x[order].alias(order), say.alias("content_scope")))).alias("out"),
-        )
-
-    kind = dict(blocks.dtypes)[order]
-    start = F.struct(F.lit(False).alias("toc"), F.lit(False).alias("body"), F.array().cast(f"array<struct<{order}:{kind},content_scope:string>>").alias("out"))
-    tags = lists.select("document_id", F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("y")).select("document_id", f"y.{order}", "y.content_scope")
-    return blocks.join(tags, ["document_id", order])
+    by = Window.partitionBy("document_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.max(c).over(by), F.lit(False))
+    head = F.col("block_type").isin(*HEADINGS)
+    marks = {
+        "__toc": title.rlike(L.TOC_TITLE), "__front": head & (title.isin("Performance Work Statement (PWS)") | title.rlike(L.DATE_ONLY)), "__entry": F.coalesce(entry, F.lit(False)), "__head": head,
+        "__numbered": (F.col("block_type") == "heading") & F.col("numbering_token").isNotNull(), "__prose": F.col("block_type").isin("paragraph", "list_item"), "__foot": F.col("block_type") == "footer_or_header",
+    }
+    rows = blocks.withColumns(marks)
+    # before the body a contents list, once open, stays open; a heading that is none of its entries begins the body
+    begins = F.expr("__head and not __front and not __toc") & ~(F.col("__listed") & F.col("__entry"))
+    rows = rows.withColumn("__listed", before(F.expr("__toc"))).withColumn("__begins", begins).withColumn("__body", before(F.col("__begins")))
+    rows = rows.withColumn("__cover", F.expr("__front and not __body and not __foot"))
+    sets = F.expr("case when __foot or __cover then null when __toc then true when __numbered and not __entry then false end")
+    rows = rows.withColumn("__in", F.coalesce(F.last(sets, ignorenulls=True).over(by), F.lit(False)))
+    say = F.expr("""case when __foot or __cover then 'front_matter' when __toc or (__in and (__entry or (__prose and not __numbered))) then 'table_of_contents'
+        when __body or __head or (__in and __numbered) then 'body' else 'front_matter' end""")
+    return rows.withColumn("content_scope", say).drop(*marks, "__listed", "__begins", "__body", "__cover", "__in")
+
+
+def contents_lists(scoped: DataFrame, order: str = "document_order") -> DataFrame:
+    """(document_id, list_index, start_order, end_order, entries): runs of blocks that `tag_content_scope` put into contents lists."""
+    by = Window.partitionBy("document_id").orderBy(order)
+    listed = F.col("content_scope") == "table_of_contents"
+    rows = scoped.select("document_id", order, listed.alias("__listed")).withColumn("__new", F.col("__listed") & ~F.coalesce(F.lag("__listed").over(by), F.lit(False)))
+    rows = rows.withColumn("list_index", F.sum(F.col("__new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).where("__listed")
+    return rows.groupBy("document_id", F.col("list_index").cast("int").alias("list_index")).agg(F.min(order).alias("start_order"), F.max(order).alias("end_order"), F.count("*").alias("entries"))
+
+
+def contents_signal(scoped: DataFrame) -> DataFrame:
+    """(document_id, toc_signal_score): how many blocks a document's contents lists hold, which `select_parse_mode` weighs against its body."""
+    return contents_lists(scoped).groupBy("document_id").agg(F.sum("entries").alias("toc_signal_score"))
 
 
 def heading_paths(headings: DataFrame, order: str = "document_order", level: str = "heading_level", token: str = "numbering_token", title: str = "heading_title", tree: str | None = "tree_kind", max_level: int = MAX_LEVEL) -> DataFrame:
     """Adds heading_path, title_path and parent_order: the stack of enclosing headings, as running maxima per level.
 
     A level is on the stack if its last heading came after the last headings of all higher ranks of the stack; a
-    heading of another tree than MAIN clears it. Levels run from 0 to max_level.
+    heading of another tree than MAIN clears it. Levels from 0 to max_level are running maxima; deeper ones, which are
+    rare, are gathered from the last heading at one of these on.
     """
     by = Window.partitionBy("document_id").orderBy(order)
     run = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,13 +113,16 @@ def heading_paths(headings: DataFrame, order: str = "document_order", level: str
     per = Window.partitionBy("document_id", "__epoch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lv = F.coalesce(F.col(level), F.lit(1))
     last = F.array(*[F.max(F.when(lv == k, F.struct(F.col(order).alias("o"), F.col(token).alias("n"), F.col(title).alias("t"), F.lit(k).alias("k")))).over(per) for k in range(max_level + 1)])
-    rows = rows.withColumn("__last", F.filter(last, lambda x: x.isNotNull() & (x["k"] <= lv)))
+    shallow = F.sum((lv <= max_level).cast("int")).over(per)
+    rows = rows.withColumn("__run", shallow)
+    deep = F.collect_list(F.when(lv > max_level, F.struct(F.col(order).alias("o"), F.col(token).alias("n"), F.col(title).alias("t"), lv.alias("k")))).over(Window.partitionBy("document_id", "__epoch", "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__deep", deep).withColumn("__last", F.concat(F.filter(last, lambda x: x.isNotNull() & (x["k"] <= lv)), F.filter("__deep", lambda x: x["k"] <= lv)))
     # of the enclosing headings each is later than all of lower rank number before it in the stack
-    on = F.filter("__last", lambda x: ~F.exists("__last", lambda y: (y["k"] < x["k"]) & (y["o"] > x["o"])))
+    on = F.filter("__last", lambda x: ~F.exists("__last", lambda y: (y["k"] <= x["k"]) & (y["o"] > x["o"])))
     rows = rows.withColumn("__stack", on)
     join = lambda f: F.array_join(F.transform("__stack", lambda x: x[f]), " > ")
     parent = F.when(F.size("__stack") > 1, F.element_at("__stack", -2)["o"])
-    return rows.withColumns({"heading_path": join("n"), "title_path": join("t"), "parent_order": parent}).drop("__epoch", "__last", "__stack")
+    return rows.withColumns({"heading_path": join("n"), "title_path": join("t"), "parent_order": parent}).drop("__epoch", "__run", "__deep", "__last", "__stack")
 
 
 def assemble_sections(blocks: DataFrame, order: str = "document_order") -> DataFrame:
@@ -133,10 +151,10 @@ def heading_gaps(sections: DataFrame, order: str = "section_order", number: str
     return rows.where(dotted & (prefix("previous") == prefix(number)) & (tail(number) > tail("previous") + 1)).select("document_id", order, "previous", number)
 
 
-def structure_metrics(sections: DataFrame, total_chars: DataFrame) -> DataFrame:
-    """Per document: sections, prose blocks, empty sections, coverage ratio, orphans and body signal.
+def structure_metrics(sections: DataFrame, total_chars: DataFrame, signal: DataFrame | None = None) -> DataFrame:
+    """Per document: sections, prose blocks, empty sections, coverage ratio, orphans, contents and body signal.
 
-    total_chars: (document_id, chars) of the source text.
+    total_chars: (document_id, chars) of the source text; signal: what `contents_signal` gives for its blocks (none: 0).
     """
     named = F.col("section_order").isNotNull()
     sums = sections.groupBy("document_id").agg(
@@ -144,7 +162,8 @@ def structure_metrics(sections: DataFrame, total_chars: DataFrame) -> DataFrame:
     )
     ratio = F.when(F.col("chars") > 0, F.bround(F.col("chars_in") / F.col("chars"), 4)).otherwise(0.0)
     out = sums.join(total_chars, "document_id")
-    return out.select("document_id", "section_count", "prose_block_count", "suspicious_empty_section_count", ratio.alias("coverage_ratio"), "orphan_content_count", (F.col("prose_block_count") + 2 * F.col("filled")).alias("body_signal_score"))
+    out = out.withColumn("toc_signal_score", F.lit(0).cast("long")) if signal is None else out.join(signal, "document_id", "left").na.fill(0, ["toc_signal_score"])
+    return out.select("document_id", "section_count", "prose_block_count", "suspicious_empty_section_count", ratio.alias("coverage_ratio"), "orphan_content_count", "toc_signal_score", (F.col("prose_block_count") + 2 * F.col("filled")).alias("body_signal_score"))
 
 
 #: The names of the parse modes, and why another than the structural one was taken.
@@ -386,10 +405,36 @@ def heading_anchors(sections: DataFrame, headings: DataFrame, least: float = 0.7
     return rows.withColumn("end_order", F.lead("start_order").over(by) - 1).drop("i", "p", "n", "at")
 
 
+def _powers() -> Column:
+    """Exponents of the lengths of cells on an order axis: a point lies in one cell of each length."""
+    return F.sequence(F.lit(0), F.lit(31))
+
+
+def _half(x: Column, k: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), k)).cast("long")
+
+
+def _covered(start: str, end: str) -> Column:
+    """The cells (k, i), of length 2**k, that together make up start..end: at most two of each length, so a point of the interval
+    lies in exactly one of them."""
+    s = F.greatest(F.col(start).cast("long"), F.lit(0))
+    e = F.coalesce(F.col(end).cast("long"), F.lit((1 << 31) - 2)) + 1
+
+    def at(k: Column) -> Column:
+        lo, hi = F.ceil(s / F.pow(F.lit(2.0), k)).cast("long"), _half(e, k)
+        cell = lambda on, i: F.when((lo < hi) & on, F.struct(k.alias("k"), i.alias("i")))
+        return F.array(cell(lo % 2 == 1, lo), cell(hi % 2 == 1, hi - 1))
+
+    return F.array_compact(F.flatten(F.transform(_powers(), at)))
+
+
 def align_objects(objects: DataFrame, anchors: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Section of each object: explicit heading (.98), preceding heading (.84), window of a matched anchor (.72 by order,
     .08 more by page), else words shared with a title (at most .69); below the threshold an object stays unplaced.
 
+    An anchor's window is cut into cells whose lengths are powers of two, and an object meets the anchors that own one of its
+    cells, which are those around it; words meet in an index of the titles' words. No object meets all sections.
+
     Optional columns: objects page_start and caption; anchors page_start, page_end and matched.
     """
     col = lambda df, c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
@@ -400,15 +445,18 @@ def align_objects(objects: DataFrame, anchors: DataFrame, threshold: float = 0.7
     for c, name in (("explicit_heading", "e"), ("preceding_heading", "p")):
         k = known.select("document_id", F.col("n").alias("__n"), F.col("n").alias(name))
         rows = rows.withColumn("__n", F.col(f"{c}.section_number")).join(k, ["document_id", "__n"], "left").drop("__n")
-    # only what no heading places looks at the document's anchors
-    open_ones = rows.where("e is null and p is null").select("document_id", "block_id", "document_order", "page", "ow").join(s, "document_id")
-    in_order = (F.col("start_order") <= F.col("document_order")) & (F.col("end_order").isNull() | (F.col("document_order") <= F.col("end_order")))
+    # what no heading places is looked up in the anchors' intervals, and what these don't hold by the words of titles
+    at = rows.where("e is null and p is null").select("document_id", "block_id", "document_order", "page", "ow")
+    cells = s.where(F.col("matched") & (F.col("end_order").isNull() | (F.col("end_order") >= F.col("start_order")))).select("document_id", "n", "section_order", "p0", "p1", F.explode(_covered("start_order", "end_order")).alias("cell"))
+    points = at.select("document_id", "block_id", "page", F.explode(F.transform(_powers(), lambda k: F.struct(k.alias("k"), _half(F.col("document_order").cast("long"), k).alias("i")))).alias("cell"))
     in_page = (F.col("p0") <= F.col("page")) & (F.col("page") <= F.col("p1"))
-    window = F.when(F.col("matched") & in_order, F.when(in_page, 0.8).otherwise(0.72))
-    shared = T.overlap_ratio(F.col("ow"), F.col("sw"))
     best = lambda score, least: F.max(F.when(score >= least, F.struct(score.alias("score"), (-F.col("section_order")).alias("o"), F.col("n").alias("n"))))
-    found = open_ones.groupBy("document_id", "block_id").agg(best(window, 0.6).alias("w"), best(shared, 0.5).alias("l"))
-    rows = rows.join(found, ["document_id", "block_id"], "left")
+    windows = points.join(cells, ["document_id", "cell"]).groupBy("document_id", "block_id").agg(best(F.when(in_page, 0.8).otherwise(0.72), 0.6).alias("w"))
+    rest = at.join(windows, ["document_id", "block_id"], "left_anti").select("document_id", "block_id", F.explode("ow").alias("word"))
+    index = s.select("document_id", "section_order", "n", F.size("sw").alias("words"), F.explode("sw").alias("word"))
+    shared = rest.join(index, ["document_id", "word"]).groupBy("document_id", "block_id", "section_order", "n").agg((F.count("*") / F.first("words")).alias("ratio"))
+    lexical = shared.groupBy("document_id", "block_id").agg(best(F.col("ratio"), 0.5).alias("l"))
+    rows = rows.join(windows, ["document_id", "block_id"], "left").join(lexical, ["document_id", "block_id"], "left")
     placed = lambda n, c, m: F.struct(n.alias("n"), c.alias("c"), F.lit(m).alias("m"))
     say = F.when(F.col("e").isNotNull(), placed(F.col("e"), F.lit(0.98), "explicit_heading_context"))
     say = say.when(F.col("p").isNotNull(), placed(F.col("p"), F.lit(0.84), "nearest_preceding_heading")).when(F.col("w").isNotNull(), placed(F.col("w.n"), F.col("w.score"), "page_order_window"))
@@ -452,17 +500,39 @@ def hierarchy_rows(sections: DataFrame, tables: DataFrame | None = None) -> Data
     return out.withColumns({"i": F.coalesce("i", F.lit(0)), "content": T.blank_if_null("content")})
 
 
-def descendants(nodes: DataFrame, max_depth: int = MAX_LEVEL) -> DataFrame:
-    """(document_id, root, node_id, distance) for all nodes below each node: one join per level of the tree."""
-    step = nodes.where("parent_id is not null").select("document_id", F.col("parent_id").alias("root"), "node_id", F.lit(1).alias("distance"))
-    out, level = step, step
-    for k in range(2, max_depth + 1):
-        below = step.select("document_id", F.col("root").alias("node_id"), F.col("node_id").alias("below"))
-        level = level.join(below, ["document_id", "node_id"]).select("document_id", "root", F.col("below").alias("node_id"), F.lit(k).alias("distance"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def nested_sets(nodes: DataFrame, order: str = "position", level: str = "depth") -> DataFrame:
+    """Adds entry and exit: a node's number in the document, and that of the last node below it. Nodes come in the order of a walk
+    of the tree, with their level in it (from 1).
+
+    Between a node and the next one the levels from the next one's to its own are closed. On each level openings and closings
+    take turns, so what closes a node is the row after it among those of its level: any depth, no loop.
+    """
+    by = Window.partitionBy("document_id").orderBy(order)
+    rows = nodes.withColumns({"entry": F.row_number().over(by).cast("long"), "__next": F.coalesce(F.lead(level).over(by), F.lit(1))})
+    closed = F.when(F.col("__next") <= F.col(level), F.sequence(F.col("__next"), F.col(level))).otherwise(F.array().cast("array<int>"))
+    events = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col(level).cast("int").alias("at"))), F.transform(closed, lambda k: F.struct(F.lit(1).alias("kind"), k.cast("int").alias("at"))))
+    rows = rows.withColumn("__e", F.explode(events))
+    turn = Window.partitionBy("document_id", F.col("__e.at")).orderBy("entry", "__e.kind")
+    return rows.withColumn("exit", F.lead("entry").over(turn)).where("__e.kind = 0").drop("__e", "__next")
+
+
+def descendants(nodes: DataFrame, order: str = "position", level: str = "depth") -> DataFrame:
+    """(document_id, root, node_id, distance) for all nodes below each node, by nested sets; what comes out is all that is joined.
+
+    A node whose parent is missing begins a tree of its own, below that parent's id.
+    """
+    sets = nested_sets(nodes.select("document_id", "node_id", "parent_id", F.col(order).alias("position"), F.col(level).cast("int").alias("depth")))
+    known = nodes.select("document_id", F.col("node_id").alias("parent_id")).distinct().withColumn("known", F.lit(True))
+    sets = sets.join(known, ["document_id", "parent_id"], "left").withColumn("orphan", F.col("parent_id").isNotNull() & F.col("known").isNull()).drop("known")
+    below = lambda df, first: df.withColumn("below", F.explode(F.when(F.col("exit") >= F.col(first), F.sequence(F.col(first), F.col("exit"))).otherwise(F.array().cast("array<bigint>"))))
+    # the orphan next above each node (itself included), if any
+    cut = below(sets.where("orphan"), "entry").groupBy("document_id", F.col("below").alias("entry")).agg(F.max("entry").alias("tree"))
+    sets = sets.join(cut, ["document_id", "entry"], "left").withColumn("tree", F.coalesce("tree", F.lit(0)))
+    x = sets.select("document_id", F.col("entry").alias("below"), F.col("node_id").alias("n"), F.col("depth").alias("d"), F.col("tree").alias("t"))
+    own = below(sets.withColumn("first", F.col("entry") + 1), "first").select("document_id", F.col("node_id").alias("root"), "below", "depth", "tree")
+    lost = below(sets.where("orphan"), "entry").select("document_id", F.col("parent_id").alias("root"), "below", (F.col("depth") - 1).alias("depth"), F.col("entry").alias("tree"))
+    pairs = own.unionByName(lost).join(x, ["document_id", "below"]).where("tree = t")
+    return pairs.select("document_id", "root", F.col("n").alias("node_id"), (F.col("d") - F.col("depth")).cast("int").alias("distance"))
 
 
 def section_requirement_counts(nodes: DataFrame) -> DataFrame:
@@ -559,20 +629,37 @@ def render_markdown_table(rows: Column) -> Column:
     return F.array_join(F.concat(F.array(line(rows[0]), rule), body), "\n")
 
 
+def _row_cells(x: Column) -> Column:
+    """Cells of a line between pipes; a pipe at either end is no cell's."""
+    return F.split(F.regexp_replace(T.strip(x), r"^\||\|$", ""), r"\|")
+
+
 def inline_table(c: Column) -> Column:
     """Of a line that holds a whole table (header, rule and cells one after another): text before it, and its rows, as wide as
-    the header; cells that fill no row are left out. Null rows if the line holds none."""
-    part = lambda k: F.regexp_extract(c, L.INLINE_TABLE, k)
-    cells = lambda x: F.transform(F.split(F.regexp_replace(T.strip(x), r"^\||\|$", ""), r"\|"), lambda y: T.strip_inline_markdown(T.strip(y)))
+    the header; cells that fill no row are left out. Null rows if the line holds none.
+
+    The line is cut at its pipes once. Two cells of the header at least, then a blank, then the cells of the rule, two at least,
+    each before a pipe: the first such place decides.
+    """
+
+    def opened(s: Column) -> Column:
+        cells, rule, n = s["cells"], s["rule"], F.size(s["cells"])
+        at = F.sequence(F.lit(3), F.greatest(n - 4, F.lit(3)))  # the blank, 0-based; cell 0 stands before the first pipe
+        first = F.filter(at, lambda k: F.get(s["blank"], k) & F.get(rule, k + 1) & F.get(rule, k + 2) & (k + 3 < n))[0]
+        end = F.filter(F.sequence(first + 1, n), lambda k: ~F.coalesce(F.get(rule, k), F.lit(False)) | (k >= n - 1))[0]
+        body = F.filter(F.transform(F.slice(cells, end + 1, n), lambda y: T.strip_inline_markdown(T.strip(y))), lambda y: y != "")
+        header = F.transform(F.slice(cells, F.lit(2), first - 1), lambda y: T.strip_inline_markdown(T.strip(y)))
+        return F.when(first.isNotNull(), F.struct(header.alias("header"), body.alias("body")))
 
     def rows(s: Column) -> Column:
-        n, tokens = F.size(s["header"]), F.filter(s["body"], lambda x: x != "")
-        full = F.floor(F.size(tokens) / n).cast("int")
-        body = F.when(full > 0, F.transform(F.sequence(F.lit(1), F.greatest(full, F.lit(1))), lambda k: F.slice(tokens, (k - 1) * n + 1, n)))
+        n = F.size(s["header"])
+        full = F.floor(F.size(s["body"]) / n).cast("int")
+        body = F.transform(F.sequence(F.lit(1), F.greatest(full, F.lit(1))), lambda k: F.slice(s["body"], (k - 1) * n + 1, n))
         return F.when(full > 0, F.concat(F.array(s["header"]), body))
 
-    found = F.transform(F.array(F.struct(cells(part(2)).alias("header"), cells(part(4)).alias("body"))), rows)[0]
-    return F.struct(T.strip(part(1)).alias("prefix"), F.when(c.rlike(L.INLINE_TABLE), found).alias("rows"))
+    cells = F.split(T.blank_if_null(c), r"\|")
+    marked = T.let(cells, lambda x: F.struct(x.alias("cells"), F.transform(x, lambda y: y.rlike(r"^[-:\s]*$")).alias("rule"), F.transform(x, lambda y: T.strip(y) == "").alias("blank")))
+    return T.let(marked, lambda s: F.struct(T.strip(s["cells"][0]).alias("prefix"), F.when(F.size(s["cells"]) > 6, T.let(opened(s), rows)).alias("rows")))
 
 
 def markdown_tables(c: Column) -> Column:
@@ -582,3 +669,43 @@ def markdown_tables(c: Column) -> Column:
     none = F.array().cast("array<array<string>>")
     lines = F.transform(F.split(T.blank_if_null(c), "\n"), lambda x: F.struct(x.alias("x"), inline_table(x)["rows"].alias("t")))
     return F.flatten(F.transform(lines, lambda s: F.when(s["t"].isNotNull(), s["t"]).when(T.strip(s["x"]).startswith("|") & ~rule(s["x"]), F.array(row(s["x"]))).otherwise(none)))
+
+
+def structured_content(nodes: DataFrame, col: str = "content", keys: tuple[str, ...] = ("document_id", "node_id")) -> DataFrame:
+    """(keys, block_index, block_type, text, rows): paragraphs and tables that the lines of each node make up.
+
+    Each line has a class: blank, row of a pipe table, rule below a header, whole table pressed into one line, or text. In a run of
+    rows the first one with a rule below it begins a table, which lasts to the run's end and is without that rule. What is left is cut
+    at blank lines and tables into runs of text; pressed tables at such a run's start are blocks of their own, with the text before them.
+    All runs are windows over the order of the lines. A null or blank text has no block; the order of equal lines is theirs in the text.
+    """
+    row, rule = r"^\|?.+\|.+\|?$", r"^\|?[\s:-]+(?:\|[\s:-]+)+\|?$"
+    lines = nodes.select(*keys, F.posexplode(F.split(F.regexp_replace(T.blank_if_null(col), "\r\n", "\n"), "\n")).alias("i", "x"))
+    bare = T.strip("x")
+    lines = lines.withColumns({"x": bare, "row": bare.rlike(row), "rule": bare.rlike(rule), "pressed": inline_table(F.col("x"))["rows"]})
+    by = Window.partitionBy(*keys).orderBy("i")
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("lead", F.col("row") & F.coalesce(F.lead("rule").over(by), F.lit(False)))
+    lines = lines.withColumn("island", F.sum((~F.col("row")).cast("int")).over(so_far))
+    first = F.min(F.when(F.col("lead"), F.col("i"))).over(Window.partitionBy(*keys, "island"))
+    lines = lines.withColumn("at", first).withColumn("table", F.col("row") & F.coalesce(F.col("i") >= F.col("at"), F.lit(False)))
+    lines = lines.where(~(F.col("table") & (F.col("i") == F.col("at") + 1)))
+    # a run of text begins after a blank line, a table, or a node's start
+    loose = ~F.col("table") & (F.col("x") != "")
+    lines = lines.withColumn("loose", loose).withColumn("run", F.sum((~F.col("loose")).cast("int")).over(so_far))
+    in_run = Window.partitionBy(*keys, "run").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.where((F.col("x") != "")).withColumn("own", F.col("loose") & F.col("pressed").isNotNull() & (F.min(F.when(F.col("loose"), F.col("pressed").isNotNull())).over(in_run)))
+    block = lambda kind, k: F.struct(F.lit(kind).alias("kind"), F.coalesce(k.cast("int"), F.lit(0)).alias("k"))
+    # blocks: a table by its start, a pressed table by its line, text by its run
+    lines = lines.withColumn("block", F.when(F.col("table"), block("t", F.col("at"))).when(F.col("own"), block("p", F.col("i"))).otherwise(block("x", F.col("run"))))
+    held = lines.groupBy(*keys, "block").agg(F.min("i").alias("i"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("lines"), F.first("pressed").alias("pressed"))
+    said = F.transform("lines", lambda s: s["x"])
+    prefix = T.strip_inline_markdown(F.regexp_replace(inline_table(said[0])["prefix"], r"\s+", " "))
+    table = lambda rows: F.struct(F.lit("table").alias("block_type"), F.lit("").alias("text"), rows.alias("rows"))
+    words = lambda text: F.struct(F.lit("paragraph").alias("block_type"), text.alias("text"), F.array().cast("array<array<string>>").alias("rows"))
+    cells = F.transform(said, lambda x: F.transform(_row_cells(x), lambda y: T.strip_inline_markdown(T.strip(y))))
+    parts = F.when(F.col("block.kind") == "t", F.array(table(cells))).when(F.col("block.kind") == "x", F.array(words(T.strip_inline_markdown(F.array_join(said, "\n")))))
+    parts = parts.when(prefix != "", F.array(words(prefix), table(F.col("pressed")))).otherwise(F.array(table(F.col("pressed"))))
+    blocks = held.select(*keys, "i", F.posexplode(parts).alias("j", "b"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("i", "j")) - 1
+    return blocks.select(*keys, number.alias("block_index"), "b.*")

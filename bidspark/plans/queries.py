@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bidspark.functions import lexicons as L
 from bidspark.functions import text as T
 from bidspark.operators import chunks as C
+from bidspark.operators import cleanup as Cl
 from bidspark.operators import extract as X
 from bidspark.operators import outline as O
 from bidspark.operators import relational as R
@@ -281,7 +282,20 @@ def _mixed(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(o % 17 == 11, F.concat(F.lit("Page "), o)).when(o % 17 == 12, "March 3, 2024").when(o % 17 == 13, "(U) 5.1.2 Reports ........ 12").when(o % 17 == 14, "GENERAL REQUIREMENTS").otherwise(F.concat(head, "normalized_text"))
     return B.blocks(spark, sf).select("document_id", "document_order", text.alias("normalized_text"))
 
-query("content_scope")(lambda s, d: St.tag_content_scope(_with_contents(s, d)).select("document_id", "document_order", "content_scope"))
+_SCOPE = f""", t0 AS (SELECT *, CASE document_order WHEN 0 THEN 'Performance Work Statement (PWS)' WHEN 3 THEN 'Table of Contents' WHEN 4 THEN '1.4 Scope ........ 4' WHEN 5 THEN '1.5 Scope ........ 5' ELSE normalized_text END AS said, document_order IN (0, 3) AS front FROM b_blocks),
+{_heading_sql("SELECT document_id, document_order, block_type, said, CASE WHEN front THEN NULL ELSE numbering_token END AS token, CASE WHEN block_type = 'paragraph' THEN '' ELSE coalesce(CASE WHEN front THEN said ELSE heading_title END, said) END AS text FROM t0")},
+t1 AS (SELECT document_id, document_order AS o, block_type <> 'paragraph' AS head, h = 'Performance Work Statement (PWS)' OR regexp_matches(h, '{L.DATE_ONLY}') AS cover, block_type <> 'paragraph' AND regexp_matches(h, '{L.TOC_TITLE}') AS toc, block_type IN ('heading', 'paragraph') AND regexp_matches({STRIP(f"regexp_replace({INLINE('said')}, '(?i)^(?:" + chr(92) + "({L.MARKING}" + chr(92) + ")" + chr(92) + "s*)+', '')")}, '{L.TOC_ENTRY}') AS entry, block_type = 'heading' AND token IS NOT NULL AS numbered, block_type = 'paragraph' AS prose FROM hx),
+t2 AS (SELECT document_id, list(struct_pack(o := o, head := head, cover := cover, toc := toc, entry := entry, numbered := numbered, prose := prose) ORDER BY o) AS b FROM t1 GROUP BY 1),
+t3 AS (SELECT document_id, list_reduce(list_prepend(struct_pack(toc := FALSE, body := FALSE, out := CAST([] AS VARCHAR[]), x := b[1]), list_transform(b, lambda y: struct_pack(toc := FALSE, body := FALSE, out := CAST([] AS VARCHAR[]), x := y))), lambda a, y: CASE WHEN NOT a.body AND y.x.head AND y.x.cover THEN struct_pack(toc := a.toc, body := a.body, out := list_append(a.out, 'front_matter'), x := y.x)
+  WHEN y.x.toc THEN struct_pack(toc := TRUE, body := a.body, out := list_append(a.out, 'table_of_contents'), x := y.x) WHEN a.toc AND (y.x.entry OR (y.x.prose AND NOT y.x.numbered)) THEN struct_pack(toc := TRUE, body := a.body, out := list_append(a.out, 'table_of_contents'), x := y.x)
+  WHEN a.body OR y.x.head OR (a.toc AND y.x.numbered) THEN struct_pack(toc := a.toc AND NOT y.x.numbered, body := TRUE, out := list_append(a.out, 'body'), x := y.x) ELSE struct_pack(toc := a.toc, body := FALSE, out := list_append(a.out, 'front_matter'), x := y.x) END) AS z, list_transform(b, lambda y: y.o) AS os FROM t2),
+scoped AS (SELECT document_id, unnest(os) AS document_order, unnest(z.out) AS content_scope FROM t3)"""
+query("content_scope", _SCOPE + " SELECT * FROM scoped")(lambda s, d: St.tag_content_scope(_with_contents(s, d)).select("document_id", "document_order", "content_scope"))
+
+
+_LISTS = _SCOPE + ", l0 AS (SELECT *, content_scope = 'table_of_contents' AS listed, document_order - row_number() OVER (PARTITION BY document_id, content_scope ORDER BY document_order) AS island FROM scoped), l1 AS (SELECT document_id, min(document_order) AS start_order, max(document_order) AS end_order, count(*) AS entries FROM l0 WHERE listed GROUP BY document_id, island)"
+query("contents_lists", _LISTS + " SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY start_order) - 1 AS INTEGER) AS list_index, start_order, end_order, entries FROM l1")(lambda s, d: St.contents_lists(St.tag_content_scope(_with_contents(s, d))))
+query("contents_signal", _LISTS + " SELECT document_id, CAST(sum(entries) AS BIGINT) AS toc_signal_score FROM l1 GROUP BY 1")(lambda s, d: St.contents_signal(St.tag_content_scope(_with_contents(s, d))))
 
 
 def _with_contents(spark: SparkSession, sf: str) -> DataFrame:
@@ -527,6 +541,11 @@ q1 AS (SELECT s.id AS s_id, c.id AS c_id, c.filename, {_WEIGHT} AS weight, CASE
 q2 AS (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY score DESC, weight DESC, filename, c_id) AS rank FROM q1 WHERE score > 0)
 SELECT s_id, CAST(rank AS INTEGER) AS rank, c_id, CAST(score AS DOUBLE) AS score FROM q2 WHERE rank <= 20"""
 query("related_requirements", _RELATED)(lambda s, d: S.related_requirements(B.requirements(s, d).where("doc_id % 20 = 0"), B.requirements(s, d)).select("s_id", "rank", "c_id", "score"))
+_ASKED_TEXT = "'See section 1.' || (doc_id % 4) || ' and Appendix A: ' || section_heading || ' ' || substring(requirement_text, 1, 200)"
+_TOKENS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in L.SEARCH_STOPWORDS)})))"
+_QUERY_TEXT = _RELATED.replace("AS tokens, regexp_extract_all(requirement_text,", f"AS tokens, {_TOKENS(_ASKED_TEXT)} AS asked, regexp_extract_all({_ASKED_TEXT},").replace("5 * len(list_filter(s.tokens, lambda x: list_contains(c.tokens, x)))", "4 * len(list_filter(s.asked, lambda x: list_contains(c.tokens, x))) + len(list_filter(s.tokens, lambda x: list_contains(c.tokens, x))) + CASE WHEN contains(upper(c.filename || ' ' || c.section_heading), 'APPENDIX A') THEN 10 ELSE 0 END")
+_SPOKEN = lambda s, d: B.requirements(s, d).where("doc_id % 20 = 0").withColumn("query_text", F.concat(F.lit("See section 1."), F.col("doc_id") % 4, F.lit(" and Appendix A: "), "section_heading", F.lit(" "), F.substring("requirement_text", 1, 200)))
+query("related_query_text", _QUERY_TEXT)(lambda s, d: S.related_requirements(_SPOKEN(s, d), B.requirements(s, d)).select("s_id", "rank", "c_id", "score"))
 _BULK = f""", q0 AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(requirement_text), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in L.SEARCH_STOPWORDS)}))) AS tokens, list_distinct(regexp_extract_all(requirement_text, '(?i)\\bsections?\\s+(\\d+(?:\\.\\d+)*)', 1)) AS refs FROM b_requirements),
 t0 AS (SELECT project_id, id, unnest(tokens) AS token FROM q0), n0 AS (SELECT s.id AS s_id, c.id AS c_id, count(*) AS n FROM t0 s JOIN t0 c USING (project_id, token) GROUP BY ALL),
 q1 AS (SELECT s.id AS s_id, c.id AS c_id, c.filename, {_WEIGHT} AS weight, CASE WHEN len(c.tokens) = 0 THEN 0 ELSE 5 * coalesce(n0.n, 0) + CASE WHEN s.modality = c.modality THEN 2 ELSE 0 END + CASE WHEN s.actor = c.actor THEN 2 ELSE 0 END
@@ -597,7 +616,7 @@ def _structured(spark: SparkSession, sf: str) -> DataFrame:
 
 query("explode_structured_json", " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS document_order, text FROM (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''), ' ') AS text, i FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)) WHERE text <> ''")(lambda s, d: St.explode_structured_json(_structured(s, d)).select("doc_id", "document_order", "text"))
 query("outline_nodes")(lambda s, d: O.outline_nodes(_markdown(s, d).withColumnRenamed("normalized_markdown", "markdown")))
-query("prepare_outline_lines")(lambda s, d: O.prepare_outline_lines(_markdown(s, d).withColumnRenamed("normalized_markdown", "raw_text")).select("document_id", F.array_join("lines", "\n").alias("markdown")))
+query("prepare_outline_lines")(lambda s, d: Cl.prepare_outline_lines(_markdown(s, d).withColumnRenamed("normalized_markdown", "raw_text")).select("document_id", F.array_join("lines", "\n").alias("markdown")))
 
 
 @query("report_bundle", _TABLES_OF + """, r AS (SELECT 'Sections' AS report, document_id, count(*) AS n FROM a1 GROUP BY ALL UNION ALL SELECT 'Appendices_Attachments', document_id, count(*) FROM a1 WHERE tree_kind <> 'MAIN' GROUP BY ALL UNION ALL SELECT 'Tables', document_id, count(*) FROM x0 GROUP BY ALL

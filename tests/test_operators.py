@@ -295,15 +295,9 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("\n".join([*lines, "{bad"]))
     stream = spark.readStream.text(f"{tmp_path}/in")
-    state = {"rows": spark.createDataFrame([], "project_id string, document_id string, filename string, section_path string, section_heading string, requirement_index int, requirement_text string, requirement_type string")}
-
-    def write(df, _):
-        kept = df.collect()
-        state["rows"] = spark.createDataFrame(kept, df.schema)
-
-    q = events.stream_refresh(events.stream_document_events(stream), lambda: state["rows"], write, f"{tmp_path}/ck")
-    q.awaitTermination(60)
-    assert sorted((r.document_id, r.requirement_text) for r in state["rows"].collect()) in ([("d1", "The contractor shall deliver."), ("d2", "It must run.")], [("d2", "It must run.")])
+    sinks = events.Sinks.at(spark, f"{tmp_path}/tables", 4)
+    events.stream_refresh(events.stream_document_events(stream), sinks, f"{tmp_path}/ck").awaitTermination(60)
+    assert sorted((r.document_id, r.requirement_text) for r in sinks.requirements.read().collect()) in ([("d1", "The contractor shall deliver."), ("d2", "It must run.")], [("d2", "It must run.")])
     assert events.batch_document_events(spark.read.text(f"{tmp_path}/in")).count() == 2
 
 
