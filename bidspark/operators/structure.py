@@ -154,14 +154,14 @@ def heading_gaps(sections: DataFrame, order: str = "section_order", number: str
 def structure_metrics(sections: DataFrame, total_chars: DataFrame, signal: DataFrame | None = None) -> DataFrame:
     """Per document: sections, prose blocks, empty sections, coverage ratio, orphans, contents and body signal.
 
-    total_chars: (document_id, chars) of the source text; signal: what `contents_signal` gives for its blocks (none: 0).
+    total_chars: (document_id, chars) of the source text, whose documents all get a row; signal: what `contents_signal` gives for its blocks (none: 0).
     """
     named = F.col("section_order").isNotNull()
     sums = sections.groupBy("document_id").agg(
         F.sum(named.cast("int")).alias("section_count"), F.sum(F.when(named, F.col("prose_blocks")).otherwise(0)).alias("prose_block_count"), F.sum((named & (F.col("prose_blocks") == 0)).cast("int")).alias("suspicious_empty_section_count"), F.sum(F.when(named, F.length("body_text")).otherwise(0)).alias("chars_in"), F.sum(F.when(~named, F.col("prose_blocks")).otherwise(0)).alias("orphan_content_count"), F.sum((named & (F.col("prose_blocks") > 0)).cast("int")).alias("filled")
     )
     ratio = F.when(F.col("chars") > 0, F.bround(F.col("chars_in") / F.col("chars"), 4)).otherwise(0.0)
-    out = sums.join(total_chars, "document_id")
+    out = total_chars.join(sums, "document_id", "left").na.fill(0, [c for c in sums.columns if c != "document_id"])
     out = out.withColumn("toc_signal_score", F.lit(0).cast("long")) if signal is None else out.join(signal, "document_id", "left").na.fill(0, ["toc_signal_score"])
     return out.select("document_id", "section_count", "prose_block_count", "suspicious_empty_section_count", ratio.alias("coverage_ratio"), "orphan_content_count", "toc_signal_score", (F.col("prose_block_count") + 2 * F.col("filled")).alias("body_signal_score"))
 
@@ -645,8 +645,8 @@ def inline_table(c: Column) -> Column:
     def opened(s: Column) -> Column:
         cells, rule, n = s["cells"], s["rule"], F.size(s["cells"])
         at = F.sequence(F.lit(3), F.greatest(n - 4, F.lit(3)))  # the blank, 0-based; cell 0 stands before the first pipe
-        first = F.filter(at, lambda k: F.get(s["blank"], k) & F.get(rule, k + 1) & F.get(rule, k + 2) & (k + 3 < n))[0]
-        end = F.filter(F.sequence(first + 1, n), lambda k: ~F.coalesce(F.get(rule, k), F.lit(False)) | (k >= n - 1))[0]
+        first = F.get(F.filter(at, lambda k: F.get(s["blank"], k) & F.get(rule, k + 1) & F.get(rule, k + 2) & (k + 3 < n)), F.lit(0))
+        end = F.get(F.filter(F.sequence(first + 1, n), lambda k: ~F.coalesce(F.get(rule, k), F.lit(False)) | (k >= n - 1)), F.lit(0))
         body = F.filter(F.transform(F.slice(cells, end + 1, n), lambda y: T.strip_inline_markdown(T.strip(y))), lambda y: y != "")
         header = F.transform(F.slice(cells, F.lit(2), first - 1), lambda y: T.strip_inline_markdown(T.strip(y)))
         return F.when(first.isNotNull(), F.struct(header.alias("header"), body.alias("body")))

@@ -19,6 +19,7 @@ from bidspark.operators import similarity as S
 from bidspark.operators import structure as St
 from bidspark.plans import bridge as B
 from bidspark.sources import files
+from bidspark.sources.tables import Table, passing, refresh_in, replace_in, upsert_into
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,15 +125,28 @@ query("plan_ingest", _FILES + " SELECT * FROM plan")(lambda s, d: R.plan_ingest(
 query("plan_counts", _FILES + " SELECT project_id, status, count(*) AS n FROM plan GROUP BY ALL")(lambda s, d: R.plan_counts(R.plan_ingest(_files(s, d), B.documents(s, d))))
 
 
-def _upsert(spark: SparkSession, sf: str) -> DataFrame:
+def _normalized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = B.normalizations(spark, sf).select("document_id", "provider", "normalization_status", F.col("doc_id").alias("created_at"))
     old = rows.where("created_at % 4 <> 0")
     new = rows.where("created_at % 2 = 0 and created_at % 4 <> 0 or created_at % 12 = 0 and provider = 'docling_pws'").withColumns({"created_at": F.lit(-1).cast("long"), "normalization_status": F.lit("again")})
-    return R.upsert(old, new)
+    return old, new
 
 
-query("upsert_normalizations", " SELECT document_id, provider, CASE WHEN doc_id % 4 = 0 OR doc_id % 2 = 0 THEN 'again' ELSE normalization_status END AS normalization_status, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE doc_id END AS created_at FROM b_normalizations WHERE doc_id % 4 <> 0 OR (doc_id % 12 = 0 AND provider = 'docling_pws')")(_upsert)
-query("replace_by_document", " SELECT document_id, CASE WHEN doc_id % 3 = 0 THEN 'fresh' ELSE section_path END AS section_path FROM b_sections")(lambda s, d: R.replace_by_document(B.sections(s, d).select("document_id", "section_path"), B.sections(s, d).where("doc_id % 3 = 0").select("document_id", F.lit("fresh").alias("section_path"))))
+def _kept(spark: SparkSession, write, first: DataFrame, then: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """A table of the shared folder after two batches, of which the second comes twice, the second time with other rows."""
+    table = Table(spark, passing(spark), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema), keys, 8)
+    write(table, first, "query", 0)
+    write(table, then, "query", 1)
+    write(table, then.limit(0), "query", 1)
+    return table.read()
+
+
+_UPSERT_SQL = " SELECT document_id, provider, CASE WHEN doc_id % 4 = 0 OR doc_id % 2 = 0 THEN 'again' ELSE normalization_status END AS normalization_status, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE doc_id END AS created_at FROM b_normalizations WHERE doc_id % 4 <> 0 OR (doc_id % 12 = 0 AND provider = 'docling_pws')"
+query("upsert_normalizations", _UPSERT_SQL)(lambda s, d: R.upsert(*_normalized(s, d)))
+query("table_upsert", _UPSERT_SQL)(lambda s, d: _kept(s, upsert_into, *_normalized(s, d), ("document_id",)))
+_REPLACE_SQL = " SELECT document_id, CASE WHEN doc_id % 3 = 0 THEN 'fresh' ELSE section_path END AS section_path FROM b_sections"
+query("table_replace", _REPLACE_SQL)(lambda s, d: _kept(s, replace_in, B.sections(s, d).select("document_id", "section_path"), B.sections(s, d).where("doc_id % 3 = 0").select("document_id", F.lit("fresh").alias("section_path")), ("document_id",)))
+query("replace_by_document", _REPLACE_SQL)(lambda s, d: R.replace_by_document(B.sections(s, d).select("document_id", "section_path"), B.sections(s, d).where("doc_id % 3 = 0").select("document_id", F.lit("fresh").alias("section_path"))))
 query("index_status", " SELECT project_id, count(*) AS points FROM b_chunks GROUP BY 1")(lambda s, d: R.index_status(B.chunks(s, d)))
 query("artifact_counts", f", {SENTENCES} SELECT project_id, (SELECT count(*) FROM b_sections x WHERE x.project_id = p.project_id) AS sections, (SELECT count(*) FROM s_raw r WHERE r.project_id = p.project_id AND {_case('sentence', L.REQUIREMENT_TYPES)} IS NOT NULL) AS requirements, (SELECT count(*) FROM b_tables t WHERE t.project_id = p.project_id) AS tables FROM (SELECT DISTINCT project_id FROM b_sections) p")(lambda s, d: R.artifact_counts(B.sections(s, d), X.extract_requirements(B.sections(s, d)), B.tables(s, d)))
 
@@ -230,33 +244,36 @@ def _chars(spark: SparkSession, sf: str) -> DataFrame:
     return B.documents(spark, sf).select("document_id", F.length(F.coalesce("extracted_text", F.lit(""))).alias("chars"))
 
 
-query("structure_metrics", _SECTIONS + " SELECT document_id, count(*) AS section_count, CAST(sum(prose_blocks) AS BIGINT) AS prose_block_count, CAST(sum(CASE WHEN prose_blocks = 0 THEN 1 ELSE 0 END) AS BIGINT) AS suspicious_empty_section_count, CAST(sum(prose_blocks) + 2 * sum(CASE WHEN prose_blocks > 0 THEN 1 ELSE 0 END) AS BIGINT) AS body_signal_score FROM a1 GROUP BY 1")(lambda s, d: St.structure_metrics(_assembled(s, d), _chars(s, d)).select("document_id", "section_count", "prose_block_count", "suspicious_empty_section_count", "body_signal_score"))
-
-
 def _number() -> Column:
     """A document's number, from its id."""
     return F.regexp_extract("document_id", r"(\d+)$", 1).cast("long")
 
 
 def _parse_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics of three sources of each document: as they are, and with less or no body by the document's number."""
-    m = St.structure_metrics(_assembled(spark, sf), _chars(spark, sf)).withColumns({"k": _number(), "toc_signal_score": F.lit(0).cast("long")})
+    """Metrics of three sources of each document: its blocks with a cover and a contents list, of which every fourth document has no
+    prose, so that the list outweighs the body; and the plain blocks, with less or no body by the document's number."""
+    scoped = St.tag_content_scope(_with_contents(spark, sf))
+    body = scoped.where("content_scope = 'body'").where((_number() % 4 != 3) | (F.col("block_type") != "paragraph"))
+    a = St.structure_metrics(St.assemble_sections(body.drop("content_scope")), _chars(spark, sf), St.contents_signal(scoped)).withColumn("source", F.lit("structural"))
+    m = St.structure_metrics(_assembled(spark, sf), _chars(spark, sf)).withColumn("k", _number())
     less = lambda df, c, cond: df.withColumn(c, F.when(F.expr(cond), 0).otherwise(F.col(c)).cast("long"))
-    a = m.withColumn("source", F.lit("structural")).withColumn("toc_signal_score", F.when(F.expr("k % 4 = 3"), 1_000_000).otherwise(0).cast("long"))
     b = less(less(m.where("k % 3 <> 0").withColumn("source", F.lit("markdown")), "prose_block_count", "k % 2 = 0"), "body_signal_score", "k % 5 = 0")
     c = less(less(m.where("k % 7 <> 0").withColumn("source", F.lit("text")), "prose_block_count", "k % 11 = 0"), "section_count", "k % 8 = 3")
-    return a.unionByName(b).unionByName(c).drop("k")
-
+    return a.unionByName(b.drop("k")).unionByName(c.drop("k"))
 
 
 _METRICS = _SECTIONS + """, m0 AS (SELECT document_id, CAST(regexp_extract(document_id, '(\\d+)$', 1) AS BIGINT) AS k, sum(CASE WHEN section_order IS NOT NULL THEN 1 ELSE 0 END) AS sec, sum(CASE WHEN section_order IS NOT NULL THEN prose_blocks ELSE 0 END) AS prose, sum(CASE WHEN section_order IS NOT NULL AND prose_blocks = 0 THEN 1 ELSE 0 END) AS hollow,
   sum(CASE WHEN section_order IS NOT NULL THEN length(body_text) ELSE 0 END) AS inside, sum(CASE WHEN section_order IS NULL THEN prose_blocks ELSE 0 END) AS orphans, sum(CASE WHEN section_order IS NOT NULL AND prose_blocks > 0 THEN 1 ELSE 0 END) AS filled FROM a1 GROUP BY 1),
 m1 AS (SELECT m0.*, prose + 2 * filled AS body, CASE WHEN length(coalesce(extracted_text, '')) > 0 THEN round_even(inside / length(extracted_text), 4) ELSE 0.0 END AS cover FROM m0 JOIN b_documents USING (document_id))"""
-_MODE_SQL = """, w AS (SELECT *, CASE WHEN k % 4 = 3 THEN 1000000 ELSE 0 END AS toc, k % 3 <> 0 AS has_b, CASE WHEN k % 2 = 0 THEN 0 ELSE prose END AS prose_b, CASE WHEN k % 5 = 0 THEN 0 ELSE body END AS body_b, k % 7 <> 0 AS has_c, CASE WHEN k % 11 = 0 THEN 0 ELSE prose END AS prose_c, CASE WHEN k % 8 = 3 THEN 0 ELSE sec END AS sec_c FROM m1),
-v AS (SELECT document_id, CASE WHEN has_b AND sec > 0 AND prose_b > 0 THEN 'markdown' WHEN NOT has_b AND has_c AND sec_c > 0 AND prose_c > 0 THEN 'text' WHEN sec > 0 AND body >= greatest(toc, 1) AND cover >= 0.45 AND hollow <= greatest(1, sec // 2) THEN 'structural'
+_MODE_SQL = """, n0 AS (SELECT b.*, max(CASE WHEN block_type <> 'paragraph' THEN b.document_order END) OVER (PARTITION BY b.document_id ORDER BY b.document_order ROWS UNBOUNDED PRECEDING) AS section_order FROM b_blocks b JOIN scoped USING (document_id, document_order) WHERE content_scope = 'body' AND NOT (CAST(regexp_extract(b.document_id, '(\\d+)$', 1) AS BIGINT) % 4 = 3 AND block_type = 'paragraph')),
+n1 AS (SELECT document_id, section_order, coalesce(string_agg(CASE WHEN block_type = 'paragraph' THEN normalized_text END, chr(10) || chr(10) ORDER BY document_order), '') AS body_text, count(CASE WHEN block_type = 'paragraph' THEN 1 END) AS p FROM n0 GROUP BY 1, 2),
+n2 AS (SELECT document_id, count(section_order) AS sec, sum(CASE WHEN p > 0 THEN p + 2 ELSE 0 END) AS body, sum(CASE WHEN p = 0 THEN 1 ELSE 0 END) AS hollow, sum(length(body_text)) AS inside FROM n1 GROUP BY 1),
+n3 AS (SELECT document_id, count(*) AS toc FROM scoped WHERE content_scope = 'table_of_contents' GROUP BY 1),
+w AS (SELECT m1.document_id, k, m1.sec, prose, m1.body, coalesce(n2.sec, 0) AS sec_a, coalesce(n2.body, 0) AS body_a, coalesce(n2.hollow, 0) AS hollow_a, CASE WHEN length(coalesce(extracted_text, '')) > 0 THEN round_even(coalesce(n2.inside, 0) / length(extracted_text), 4) ELSE 0.0 END AS cover_a, coalesce(toc, 0) AS toc_a, k % 3 <> 0 AS has_b, CASE WHEN k % 2 = 0 THEN 0 ELSE prose END AS prose_b, CASE WHEN k % 5 = 0 THEN 0 ELSE m1.body END AS body_b, k % 7 <> 0 AS has_c, CASE WHEN k % 11 = 0 THEN 0 ELSE prose END AS prose_c, CASE WHEN k % 8 = 3 THEN 0 ELSE m1.sec END AS sec_c
+  FROM (SELECT document_id, k, sec, prose, body FROM m1) m1 JOIN b_documents USING (document_id) LEFT JOIN n2 USING (document_id) LEFT JOIN n3 USING (document_id)),
+v AS (SELECT document_id, CASE WHEN has_b AND sec > 0 AND prose_b > 0 THEN 'markdown' WHEN NOT has_b AND has_c AND sec_c > 0 AND prose_c > 0 THEN 'text' WHEN sec_a > 0 AND body_a >= greatest(toc_a, 1) AND cover_a >= 0.45 AND hollow_a <= greatest(1, sec_a // 2) THEN 'structural'
   WHEN has_b AND sec > 0 AND body_b > 0 THEN 'markdown' WHEN has_c AND sec_c > 0 AND body > 0 THEN 'text' ELSE 'none' END AS m FROM w)
 SELECT document_id, CASE m WHEN 'structural' THEN 'docling_structural' WHEN 'markdown' THEN 'hybrid_markdown_fill' WHEN 'text' THEN 'tika_fallback' ELSE 'manual_review_required' END AS parse_mode, CASE m WHEN 'markdown' THEN 'docling_body_signal_low' WHEN 'text' THEN 'docling_and_markdown_body_signal_low' WHEN 'none' THEN 'no_reliable_structural_source' END AS fallback_reason FROM v"""
-query("select_parse_mode", _METRICS + _MODE_SQL)(lambda s, d: St.select_parse_mode(_parse_metrics(s, d)))
 
 
 #: Lines of documents as each kind of block, by their order: lists, notes, sections, attachments, pages, dates, capitals.
@@ -297,6 +314,9 @@ _LISTS = _SCOPE + ", l0 AS (SELECT *, content_scope = 'table_of_contents' AS lis
 query("contents_lists", _LISTS + " SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY start_order) - 1 AS INTEGER) AS list_index, start_order, end_order, entries FROM l1")(lambda s, d: St.contents_lists(St.tag_content_scope(_with_contents(s, d))))
 query("contents_signal", _LISTS + " SELECT document_id, CAST(sum(entries) AS BIGINT) AS toc_signal_score FROM l1 GROUP BY 1")(lambda s, d: St.contents_signal(St.tag_content_scope(_with_contents(s, d))))
 
+query("structure_metrics", _SCOPE + _SECTIONS + " SELECT a1.document_id, count(*) AS section_count, CAST(sum(prose_blocks) AS BIGINT) AS prose_block_count, CAST(sum(CASE WHEN prose_blocks = 0 THEN 1 ELSE 0 END) AS BIGINT) AS suspicious_empty_section_count, CAST(sum(prose_blocks) + 2 * sum(CASE WHEN prose_blocks > 0 THEN 1 ELSE 0 END) AS BIGINT) AS body_signal_score, CAST(max((SELECT count(*) FROM scoped c WHERE c.document_id = a1.document_id AND content_scope = 'table_of_contents')) AS BIGINT) AS toc_signal_score FROM a1 GROUP BY 1")(lambda s, d: St.structure_metrics(_assembled(s, d), _chars(s, d), St.contents_signal(St.tag_content_scope(_with_contents(s, d)))).select("document_id", "section_count", "prose_block_count", "suspicious_empty_section_count", "body_signal_score", "toc_signal_score"))
+query("select_parse_mode", _METRICS + _SCOPE + _MODE_SQL)(lambda s, d: St.select_parse_mode(_parse_metrics(s, d)))
+
 
 def _with_contents(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks whose documents open with a cover and a contents list: title, contents heading, entries, then the body."""
@@ -495,7 +515,11 @@ query("section_chunks", f""", {SENTENCES}, k0 AS (SELECT {_KEEP}, chunk_index, '
 SELECT *, 'Section Path: ' || section_path || chr(10) || 'Section Heading: ' || section_heading || chr(10) || chr(10) || body_text AS text FROM k0""")(lambda s, d: C.section_chunks(B.sections(s, d), B.tables(s, d)).drop("point_id"))
 query("embed_chunks", f", w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(unnest(range(CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1)) AS INTEGER) AS chunk_index, 64 AS dims FROM w WHERE len(w) > 0")(lambda s, d: C.embed_chunks(C.chunk_words(B.read(s, d, "documents").select("doc_id", "text")).withColumnRenamed("chunk", "text")).select("doc_id", "chunk_index", F.size("vector").alias("dims")))
 query("check_dimensions", " SELECT CAST(len(vector) AS INTEGER) AS dims, count(*) AS n FROM b_chunks GROUP BY 1")(lambda s, d: C.check_dimensions(B.chunks(s, d)))
-query("refresh_index", ", touched AS (SELECT DISTINCT project_id, filename FROM b_chunks WHERE vec_id % 10 = 0) SELECT point_id FROM b_chunks c WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.project_id = c.project_id AND t.filename = c.filename) UNION ALL SELECT 'new-' || vec_id FROM b_chunks WHERE vec_id % 10 = 0")(lambda s, d: C.refresh_index(B.chunks(s, d), B.chunks(s, d).where("vec_id % 10 = 0").withColumn("point_id", F.concat(F.lit("new-"), "vec_id"))).select("point_id"))
+_REFRESH_SQL = ", touched AS (SELECT DISTINCT project_id, filename FROM b_chunks WHERE vec_id % 10 = 0) SELECT point_id FROM b_chunks c WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.project_id = c.project_id AND t.filename = c.filename) UNION ALL SELECT 'new-' || vec_id FROM b_chunks WHERE vec_id % 10 = 0"
+_POINTS = lambda s, d: B.chunks(s, d).select("point_id", "project_id", "filename", "text", "vector", "vec_id")
+_NEW_POINTS = lambda s, d: _POINTS(s, d).where("vec_id % 10 = 0").withColumn("point_id", F.concat(F.lit("new-"), "vec_id"))
+query("refresh_index", _REFRESH_SQL)(lambda s, d: C.refresh_index(_POINTS(s, d), _NEW_POINTS(s, d)).select("point_id"))
+query("table_refresh", _REFRESH_SQL)(lambda s, d: _kept(s, refresh_in, _POINTS(s, d), _NEW_POINTS(s, d), R.VERSION).select("point_id"))
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -598,6 +622,57 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("document_events", " SELECT 'doc-' || user_id AS document_id, CAST(min(epoch(date_trunc('second', ts))) AS BIGINT) AS at FROM events GROUP BY 1")(_events)
+_REFRESHED = f""", {SENTENCES}, req AS (SELECT document_id, count(*) AS n FROM s_raw WHERE {_case('sentence', L.REQUIREMENT_TYPES)} IS NOT NULL GROUP BY 1), lastdoc AS (SELECT * FROM b_body QUALIFY row_number() OVER (PARTITION BY project_id, filename ORDER BY doc_id % 3 DESC, doc_id DESC) = 1),
+ch AS (SELECT document_id, CASE WHEN len(w) > 0 THEN CAST(greatest(ceil((len(w) - 220) / 180.0), 0) AS BIGINT) + 1 ELSE 0 END + coalesce(n, 0) AS n FROM (SELECT document_id, list_filter(regexp_split_to_array(body_text, '\\s+'), lambda x: x <> '') AS w FROM lastdoc) LEFT JOIN req USING (document_id))
+SELECT document_id, coalesce(req.n, 0) AS requirements, coalesce(ch.n, 0) AS chunks, coalesce(ch.n, 0) AS vectors FROM req FULL JOIN (SELECT * FROM ch WHERE n > 0) ch USING (document_id)"""
+
+
+def _refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the three tables that events keep fresh, after all documents came in three batches, one of them twice."""
+    from bidspark.streaming.events import Sinks, refresh
+
+    d = B.documents(spark, sf).withColumn("extracted_text", B.prefixed(F.col("extracted_text"), F.col("doc_id"))).select("project_id", "document_id", "filename", "extracted_text", "created_at", "doc_id")
+    sinks = Sinks.at(spark, passing(spark), 8)
+    for k in (0, 1, 1, 2):
+        refresh(d.where(F.col("doc_id") % 3 == k).drop("doc_id"), k, sinks)
+    of = lambda t, name: t.read().groupBy("document_id").agg(F.count("*").alias(name))
+    parts = [of(t, n) for t, n in ((sinks.requirements, "requirements"), (sinks.chunks, "chunks"), (sinks.index, "vectors"))]
+    return reduce(lambda a, b: a.join(b, "document_id", "full"), parts).na.fill(0)
+
+
+query("stream_refresh", _REFRESHED)(_refreshed)
+
+
+def _folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of each project's files, after the texts were written as files of a folder per project."""
+    path = passing(spark)
+    B.documents(spark, sf).select("project_id", F.coalesce("extracted_text", F.lit("")).alias("value")).write.partitionBy("project_id").text(path)
+    return files.scan_folder(spark, path).groupBy("project_id").agg(F.sum("size_bytes").alias("bytes"))
+
+
+query("scan_folder", " SELECT 'project_id=' || project_id AS project_id, CAST(sum(strlen(coalesce(extracted_text, '')) + 1) AS BIGINT) AS bytes FROM b_documents GROUP BY 1")(_folder)
+
+
+def _manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """One manifest per project, some with a name, some with a model."""
+    path, n = passing(spark), F.count("*")
+    rows = B.documents(spark, sf).groupBy("project_id").agg(F.when(n % 2 == 0, F.concat(F.lit("Name of "), "project_id")).alias("display_name"), F.when(n % 3 == 0, "model").alias("model_id"), n.alias("documents"))
+    rows.withColumnRenamed("project_id", "p").repartition("p").write.partitionBy("p").json(path)
+    return files.read_project_manifests(spark, f"{path}/*/*.json")
+
+
+query("project_manifests", ", m AS (SELECT 'p=' || project_id AS project_id, CASE WHEN count(*) % 2 = 0 THEN 'Name of ' || project_id END AS d, CASE WHEN count(*) % 3 = 0 THEN 'model' END AS m FROM b_documents GROUP BY project_id) SELECT project_id, coalesce(d, project_id) AS display_name, coalesce(m, d, project_id) AS model_id FROM m")(_manifests)
+
+
+def _csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The requirement export written as CSV and read back."""
+    path = passing(spark)
+    files.write_csv(_export(spark, sf), path, "requirement")
+    back = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
+
+
+query("write_csv", EXPORT_SQL + "SELECT " + ", ".join(f"coalesce({c}, '') AS {c}" for c in X.EXPORT) + " FROM export")(_csv)
 query("iter_paragraphs")(lambda s, d: St.iter_paragraphs(_markdown(s, d).withColumnRenamed("normalized_markdown", "text")))
 _GRID_TEXT = "SELECT document_id, 'name|type|size|' || chr(10) || string_agg(array_to_string(r, '|'), chr(10) ORDER BY row_index) AS cells FROM b_grid GROUP BY 1"
 _CELLS = lambda md: F.array_join(F.transform(St.markdown_tables(md), lambda r: F.array_join(r, "|")), "\n").alias("cells")
@@ -615,6 +690,25 @@ def _structured(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("explode_structured_json", " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS document_order, text FROM (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''), ' ') AS text, i FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)) WHERE text <> ''")(lambda s, d: St.explode_structured_json(_structured(s, d)).select("doc_id", "document_order", "text"))
+#: Lines of documents as text, rows, rules and blanks, by their order and the document's number.
+_LINE_OF = "CASE (document_order + k) % 7 WHEN 1 THEN '| ' || replace(line, ' ', ' | ') || ' |' WHEN 2 THEN '| --- | --- |' WHEN 3 THEN 'a | ' || line WHEN 4 THEN '|' || line || '|b|' WHEN 5 THEN '' WHEN 6 THEN line || ' **x** | `y`' ELSE line END"
+_PLAIN_MD = lambda c: f"regexp_replace(regexp_replace(regexp_replace({c}, '\\*\\*(.*?)\\*\\*', '\\1', 'g'), '__(.*?)__', '\\1', 'g'), '`([^`]+)`', '\\1', 'g')"
+_CONTENT = f""", c0 AS (SELECT document_id, document_order AS i, CAST(regexp_extract(document_id, '(\\d+)$', 1) AS BIGINT) AS k, document_order, line FROM b_lines), c1 AS (SELECT document_id, i, {STRIP('(' + _LINE_OF + ')')} AS x FROM c0),
+c2 AS (SELECT *, regexp_matches(x, '^\\|?.+\\|.+\\|?$') AS is_row, regexp_matches(x, '^\\|?[\\s:-]+(?:\\|[\\s:-]+)+\\|?$') AS is_rule FROM c1), c3 AS (SELECT *, is_row AND coalesce(lead(is_rule) OVER (PARTITION BY document_id ORDER BY i), FALSE) AS leads, sum(CASE WHEN is_row THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM c2),
+c4 AS (SELECT *, min(CASE WHEN leads THEN i END) OVER (PARTITION BY document_id, island) AS first FROM c3), c5 AS (SELECT *, is_row AND coalesce(i >= first, FALSE) AS in_table FROM c4), c6 AS (SELECT *, NOT in_table AND x <> '' AS loose FROM c5 WHERE NOT (in_table AND i = first + 1)),
+c7 AS (SELECT *, CASE WHEN in_table THEN 't' || first ELSE 'x' || sum(CASE WHEN loose THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY i ROWS UNBOUNDED PRECEDING) END AS block FROM c6),
+c8 AS (SELECT document_id, block, min(i) AS i, bool_or(in_table) AS is_table, {_PLAIN_MD("string_agg(x, chr(10) ORDER BY i)")} AS text, string_agg(array_to_string(list_transform(string_split(regexp_replace(x, '^\\||\\|$', '', 'g'), '|'), lambda y: {_PLAIN_MD(STRIP('y'))}), '|'), chr(10) ORDER BY i) AS cells FROM c7 WHERE x <> '' GROUP BY 1, 2)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS INTEGER) AS block_index, CASE WHEN is_table THEN 'table' ELSE 'paragraph' END AS block_type, CASE WHEN is_table THEN '' ELSE text END AS text, CASE WHEN is_table THEN cells ELSE '' END AS cells FROM c8"""
+
+
+def _content(spark: SparkSession, sf: str) -> DataFrame:
+    lines = B.read(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"), F.col("doc_id").alias("k"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("document_order", "line"))
+    lines = lines.withColumn("x", F.expr(_LINE_OF))
+    docs = lines.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_order", "x"))), lambda s: s["x"]), "\n").alias("content"))
+    return St.structured_content(docs, keys=("document_id",)).select("document_id", "block_index", "block_type", "text", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("cells"))
+
+
+query("structured_content", _CONTENT)(_content)
 query("outline_nodes")(lambda s, d: O.outline_nodes(_markdown(s, d).withColumnRenamed("normalized_markdown", "markdown")))
 query("prepare_outline_lines")(lambda s, d: Cl.prepare_outline_lines(_markdown(s, d).withColumnRenamed("normalized_markdown", "raw_text")).select("document_id", F.array_join("lines", "\n").alias("markdown")))
 
