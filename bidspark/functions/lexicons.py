@@ -1,6 +1,7 @@
 """Patterns and word lists of the document domain; every function that uses one takes it as a parameter.
 
-Fixed values: results depend on these patterns, lists and their order (first match wins).
+Fixed values: results depend on these patterns, lists and their order (first match wins). Groups that repeat are possessive, since
+Java's matcher needs a stack frame for each repetition otherwise.
 """
 
 REQUIREMENT_TYPES = (
@@ -79,11 +80,11 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 MARKING = r"(?:U|C|S|TS|FOUO|U//FOUO|U/FOUO|S//NF|TS//SI//NF)"
 SIMPLE_MARKING = r"(?:U|C|S|TS|FOUO|U//FOUO|U/FOUO)"
 DATE_ONLY = r"^(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},\s+\d{4}$"
-TOC_ENTRY = r"^(?i)(appendix\s+[A-Z]|attachment\s+\d+|\d+(?:\.\d+)*)\s+(.+?)\s+([A-Z]?-?\d+)$"
+TOC_ENTRY = r"^(?i)(appendix\s+[A-Z]|attachment\s+\d+|\d+(?:\.\d+)*+)\s+(.+?)\s+([A-Z]?-?\d+)$"
 TOC_TITLE = r"^(?i)(table of contents|contents|figures|appendices)$"
 APPENDIX_HEADING = r"^(?i)(APPENDIX|ATTACHMENT|EXHIBIT|CDRL|CLIN)\s+([A-Z0-9.\-]+)\s*[-.:]?\s*(.*)$"
 SECTION_HEADING = r"^(?i)(SECTION)\s+([A-Z0-9IVX.\-]+)\s*[-.:]?\s*(.*)$"
-DECIMAL_HEADING = r"^(\d+(?:\.\d+)+)\s+(.+)$"
+DECIMAL_HEADING = r"^(\d+(?:\.\d+)++)\s+(.+)$"
 NUMBER_HEADING = r"^(\d+)\s+(.+)$"
 WORD_FRAGMENTS = r"(?i)(?:Error!\s*Reference source not found\.?|Error!\s*Bookmark not defined\.?|Error!\s*No table of contents entries found\.?)"
 #: Lines of outlines and imported text.
@@ -125,9 +126,8 @@ FIGURE_MARK = r"(?i)Figure is UNCLASSIFIED(?://FOUO)?\s*"
 REMOVED_MARK = r"(?i)\bRemoved for classification\b"
 MARGIN_NUMBER = r"^\s*\d{1,4}(?:\s{2,}|\t+)(?=\S)"
 PAGE_LINE = r"^(?i)\s*(page\s+)?[A-Z]?-?\d+\s*$"
-#: Lines of paragraphs, and where a heading starts inside one; pipe tables pressed into one line.
+#: Lines of paragraphs, and where a heading starts inside one.
 MARKDOWN_LINK = r"^\[([^\]]+)\]\(\.\)$"
 IMAGE_TAG = r"^(?i)<!--\s*image\s*-->$"
 MARKING_ONLY = r"^\(?[A-Z/]{1,12}\)?$"
-INLINE_HEADING = r"(?i)(?=(?:^|\s)(?:\(?[A-Z]{0,3}\)?\s*)?(?:APPENDIX|ATTACHMENT|SECTION|\d+(?:\.\d+)+|\d+)\s+[A-Z])"
-INLINE_TABLE = r"^([^|]*)((?:\|[^|\n]*){2,}?\|)\s*(\|(?:[-:\s]*\|){2,})\s*(.*)$"
+INLINE_HEADING = r"(?i)(?=(?:^|\s)(?:\(?[A-Z]{0,3}\)?\s*)?(?:APPENDIX|ATTACHMENT|SECTION|\d+(?:\.\d+)++|\d+)\s+[A-Z])"

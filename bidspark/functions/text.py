@@ -68,7 +68,7 @@ def extraction_route(filename: Column, text: Column, min_len: int = 1500, min_al
 
 def strip_classification(c: Column) -> Column:
     """Without leading markings such as (U); the text itself if nothing else is in it."""
-    bare = lambda text: strip(F.regexp_replace(text, rf"^(?i)(?:\({L.MARKING}\)\s*)+", ""))
+    bare = lambda text: strip(F.regexp_replace(text, rf"^(?i)(?:\({L.MARKING}\)\s*)++", ""))
     return let(strip(blank_if_null(c)), lambda text: let(bare(text), lambda x: F.when(x == "", text).otherwise(x)))
 
 
@@ -120,7 +120,7 @@ def strip_margin_line_numbers(c: Column) -> Column:
     lines = F.split(F.regexp_replace(blank_if_null(c), "\r", "\n"), "\n")
     lines = F.filter(lines, lambda x: ~x.rlike(L.BLANK_NUMBER_LINE))
     lines = F.transform(lines, lambda x: F.regexp_replace(x, L.MARGIN_NUMBER, ""))
-    keeps = (r"^\d+(?:\.\d+)*\.?\s+\S", L.SECTION_HEADING, L.APPENDIX_HEADING, L.TOC_TITLE, L.TOC_ENTRY, L.PAGE_LINE, L.DATE_ONLY)
+    keeps = (r"^\d+(?:\.\d+)*+\.?\s+\S", L.SECTION_HEADING, L.APPENDIX_HEADING, L.TOC_TITLE, L.TOC_ENTRY, L.PAGE_LINE, L.DATE_ONLY)
 
     def kept(text: Column) -> Column:
         return F.when(reduce(Column.__or__, [text.rlike(p) for p in keeps]), text).otherwise(strip(F.regexp_replace(text, r"^\d{1,4}\s+(?=\S)", "")))
@@ -157,7 +157,7 @@ def clean_companion_text(c: Column, limit: int = 500) -> Column:
     """Compact text without table and figure labels, runs of pipes and runs of acronyms."""
     text = F.regexp_replace(blank_if_null(c), r"(?i)\b(?:Table|Figure)\s+\d+\b", " ")
     text = F.regexp_replace(text, r"\|[\s|]*", " ")
-    text = F.regexp_replace(text, r"\b(?:[A-Z]{2,}\s+){3,}[A-Z]{2,}\b", " ")
+    text = F.regexp_replace(text, r"\b[A-Z]{2,}\b(?:\s+[A-Z]{2,}\b){3,}+", " ")
     return compact_text(F.regexp_replace(text, r"\s+", " "), limit)
 
 
@@ -341,12 +341,12 @@ def is_likely_pws(filename: Column, markdown: Column) -> Column:
 
 
 def section_refs(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(blank_if_null(c), F.lit(r"(?i)\bsections?\s+(\d+(?:\.\d+)*)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(blank_if_null(c), F.lit(r"(?i)\bsections?\s+(\d+(?:\.\d+)*+)"), F.lit(1)))
 
 
 def appendix_refs(c: Column) -> Column:
     """Letters named after `appendix`, one by one."""
-    lists = F.regexp_extract_all(blank_if_null(c), F.lit(r"(?i)\bappendix(?:es)?\s+([A-Z](?:\s*[,\-]\s*[A-Z])*)"), F.lit(1))
+    lists = F.regexp_extract_all(blank_if_null(c), F.lit(r"(?i)\bappendix(?:es)?\s+([A-Z](?:\s*[,\-]\s*[A-Z])*+)"), F.lit(1))
     letters = F.flatten(F.transform(lists, lambda x: F.split(F.upper(x), r"\s*[,\-]\s*")))
     return F.array_distinct(F.filter(letters, lambda x: x != ""))
 

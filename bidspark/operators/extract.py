@@ -92,7 +92,7 @@ def requirement_export_rows(requirements: DataFrame) -> DataFrame:
 
 
 #: What a heading line looks like.
-HEADING_LINES = (r"^#+\s+(.+)$", r"^(\d+(?:\.\d+)*)\s+(.+)$", r"^\*\*(.+?)\*\*$", r"^([A-Z][A-Z0-9 /(),.&:-]{6,120})$")
+HEADING_LINES = (r"^#+\s+(.+)$", r"^(\d+(?:\.\d+)*+)\s+(.+)$", r"^\*\*(.+?)\*\*$", r"^([A-Z][A-Z0-9 /(),.&:-]{6,120})$")
 
 
 def markdown_export_rows(documents: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def hierarchy_requirement_export(documents: DataFrame) -> DataFrame:
     Titles are looked up among the exported sections of the same document, the last one of a number.
     """
     line = T.strip(F.replace(T.html_unescape(T.strip_tags(F.col("line"))), F.lit(" "), F.lit(" ")))
-    head = r"^#{1,6}\s+(\d+(?:\.\d+)*)\s+(.*\S)\s*$"
+    head = r"^#{1,6}\s+(\d+(?:\.\d+)*+)\s+(.*\S)\s*$"
     rows = documents.select("document_id", F.posexplode(F.split(T.blank_if_null("normalized_markdown"), "\n")).alias("pos", "line")).withColumn("line", line)
     rows = rows.where(~F.col("line").rlike(r"^\[[^\]]+\]\(\.\)\s*$")).withColumn("number", F.when(F.col("line").rlike(head), T.remap_section_number(F.regexp_extract("line", head, 1))))
     title = T.strip(F.regexp_replace(F.regexp_extract("line", head, 2), r"^\((?:U(?://FOUO)?|C|S|TS(?://SCI)?)\)\s*", ""))

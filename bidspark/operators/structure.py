@@ -36,7 +36,7 @@ def classify_blocks(blocks: DataFrame, text: str = "normalized_text") -> DataFra
     kind, number = F.upper(group(L.APPENDIX_HEADING, 1)), group(L.APPENDIX_HEADING, 2)
     named = lambda title, other: F.when(title == "", other).otherwise(title)
     main = F.lit("MAIN")
-    composite, paren, alpha, bullet = r"^(\d+(?:\.\d+)+)((?:\([A-Za-z0-9]+\))+)\s+(.+)$", r"^((?:\([A-Za-z0-9]+\))+)\s+(.+)$", r"^([A-Za-z]\.)\s+(.+)$", r"^([-*•])\s+(.+)$"
+    composite, paren, alpha, bullet = r"^(\d+(?:\.\d+)++)((?:\([A-Za-z0-9]+\))++)\s+(.+)$", r"^((?:\([A-Za-z0-9]+\))++)\s+(.+)$", r"^([A-Za-z]\.)\s+(.+)$", r"^([-*•])\s+(.+)$"
     parens = lambda s: F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
     caps = T.is_upper_heading(h, 120)
     chain = F.when(c.rlike(r"^(?i)\s*page\s+\d+\s*$"), _block("page_break", 0.99)).when(noise, _block("footer_or_header", 0.99))
@@ -200,7 +200,7 @@ def stage1_sections(blocks: DataFrame, order: str = "source_order") -> DataFrame
 
     def judged(t: Column) -> Column:
         g = lambda p, k: F.regexp_extract(t, p, k)
-        numbered = r"^(\d+(?:\.\d+)*)\.?\s+(.*)$"
+        numbered = r"^(\d+(?:\.\d+)*+)\.?\s+(.*)$"
         plain = (F.col("label") == "markdown") & F.col("markdown_heading_level").isNull()
         row = lambda ok, number, title, kind, why: F.struct(F.lit(ok).alias("accepted"), number.alias("section_number"), title.alias("section_title"), kind.alias("tree_kind"), F.lit(why).alias("reason"))
         none = F.lit(None).cast("string")
@@ -679,7 +679,7 @@ def structured_content(nodes: DataFrame, col: str = "content", keys: tuple[str,
     at blank lines and tables into runs of text; pressed tables at such a run's start are blocks of their own, with the text before them.
     All runs are windows over the order of the lines. A null or blank text has no block; the order of equal lines is theirs in the text.
     """
-    row, rule = r"^\|?.+\|.+\|?$", r"^\|?[\s:-]+(?:\|[\s:-]+)+\|?$"
+    row, rule = r"^\|?.+\|.+\|?$", r"^\|?[\s:-]+(?:\|[\s:-]+)++\|?$"
     lines = nodes.select(*keys, F.posexplode(F.split(F.regexp_replace(T.blank_if_null(col), "\r\n", "\n"), "\n")).alias("i", "x"))
     bare = T.strip("x")
     lines = lines.withColumns({"x": bare, "row": bare.rlike(row), "rule": bare.rlike(rule), "pressed": inline_table(F.col("x"))["rows"]})

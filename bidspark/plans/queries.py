@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE[name] = B.SQL + sql
+            ORACLE[name] = B.SQL + sql.replace(")++", ")+").replace(")*+", ")*")  # RE2 needs no possessive groups, and knows none
         return f
 
     return put

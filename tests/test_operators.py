@@ -307,3 +307,60 @@ def test_paragraphs_and_inline_tables(spark):
     got = [r.paragraph for r in St.iter_paragraphs(df).where("document_id = 'd'").orderBy("paragraph_index").collect()]
     assert got == ["1.1 Scope ..... 4", "first line\nsecond line", "third", "**2.1 Duties**", "body text", "3.2 Reports are due", "12 Short title", "end"]
     assert one(spark, St.markdown_tables, "intro | Name | **Size** | | --- | --- | | a | 1 | | b | 2 | | c |", "| x | y |\n|---|:-:|\n| 1 | 2 |", "no | table", None) == [[["Name", "Size"], ["a", "1"], ["b", "2"]], [["x", "y"], ["1", "2"]], [], []]
+
+
+def test_retrieval_with_cells(spark, monkeypatch):
+    """Small parts, so that cells, parts and skipped cells occur; null, zero and equal vectors; more asked than there is."""
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal((12, 8))
+    x = centre[rng.integers(0, 12, 900)] + 0.1 * rng.standard_normal((900, 8))
+    x[100:110] = x[100]
+    rows = [("p" if i % 3 else "q", f"p{i:03}", [float(v) for v in r]) for i, r in enumerate(x)] + [("p", "null", None), ("p", "zero", [0.0] * 8), ("small", "one", [1.0] * 8)]
+    index = spark.createDataFrame(rows, "project_id string, point_id string, vector array<double>").repartition(4)
+    asks = [(k, pr, [float(v) for v in x[k]]) for k, pr in ((1, "p"), (2, "p"), (100, "p"), (3, "q"), (6, "small"), (7, "none"))] + [(8, "p", [0.0] * 8)]
+    queries = spark.createDataFrame(asks, "query_id int, project_id string, query_vector array<double>")
+    monkeypatch.setattr(C, "PART", 40)
+    unit = lambda v: np.zeros(8) if v is None or not any(v) else np.array(v) / np.linalg.norm(v)
+    want = {}
+    for q, project, v in asks:
+        s = [(-round(float(unit(w) @ unit(v)), 9) + 0.0, i) for pr, i, w in rows if pr == project]
+        want[q] = [i for _, i in sorted(s)[:7]]
+    got = {}
+    for r in C.retrieve(index, queries, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.point_id)
+    assert got == {q: ids for q, ids in want.items() if ids}
+    seen = {r.query_id: (r.looked_at, r.cells) for r in C.retrieval_cells(index, queries, 7).collect()}
+    assert seen[1][0] < seen[1][1] and seen[8][0] == seen[8][1]
+
+
+def test_related_search_by_query_text(spark):
+    kind = "project_id string, id string, filename string, section_number string, section_heading string, heading_path string, requirement_text string, modality string, actor string, action string, object_text string"
+    rows = [("p", "r1", "pws.docx", "1.1", "Ops", "1.1 Ops", "The contractor shall operate network tools daily", "shall", "contractor", "operate", "network tools"), ("p", "r2", "pws.docx", "1.2", "Ops", "1.2 Ops", "The contractor shall monitor network tools", "shall", "contractor", "monitor", "network tools"), ("p", "r9", "Appendix A.docx", "2.3", "Storage", "2.3 Storage", "Storage arrays must be patched monthly", "must", None, None, None), ("p", "empty", "x.docx", "", "", "", "", None, None, None, None)]
+    req = spark.createDataFrame(rows, kind)
+    top = lambda sources: [(r.c_id, r.score, r.match_reason) for r in S.related_requirements(sources, req).orderBy("rank").collect()]
+    own = top(req.where("id = 'r1'"))
+    assert own[0][0] == "r2" and own[0][1] == 2 * 5 + 2 + 2 + 2 * 3 + 5 + 1
+    asked = top(req.where("id = 'r1'").withColumn("query_text", F.lit("storage arrays of section 2.3 and Appendix A")))
+    # two terms asked for, the section and the appendix; none of the source's own
+    assert asked[0][:2] == ("r9", 2 * 4 + 14 + 10 + 5) and asked[0][2].startswith("shared terms: arrays, storage")
+    assert [r[0] for r in asked] == ["r9", "r2"] and asked[1][1] == 2 * 1 + 2 + 2 + 2 * 3 + 5 + 1
+    assert top(req.where("id = 'r1'").withColumn("query_text", F.lit("")))[0] == own[0]
+    texts = spark.createDataFrame([("p", "patch the storage arrays", None), ("p", "network", "tools")], "project_id string, source_text string, query_text string").withColumn("id", F.col("source_text"))
+    free = S.ad_hoc_sources(texts)
+    got = {r.s_id: (r.c_id, r.score) for r in S.related_requirements(free, req).where("rank = 1").collect()}
+    assert got == {"patch the storage arrays": ("r9", 2 * 5 + 5.0), "network": ("r1", 4 + 1 + 5.0)}
+    assert {r.id for r in S.ad_hoc_sources(texts.drop("id", "query_text")).collect()} == {"ad-hoc-source"}
+
+
+def test_objects_in_windows_that_cross(spark):
+    """Windows of any kind against a comparison of each object with each anchor."""
+    rng = np.random.default_rng(5)
+    anchors = [("d", i, f"{i}", f"word{i}", int(a := rng.integers(0, 60)), None if i % 7 == 0 else int(a + rng.integers(-2, 30)), *((None, None) if i % 3 else (int(p := rng.integers(1, 6)), int(p + 1))), bool(i % 5)) for i in range(25)]
+    s = spark.createDataFrame(anchors, "document_id string, section_order int, section_number string, section_title string, start_order int, end_order int, page_start int, page_end int, matched boolean")
+    head = "struct<section_number:string,section_title:string>"
+    objects = [("d", f"b{o}", o, None, None, int(rng.integers(1, 8)), [], []) for o in range(90)]
+    df = spark.createDataFrame(objects, f"document_id string, block_id string, document_order int, explicit_heading {head}, preceding_heading {head}, page_start int, before array<string>, after array<string>")
+    got = {r.block_id: (r.section_number, round(r.confidence, 2)) for r in St.align_objects(df, s, 0.6).collect()}
+    for _, b, o, _, _, page, _, _ in objects:
+        fits = [(-(0.8 if lo and lo <= page <= hi else 0.72), i, n) for _, i, n, _, a, e, lo, hi, m in anchors if m and a <= o and (e is None or o <= e)]
+        assert got[b] == ((min(fits)[2], -min(fits)[0]) if fits else (None, 0.0))
