@@ -22,7 +22,8 @@ tables (CONTEXTS numbers a sweep) the driver passes on. A bucket counts the pair
 
 Tokens: words `[^\\x20\\t-\\r]+` with A-Z lower-cased, then one end token. Null and empty texts have that one
 token. Repeated rows get equal scores, each its own row; other columns aren't looked at. Without training
-rows all scores are 0.
+rows all scores are 0. A very long text is a batch of its own. Words of equal counts are ranked by their hashes, whose key
+each driver process draws anew (`words.run_key`): scores differ between processes as two samples do, and not within one.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from bidspark.llm.common import batches, cut, discard, small_batches, whole_groups
-from bidspark.llm.words import Words, split
+from bidspark.llm.words import Words, run_key, split
 
 CONTEXTS, DISHES, KNOWN = 512, 2048, 1 << 17
 SWEEPS, BURN_IN, STRENGTH = 6, 2, 1.0
@@ -114,10 +115,12 @@ class Model:
 def _counts(docs: DataFrame) -> DataFrame:
     """(h, c): tokens of the documents, summed within each task before they move."""
 
+    key = run_key()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept = [], 0
         for b in batches(it, "text"):
-            h, c = np.unique(tokens(split(b.column(1), lower=True))[0], return_counts=True)
+            h, c = np.unique(tokens(split(b.column(1), lower=True, salt=key))[0], return_counts=True)
             held.append((h, c))
             kept += len(h)
             if kept > 1_000_000:
@@ -139,13 +142,13 @@ def _pairs(docs: DataFrame, top: np.ndarray, contexts: int) -> DataFrame:
     """(u, k, c): customers of dish k in the restaurant of context u. top: hashes by rank."""
     order = np.argsort(top)
     keys, ranks, dishes = top[order], order.astype(np.int64), len(top)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, ranks))
+    shared, key = docs.sparkSession.sparkContext.broadcast((keys, ranks)), run_key()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = shared.value
         total = np.zeros((contexts + 1) * (dishes + 1), np.int64)
         for b in batches(it, "text"):
-            h, _, _ = tokens(split(b.column(1), lower=True))
+            h, _, _ = tokens(split(b.column(1), lower=True, salt=key))
             at = np.minimum(np.searchsorted(keys, h), dishes - 1)
             k = np.where(keys[at] == h, ranks[at], dishes)
             u = np.minimum(np.append(0, k[:-1])[: len(k)], contexts)  # rank 0 is the end token
@@ -499,9 +502,9 @@ def _gains(own: DataFrame, rest: DataFrame, far: DataFrame, rare: DataFrame, sha
     return found.where("uid >= 0").select("uid", "gain"), named
 
 
-def _parts(m: Model, b: pa.RecordBatch, uid: np.ndarray) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
+def _parts(m: Model, b: pa.RecordBatch, uid: np.ndarray, key: int) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
     """What the known words alone say of each text, its unknown words, and its pairs (u, k, row) that go to the restaurants below."""
-    h, doc, _ = tokens(split(b.column(1), lower=True))
+    h, doc, _ = tokens(split(b.column(1), lower=True, salt=key))
     rows = b.num_rows
     at, hit = m.lookup(h)
     k = np.where(hit, np.minimum(m.rank[at], m.dishes), m.dishes)
@@ -535,7 +538,7 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     buckets = max(32, n // BUCKET // 3), max(64, n // BUCKET)
     of_doc = to_arrow_type(docs.schema["doc_id"].dataType)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, key = docs.schema["doc_id"].dataType.simpleString(), run_key()
 
     def read(own: bool):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -564,7 +567,7 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
             for b in batches(it, "text"):
                 uid = np.asarray(b.column(4))
                 below = np.iinfo(np.int64).min + int(uid[0]) if below is None else below
-                out, (u, k, doc) = _parts(m, b, uid)
+                out, (u, k, doc) = _parts(m, b, uid, key)
                 if own:
                     yield batch(b.num_rows, th=b.column(3), **dict(zip(out.schema.names, out.columns, strict=True)))
                 else:  # numbers below 0 are of this reading

@@ -19,7 +19,9 @@ of all follows from those.
 
 Null and empty texts have no words and stay. Rows without a doc_id are neither judged nor a source. Rows that
 share a doc_id are judged each by itself, told apart by 27 bits of a digest of their texts. A text of any length is a batch of its own. Words are `[^\\x20\\t-\\r]+`, unchanged; 62-bit
-hashes by two polynomials stand for them.
+hashes by two polynomials with a key of the run stand for them. Segments and windows count as equal if both their own hash and
+that of their anchor, 64 bits each, are. Of equal windows of one document none is a source for the others; columns beside doc_id and
+text are only passed on.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidspark.llm.common import batches, cut, discard, free_names, small_batches, split_by_ids
-from bidspark.llm.words import U, mix, ngrams, split
+from bidspark.llm.words import U, mix, ngrams, run_key, split
 
 WINDOW, GRAM, CROWD, HOT = 13, 5, 1000, 1000
 ADDED = ("__kept", "__n_words", "__n_removed")
@@ -125,12 +127,12 @@ def _tag(text: pa.Scalar) -> int:
     return int.from_bytes(hashlib.sha256(text.as_buffer()).digest()[:4], "big") >> 5 << 36 if text.is_valid else 0
 
 
-def _occurrences(docs: DataFrame, repeats: bool) -> DataFrame:
+def _occurrences(docs: DataFrame, repeats: bool, key: int) -> DataFrame:
     """(a, s, doc, pos): anchor, segment hash, document, and first window << 4 | windows; tagged by text if ids repeat."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, "text"):
-            w = split(b.column(1))
+            w = split(b.column(1), salt=key)
             a, s, row, first, n = anchors_of(w.hash, w.doc)
             pos = (first - w.ptr[row]) << 4 | n
             if repeats:
@@ -155,10 +157,10 @@ def _firsts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*b.columns, pa.array(doc == first)], names=[*b.schema.names, "lead"])
 
 
-def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the listed segments; of crowded anchors each window's hash instead (words null)."""
+def _segments(it: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
+    """Words of the listed segments; of crowded anchors each window's hash instead (words null, the hash in lo)."""
     for b in batches(it, "text", 1 << 20):
-        w = split(b.column(1))
+        w = split(b.column(1), salt=key)
         win, at = ngrams(w.hash, w.doc, WINDOW)
         tags = None
         out: list[tuple] = []
@@ -176,7 +178,7 @@ def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((m["a"], ids[row], m["pos"], w.hash[first : first + n + WINDOW - 1].view(np.int64), m["lo"]))
                 else:
                     k = np.searchsorted(at, first)
-                    out += [(h, ids[row], (m["pos"] >> 4) + j << 4 | 1, None, -1) for j, h in enumerate(win[k : k + n].view(np.int64).tolist())]
+                    out += [(m["a"], ids[row], (m["pos"] >> 4) + j << 4 | 1, None, h) for j, h in enumerate(win[k : k + n].view(np.int64).tolist())]
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int64())], names=["a", "doc", "pos", "words", "lo"])
 
@@ -206,13 +208,13 @@ def _streamed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, crowd: int = CROWD, hot_share: int = HOT) -> DataFrame:
     """(doc, pos): runs of windows (first << 4 | number) that also start in a document with a smaller doc_id."""
     ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    repeats = not ids.isEmpty()
-    seen = _occurrences(docs, repeats).groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
+    repeats, key = not ids.isEmpty(), run_key()
+    seen = _occurrences(docs, repeats, key).groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
     known = cut(seen.where("lo < hi").select("a", "lo", "n"))
     # at most 10,000 anchors can have more than a ten-thousandth of all occurrences
     share = (known.agg(F.sum("n")).first()[0] or 0) // 10_000 + hot_share
     hot = cut(known.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("k")))
-    salted = _occurrences(docs, repeats).join(F.broadcast(hot), "a", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
+    salted = _occurrences(docs, repeats, key).join(F.broadcast(hot), "a", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
     sides = known.join(F.broadcast(hot), "a", "left").select("a", "lo", F.coalesce("k", F.lit(1)).alias("k"))
     sides = sides.select("a", "lo", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     met = salted.repartition("a", "salt").join(sides.hint("merge"), ["a", "salt"]).select("a", "s", "doc", "pos", "lo", "k").sortWithinPartitions("a", "s", "doc", "pos")
@@ -226,11 +228,11 @@ def repeated_windows(docs: DataFrame, crowd: int = CROWD, hot_share: int = HOT)
     several = heads.groupBy("a").agg(F.count("*").alias("nv"), F.max("doc").alias("hi"), F.first("lo").alias("l")).where("nv > 1 and hi > l").select("a", "nv")
     checked = heads.join(several, "a").groupBy("doc").agg(F.collect_list(F.struct("a", (F.col("nv") > crowd).alias("crowded"), "pos", "lo")).alias("marks"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(checked, "doc")
-    parts = cut(text.select("doc", "text", "marks").mapInArrow(_segments, "a long, doc long, pos long, words array<long>, lo long"))
+    parts = cut(text.select("doc", "text", "marks").mapInArrow(lambda it: _segments(it, key), "a long, doc long, pos long, words array<long>, lo long"))
     found = parts.where("words is not null").repartition("a").sortWithinPartitions("a", "doc").mapInArrow(_streamed, "doc long, pos long")
-    single = parts.where("words is null").select(F.col("a").alias("w"), "doc", "pos")
-    least = single.groupBy("w").agg(F.min("doc").alias("first"))
-    crowded = single.join(least, "w").where("doc > first").select("doc", "pos")
+    single = parts.where("words is null").select("a", F.col("lo").alias("w"), "doc", "pos")
+    least = single.groupBy("a", "w").agg(F.min("doc").alias("first"))
+    crowded = single.join(least, ["a", "w"]).where("doc > first").select("doc", "pos")
     out = cut(later.unionByName(found).unionByName(crowded))
     discard(known, hot, rows, heads, parts)
     return out

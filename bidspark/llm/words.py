@@ -7,6 +7,7 @@ working memory a byte, for batches of about half a megabyte, or one longer text.
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass
 from functools import cache
 
@@ -17,7 +18,8 @@ import pyarrow.compute as pc
 U = np.uint64
 SPACE = frozenset([0x20, *range(0x09, 0x0E)])
 ALNUM = frozenset([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
-#: Two polynomials over the field of this prime stand for a word: their zeros are few, so no two words are bound to collide.
+#: Two polynomials over the field of this prime stand for a word. Where nothing compares the words' bytes afterwards, their bases and the
+#: values of the bytes come from a key drawn by the driver, so nobody can write two words that have one hash.
 PRIME = (1 << 31) - 1
 SHORT = 1 << 20  # powers of the base that a worker keeps; longer texts have theirs made anew
 
@@ -32,6 +34,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+@cache
+def run_key() -> int:
+    """The driver's key, sent with the plans: the same for all that a driver process runs, another for each process."""
+    return secrets.randbits(60) | 1 << 60
+
+
 @cache
 def _base(part: int, salt: int) -> int:
     return int(np.random.Generator(np.random.PCG64([20240517, part, salt])).integers(1 << 20, PRIME - 1))
