@@ -69,16 +69,39 @@ def requirement_export(spark, sf):
 
 
 query("submission_requirements", EXPORT_SQL + f"SELECT * FROM (SELECT *, coalesce({SUBMISSION}, CASE WHEN requirement_type = 'submission' THEN 'content' END) AS submission_category FROM export) WHERE submission_category IS NOT NULL")(lambda s, d: X.submission_requirements(_export(s, d)))
-query("requirement_export_all")(lambda s, d: X.project_requirement_export(B.sections(s, d), B.tables(s, d), None, B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
+_ANY_KEYWORD = lambda c: f"{_case(c, L.TRIGGER_KEYWORDS)} IS NOT NULL"
+_HEAD_OF = "CASE WHEN regexp_matches(y.line, '^#+\\s+(.+)$') THEN regexp_extract(y.line, '^#+\\s+(.+)$', 1) WHEN regexp_matches(y.line, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$') THEN regexp_extract(y.line, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$', 1) || ' ' || regexp_extract(y.line, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$', 2) WHEN regexp_matches(y.line, '^\\*\\*(.+?)\\*\\*$') THEN regexp_extract(y.line, '^\\*\\*(.+?)\\*\\*$', 1) WHEN regexp_matches(y.line, '^[A-Z][A-Z0-9 /(),.&:-]{6,120}$') THEN y.line ELSE '' END"
+_MD_PARTS = f"list_filter(list_transform(string_split(regexp_replace({STRIP("a.carry || ' ' || y.line")}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP('x')}), lambda x: x <> '')"
+_MARKED_DOWN = f""", g0 AS (SELECT *, prefix || regexp_replace(coalesce(extracted_text, ''), '([.!?])\\s+([A-Z])', '\\1 ' || prefix || '\\2', 'g') AS md FROM b_documents), g1 AS (SELECT n.project_id, n.filename, n.provider, n.content_sha256, n.id, list_transform(regexp_split_to_array(md, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda z: {STRIP("regexp_replace(z, '[ \\t]{2,}', ' ', 'g')")}) AS ls FROM b_normalizations n JOIN g0 USING (document_id) WHERE normalization_status = 'normalized'),
+g2 AS (SELECT *, list_reduce(list_prepend(struct_pack(line := '', area := 'DOCUMENT', carry := '', out := CAST([] AS STRUCT(area VARCHAR, sentence VARCHAR)[])), list_transform(ls, lambda z: struct_pack(line := z, area := '', carry := '', out := CAST([] AS STRUCT(area VARCHAR, sentence VARCHAR)[])))), lambda a, y:
+  CASE WHEN y.line = '' OR {_HEAD_OF} <> '' THEN struct_pack(line := '', area := CASE WHEN {STRIP("regexp_replace(" + _HEAD_OF + ", '^[* ]+|[* ]+$', '', 'g')")} <> '' THEN {STRIP("regexp_replace(" + _HEAD_OF + ", '^[* ]+|[* ]+$', '', 'g')")} ELSE a.area END, carry := '', out := a.out)
+  ELSE struct_pack(line := '', area := a.area, carry := coalesce(list_filter({_MD_PARTS}, lambda x: NOT ({_ANY_KEYWORD('x')}) AND NOT regexp_matches(x, '[.!?]$'))[-1], ''), out := list_concat(a.out, list_transform(list_filter({_MD_PARTS}, lambda x: {_ANY_KEYWORD('x')}), lambda x: struct_pack(area := a.area, sentence := x)))) END).out AS found FROM g1),
+g3 AS (SELECT project_id, filename, provider, content_sha256, unnest(found) AS f FROM g2), g4 AS (SELECT project_id, filename AS source_document, f.area AS pws_area, f.area AS section_path, f.area AS section_heading, 'markdown_sentence' AS source_kind, f.sentence AS requirement_text, provider, coalesce(content_sha256, '') AS content_sha256 FROM g3),
+marked AS (SELECT project_id, source_document, pws_area, section_path, section_heading, source_kind, coalesce({TYPE}, 'requirement_statement') AS requirement_type, {KEYWORD} AS trigger_keyword, requirement_text, provider, content_sha256 FROM g4 WHERE {KEYWORD} IS NOT NULL)"""
+_ALL_ROWS = EXPORT_SQL.rstrip() + _MARKED_DOWN + ", all_rows AS (SELECT * FROM e_rows UNION ALL SELECT * FROM marked) SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, source_document, pws_area, source_kind, trigger_keyword, requirement_text ORDER BY section_path, section_heading, requirement_type, provider, content_sha256) AS rn FROM all_rows) WHERE rn = 1"
+query("requirement_export_all", _ALL_ROWS)(lambda s, d: X.project_requirement_export(B.sections(s, d), B.tables(s, d), None, B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
 query("split_sentences", f", {SENTENCES} SELECT document_id, sentence_index, sentence FROM s_raw")(lambda s, d: X.split_sentences(B.sections(s, d), "body_text").select("document_id", "sentence_index", "sentence"))
 query("extract_requirements", f", {SENTENCES} SELECT document_id, section_path, sentence_index AS requirement_index, sentence AS requirement_text, {_case('sentence', L.REQUIREMENT_TYPES)} AS requirement_type FROM s_raw WHERE {_case('sentence', L.REQUIREMENT_TYPES)} IS NOT NULL")(lambda s, d: X.extract_requirements(B.sections(s, d)).select("document_id", "section_path", "requirement_index", "requirement_text", "requirement_type"))
-query("markdown_export")(lambda s, d: X.markdown_export_rows(B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
+query("markdown_export", _MARKED_DOWN + " SELECT * FROM marked")(lambda s, d: X.markdown_export_rows(B.normalizations(s, d).where("normalization_status = 'normalized'").withColumns({"section_path": F.lit(""), "section_heading": F.lit("")})))
 FRAGMENTS = f"list_filter(list_transform(string_split(regexp_replace({INLINE('normalized_text')}, '([.;!?])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {STRIP('x')}), lambda x: x <> '')"
 query("split_fragments", f" SELECT document_id, document_order, unnest({FRAGMENTS}) AS fragment, unnest(range(len({FRAGMENTS}))) AS fragment_index FROM b_blocks")(lambda s, d: X.split_fragments(B.blocks(s, d), "normalized_text").select("document_id", "document_order", "fragment_index", "fragment"))
 _GUARDED = "regexp_replace(regexp_replace(regexp_replace(body_text, '(\\d)\\.(\\d)', '\\1' || chr(1) || '\\2', 'g'), '(^|[^\\p{L}\\p{N}_])(e|i|u)\\.(g|e|s)\\.', '\\1\\2' || chr(1) || '\\3' || chr(1), 'gi'), '(^|[^\\p{L}\\p{N}_])(etc|vs|mr|mrs|ms|dr|no|inc)\\.', '\\1\\2' || chr(1), 'gi')"
 _GUARDED_PARTS = f"list_filter(list_transform(regexp_extract_all({_GUARDED}, '([^.!?]+[.!?]*)', 1), lambda x: regexp_replace(replace(x, chr(1), '.'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 query("protected_sentences", f" SELECT document_id, unnest({_GUARDED_PARTS}) AS sentence, CAST(unnest(range(len({_GUARDED_PARTS}))) AS INTEGER) AS i FROM b_body")(lambda s, d: B.sections(s, d).select("document_id", F.posexplode(X.split_protected_sentences(F.col("body_text"))).alias("i", "sentence")))
-query("hierarchy_export")(lambda s, d: X.hierarchy_requirement_export(_markdown(s, d)))
+_UNESCAPED = lambda c: "replace(" * 8 + c + ", '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+_NUMBERED_HEAD = "^#{1,6}\\s+(\\d+(?:\\.\\d+)*)\\s+(.*\\S)\\s*$"
+_TRIGGER = "(?i)(?:^|[^\\p{L}\\p{N}_])(shall|must|required|requires|is required to)(?:$|[^\\p{L}\\p{N}_])"
+_NUMBERED_EXPORT = f""", u0 AS (SELECT document_id, document_order AS pos, CASE WHEN block_type = 'paragraph' THEN 'The Contractor shall ' ELSE '# ' END || normalized_text AS line FROM b_blocks),
+u1 AS (SELECT document_id, pos, {STRIP('replace(' + _UNESCAPED("regexp_replace(regexp_replace(line, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')") + ", chr(160), ' ')")} AS line FROM u0), u2 AS (SELECT *, CASE WHEN regexp_matches(line, '{_NUMBERED_HEAD}') THEN regexp_extract(line, '{_NUMBERED_HEAD}', 1) END AS raw FROM u1 WHERE NOT regexp_matches(line, '^\\[[^\\]]+\\]\\(\\.\\)\\s*$')),
+u3 AS (SELECT *, CASE WHEN CAST(string_split(raw, '.')[1] AS BIGINT) >= 3 THEN (CAST(string_split(raw, '.')[1] AS BIGINT) - 2) || regexp_extract(raw, '^\\d+(.*)$', 1) ELSE raw END AS number, max(CASE WHEN raw IS NOT NULL THEN pos END) OVER (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS head_pos FROM u2),
+u4 AS (SELECT b.document_id, b.head_pos, any_value(h.number) AS number, any_value({STRIP(f"regexp_replace(regexp_extract(h.line, '{_NUMBERED_HEAD}', 2), '^{chr(92)}((?:U(?://FOUO)?|C|S|TS(?://SCI)?){chr(92)}){chr(92)}s*', '')")}) AS title, string_agg(b.line, chr(10) ORDER BY b.pos) AS body FROM u3 b JOIN u3 h ON h.document_id = b.document_id AND h.pos = b.head_pos WHERE b.raw IS NULL GROUP BY 1, 2),
+u5 AS (SELECT *, unnest(list_filter(list_transform(regexp_split_to_array(replace(body, chr(10) || chr(10), chr(10)), '\\n{{2,}}'), lambda x: {STRIP('x')}), lambda x: x <> '' AND NOT (starts_with(x, '[') AND ends_with(x, '](.)')))) AS block, unnest(range(len(list_filter(list_transform(regexp_split_to_array(replace(body, chr(10) || chr(10), chr(10)), '\\n{{2,}}'), lambda x: {STRIP('x')}), lambda x: x <> '' AND NOT (starts_with(x, '[') AND ends_with(x, '](.)')))))) AS bi FROM u4 WHERE NOT (number = '1' AND contains(title, 'Table of Contents')) AND NOT (number = '2' AND title = 'Figures')),
+u6 AS (SELECT document_id, head_pos, number, title, bi, {STRIP("regexp_replace(replace(unnest(string_split(regexp_replace(block, '([.;)])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))), '•', ' '), '\\s+', ' ', 'g')")} AS part, unnest(range(len(string_split(regexp_replace(block, '([.;)])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))))) AS pi FROM u5),
+u7 AS (SELECT *, row_number() OVER (PARTITION BY document_id, head_pos, part ORDER BY bi, pi) AS rn FROM u6 WHERE length(part) >= 20 AND regexp_matches(part, '{_TRIGGER}') AND NOT contains(lower(part), 'table of contents') AND NOT contains(lower(part), 'figures')),
+u8 AS (SELECT document_id, head_pos, number AS section_number, title AS section_title, part AS requirement_text, number || '-' || lpad(CAST(row_number() OVER (PARTITION BY document_id, head_pos ORDER BY bi, pi) AS VARCHAR), 3, '0') AS requirement_id, lower(regexp_extract(part, '{_TRIGGER}', 1)) AS trigger_keyword, string_split(number, '.') AS n FROM u7 WHERE rn = 1),
+u9 AS (SELECT document_id, section_number, max_by(section_title, head_pos) AS t FROM u8 GROUP BY 1, 2), v0 AS (SELECT *, n[1] AS level_1_number, CASE WHEN len(n) >= 2 THEN array_to_string(n[1:2], '.') ELSE '' END AS level_2_number, CASE WHEN len(n) >= 3 THEN array_to_string(n[1:3], '.') ELSE '' END AS level_3_number FROM u8)
+SELECT v0.* EXCLUDE (n, head_pos), coalesce(a.t, '') AS level_1_title, coalesce(b.t, '') AS level_2_title, coalesce(c.t, '') AS level_3_title FROM v0 LEFT JOIN u9 a ON a.document_id = v0.document_id AND a.section_number = level_1_number LEFT JOIN u9 b ON b.document_id = v0.document_id AND b.section_number = level_2_number LEFT JOIN u9 c ON c.document_id = v0.document_id AND c.section_number = level_3_number"""
+query("hierarchy_export", _NUMBERED_EXPORT)(lambda s, d: X.hierarchy_requirement_export(_markdown(s, d)))
 _LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '\\s', '', 'g') <> '')"
 _SUMMARY = {n: f"{STRIP("array_to_string(list_transform(" + _LINES + ", lambda x: regexp_replace(x, '\\s+$', '')), chr(10))")}" for n in X.SUMMARY_TEXTS} | {n: f"array_to_string(list_transform({_LINES}, lambda x: {STRIP('x')}), chr(10))" for n in X.SUMMARY_LISTS}
 query("summary_sections", " SELECT doc_id, " + ", ".join(f"{c} AS {n.replace(' ', '_')}" for n, c in _SUMMARY.items()) + " FROM documents")(lambda s, d: _summaries(s, d))
@@ -178,7 +201,11 @@ _text("slug", T.slug, f"CASE WHEN {_SLUG} = '' THEN 'item' ELSE {_SLUG} END")
 _text("document_digest", lambda c: T.document_digest(F.lit("a.docx"), c), "'doc-' || substring(sha256('a.docx' || chr(10) || coalesce(text, '')), 1, 16)")
 _text("tokens_search", lambda c: F.array_join(F.array_sort(T.tokens_search(c)), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in L.SEARCH_STOPWORDS)})))), ' ')")
 _text("normalized_requirement", T.build_normalized_requirement, f"regexp_replace({INLINE('text')}, '^\\(?[A-Za-z0-9.\\-]+\\)?\\s+', '')")
-_text("clean_line", T.clean_line, "")
+_NOISE = "CASE document_order % 8 WHEN 0 THEN '  - (U) ' || normalized_text WHEN 1 THEN ' 0123 ' || normalized_text || '  ' WHEN 2 THEN 'Figure is UNCLASSIFIED//FOUO ' || normalized_text WHEN 3 THEN normalized_text || ' Error! Bookmark not defined. ( FOUO ) end' WHEN 4 THEN ' (Unclassified//FOUO) ' WHEN 5 THEN 'Removed for Classification [image: ] ' || normalized_text WHEN 6 THEN ' 4711' ELSE 'Appendices A and B' END"
+_CLEANED = f""", l0 AS (SELECT document_id, document_order, regexp_replace(regexp_replace(({_NOISE}), '\\s+$', ''), '^\\s*\\d{{3,4}}\\s+(\\S)', '\\1') AS line FROM b_blocks), l1 AS (SELECT *, ltrim(line, ' ') AS core FROM l0),
+l2 AS (SELECT *, {STRIP(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(core, '{chr(92)}[image:{chr(92)}s*{chr(92)}]', ' ', 'g'), '(?i){chr(92)}({chr(92)}s*{L.SIMPLE_MARKING}{chr(92)}s*{chr(92)})', '', 'g'), '{L.REMOVED_MARK}', '', 'g'), '{L.WORD_FRAGMENTS}', ' ', 'g'), '{L.FIGURE_MARK}', '', 'g'), '{chr(92)}s+', ' ', 'g')")} AS said FROM l1)
+SELECT document_id, document_order, CASE WHEN core = '' OR regexp_matches(line, '{L.BLANK_NUMBER_LINE}') OR regexp_matches(core, '{L.BLANK_NUMBER_LINE}') OR regexp_matches(core, '{L.UNCLASSIFIED_LINE}') OR regexp_matches(core, '{L.FIGURE_LINE}') OR regexp_matches(core, '^(?i)Appendices\\b') THEN '' WHEN length(line) > length(core) AND regexp_matches(said, '^[-*]\\s+.+$') THEN repeat(' ', length(line) - length(core)) || said ELSE said END AS value FROM l2"""
+query("clean_line", _CLEANED)(lambda s, d: B.blocks(s, d).select("document_id", "document_order", T.clean_line(F.expr(_NOISE)).alias("value")))
 _MARGIN_JOIN = STRIP("regexp_replace(array_to_string(list_transform(list_filter(string_split(replace(coalesce(text, ''), chr(13), chr(10)), chr(10)), lambda x: NOT regexp_matches(x, '^\\s*\\d{1,4}\\s*$')), lambda x: regexp_replace(x, '^\\s*\\d{1,4}(?:\\s{2,}|\\t+)(\\S)', '\\1')), ' '), '[ \\t]{2,}', ' ', 'g')")
 _MARGIN_KEPT = " OR ".join(f"regexp_matches(m, '{p}')" for p in ("^\\d+(?:\\.\\d+)*\\.?\\s+\\S", L.SECTION_HEADING, L.APPENDIX_HEADING, L.TOC_TITLE, L.TOC_ENTRY, L.PAGE_LINE, L.DATE_ONLY))
 _MARGIN_DONE = f"CASE WHEN {_MARGIN_KEPT} THEN m ELSE {STRIP("regexp_replace(m, '^\\d{1,4}\\s+(\\S)', '\\1')")} END"
@@ -589,6 +616,19 @@ def _semantic(spark: SparkSession, sf: str) -> DataFrame:
     return S.semantic_boosts(m, r)
 
 
+def _given_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Five matches of each source, as an index might return them: texts in other case and spacing, the source itself among them."""
+    r = B.requirements(spark, sf)
+    s = r.where("doc_id % 20 = 0").select(F.col("id").alias("s_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rank"), "doc_id").withColumn("doc_id", F.col("doc_id") + F.col("rank") * 20)
+    return s.join(r.select("doc_id", "project_id", "filename", "section_number", "requirement_text"), "doc_id").select("s_id", "project_id", "rank", F.upper("filename").alias("filename"), "section_number", F.concat(F.lit(" "), F.replace("requirement_text", F.lit(" "), F.lit("  "))).alias("text"))
+
+
+_LINE_KEY = lambda c: f"lower({STRIP(f"regexp_replace(coalesce({c}, ''), '{chr(92)}s+', ' ', 'g')")})"
+_BOOSTED = _RELATED[: _RELATED.index("q2 AS")] + f"""k0 AS (SELECT project_id, {_LINE_KEY('filename')} AS f, section_number AS n, {_LINE_KEY('requirement_text')} AS t, max(id) AS c_id FROM b_requirements GROUP BY ALL),
+k1 AS (SELECT 'doc-' || (b.doc_id - r * 20) AS s_id, c_id, CAST(sum(18 - r) AS DOUBLE) AS boost FROM b_requirements b, range(5) AS x(r) JOIN k0 ON k0.project_id = b.project_id AND k0.f = {_LINE_KEY('b.filename')} AND k0.n = b.section_number AND k0.t = {_LINE_KEY('b.requirement_text')} WHERE (b.doc_id - r * 20) % 20 = 0 AND b.doc_id - r * 20 IN (SELECT doc_id FROM b_requirements) GROUP BY ALL),
+k2 AS (SELECT q1.s_id, q1.c_id, q1.filename, q1.weight, CASE WHEN score > 0 THEN score ELSE 0 END + coalesce(boost, 0) AS score FROM q1 LEFT JOIN k1 ON k1.s_id = q1.s_id AND k1.c_id = q1.c_id WHERE score > 0 OR boost IS NOT NULL)
+SELECT s_id, CAST(row_number() OVER (PARTITION BY s_id ORDER BY score DESC, weight DESC, filename, c_id) AS INTEGER) AS rank, c_id, CAST(score AS DOUBLE) AS score FROM k2 QUALIFY row_number() OVER (PARTITION BY s_id ORDER BY score DESC, weight DESC, filename, c_id) <= 20"""
+query("semantic_boosts", _BOOSTED)(lambda s, d: S.related_requirements(B.requirements(s, d).where("doc_id % 20 = 0"), B.requirements(s, d), S.semantic_boosts(_given_matches(s, d), B.requirements(s, d))).select("s_id", "rank", "c_id", "score"))
 query("merge_semantic")(lambda s, d: S.related_requirements(B.requirements(s, d).where("doc_id % 20 = 0"), B.requirements(s, d), _semantic(s, d)))
 
 
