@@ -753,14 +753,18 @@ query("outline_nodes")(lambda s, d: O.outline_nodes(_markdown(s, d).withColumnRe
 query("prepare_outline_lines")(lambda s, d: Cl.prepare_outline_lines(_markdown(s, d).withColumnRenamed("normalized_markdown", "raw_text")).select("document_id", F.array_join("lines", "\n").alias("markdown")))
 
 
-@query("report_bundle", _TABLES_OF + """, r AS (SELECT 'Sections' AS report, document_id, count(*) AS n FROM a1 GROUP BY ALL UNION ALL SELECT 'Appendices_Attachments', document_id, count(*) FROM a1 WHERE tree_kind <> 'MAIN' GROUP BY ALL UNION ALL SELECT 'Tables', document_id, count(*) FROM x0 GROUP BY ALL
-  UNION ALL SELECT 'Requirements', document_id, count(*) FROM b_blocks WHERE block_type = 'paragraph' GROUP BY ALL UNION ALL SELECT 'Review_Queue', document_id, count(*) FROM b_blocks WHERE block_type = 'heading' GROUP BY ALL UNION ALL SELECT 'Deliverables', document_id, count(*) FROM b_blocks WHERE block_type = 'appendix_heading' GROUP BY ALL UNION ALL SELECT 'Audit', document_id, 1 FROM b_documents)
-SELECT report, document_id, CAST(n AS BIGINT) AS n FROM r JOIN b_documents USING (document_id) WHERE project_id = 'src3'""")
+_DELIVERED = f"unit_id || ':deliverable:' || (row_number() OVER (PARTITION BY unit_id ORDER BY fi) - 1)"
+_REPORT = _CANDIDATES + ", " + _GAPS + _TABLES_OF + f""", size AS (SELECT document_id, count(*) AS n FROM b_blocks GROUP BY 1),
+r AS (SELECT 'Sections' AS report, document_id, section_number AS item FROM a1 UNION ALL SELECT 'Appendices_Attachments', document_id, section_number FROM a1 WHERE tree_kind <> 'MAIN' UNION ALL SELECT 'Tables', document_id, CAST(table_index AS VARCHAR) FROM x0
+  UNION ALL SELECT 'Requirements', document_id, candidate_id FROM cand UNION ALL SELECT 'Deliverables', document_id, {_DELIVERED} FROM ta WHERE {_case('fragment', [('d', L.DELIVERABLE)])} IS NOT NULL
+  UNION ALL SELECT 'Review_Queue', document_id, section_number FROM gaps UNION ALL SELECT 'Review_Queue', document_id, requirement_text FROM cand WHERE ruled AND modality = 'informational' UNION ALL SELECT 'Audit', document_id, CAST(n AS VARCHAR) FROM size) SELECT * FROM r"""
+
+
+@query("report_bundle", _REPORT)
 def report_bundle(spark, sf):
-    """Sizes of the seven tables of one project's report, by document."""
-    docs = B.documents(spark, sf).select("document_id", "project_id")
-    b = B.blocks(spark, sf)
-    of = lambda df: df.drop("project_id").join(docs, "document_id")
-    named = files.report_bundle(of(_assembled(spark, sf)), b.where("block_type = 'paragraph'"), b.where("block_type = 'appendix_heading'"), of(_tables_of(spark, sf)), b.where("block_type = 'heading'"), docs, "src3")
-    out = [df.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("report", F.lit(k)) for k, df in named.items()]
+    """What the seven tables of all projects' reports list, by document."""
+    units, sections = _units(spark, sf), _assembled(spark, sf)
+    named = files.report_bundle(sections, X.requirement_candidates(units), X.deliverable_candidates(units), _tables_of(spark, sf), _reviews(spark, sf), _audited(spark, sf))
+    item = {"Sections": "section_number", "Appendices_Attachments": "section_number", "Tables": "table_index", "Requirements": "candidate_id", "Deliverables": "deliverable_id", "Review_Queue": "raw_text", "Audit": "block_count"}
+    out = [df.select(F.lit(k).alias("report"), "document_id", F.col(item[k]).cast("string").alias("item")) for k, df in named.items()]
     return reduce(DataFrame.unionByName, out)

@@ -44,11 +44,12 @@ def write_csv(df: DataFrame, path: str, kind: str) -> None:
     df.select(*COLUMNS[kind]).write.mode("overwrite").option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
 
 
-def report_bundle(sections: DataFrame, requirements: DataFrame, deliverables: DataFrame, tables: DataFrame, reviews: DataFrame, audits: DataFrame, project_id: str) -> dict[str, DataFrame]:
-    """The seven tables of a project's report, each in its order."""
+def report_bundle(sections: DataFrame, requirements: DataFrame, deliverables: DataFrame, tables: DataFrame, reviews: DataFrame, audits: DataFrame, project_id: str | None = None) -> dict[str, DataFrame]:
+    """The seven tables of a project's report, or of all projects', each in its order."""
     named = {"Sections": sections, "Requirements": requirements, "Deliverables": deliverables, "Tables": tables, "Appendices_Attachments": sections.where("tree_kind is not null and tree_kind <> 'MAIN'"), "Review_Queue": reviews, "Audit": audits}
     orders: dict[str, Sequence[str]] = {"Sections": ("document_id", "section_order"), "Appendices_Attachments": ("document_id", "section_order")}
-    return {k: df.where(F.col("project_id") == project_id).orderBy(*orders.get(k, ("document_id",))) for k, df in named.items()}
+    mine = lambda df: df if project_id is None else df.where(F.col("project_id") == project_id)
+    return {k: mine(df).orderBy(*orders.get(k, ("document_id",))) for k, df in named.items()}
 
 
 FIELDS = ("artifact_type", "document_id", "source", "metadata", "cleaned_text", "hierarchy", "objects", "blocks", "enrichments", "provenance")
