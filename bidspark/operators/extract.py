@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bidspark.functions import lexicons as L
 from bidspark.functions import text as T
+from bidspark.functions.arrow import bounded
 
 EXPORT = ("project_id", "source_document", "pws_area", "section_path", "section_heading", "source_kind", "requirement_type", "trigger_keyword", "requirement_text", "provider", "content_sha256")
 EXPORT_KEY = ("project_id", "source_document", "pws_area", "source_kind", "trigger_keyword", "requirement_text")
@@ -131,7 +132,7 @@ def markdown_export_rows(documents: DataFrame) -> DataFrame:
             yield s.map(found)
 
     fold = F.pandas_udf(run, "array<struct<area string, sentence string>>")
-    rows = documents.withColumn("__x", F.explode(fold("normalized_markdown"))).withColumns({"section_path": F.col("__x.area"), "section_heading": F.col("__x.area"), "sentence": F.col("__x.sentence")})
+    rows = bounded(documents).withColumn("__x", F.explode(fold("normalized_markdown"))).withColumns({"section_path": F.col("__x.area"), "section_heading": F.col("__x.area"), "sentence": F.col("__x.sentence")})
     return _export(rows, "markdown_sentence", F.col("sentence"), "requirement_statement").withColumn("pws_area", F.col("section_path"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bidspark.functions import lexicons as L
 from bidspark.functions import text as T
+from bidspark.functions.arrow import bounded
 
 MAX_LEVEL = 12
 HEADINGS = ("heading", "appendix_heading", "attachment_heading")
@@ -593,7 +594,7 @@ def explode_structured_json(documents: DataFrame, col: str = "structured_json")
 
     kind = "array<struct<kind string, text string, label string, bold boolean, page_start int, page_end int, rows array<array<string>>>>"
     rest = [c for c in documents.columns if c != col]
-    return documents.select(*rest, F.posexplode(F.pandas_udf(run, kind)(col)).alias("document_order", "x")).select(*rest, "document_order", "x.*")
+    return bounded(documents).select(*rest, F.posexplode(F.pandas_udf(run, kind)(col)).alias("document_order", "x")).select(*rest, "document_order", "x.*")
 
 
 def iter_paragraphs(df: DataFrame, col: str = "text") -> DataFrame:
