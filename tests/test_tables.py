@@ -71,7 +71,7 @@ def test_points_of_a_file_give_way(spark, tmp_path):
     assert rows(t) == [("a", "p", "f", "4"), ("c", "p", "g", "3")]
 
 
-@pytest.mark.parametrize("step", ["requirements:manifest", "chunks:stage", "chunks:clean", "index:rename"])
+@pytest.mark.parametrize("step", ["requirements:manifest", "chunks:clean", "index:rename"])
 def test_a_stream_restarted_between_sinks_gives_the_same_tables(spark, tmp_path, step):
     texts = {"d1": "The contractor shall deliver. Fine.", "d2": "It must run. The offeror shall submit plans.", "d3": None, "d4": "No duty here."}
     lines = [json.dumps({"event_type": "document.extracted", "document_id": d, "project_id": "p", "filename": f"{d}.docx", "extracted_text": t, "created_at": "2024-01-01T00:00:00Z"}) for d, t in texts.items()]
