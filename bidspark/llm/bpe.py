@@ -250,7 +250,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def bpe_decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text): each row's ids decoded; null ids give the empty text."""
-    src = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    src = small_batches(tokens).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = src.schema["id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,8 @@
 A document is the multiset of its shingles (five consecutive words); a shingle's weight is its count, an
 integer, so the weights are discretised at 1, 2, 3, ... For each shingle a Poisson process puts points into
 the strip of time x weight; the strip is cut at powers of two, each part has its own process (disjoint parts
-are independent), and inside a part a point's height follows from halving it again and again, one random bit
-each time. A point counts for a document if its height lies below the shingle's weight there. Every point
+are independent), and inside a part a point's height is drawn at once, with the bits that halving it again and again
+would draw. A point counts for a document if its height lies below the shingle's weight there. Every point
 belongs to one of the m signature components, and a component keeps the earliest point that counts. Two
 documents agree in a component with the probability of their weighted Jaccard similarity.
 
