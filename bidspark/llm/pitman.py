@@ -29,13 +29,13 @@ each driver process draws anew (`words.run_key`): scores differ between processe
 from __future__ import annotations
 
 import gc
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -108,8 +108,27 @@ class Model:
     v: int
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return at, self.known[at] == h
+        """(place among the known words, whether it is there) of each hash, by a table with room for four times as many."""
+        if not hasattr(self, "table"):
+            bits = (4 * len(self.known)).bit_length()
+            shift = np.uint64(64 - bits)
+            home = (self.known >> shift).astype(np.int64)  # rising, as the hashes are sorted: each goes to the next free place
+            i = np.arange(len(home))
+            place = np.maximum.accumulate(home - i) + i
+            table, owner = np.zeros((1 << bits) + len(home) + 1, np.uint64), np.full((1 << bits) + len(home) + 1, -1, np.int32)
+            table[place], owner[place] = self.known, i
+            self.table = shift, table, owner
+        shift, table, owner = self.table
+        place = (h >> shift).astype(np.int64)
+        at, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        left = np.arange(len(h))
+        while len(left):
+            who = owner[place[left]]
+            same = (who >= 0) & (table[place[left]] == h[left])
+            at[left[same]], hit[left[same]] = who[same], True
+            left = left[~same & (who >= 0)]
+            place[left] += 1
+        return at, hit
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -291,11 +310,11 @@ def _pack(u: np.ndarray, k: np.ndarray, doc: np.ndarray, m: np.ndarray) -> bytes
     """Pairs sorted by u and k: the steps of both, and the other columns, byte by byte of all rows."""
     step = np.diff(u, prepend=np.uint64(0))
     near = np.where(step == 0, np.diff(k, prepend=np.uint64(0)), k)
-    return zlib.compress(b"".join(map(_planes, (step, near, doc.astype(np.uint32), m.astype(np.uint32)))), 3)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planes, (step, near, doc.astype(np.uint32), m.astype(np.uint32)))))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     n = len(raw) // 24
     take = lambda lo, width, kind: np.ascontiguousarray(raw[lo * n : (lo + width) * n].reshape(width, n).T).view(kind).ravel()
     step, near = take(0, 8, np.uint64), take(8, 8, np.uint64)
@@ -312,15 +331,44 @@ def _place(u: np.ndarray, k: np.ndarray, contexts: int, buckets: tuple[int, int]
     return np.where(own, mixed % np.uint64(buckets[0]), mixed % np.uint64(buckets[1]) + np.uint64(buckets[0])).astype(np.int64)
 
 
-def _dealt(u: np.ndarray, k: np.ndarray, doc: np.ndarray, learn: np.ndarray, contexts: int, buckets: tuple[int, int]) -> Iterator[tuple]:
+def _ranked(*columns: np.ndarray, known: int) -> tuple[list[np.ndarray], int]:
+    """Columns of word ids as small numbers of the same order, and how many bits they take: ranks below `known` as they are, hashes by
+    their place among those here."""
+    far = [c >= np.uint64(known) for c in columns]
+    names = np.unique(np.concatenate([c[f] for c, f in zip(columns, far, strict=True)]))
+    out = []
+    for c, f in zip(columns, far, strict=True):
+        x = c.astype(np.int64)
+        x[f] = known + np.searchsorted(names, c[f])
+        out.append(x)
+    return out, (known + len(names)).bit_length()
+
+
+def _dealt(u: np.ndarray, k: np.ndarray, doc: np.ndarray, learn: np.ndarray, contexts: int, buckets: tuple[int, int], known: int = KNOWN) -> Iterator[tuple]:
     """(bucket, learn, blob) of pairs of word ids (rank, or hash of a word that is not known), each with its document."""
+    if not len(u):
+        return
     place = _place(u, k, contexts, buckets) * 2 + learn
-    order = np.lexsort((doc, k, u, place))
-    u, k, doc, place = u[order], k[order], doc[order], place[order]
-    new = np.append(True, (u[1:] != u[:-1]) | (k[1:] != k[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))[: len(u)]
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(u)))
-    u, k, doc, place = u[at], k[at], doc[at], place[at]
+    (x, y), wide = _ranked(u, k, known=known)
+    if int(place.max()).bit_length() + 2 * wide > 63 or len(u).bit_length() + int(doc.max()).bit_length() > 63:
+        order = np.lexsort((doc, k, u, place))
+        u, k, doc, place = u[order], k[order], doc[order], place[order]
+        new = np.append(True, (u[1:] != u[:-1]) | (k[1:] != k[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
+        at = np.flatnonzero(new)
+        u, k, doc, place = u[at], k[at], doc[at], place[at]
+    else:  # sorted as single numbers: the pairs first, then the documents of each
+        key = (place << wide | x) << wide | y
+        order = np.argsort(key)
+        key = key[order]
+        head = np.append(True, key[1:] != key[:-1])
+        bits = int(doc.max()).bit_length()
+        both = np.sort(np.cumsum(head) << bits | doc[order])
+        first = order[head]
+        at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        pair = (both[at] >> bits) - 1
+        u, k, place, doc = u[first][pair], k[first][pair], place[first][pair], both[at] & (1 << bits) - 1
+        new = both
+    times = np.diff(np.append(at, len(new)))
     edge = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(u)]), len(place))
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         yield int(place[a]) // 2, bool(place[a] % 2), _pack(u[a:b], k[a:b], doc[a:b], times[a:b])
@@ -365,7 +413,8 @@ def _bucket(t: pa.Table, m: Model) -> Bucket | None:
     if not got:
         return None
     u, k, who, times, learn = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((k, u))
+    (x, y), wide = _ranked(u, k, known=len(m.known))
+    order = np.argsort(x << wide | y) if 2 * wide < 64 else np.lexsort((k, u))
     u, k, who, times, learn = u[order], k[order], who[order], times[order], learn[order]
     new = np.append(True, (u[1:] != u[:-1]) | (k[1:] != k[:-1]))
     cell, at = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -560,7 +609,7 @@ def score(docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
                     if far:
                         yield batch(len(far[0]), bucket=pa.array(far[0], pa.int64()), far=pa.array(far[1], pa.list_(pa.int64())))
                 on = (u < m.contexts) == own
-                got = list(zip(*_dealt(u[on], k[on], doc[on], learns[on], m.contexts, buckets), strict=True))
+                got = list(zip(*_dealt(u[on], k[on], doc[on], learns[on], m.contexts, buckets, len(m.known)), strict=True))
                 if got:
                     yield batch(len(got[0]), uid=pa.array([start] * len(got[0])), bucket=pa.array(got[0], pa.int64()), learn=pa.array(got[1]), blob=pa.array(got[2], pa.binary()))
 

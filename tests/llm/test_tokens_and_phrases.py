@@ -315,3 +315,44 @@ def test_the_queries_give_what_they_say(spark):
     assert sorted(map(tuple, op12_phrases(spark, SF).collect())) == sorted(con.execute(ORACLE["op12_phrases"]).fetchall()) != []
     out = op13_records(spark, SF).orderBy("doc_id").collect()
     assert [r.doc_id for r in out] == sorted(i for i, _ in docs) and out[0].start == 0 and all(b.start == a.start + a.n_tokens for a, b in itertools.pairwise(out))
+
+
+def test_pairs_are_dealt_alike_however_they_are_sorted():
+    from bidspark.llm.pitman import _dealt, _place, _unpack
+
+    rng = np.random.default_rng(1)
+    far = rng.integers(2**40, 2**63, 40).astype(np.uint64)
+
+    def ids(n):
+        r = rng.integers(0, 300, n).astype(np.uint64)
+        on = rng.random(n) < 0.2
+        r[on] = far[rng.integers(0, 40, int(on.sum()))]
+        return r
+
+    for n in (0, 1, 5000):
+        u, k, doc = ids(n), ids(n), np.sort(rng.integers(0, 50, n))
+        learn = doc % 3 > 0
+        want = collections.Counter(zip(_place(u, k, 20, (4, 7)).tolist(), learn.tolist(), u.tolist(), k.tolist(), doc.tolist(), strict=True))
+        for known in (300, 1 << 40):  # the second takes too many bits to be packed
+            got = collections.Counter()
+            for bucket, learns, blob in _dealt(u, k, doc, learn, 20, (4, 7), known):
+                a, b, c, m = _unpack(blob)
+                assert (np.lexsort((c, b, a)) == np.arange(len(a))).all()
+                for x, y, z, t in zip(a.tolist(), b.tolist(), c.tolist(), m.tolist(), strict=True):
+                    got[bucket, learns, x, y, z] += t
+            assert got == want
+
+
+def test_known_words_are_looked_up():
+    from bidspark.llm.pitman import Model
+
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 1000, 50_000):
+        known = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        m = Model(known, None, None, None, None, 1, 1, 0.0, 1, 1)
+        h = np.append(known[rng.integers(0, len(known), 3000)], rng.integers(0, 2**63, 3000).astype(np.uint64))
+        at, hit = m.lookup(h)
+        assert (hit == np.isin(h, known)).all() and (known[at[hit]] == h[hit]).all() and len(m.lookup(h[:0])[0]) == 0
+    crowd = np.arange(1, 400, dtype=np.uint64)  # all in one place
+    at, hit = Model(crowd, None, None, None, None, 1, 1, 0.0, 1, 1).lookup(np.arange(0, 500, dtype=np.uint64))
+    assert hit.tolist() == [0 < x < 400 for x in range(500)]
