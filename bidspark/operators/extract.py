@@ -30,10 +30,13 @@ def split_sentences(df: DataFrame, col: str = "text") -> DataFrame:
 
 def split_fragments(df: DataFrame, col: str, block_type: str = "block_type") -> DataFrame:
     """Like split_sentences, also at semicolons; list items stay whole."""
-    line = T.normalize_inline(F.col(col))
-    parts = F.filter(F.transform(F.split(line, r"(?<=[.;!?])\s+(?=[A-Z(])"), T.strip), lambda x: x != "")
-    whole = F.filter(F.array(line), lambda x: x != "")
-    return df.select("*", F.posexplode(F.when(F.col(block_type) == "list_item", whole).otherwise(parts)).alias("fragment_index", "fragment"))
+    return df.select("*", F.posexplode(fragments(F.col(col), F.col(block_type))).alias("fragment_index", "fragment"))
+
+
+def fragments(c: Column, block_type: Column) -> Column:
+    """Array of the pieces of one text, as `split_fragments` counts them."""
+    parts = lambda line: F.when(block_type == "list_item", F.array(line)).otherwise(F.transform(F.split(line, r"(?<=[.;!?])\s+(?=[A-Z(])"), T.strip))
+    return F.filter(T.let(T.normalize_inline(c), parts), lambda x: x != "")
 
 
 def split_protected_sentences(c: Column) -> Column:
@@ -164,7 +167,7 @@ def extraction_units(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     prose = blocks.where(F.col("block_type").isin("paragraph", "list_item", "note")).select(
         F.concat("block_id", F.lit(":unit")).alias("unit_id"), "document_id", F.coalesce("section_path", F.lit("DOCUMENT")).alias("heading_path"), F.col("block_id").alias("source_block_id"), F.col("block_type").alias("unit_type"), F.col("normalized_text").alias("text_exact"), F.lit(None).cast("string").alias("table_id"), F.lit(None).cast("int").alias("row_index")
     )
-    body = tables.select("document_id", "block_id", F.coalesce("heading_path", F.lit("DOCUMENT")).alias("heading_path"), F.col("rows")[0].alias("header"), F.posexplode("rows").alias("row_index", "row")).where("row_index > 0")
+    body = tables.select("document_id", "block_id", F.coalesce("heading_path", F.lit("DOCUMENT")).alias("heading_path"), F.explode(F.filter(T.headed(F.col("rows")), lambda x: x["row_index"] > 0)).alias("x")).select("document_id", "block_id", "heading_path", "x.*")
     cell = lambda x, i: F.concat(F.coalesce(F.get("header", i), F.concat(F.lit("col_"), (i + 1).cast("string"))), F.lit(": "), T.blank_if_null(x))
     rows = body.select(
         F.concat("block_id", F.lit(":row:"), F.col("row_index").cast("string"), F.lit(":unit")).alias("unit_id"), "document_id", "heading_path", F.col("block_id").alias("source_block_id"), F.lit("table_row").alias("unit_type"), F.array_join(F.transform("row", cell), " | ").alias("text_exact"), F.col("block_id").alias("table_id"), "row_index"
@@ -172,25 +175,32 @@ def extraction_units(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return prose.unionByName(rows)
 
 
-def _rule_fragments(units: DataFrame) -> DataFrame:
-    rows = split_fragments(units, "text_exact", "unit_type").withColumn("modality", T.detect_modality(F.col("fragment")))
-    return rows.where((F.col("modality") != "informational") | T.is_tasking(F.col("fragment")) | (F.col("unit_type") == "table_row"))
+def _rule_fragments() -> Column:
+    """Fragments of a unit that the rule takes, each with its modality."""
+    marked = F.transform(fragments(F.col("text_exact"), F.col("unit_type")), lambda x: F.struct(x.alias("fragment"), T.detect_modality(x).alias("modality")))
+    return F.filter(marked, lambda x: (x["modality"] != "informational") | T.is_tasking(x["fragment"]) | (F.col("unit_type") == "table_row"))
 
 
 def requirement_candidates(units: DataFrame, extractor=None) -> DataFrame:
     """Candidates of every unit: fragments that the rule takes, or one baseline row for a unit without any.
 
-    `extractor` (units to rows of unit_id and fragment) may replace the rule.
+    `extractor` (units to rows of unit_id and fragment) may replace the rule. The rule's rows come from the unit's own row, without a
+    shuffle.
     """
-    order = Window.partitionBy("unit_id").orderBy("fragment_index")
-    taken = _rule_fragments(units) if extractor is None else units.join(extractor(units), "unit_id").withColumn("modality", T.detect_modality(F.col("fragment")))
-    if extractor is not None:
-        taken = taken.withColumn("fragment_index", F.row_number().over(Window.partitionBy("unit_id").orderBy("fragment")))
-    rule = taken.withColumns({"index": F.row_number().over(order) - 1, "confidence": F.when(F.col("unit_type") == "table_row", 0.65).otherwise(0.72), "review_flag": F.col("modality") == "informational"})
-    line = T.normalize_inline(F.col("text_exact"))
-    base = units.join(taken.select("unit_id").distinct(), "unit_id", "left_anti").withColumns({"fragment": line, "modality": T.detect_modality(line), "index": F.lit(0), "confidence": F.lit(0.55), "review_flag": F.col("unit_type") == "note"})
     cols = ["unit_id", "document_id", "heading_path", "source_block_id", "unit_type", "table_id", "row_index", "fragment", "modality", "index", "confidence", "review_flag"]
-    both = rule.select(*cols).unionByName(base.select(*cols))
+    ruled = lambda fragment, modality, index: {"fragment": fragment, "modality": modality, "index": index, "confidence": F.when(F.col("unit_type") == "table_row", 0.65).otherwise(0.72), "review_flag": modality == "informational"}
+    based = lambda line: {"fragment": line, "modality": T.detect_modality(line), "index": F.lit(0), "confidence": F.lit(0.55), "review_flag": F.col("unit_type") == "note"}
+    row = lambda fields: F.struct(*[c.alias(name) for name, c in fields.items()])
+    line = T.normalize_inline(F.col("text_exact"))
+    if extractor is None:
+        base = T.let(line, lambda x: F.array(row(based(x))))
+        rows = T.let(_rule_fragments(), lambda taken: F.when(F.size(taken) == 0, base).otherwise(F.transform(taken, lambda x, i: row(ruled(x["fragment"], x["modality"], i)))))
+        both = units.select(*cols[:7], F.explode(rows).alias("x")).select(*cols[:7], "x.*")
+    else:
+        taken = units.join(extractor(units), "unit_id").withColumn("modality", T.detect_modality(F.col("fragment")))
+        index = F.row_number().over(Window.partitionBy("unit_id").orderBy("fragment")) - 1
+        base = units.join(taken.select("unit_id").distinct(), "unit_id", "left_anti").withColumns(based(line))
+        both = taken.withColumns(ruled(F.col("fragment"), F.col("modality"), index)).select(*cols).unionByName(base.select(*cols))
     return both.select(
         F.concat_ws(":", F.col("unit_id"), F.lit("requirement"), F.col("index").cast("string")).alias("candidate_id"), *[c for c in cols if c not in ("fragment", "index")], F.col("fragment").alias("requirement_text"), T.build_normalized_requirement(F.col("fragment")).alias("normalized_text"), T.detect_actor(F.col("fragment")).alias("actor"), T.is_deliverable(F.col("fragment")).alias("deliverable_flag")
     )
@@ -198,9 +208,9 @@ def requirement_candidates(units: DataFrame, extractor=None) -> DataFrame:
 
 def deliverable_candidates(units: DataFrame) -> DataFrame:
     """Fragments that the rule takes and that name a deliverable."""
-    rows = _rule_fragments(units).where(T.is_deliverable(F.col("fragment")))
-    order = Window.partitionBy("unit_id").orderBy("fragment_index")
-    return rows.select(F.concat_ws(":", F.col("unit_id"), F.lit("deliverable"), (F.row_number().over(order) - 1).cast("string")).alias("deliverable_id"), "document_id", "heading_path", "source_block_id", F.col("fragment").alias("deliverable_text"), T.build_normalized_requirement(F.col("fragment")).alias("normalized_text"), F.lit(0.6).alias("confidence"), F.lit(True).alias("review_flag"))
+    named = F.filter(_rule_fragments(), lambda x: T.is_deliverable(x["fragment"]))
+    rows = units.select("unit_id", "document_id", "heading_path", "source_block_id", F.posexplode(F.transform(named, lambda x: x["fragment"])).alias("index", "fragment"))
+    return rows.select(F.concat_ws(":", F.col("unit_id"), F.lit("deliverable"), F.col("index").cast("string")).alias("deliverable_id"), "document_id", "heading_path", "source_block_id", F.col("fragment").alias("deliverable_text"), T.build_normalized_requirement(F.col("fragment")).alias("normalized_text"), F.lit(0.6).alias("confidence"), F.lit(True).alias("review_flag"))
 
 
 def table_cell_provenance(candidates: DataFrame, cells: DataFrame) -> DataFrame:

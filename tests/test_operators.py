@@ -364,3 +364,34 @@ def test_objects_in_windows_that_cross(spark):
     for _, b, o, _, _, page, _, _ in objects:
         fits = [(-(0.8 if lo and lo <= page <= hi else 0.72), i, n) for _, i, n, _, a, e, lo, hi, m in anchors if m and a <= o and (e is None or o <= e)]
         assert got[b] == ((min(fits)[2], -min(fits)[0]) if fits else (None, 0.0))
+
+
+def test_rows_of_one_long_table(spark):
+    """Exploded rows drag no copy of their table along: 20,000 rows of 1 MB and more each would fit nowhere."""
+    n = 20_000
+    tables = spark.range(1).select(F.lit("d").alias("document_id"), F.lit("t").alias("block_id"), F.lit(None).cast("string").alias("heading_path"), F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.array(F.concat(F.lit("a"), i), F.concat(F.lit("b" * 20), i))).alias("rows"))
+    blocks = spark.createDataFrame([], "document_id string, block_id string, block_type string, section_path string, normalized_text string")
+    units = X.extraction_units(blocks, tables)
+    assert units.count() == n
+    assert [tuple(r) for r in units.where("row_index = 7").select("unit_id", "text_exact", "heading_path").collect()] == [("t:row:7:unit", f"a0: a7 | {'b' * 20}0: {'b' * 20}7", "DOCUMENT")]
+    cells = St.table_cells(tables)
+    assert cells.groupBy("row_index").count().where("count = 2").count() == n + 1
+    assert [r[0] for r in cells.where("row_index = 7").orderBy("col_index").select("header_text").collect()] == ["a0", "b" * 20 + "0"]
+
+
+def test_candidates_stay_with_their_unit(spark):
+    """The rule's rows need no shuffle, and are numbered among those that it takes."""
+    units = spark.createDataFrame([("u1", "paragraph", "It is so. The Contractor shall submit a report. Fine. You must go."), ("u2", "note", "Nothing here."), ("u3", "list_item", "They shall act. Then rest."), ("u4", "table_row", "a: b")], "unit_id string, unit_type string, text_exact string").selectExpr("*", "'d' document_id", "'h' heading_path", "'b' source_block_id", "cast(null as string) table_id", "cast(null as int) row_index")
+    got = X.requirement_candidates(units)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.select("candidate_id", "requirement_text", "modality", "confidence", "review_flag").collect()) == [
+        ("u1:requirement:0", "The Contractor shall submit a report.", "shall", 0.72, False), ("u1:requirement:1", "You must go.", "must", 0.72, False), ("u2:requirement:0", "Nothing here.", "informational", 0.55, True), ("u3:requirement:0", "They shall act. Then rest.", "shall", 0.72, False), ("u4:requirement:0", "a: b", "informational", 0.65, True),
+    ]
+    deliverables = X.deliverable_candidates(units)
+    assert [tuple(r) for r in deliverables.select("deliverable_id", "deliverable_text").collect()] == [("u1:deliverable:0", "The Contractor shall submit a report.")]
+
+
+def test_words_looked_for_first_miss_nothing(spark):
+    """What a pattern finds is found, in capitals, after other words and in letters that fold to ASCII ones."""
+    assert one(spark, T.classify_export_keyword, "it SHALL be", "ſhall we", "marshall it", "You were Required to", "deliverables", "delivery now", None) == ["shall", "shall", None, "required", None, "deliver", None]
+    assert one(spark, T.is_tasking, "we TRACK it", "Keep tracK of it", "racket", None) == [True, True, False, None]
