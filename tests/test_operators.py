@@ -395,3 +395,34 @@ def test_words_looked_for_first_miss_nothing(spark):
     """What a pattern finds is found, in capitals, after other words and in letters that fold to ASCII ones."""
     assert one(spark, T.classify_export_keyword, "it SHALL be", "ſhall we", "marshall it", "You were Required to", "deliverables", "delivery now", None) == ["shall", "shall", None, "required", None, "deliver", None]
     assert one(spark, T.is_tasking, "we TRACK it", "Keep tracK of it", "racket", None) == [True, True, False, None]
+
+
+def test_long_tables_are_drawn_and_read_in_one_pass(spark):
+    """Work by row must not look through the whole table: 20,000 rows would take minutes."""
+    import time
+
+    n = 20_000
+    t = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.array(*[F.concat(F.lit(c), i) for c in "abcd"])).alias("rows"))
+    began = time.time()
+    md = t.select("rows", St.render_markdown_table(F.col("rows")).alias("md"))
+    ok = md.select((St.markdown_tables(F.col("md")) == F.col("rows")) & (St.markdown_tables(F.concat(F.lit("See "), F.replace("md", F.lit("\n"), F.lit(" ")))) == F.col("rows"))).collect()
+    assert ok[0][0] is not None and time.time() - began < 60
+
+
+def test_best_snippets_keep_order_and_copies(spark):
+    """Equal snippets count as often as they are given; ties go by place and text; without a shared word one is left."""
+    p = spark.createDataFrame([("x", "p1", "See section 1.3: alpha beta gamma"), ("x", "p2", "Section 1.3 omega")], "project_id string, paragraph_id string, text string")
+    s = spark.createDataFrame([("x", "Base IDIQ PWS.docx", "1.3", "t", ["alpha beta", "zeta"]), ("x", "Base IDIQ PWS.docx", "1.3", "t", ["alpha beta", "gamma"]), ("x", "Base IDIQ PWS.docx", "2.1", "t", ["alpha beta gamma"])], "project_id string, filename string, section_number string, section_title string, snippets array<string>")
+    got = S.governing_section_links(p, s)
+    assert sorted((r.paragraph_id, r.supporting) for r in got.collect()) == [("p1", ["alpha beta", "alpha beta", "gamma"]), ("p2", ["alpha beta"])]
+    assert "s_asked" not in S._prepared(p.selectExpr("*", "paragraph_id id", "text requirement_text", *[f"'' {c}" for c in S.FIELDS if c != "requirement_text"]), "s_").columns
+
+
+def test_common_counts_frequent_and_rare_elements():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sets = [[set((rng.zipf(1.3, 40) % 5000).tolist()) for _ in range(k)] for k in (70, 300)]
+    a, b = (pa.array([sorted(x) for x in side], pa.list_(pa.int64())) for side in sets)
+    assert (S._common(a, b) == np.array([[len(x & y) for y in sets[1]] for x in sets[0]])).all()
+    assert S._common(a, pa.array([[], None, [-1]], pa.list_(pa.int64()))).sum() == 0
