@@ -426,3 +426,16 @@ def test_common_counts_frequent_and_rare_elements():
     a, b = (pa.array([sorted(x) for x in side], pa.list_(pa.int64())) for side in sets)
     assert (S._common(a, b) == np.array([[len(x & y) for y in sets[1]] for x in sets[0]])).all()
     assert S._common(a, pa.array([[], None, [-1]], pa.list_(pa.int64()))).sum() == 0
+
+
+def test_entities_in_sql_follow_the_same_rule():
+    """Old names without a semicolon, longest names, numbers in both bases and odd ones."""
+    import html
+
+    import duckdb
+
+    from bidspark.plans.queries import _entities_sql
+
+    cases = ["a &amp b", "&amp;lt;", "&notit; &notin; &no", "&#65;&#x41;&#0;&#128;&#xD800;&#99999999999;&#1;&#38", "x&", "&&amp;", "&copy2026 &quo", "&ampamp;", "&#x1F600;é&eacute", "", "&#;&#x;&;"]
+    sql = _entities_sql("t")
+    assert [duckdb.execute(f"SELECT {sql} FROM (SELECT ? AS t)", [x]).fetchone()[0] for x in cases] == [html.unescape(x) for x in cases]
