@@ -439,3 +439,12 @@ def test_entities_in_sql_follow_the_same_rule():
     cases = ["a &amp b", "&amp;lt;", "&notit; &notin; &no", "&#65;&#x41;&#0;&#128;&#xD800;&#99999999999;&#1;&#38", "x&", "&&amp;", "&copy2026 &quo", "&ampamp;", "&#x1F600;é&eacute", "", "&#;&#x;&;"]
     sql = _entities_sql("t")
     assert [duckdb.execute(f"SELECT {sql} FROM (SELECT ? AS t)", [x]).fetchone()[0] for x in cases] == [html.unescape(x) for x in cases]
+
+
+def test_companion_text_in_sql_knows_other_letters(spark):
+    import duckdb
+
+    from bidspark.plans.queries import _COMPANION
+
+    cases = ["a Table 3é x", "ÉAB CD EF GH z", "AB CD EF GHé z", "a\x0bb c", "AB\x0bCD EF GH IJ", "éTable 3 x", "AB CD EF GH IJk", "Table 1 Figure 2 |\x0b| ü"]
+    assert [duckdb.execute(f"SELECT {_COMPANION} FROM (SELECT ? AS text)", [x]).fetchone()[0] for x in cases] == one(spark, T.clean_companion_text, *cases)
