@@ -152,14 +152,15 @@ def project_requirement_export(sections: DataFrame, tables: DataFrame, requireme
     if markdown is not None:
         parts.append(markdown_export_rows(keep(markdown)))
     rest = [c for c in EXPORT if c not in EXPORT_KEY]
-    rows = reduce(DataFrame.unionByName, parts).groupBy(*EXPORT_KEY).agg(F.min(F.struct(*rest)).alias("r"))
+    # the aggregate sorts its keys: by their hash first, which seldom looks at the strings
+    rows = reduce(DataFrame.unionByName, parts).groupBy(F.xxhash64(*EXPORT_KEY).alias("__h"), *EXPORT_KEY).agg(F.min(F.struct(*rest)).alias("r"))
     return rows.select(*EXPORT_KEY, "r.*").select(*EXPORT)
 
 
 def submission_requirements(export: DataFrame) -> DataFrame:
     """Rows of a submission category; submission rows without one are `content`."""
     category = F.coalesce(T.classify_submission(F.col("requirement_text")), F.when(F.col("requirement_type") == "submission", "content"))
-    return export.withColumn("submission_category", category).where("submission_category is not null")
+    return _labelled(export, "submission_category", category)
 
 
 def extraction_units(blocks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -263,17 +264,25 @@ SUMMARY_LISTS = ("key documents", "risks and watchouts", "notable dates", "secur
 
 
 def parse_summary_sections(df: DataFrame, col: str = "markdown") -> DataFrame:
-    """The eight known sections of a Markdown summary: four texts, four arrays of bullet items."""
-    text = F.concat(F.lit("\n"), T.blank_if_null(col), F.lit("\n## "))
-    out = df
-    for name in (*SUMMARY_TEXTS, *SUMMARY_LISTS):
-        bodies = F.regexp_extract_all(text, F.lit(rf"(?is)\n\s*## +{name}[ \t]*\n(.*?)(?=\n\s*## )"), F.lit(1))
-        lines = F.filter(F.split(F.array_join(bodies, "\n"), "\n"), lambda x: T.strip(x) != "")
+    """The eight known sections of a Markdown summary: four texts, four arrays of bullet items.
+
+    The text is cut once before all its headings; a part's own heading tells which section it belongs to.
+    """
+    names = (*SUMMARY_TEXTS, *SUMMARY_LISTS)
+    heading = rf"(?i)^\s*## +({'|'.join(names)})[ \t]*(?:\n|\z)"
+    parts = F.split(F.concat(F.lit("\n"), T.blank_if_null(col)), r"\n(?=\s*## )")
+    known = F.filter(F.transform(parts, lambda p: F.struct(F.lower(F.regexp_extract(p, heading, 1)).alias("name"), p.alias("part"))), lambda s: s["name"] != "")
+    lines = lambda s: T.let(F.split(s["part"], "\n"), lambda x: F.filter(F.slice(x, F.lit(2), F.size(x)), lambda y: T.strip(y) != ""))
+    of = lambda name: F.flatten(F.transform(F.filter("__known", lambda s: s["name"] == name), lines))
+    out = df.withColumn("__known", known)
+    for name in names:
+        own = of(name)
         if name in SUMMARY_LISTS:
-            out = out.withColumn(name.replace(" ", "_"), F.transform(lines, lambda x: T.strip(F.regexp_replace(T.strip(x), r"^[-*] ", ""))))
+            items = F.transform(F.transform(own, T.strip), lambda x: F.when(x.startswith("- ") | x.startswith("* "), T.strip(F.substr(x, F.lit(3)))).otherwise(x))
+            out = out.withColumn(name.replace(" ", "_"), items)
         else:
-            out = out.withColumn(name.replace(" ", "_"), T.strip(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n")))
-    return out
+            out = out.withColumn(name.replace(" ", "_"), T.strip(F.array_join(F.transform(own, T.rstrip), "\n")))
+    return out.drop("__known")
 
 
 def render_summary_sections(df: DataFrame, col: str = "markdown") -> DataFrame:
