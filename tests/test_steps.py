@@ -36,6 +36,14 @@ def test_summary_is_cut_once_and_an_empty_section_stays_empty(spark):
     assert plan(got).count("split(concat(") == 1 and "regexp_extract_all" not in plan(got)
 
 
+def test_blocks_are_judged_once(spark):
+    rows = [("d", "structured", 0, "2.1 Reports", "text", None), ("d", "structured", 1, "1 Scope", "text", None), ("d", "structured", 2, "1.1 Work", "text", None), ("d", "markdown", 3, "1.2 Work", "text", None), (None, "markdown", 3, "1.2 Work", "text", None)]
+    df = spark.createDataFrame(rows, "document_id string, source_kind string, source_order int, text_exact string, label string, markdown_heading_level int")
+    got = St.stage1_sections(df)
+    assert plan(got).count("toc_heading") == 1
+    assert {(r.document_id, r.source_order): (r.text_exact, r.parent_missing) for r in got.collect()} == {("d", 0): ("2.1 Reports", True), ("d", 1): ("1 Scope", False), ("d", 2): ("1.1 Work", False), ("d", 3): ("1.2 Work", True), (None, 3): ("1.2 Work", True)}
+
+
 def test_texts_are_dealt_by_document(spark, tmp_path):
     spark.createDataFrame([(k, f"a\nb {k}", "s") for k in range(40)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     for df in (B.blocks(spark, str(tmp_path)), B.sections(spark, str(tmp_path))):
