@@ -57,13 +57,17 @@ FIELDS = ("artifact_type", "document_id", "source", "metadata", "cleaned_text",
 
 def validate_artifacts(df: DataFrame, col: str = "artifact_json", tag: str = "structured_document_v1") -> DataFrame:
     """(document_id, problems): missing fields, a wrong type tag, lists that are none, sections without ids; empty if all is well."""
-    at = lambda p: F.get_json_object(col, f"$.{p}")
+    # a record is parsed twice, once for its fields and once for what they hold, not anew for each path
+    fields = df.select(F.col("document_id").alias("__id"), F.col(col).alias("__json"), F.json_tuple(col, *FIELDS).alias(*FIELDS))
+    whole = F.forall(F.array(*[F.col(f).isNotNull() for f in FIELDS]), lambda x: x)
+    inner = "source struct<filename string>, metadata struct<document_type string>, cleaned_text struct<full_text string>, hierarchy struct<sections string, root_sections string>, objects struct<tables string, images string>, enrichments struct<pws string>, provenance struct<source_pages string>"
+    rows = fields.withColumn("__in", F.from_json(F.when(whole, F.col("__json")), inner)).drop("__json")
+    rows = rows.withColumn("__sections", F.from_json("__in.hierarchy.sections", "array<struct<section_id string, section_title string>>"))
+    at = lambda p: F.col(f"__in.{p}" if "." in p else p)
     missing = [F.when(at(f).isNull(), F.lit(f"missing {f}")) for f in FIELDS]
-    whole = F.forall(F.array(*[at(f).isNotNull() for f in FIELDS]), lambda x: x)
     needed = [F.when(F.coalesce(at(p), F.lit("")) == "", F.lit(f"missing {p}")) for p in ("source.filename", "metadata.document_type", "enrichments.pws")]
     needed += [F.when(at("cleaned_text.full_text").isNull(), F.lit("missing cleaned_text.full_text"))]
     lists = [F.when(~F.coalesce(at(p), F.lit("")).startswith("["), F.lit(f"{p} is no list")) for p in ("hierarchy.sections", "hierarchy.root_sections", "objects.tables", "objects.images", "blocks", "provenance.source_pages")]
-    sections = F.from_json(at("hierarchy.sections"), "array<struct<section_id string, section_title string>>")
-    inside = [F.when(F.exists(sections, lambda s: F.coalesce(s["section_id"], F.lit("")) == ""), F.lit("section without id")), F.when(F.exists(sections, lambda s: s["section_title"].isNull()), F.lit("section without title"))]
+    inside = [F.when(F.exists("__sections", lambda s: F.coalesce(s["section_id"], F.lit("")) == ""), F.lit("section without id")), F.when(F.exists("__sections", lambda s: s["section_title"].isNull()), F.lit("section without title"))]
     problems = F.array_compact(F.array(*missing, F.when(at("artifact_type") != tag, F.lit("wrong artifact_type")), *[F.when(whole, p) for p in (*needed, *lists, *inside)]))
-    return df.select("document_id", problems.alias("problems"))
+    return rows.select(F.col("__id").alias("document_id"), problems.alias("problems"))

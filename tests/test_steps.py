@@ -44,6 +44,11 @@ def test_blocks_are_judged_once(spark):
     assert {(r.document_id, r.source_order): (r.text_exact, r.parent_missing) for r in got.collect()} == {("d", 0): ("2.1 Reports", True), ("d", 1): ("1 Scope", False), ("d", 2): ("1.1 Work", False), ("d", 3): ("1.2 Work", True), (None, 3): ("1.2 Work", True)}
 
 
+def test_records_are_not_parsed_anew_for_each_path(spark):
+    df = spark.createDataFrame([("d", '{"hierarchy": "{}"}')], "document_id string, artifact_json string")
+    assert "get_json_object" not in plan(files.validate_artifacts(df)) and files.validate_artifacts(df).first().problems == [f"missing {f}" for f in files.FIELDS if f != "hierarchy"]
+
+
 def test_texts_are_dealt_by_document(spark, tmp_path):
     spark.createDataFrame([(k, f"a\nb {k}", "s") for k in range(40)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     for df in (B.blocks(spark, str(tmp_path)), B.sections(spark, str(tmp_path))):
