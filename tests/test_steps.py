@@ -53,3 +53,39 @@ def test_texts_are_dealt_by_document(spark, tmp_path):
     spark.createDataFrame([(k, f"a\nb {k}", "s") for k in range(40)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     for df in (B.blocks(spark, str(tmp_path)), B.sections(spark, str(tmp_path))):
         assert "RepartitionByExpression [document_id" in plan(df)
+
+
+HEAD = "struct<section_number:string,section_title:string>"
+
+
+def counted(spark, df):
+    """`df` with each row computed counted, and the counter."""
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        n.add(1)
+        return x
+
+    return df.withColumn("document_id", F.udf(seen, "string")("document_id")), n
+
+
+def test_objects_sections_and_headings_are_computed_once(spark):
+    anchors = spark.createDataFrame([("d", i, f"{i}", f"word{i}", 10 * i, 10 * i + 9) for i in range(8)], "document_id string, section_order int, section_number string, section_title string, start_order int, end_order int")
+    rows = [("d", f"b{o}", o, ("3", "x") if o % 3 == 0 else None, None, [], ["word7 here"] if o % 2 else []) for o in range(5, 95, 3)]
+    objects, n = counted(spark, spark.createDataFrame(rows, f"document_id string, block_id string, document_order int, explicit_heading {HEAD}, preceding_heading {HEAD}, before array<string>, after array<string>"))
+    got = {r.document_order: r.section_number for r in St.align_objects(objects, anchors, 0.6).collect()}
+    assert n.value == len(rows) and got == {o: "3" if e else f"{o // 10}" if o < 80 else "7" if after else None for _, _, o, e, _, _, after in rows}
+    sections, n = counted(spark, spark.createDataFrame([("d", 0, "1", "Scope"), ("d", 1, None, "Monthly cost report"), ("d", 2, "9", "None such"), ("e", 0, "1", "Scope")], "document_id string, section_order int, section_number string, section_title string"))
+    headings, m = counted(spark, spark.createDataFrame([("d", 4, "1", "Scope"), ("d", 7, "2", "Cost report"), ("e", 2, "1", "Other")], "document_id string, document_order int, numbering_token string, heading_title string"))
+    got = {(r.document_id, r.section_order): (r.start_order, r.end_order, r.matched) for r in St.heading_anchors(sections, headings).collect()}
+    assert got == {("d", 0): (4, 6, True), ("d", 1): (7, 7, True), ("d", 2): (8, None, False), ("e", 0): (2, None, True)} and (n.value, m.value) == (4, 3)
+
+
+def test_objects_in_very_many_windows_make_no_pairs(spark):
+    """4,000 objects in 4,000 open windows would be 8 million pairs; pages may lie below 0."""
+    anchors = spark.range(4000).select(F.lit("d").alias("document_id"), F.col("id").cast("int").alias("section_order"), F.col("id").cast("string").alias("section_number"), F.lit("t").alias("section_title"), F.col("id").cast("int").alias("start_order"), F.lit(None).cast("int").alias("end_order"), F.lit(-9).alias("page_start"), F.when(F.col("id") % 2 == 1, -3).alias("page_end"))
+    none = F.lit(None).cast(HEAD)
+    objects = spark.range(4000).select(F.lit("d").alias("document_id"), F.concat(F.lit("b"), "id").alias("block_id"), F.col("id").cast("int").alias("document_order"), none.alias("explicit_heading"), none.alias("preceding_heading"), F.when(F.col("id") % 3 == 0, -4).when(F.col("id") % 3 == 1, -2).alias("page_start"), F.array().cast("array<string>").alias("before"), F.array().cast("array<string>").alias("after"))
+    got = St.align_objects(objects, anchors, 0.6)
+    want = lambda o: ("1", 0.8) if o % 3 == 0 and o > 0 else ("0", 0.72)
+    assert all((r.section_number, round(r.confidence, 2)) == want(r.document_order) for r in got.collect()) and got.count() == 4000
