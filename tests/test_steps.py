@@ -89,3 +89,10 @@ def test_objects_in_very_many_windows_make_no_pairs(spark):
     got = St.align_objects(objects, anchors, 0.6)
     want = lambda o: ("1", 0.8) if o % 3 == 0 and o > 0 else ("0", 0.72)
     assert all((r.section_number, round(r.confidence, 2)) == want(r.document_order) for r in got.collect()) and got.count() == 4000
+
+
+def test_parent_numbers_come_from_the_stack(spark):
+    rows = [("d", 0, "3", "Operations"), ("d", 1, "3.1", "Help > Desk"), ("d", 2, "3.1.4", "Hours"), ("d", 3, "4", "Other"), ("e", 0, "1.1", "Alone")]
+    got = St.flat_sections(spark.createDataFrame(rows, "document_id string, section_order int, section_number string, section_title string"))
+    assert "Join" not in plan(got)
+    assert [(r.section_number, r.parent_number, r.parent_order) for r in got.orderBy("document_id", "section_order").collect()] == [("3", None, None), ("3.1", "3", 0), ("3.1.4", "3.1", 1), ("4", None, None), ("1.1", None, None)]
