@@ -96,3 +96,12 @@ def test_parent_numbers_come_from_the_stack(spark):
     got = St.flat_sections(spark.createDataFrame(rows, "document_id string, section_order int, section_number string, section_title string"))
     assert "Join" not in plan(got)
     assert [(r.section_number, r.parent_number, r.parent_order) for r in got.orderBy("document_id", "section_order").collect()] == [("3", None, None), ("3.1", "3", 0), ("3.1.4", "3.1", 1), ("4", None, None), ("1.1", None, None)]
+
+
+def test_unplaced_objects_are_sorted_without_computing_them_anew(spark):
+    """Dealing rows to a sort's ranges reads them twice; what is read twice are the decisions."""
+    anchors = spark.createDataFrame([("d", 0, "1", "Scope", 0, 9), ("e", 0, "1", "Scope", 0, 9)], "document_id string, section_order int, section_number string, section_title string, start_order int, end_order int")
+    rows = [(d, f"b{o}", o, None, None, [], []) for d in "ed" for o in (30, 20, 5)]
+    objects, n = counted(spark, spark.createDataFrame(rows, f"document_id string, block_id string, document_order int, explicit_heading {HEAD}, preceding_heading {HEAD}, before array<string>, after array<string>"))
+    got = [(r.document_id, r.document_order) for r in St.unplaced_objects(St.align_objects(objects, anchors, 0.6)).collect()]
+    assert got == [("d", 20), ("d", 30), ("e", 20), ("e", 30)] and n.value == len(rows)
