@@ -6,6 +6,7 @@ from bidspark.functions import text as T
 from bidspark.operators import extract as X
 from bidspark.operators import structure as St
 from bidspark.plans import bridge as B
+from bidspark.plans import queries as Q
 from bidspark.sources import files
 from bidspark.sources.tables import Table, replace_in
 
@@ -105,3 +106,23 @@ def test_unplaced_objects_are_sorted_without_computing_them_anew(spark):
     objects, n = counted(spark, spark.createDataFrame(rows, f"document_id string, block_id string, document_order int, explicit_heading {HEAD}, preceding_heading {HEAD}, before array<string>, after array<string>"))
     got = [(r.document_id, r.document_order) for r in St.unplaced_objects(St.align_objects(objects, anchors, 0.6)).collect()]
     assert got == [("d", 20), ("d", 30), ("e", 20), ("e", 30)] and n.value == len(rows)
+
+
+def test_anchors_of_texts_cut_their_lines_once(spark, tmp_path, monkeypatch):
+    """Sections and headings of all documents, also of blank ones and of ids that come twice, are those of all lines."""
+    texts = [(1, "\n".join(f"Line {i} of it" for i in range(40))), (2, "Scope\n\nx"), (2, "Other scope\ny\nz\nEnd"), (3, None), (4, ""), (None, "a\nb\nc\nd"), (5, "\n\n\n\n")]
+    spark.createDataFrame([(k, t, "s") for k, t in texts], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Q._assembled(spark, str(tmp_path)).where("section_order is not null").select("document_id", "section_order", "section_number", "section_title")
+    want = sorted(map(repr, St.heading_anchors(whole, Q._heads(spark, str(tmp_path))).collect()))
+    lines, blocks, counts = sum((t or "").count("\n") + 1 for _, t in texts), B.blocks, []
+
+    def seen(*at):
+        df, n = counted(spark, blocks(*at))
+        counts.append(n)
+        return df
+
+    monkeypatch.setattr(B, "blocks", seen)
+    got = Q.QUERIES["heading_anchors"](spark, str(tmp_path)).collect()
+    assert 0 < sum(n.value for n in counts) <= lines and len(got) == len(want)
+    counts.clear()
+    assert sorted(map(repr, Q._anchors(spark, str(tmp_path)).collect())) == want and 0 < sum(n.value for n in counts) <= lines
