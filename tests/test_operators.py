@@ -210,6 +210,49 @@ def test_related_requirements_equal_all_pairs(spark, monkeypatch):
     assert up["r00", "r01"] == score.get(("r00", "r01"), 0.0) + 18 and ("r00", "r00") not in up and up["r02", "r59"] == score.get(("r02", "r59"), 0.0) + 17
 
 
+def test_related_cells_score_few_pairs_in_full(monkeypatch):
+    """Sources stream past a cell's candidates in several batches; few pairs are scored in full, and the best are those of all pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    word = lambda n: np.unique((rng.random(n) ** 3 * 800).astype(np.int64))
+    some = lambda *xs: [x for x in xs if rng.random() < 0.1]
+    rows = [{"cell": 1, "project_id": "p", "id": f"r{i:04}", "filename": f"f{i % 4}", "weight": int(5 * (i % 4 == 0) - 8 * (i % 4 == 1)), "tokens": word(int(rng.integers(0, 300))).tolist(), "asked": word(9).tolist(), "objects": word(3).tolist() if i % 3 else [], "numbers": some(int(rng.integers(9))), "above": some(1, 2), "letters": some(7), **{f: int(rng.integers(3)) for f, _ in S.FIELD_POINTS}} for i in range(1500)]
+    sets = pa.list_(pa.int64())
+    schema = pa.schema([(k, sets if isinstance(v, list) else pa.string() if isinstance(v, str) else pa.int64()) for k, v in rows[0].items()] + [("ask", pa.bool_())])
+    batch = lambda part, ask: pa.RecordBatch.from_pylist([r | {"ask": ask} for r in part], schema)
+    asks = rows[:150]
+    full = []
+    meet = S._meet
+    monkeypatch.setattr(S, "_meet", lambda sets, index, n, left, right: full.append(len(left)) or meet(sets, index, n, left, right))
+    for queried in (False, True):
+        full.clear()
+        given = sorted(rows, key=lambda r: (r["filename"], r["id"]))
+        got = pa.Table.from_batches(S._best_of_cells(iter([batch(given[:700], False), batch(given[700:], False), batch(asks[:60], True), batch(asks[60:], True)]), 5, queried)).to_pylist()
+        assert sum(full) / 4 < 0.25 * len(asks) * len(rows)  # a pair scored in full is looked up four times
+
+        def score(s, c):
+            both = lambda a, b: len(set(s[a]) & set(c[b]))
+            terms = both("tokens", "tokens") + 4 * both("asked" if queried else "tokens", "tokens") + 3 * both("objects", "objects")
+            place = 14 if both("numbers", "numbers") else 6 if both("numbers", "above") or both("above", "numbers") else 0
+            return terms + place + 10 * (both("letters", "letters") > 0) + c["weight"] + sum(n for f, n in S.FIELD_POINTS if s[f] and s[f] == c[f])
+
+        want = []
+        for s in asks:
+            best = sorted((-score(s, c), -c["weight"], c["filename"], c["id"]) for c in rows if c["tokens"] and c["id"] != s["id"])
+            want += [(s["id"], name, -x) for x, _, _, name in best[:5] if x < 0]
+        assert [(r["s_id"], r["c_id"], r["score"]) for r in got] == want
+
+
+def test_related_requirements_without_reasons(spark):
+    cols = "project_id string, id string, filename string, section_number string, section_heading string, heading_path string, requirement_text string, modality string, actor string, action string, object_text string"
+    df = spark.createDataFrame([("p", f"r{i}", "a.docx", "1", "", "", f"network outage {i % 3} report{i % 4}", None, None, None, None) for i in range(12)], cols)
+    short, full = S.related_requirements(df, df, limit=3, reasons=False), S.related_requirements(df, df, limit=3)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, full.drop("match_reason").collect())) and all(r.match_reason for r in full.collect())
+    text = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower")
+    assert text(short) <= 4  # terms of text and object on each side, once
+
+
 def test_links(spark):
     p = spark.createDataFrame([("p", "x", "Follow section 4.10 and Appendices A - B for network care")], "project_id string, paragraph_id string, text string")
     s = spark.createDataFrame([("p", "Base IDIQ PWS.docx", "4.10", "Care", ["network care matters", "other"]), ("p", "Appendix A.docx", "1", "T", ["none"]), ("p", "Appendix B.docx", "1", "T", ["care of network"])], "project_id string, filename string, section_number string, section_title string, snippets array<string>")
