@@ -94,9 +94,8 @@ def hashing_provider(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), np.float32)
         for k, t in enumerate(texts):
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                out[k, h % dims] += 1 if h & 0x80000000 else -1
+            h = np.fromiter((zlib.crc32(w.encode()) for w in t.lower().split()), np.int64)
+            out[k] = np.bincount(h % dims, np.where(h & 0x80000000, 1.0, -1.0), dims)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     return embed
@@ -139,16 +138,21 @@ SLACK = 1e-9  # scores are compared after rounding to nine places
 
 def _unit(col: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     """Vectors as rows of unit length; null, zero and not finite ones, and those of other sizes, are zero."""
-    out = np.zeros((len(col), dims))
-    for k, v in enumerate(col.to_pylist()):
-        if v is not None and len(v) == dims and None not in v:
-            out[k] = v
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    flat = col.flatten()
+    if not col.null_count and not flat.null_count and (np.diff(np.asarray(col.offsets)) == dims).all():
+        out = np.asarray(flat).reshape(len(col), dims).astype(float)
+    else:
+        out = np.zeros((len(col), dims))
+        for k, v in enumerate(col.to_pylist()):
+            if v is not None and len(v) == dims and None not in v:
+                out[k] = v
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.where((size > 0) & np.isfinite(size), out / np.where(size > 0, size, 1), 0.0)
 
 
 def _dims(*tables: pa.Table, of: str = "vector") -> int:
-    return max((len(v) for t in tables for v in t.column(of).to_pylist()[:64] if v is not None), default=0)
+    return max((len(v) for t in tables for v in t.column(of).slice(0, 64).to_pylist() if v is not None), default=0)
 
 
 def _dealt(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,35 +189,46 @@ def cells(points: DataFrame) -> DataFrame:
     return kept.groupBy("project_id", "part").cogroup(pivots.groupBy("at", "at_part")).applyInArrow(nearest, f"{kinds}, pivot string, near double")
 
 
+def _cut(dealt: DataFrame) -> DataFrame:
+    """Points of a cell in parts of PART about, whatever the size of its project."""
+    sizes = dealt.groupBy("project_id", "pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    return dealt.drop("part").join(sizes, ["project_id", "pivot"]).withColumn("part", F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int")).drop("parts")
+
+
 def _best(points: DataFrame, asks: DataFrame, top_k: int) -> DataFrame:
     """(query_id, project_id, pivot, point_id, score): the top_k points of each part of a cell for each query that asks the cell.
 
-    points: as `cells` returns them; asks: query_id, project_id, pivot, q_part, parts, vector.
+    points: as `cells` returns them; asks: query_id, project_id, pivot, q_part, parts, vector and, if known, least: a score that top_k
+    points reach, below which none counts.
     """
     p = points.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
     q = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     by = ["project_id", "pivot", "part", "q_part"]
     kind = dict(asks.dtypes)["query_id"]
-    said = f"query_id {kind}, project_id string, pivot string, point_id string, score double"
+    shape = f"query_id {kind}, project_id string, pivot string, point_id string, score double"
 
     def product(key: tuple, rows: pa.Table, ask: pa.Table) -> pa.Table:
         ids = np.array(rows.column("point_id").to_pylist(), object)
         dims = max(_dims(rows), _dims(ask, of="q_vector"))
-        got: list[tuple[int, int, float]] = []
+        i, j, said = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         if len(ids) and ask.num_rows and dims:
             score = _unit(ask.column("q_vector"), dims) @ _unit(rows.column("vector"), dims).T
-            shown, k = np.round(score, 9), min(top_k, len(ids))
-            least = np.partition(shown, len(ids) - k, axis=1)[:, len(ids) - k]
-            for i in range(len(shown)):
-                at = np.flatnonzero(shown[i] >= least[i])
-                at = at[np.lexsort((ids[at].astype(str), -shown[i][at]))][:k]
-                got += [(i, j, score[i, j]) for j in at.tolist()]
-        i, j = ([g[m] for g in got] for m in (0, 1))
-        cols = {"query_id": ask.column("query_id").take(pa.array(i, pa.int64())), "project_id": [key[0].as_py()] * len(got), "pivot": [key[1].as_py()] * len(got), "point_id": ids[j].tolist() if got else [], "score": [g[2] for g in got]}
+            least, k = np.array(ask.column("least").to_pylist(), float), min(top_k, len(ids))
+            free = np.flatnonzero(np.isnan(least))
+            least[free] = np.partition(score[free], len(ids) - k, axis=1)[:, len(ids) - k] if len(free) else 0
+            i, j = np.nonzero(score >= least[:, None] - 2 * SLACK)
+            place = np.empty(len(ids), int)
+            place[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
+            order = np.lexsort((place[j], -np.round(score[i, j], 9), i))
+            i, j = i[order], j[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[kept], j[kept]
+            said = score[i, j]
+        cols = {"query_id": ask.column("query_id").take(pa.array(i, pa.int64())), "project_id": [key[0].as_py()] * len(i), "pivot": [key[1].as_py()] * len(i), "point_id": ids[j].tolist(), "score": said}
         return pa.table(cols, pa.schema([("query_id", ask.schema.field("query_id").type), ("project_id", pa.string()), ("pivot", pa.string()), ("point_id", pa.string()), ("score", pa.float64())]))
 
-    p, q = p.select(*by, "point_id", "vector"), q.select(*[F.col(c).alias(f"q_{c}") for c in by], "query_id", F.col("vector").alias("q_vector"))
-    return p.groupBy(*by).cogroup(q.groupBy(*[f"q_{c}" for c in by])).applyInArrow(product, said)
+    p, q = p.select(*by, "point_id", "vector"), q.select(*[F.col(c).alias(f"q_{c}") for c in by], "query_id", F.col("vector").alias("q_vector"), F.col("least") if "least" in q.columns else F.lit(None).cast("double").alias("least"))
+    return p.groupBy(*by).cogroup(q.groupBy(*[f"q_{c}" for c in by])).applyInArrow(product, shape)
 
 
 def _asked_cells(queries: DataFrame, dealt: DataFrame, points: DataFrame) -> DataFrame:
@@ -250,7 +265,7 @@ def retrieval_cells(index: DataFrame, queries: DataFrame, top_k: int = 5, chunk_
 def _retrieved(index: DataFrame, queries: DataFrame, top_k: int, chunk_kind: str | None) -> tuple[DataFrame, DataFrame]:
     live = index if chunk_kind is None else index.where(F.col("chunk_kind") == chunk_kind)
     points, asked = _dealt(live.select("project_id", "point_id", "vector"), queries.select("query_id", "project_id", F.col("query_vector").alias("vector")))
-    dealt = staged(cells(points))
+    dealt = _cut(staged(cells(points)))
     asks = staged(_asked_cells(asked, dealt, live))
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "pivot")
     ranked = asks.withColumn("r", F.row_number().over(order))
@@ -260,7 +275,7 @@ def _retrieved(index: DataFrame, queries: DataFrame, top_k: int, chunk_kind: str
     first = staged(cut(_best(dealt, ranked.where("r = 1").drop("r", "bound"), top_k)).drop("rank"))
     reached = first.groupBy("query_id").agg(F.count("*").alias("k"), F.min(shown).alias("least"))
     more = ranked.where("r > 1").join(reached, "query_id", "left").where((F.coalesce("k", F.lit(0)) < top_k) | (F.col("bound") >= F.col("least") - SLACK))
-    found = first.unionByName(_best(dealt, more.drop("r", "bound", "k", "least"), top_k))
+    found = first.unionByName(_best(dealt, more.withColumn("least", F.when(F.col("k") >= top_k, F.col("least"))).drop("r", "bound", "k"), top_k))
     best = cut(found).select("query_id", "project_id", "point_id", "score", "rank")
     rows = live.drop("vector").join(best, ["project_id", "point_id"])
     extra = [c for c in queries.columns if c not in ("query_id", "project_id", "query_vector")]

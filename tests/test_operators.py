@@ -253,6 +253,20 @@ def test_related_requirements_without_reasons(spark):
     assert text(short) <= 4  # terms of text and object on each side, once
 
 
+def test_related_requirements_lifted_without_reasons(spark):
+    """Boosted and queried scores are those of the rows with reasons, whose semantic matches are named."""
+    cols = "project_id string, id string, filename string, section_number string, section_heading string, heading_path string, requirement_text string, modality string, actor string, action string, object_text string"
+    df = spark.createDataFrame([("p", f"r{i}", "a.docx", "1", "", "", f"network outage {i % 3} report{i % 4}" if i else "", None, None, None, None) for i in range(12)], cols)
+    boosts = spark.createDataFrame([("r1", "r0", 18.0), ("r1", "r5", 17.0), ("r1", "r1", 9.0)], "s_id string, c_id string, boost double")
+    asked = df.withColumn("query_text", F.when(F.col("id") < "r5", "outage report2"))
+    for sources, b in ((df, boosts), (asked, None), (asked, boosts)):
+        short, full = S.related_requirements(sources, df, b, 4, reasons=False), S.related_requirements(sources, df, b, 4)
+        assert short.columns == ["s_id", "rank", "c_id", "score"]
+        assert sorted(map(tuple, short.collect())) == sorted(map(tuple, full.drop("match_reason").collect()))
+        said = {(r.s_id, r.c_id): r.match_reason for r in full.collect()}
+        assert b is None or said["r1", "r0"] == "semantic match" and said["r1", "r5"].startswith("shared terms: ") and said["r1", "r5"].endswith("; semantic match")
+
+
 def test_links(spark):
     p = spark.createDataFrame([("p", "x", "Follow section 4.10 and Appendices A - B for network care")], "project_id string, paragraph_id string, text string")
     s = spark.createDataFrame([("p", "Base IDIQ PWS.docx", "4.10", "Care", ["network care matters", "other"]), ("p", "Appendix A.docx", "1", "T", ["none"]), ("p", "Appendix B.docx", "1", "T", ["care of network"])], "project_id string, filename string, section_number string, section_title string, snippets array<string>")
@@ -376,6 +390,23 @@ def test_retrieval_with_cells(spark, monkeypatch):
     assert seen[1][0] < seen[1][1] and seen[8][0] == seen[8][1]
 
 
+def test_cells_have_parts_by_their_own_size(spark, monkeypatch):
+    """A small cell of a large project is one part, so a query is sent to it once; vectors by flat arrays equal those read one by one."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "PART", 20)
+    rng = np.random.default_rng(1)
+    rows = [("p", f"p{i:03}", [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    points, _ = C._dealt(spark.createDataFrame(rows, "project_id string, point_id string, vector array<float>"), spark.createDataFrame([(1, "p", [1.0] * 4)], "query_id long, project_id string, vector array<float>"))
+    cells = {}
+    for r in C._cut(C.cells(points)).collect():
+        cells.setdefault(r.pivot, []).append(r.part)
+    assert sum(map(len, cells.values())) == 200 and len(cells) > 3
+    assert all(max(parts) < -(-len(parts) // 20) for parts in cells.values())
+    odd = pa.array([[3.0, 4.0], None, [1.0], [0.0, 0.0]], pa.list_(pa.float32()))
+    assert C._unit(odd, 2).tolist() == [[0.6, 0.8], [0, 0], [0, 0], [0, 0]] and C._unit(odd.slice(0, 1), 2).tolist() == [[0.6, 0.8]]
+
+
 def test_related_search_by_query_text(spark):
     kind = "project_id string, id string, filename string, section_number string, section_heading string, heading_path string, requirement_text string, modality string, actor string, action string, object_text string"
     rows = [("p", "r1", "pws.docx", "1.1", "Ops", "1.1 Ops", "The contractor shall operate network tools daily", "shall", "contractor", "operate", "network tools"), ("p", "r2", "pws.docx", "1.2", "Ops", "1.2 Ops", "The contractor shall monitor network tools", "shall", "contractor", "monitor", "network tools"), ("p", "r9", "Appendix A.docx", "2.3", "Storage", "2.3 Storage", "Storage arrays must be patched monthly", "must", None, None, None), ("p", "empty", "x.docx", "", "", "", "", None, None, None, None)]
