@@ -1,7 +1,12 @@
 """Steps that many queries share: each text is cut, matched and parsed once, and dealt to all tasks."""
 
+import os
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from bidspark.functions import lexicons as L
 from bidspark.functions import text as T
 from bidspark.operators import extract as X
 from bidspark.operators import structure as St
@@ -10,6 +15,8 @@ from bidspark.plans import queries as Q
 from bidspark.sources import files
 from bidspark.sources.tables import Table, replace_in
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -126,3 +133,11 @@ def test_anchors_of_texts_cut_their_lines_once(spark, tmp_path, monkeypatch):
     assert 0 < sum(n.value for n in counts) <= lines and len(got) == len(want)
     counts.clear()
     assert sorted(map(repr, Q._anchors(spark, str(tmp_path)).collect())) == want and 0 < sum(n.value for n in counts) <= lines
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_report_reads_its_candidates_once(spark):
+    """The rule on fragments runs when candidates and deliverables are staged, not anew for each table and each order."""
+    bundle = Q.QUERIES["report_bundle"](spark, SF)
+    assert L.TASKING[:30] not in bundle._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.report for r in bundle.select("report").distinct().collect()} >= {"Requirements", "Deliverables", "Review_Queue", "Audit"}
