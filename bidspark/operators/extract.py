@@ -14,6 +14,7 @@ from bidspark.functions import text as T
 from bidspark.functions.arrow import bounded
 
 EXPORT = ("project_id", "source_document", "pws_area", "section_path", "section_heading", "source_kind", "requirement_type", "trigger_keyword", "requirement_text", "provider", "content_sha256")
+KINDS = ("section", "requirement_record", "table", "markdown_sentence")
 EXPORT_KEY = ("project_id", "source_document", "pws_area", "source_kind", "trigger_keyword", "requirement_text")
 
 
@@ -143,7 +144,7 @@ def project_requirement_export(sections: DataFrame, tables: DataFrame, requireme
     """All requirement rows of every project, each key once (first source first).
 
     A key holds the source kind, so duplicates only meet inside one source; among them the smallest row stays,
-    which a combining aggregate finds before the shuffle. Without `requirements` the sections' own are taken, and
+    which a combining aggregate finds before the shuffle. A text moves once for all kinds that it comes in. Without `requirements` the sections' own are taken, and
     their sentences are split and classified once for both.
     """
     keep = lambda df: df if not pattern else df.where(F.col("filename").ilike(pattern))
@@ -153,8 +154,11 @@ def project_requirement_export(sections: DataFrame, tables: DataFrame, requireme
         parts.append(markdown_export_rows(keep(markdown)))
     rest = [c for c in EXPORT if c not in EXPORT_KEY]
     # the aggregate sorts its keys: by their hash first, which seldom looks at the strings
-    rows = reduce(DataFrame.unionByName, parts).groupBy(F.xxhash64(*EXPORT_KEY).alias("__h"), *EXPORT_KEY).agg(F.min(F.struct(*rest)).alias("r"))
-    return rows.select(*EXPORT_KEY, "r.*").select(*EXPORT)
+    key = [c for c in EXPORT_KEY if c != "source_kind"]
+    least = [F.min(F.when(F.col("source_kind") == k, F.struct(*rest))).alias(k) for k in KINDS]
+    rows = reduce(DataFrame.unionByName, parts).groupBy(F.xxhash64(*key).alias("__h"), *key).agg(*least)
+    kinds = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("source_kind"), f"{k}.*")) for k in KINDS]))
+    return rows.select(*key, F.inline(kinds)).select(*EXPORT)
 
 
 def submission_requirements(export: DataFrame) -> DataFrame:

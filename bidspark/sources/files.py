@@ -39,9 +39,9 @@ COLUMNS = {
 }
 
 
-def write_csv(df: DataFrame, path: str, kind: str) -> None:
-    """CSV with a header and the fixed columns of its kind, one folder of part files."""
-    df.select(*COLUMNS[kind]).write.mode("overwrite").option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
+def write_csv(df: DataFrame, path: str, kind: str, compression: str = "none") -> None:
+    """CSV with a header and the fixed columns of its kind, one folder of part files, plain or compressed (`gzip`)."""
+    df.select(*COLUMNS[kind]).write.mode("overwrite").option("compression", compression).option("zlib.compress.level", "BEST_SPEED").option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
 
 
 def report_bundle(sections: DataFrame, requirements: DataFrame, deliverables: DataFrame, tables: DataFrame, reviews: DataFrame, audits: DataFrame, project_id: str | None = None) -> dict[str, DataFrame]:

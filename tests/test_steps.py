@@ -141,3 +141,19 @@ def test_report_reads_its_candidates_once(spark):
     bundle = Q.QUERIES["report_bundle"](spark, SF)
     assert L.TASKING[:30] not in bundle._jdf.queryExecution().optimizedPlan().toString()
     assert {r.report for r in bundle.select("report").distinct().collect()} >= {"Requirements", "Deliverables", "Review_Queue", "Audit"}
+
+
+def test_export_moves_a_text_once_for_all_kinds_and_csv_may_be_compressed(spark, tmp_path):
+    text = 'The offeror shall submit "a", b.\x0bThe COR must provide c. See\nsection 1, all must.'
+    rows = [("p", "f", "L.1", "H", "docling", None, t) for t in (text, text, "Nothing", "")]
+    cols = "project_id string, filename string, section_path string, section_heading string, provider string, content_sha256 string, body_text string"
+    sections = spark.createDataFrame(rows, cols).withColumns({"section_index": F.lit(1), "document_id": F.lit("d")})
+    out = X.project_requirement_export(sections, sections)
+    assert "source_kind" not in re.search(r"Aggregate \[(.*?)\], ", plan(out)).group(1)
+    kinds = [r.source_kind for r in out.collect()]
+    assert {k: kinds.count(k) for k in set(kinds)} == {"section": 3, "requirement_record": 3, "table": 2}
+    files.write_csv(out, f"{tmp_path}/plain", "requirement")
+    files.write_csv(out, f"{tmp_path}/small", "requirement", "gzip")
+    read = lambda path: sorted(map(repr, spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(path).collect()))
+    assert read(f"{tmp_path}/plain") == read(f"{tmp_path}/small") and len(read(f"{tmp_path}/small")) == 8
+    assert all(f.endswith((".csv.gz", "_SUCCESS", ".crc")) for f in os.listdir(f"{tmp_path}/small"))
