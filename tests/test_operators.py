@@ -267,6 +267,17 @@ def test_related_requirements_lifted_without_reasons(spark):
         assert b is None or said["r1", "r0"] == "semantic match" and said["r1", "r5"].startswith("shared terms: ") and said["r1", "r5"].endswith("; semantic match")
 
 
+def test_boosts_move_digests_of_texts(spark):
+    """Texts of other case and spacing meet, also by a digest made before; the requirement of the largest id has the boost."""
+    req = spark.createDataFrame([("p", "r1", "A.docx", "1.1", "Track  outages\n"), ("p", "r2", "a.DOCX ", "1.1", "track outages"), ("q", "r3", "A.docx", "1.1", "track outages"), ("p", "r4", None, None, None)], "project_id string, id string, filename string, section_number string, requirement_text string")
+    m = spark.createDataFrame([("s", "p", 0, "a.docx", "1.1", " TRACK outages"), ("s", "p", 3, "A.docx", "1.1", "track outages"), ("s", "p", 1, "A.docx", "1.2", "track outages"), ("t", "p", 2, "", "", "")], "s_id string, project_id string, rank int, filename string, section_number string, text string")
+    got = S.semantic_boosts(m, req)
+    want = [("s", "r2", 33.0), ("t", "r4", 16.0)]
+    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, S.semantic_boosts(m.withColumn("text_key", S.text_key(F.col("text"))).drop("text"), req).collect())) == want
+    assert "sha2" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_links(spark):
     p = spark.createDataFrame([("p", "x", "Follow section 4.10 and Appendices A - B for network care")], "project_id string, paragraph_id string, text string")
     s = spark.createDataFrame([("p", "Base IDIQ PWS.docx", "4.10", "Care", ["network care matters", "other"]), ("p", "Appendix A.docx", "1", "T", ["none"]), ("p", "Appendix B.docx", "1", "T", ["care of network"])], "project_id string, filename string, section_number string, section_title string, snippets array<string>")
